@@ -11,7 +11,14 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    from cairn.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
 }
 

@@ -17,8 +17,15 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_neardup(spark, sf_dir):
+    from cairn.llm.simhash_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op9_simhash_neardup": op9_simhash_neardup,
     "op3_token_counts": op3_token_counts,
 }
 

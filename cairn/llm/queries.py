@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cairn.llm._common import read_table
 
 
@@ -23,10 +25,37 @@ def op9_simhash_neardup(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_line_dedup(spark, sf_dir):
+    from cairn.llm.line_dedup import drop_repeated_lines
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op6_line_dedup": op6_line_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op3_token_counts": op3_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, parts[i] AS line, i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents))
+), heavy AS (
+  SELECT key, max(doc_id) AS largest FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, h.key IS NOT NULL AND l.doc_id < h.largest AS gone FROM lines l LEFT JOIN heavy h ON l.key = h.key
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}

@@ -33,7 +33,22 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark, sf_dir):
+    from cairn.llm.decontam import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_language_id(spark, sf_dir):
+    from cairn.llm.langid import identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op10_decontamination": op10_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op9_simhash_neardup": op9_simhash_neardup,

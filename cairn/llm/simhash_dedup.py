@@ -70,15 +70,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``doc_id, uid, fp``: a hash of the text and the fingerprint, as signed longs."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "uid", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, fp long")
 
 
 # ------------------------------------------------------------------ shard tree
@@ -280,15 +280,33 @@ def near_links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, le
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, component_id, fp`` for every row of ``docs``.
+    """``doc_id, fingerprint, component_id, uid, root`` for every row of ``docs``.
 
-    ``component_id`` is the least id that links reach, the row's own included.
+    ``component_id`` is the least id that links reach, the row's own included;
+    ``root`` names the component even where no row of it has an id.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = connected_components(near_links(points, radius)).withColumnRenamed("node", "fp")
     linked = roots.join(points, "fp")
     by_root = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = points.join(linked.join(by_root, "component").select("fp", "component_id"), "fp", "left")
-    labels = labels.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    labels = points.join(linked.join(by_root, "component").select("fp", "component_id", "component"), "fp", "left")
+    labels = labels.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "uid", "root")
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the least id of each group, columns unchanged.
+
+    A group without any id keeps one text.  Among rows that repeat the chosen id
+    and text, one stays; among different texts under one id, the one with the
+    least hash.
+    """
+    groups = materialise(near_duplicates(docs, id_col, text_col, shingle, radius).select("doc_id", "uid", "root"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"))
+    chosen = groups.groupBy("root").agg(F.min(order).alias("c")).select("c.__id", "c.__uid")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__uid"))
+    kept = docs.join(chosen, same, "left_semi")
+    if groups.groupBy("doc_id", "uid").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("__uid", F.xxhash64(text_col)).dropDuplicates([id_col, "__uid"]).drop("__uid")

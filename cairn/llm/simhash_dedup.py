@@ -40,9 +40,9 @@ SEED = 42
 #: Points that shape the shard tree at most (expected number).
 SAMPLE = 65_536
 #: Points meant for a shard.
-LEAF = 4_096
+LEAF = 32_768
 #: Points of a block when a leaf outgrows it.
-BLOCK = 16_384
+BLOCK = 131_072
 #: Points compared all with all.
 DIRECT = 1_024
 

@@ -62,7 +62,14 @@ def op8_html_extract(spark, sf_dir):
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op5_ann(spark, sf_dir):
+    from cairn.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {
+    "op5_ann": op5_ann,
     "op7_chat_format": op7_chat_format,
     "op8_html_extract": op8_html_extract,
     "op2_language_id": op2_language_id,

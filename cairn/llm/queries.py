@@ -68,7 +68,15 @@ def op5_ann(spark, sf_dir):
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op4_quality(spark, sf_dir):
+    from cairn.llm.quality import score, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op4_quality": op4_quality,
     "op5_ann": op5_ann,
     "op7_chat_format": op7_chat_format,
     "op8_html_extract": op8_html_extract,

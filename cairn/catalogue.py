@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from cairn.plans import event_queries
+
 FLAGSHIP = "events_page"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (event_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import event_queries
+from cairn.plans import corpus_queries, event_queries
 
 FLAGSHIP = "events_page"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-for module in (event_queries,):
-    QUERIES |= module.QUERIES
-    ORACLES |= module.ORACLES
+AREAS = (event_queries.area, corpus_queries.area)
+QUERIES: dict = {name: f for area in AREAS for name, f in area.queries.items()}
+ORACLES: dict[str, str] = {name: text for area in AREAS for name, text in area.oracles.items()}

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 def json_text(c: Column) -> Column:
     """A JSON string literal in ASCII; every other character is escaped."""
-    import pandas as pd
-
-    def quote(s: pd.Series) -> pd.Series:
+    def quote(s):
         return s.map(lambda x: "null" if x is None else json.dumps(x))
 
     return F.pandas_udf(quote, "string")(c)

@@ -26,9 +26,7 @@ def tokens(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Canonical composition; plain ASCII never leaves the JVM's rows changed."""
-    import pandas as pd
-
-    def compose(s: pd.Series) -> pd.Series:
+    def compose(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
     return F.pandas_udf(compose, "string")(c)
@@ -36,9 +34,7 @@ def nfc(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Letters without their combining marks, as the full-text tokenizer folds them."""
-    import pandas as pd
-
-    def strip(s: pd.Series) -> pd.Series:
+    def strip(s):
         return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch)))
 
     return F.pandas_udf(strip, "string")(c)
@@ -62,8 +58,12 @@ def lines(c: Column) -> Column:
 def lexical_score(text: Column, query: list[str]) -> Column:
     """Whole-word occurrences of the query's words, repeats included, to a million."""
     words = F.split(F.lower(text), r"\s+")
-    hits = [F.size(F.filter(words, lambda w, q=q: w == q)) for q in query]
-    return F.least(F.lit(1_000_000.0), sum(hits, F.lit(0)).cast("double"))
+
+
+    def hits(q: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == q))
+
+    return F.least(F.lit(1_000_000.0), sum(map(hits, query), F.lit(0)).cast("double"))
 
 
 def estimate_tokens(c: Column) -> Column:

@@ -8,21 +8,10 @@ from cairn.operators import access as A
 from cairn.operators import events as E
 from cairn.operators.relational import first_by
 from cairn.plans import views as V
+from cairn.plans.registry import Area
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, *ctes: str):
-    """Register a query under its function's name, with its oracle if it has one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = V.sql(oracle, *ctes)
-        return f
-
-    return add
+area = Area()
+query = area.query
 
 
 SCOPES = [A.Scope(requester="p3", global_read=True, profiles=("p3",)), A.Scope(spaces=("k2",), is_grant=True)]

@@ -123,5 +123,5 @@ def keywords(c: Column, shortest: int = 3) -> Column:
 
 def link_list(c: Column) -> Column:
     """Ids of a JSON list or a comma list: trimmed, distinct, none empty."""
-    items = F.coalesce(F.from_json(c, "array<string>"), F.split(c, ","))
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    items = F.coalesce(F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")), F.split(c, ","))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))

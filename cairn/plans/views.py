@@ -104,15 +104,15 @@ def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verification for each order line, the smallest of repeated lines."""
     from cairn.operators.relational import first_by
 
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", stamp(F.col("l_shipdate")).alias("at"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
-    one = first_by(lines, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "at", "price", "l_quantity", "l_linestatus", "l_returnflag"])
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", stamp(F.col("l_shipdate")).alias("shipped"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    one = first_by(lines, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "shipped", "price", "l_quantity", "l_linestatus", "l_returnflag"])
     status = F.when(F.col("l_linestatus") == "F", "deterministic_verification").when(F.col("l_returnflag") == "R", "user_confirmation").otherwise("none")
     return one.select(
         F.concat(F.lit("v"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("verification_id"),
         F.col("l_partkey").alias("subject_id"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_suppkey").alias("supplier_key"),
-        F.col("at").alias("timestamp"),
+        F.col("shipped").alias("timestamp"),
         F.col("l_quantity").cast("long").alias("quantity"),
         status.alias("verification_status"),
     )
@@ -121,10 +121,10 @@ def verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERIFICATIONS = """
 v_verifications AS (
   SELECT 'v' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || l_linenumber AS verification_id, l_partkey AS subject_id, l_orderkey AS order_key,
-    l_suppkey AS supplier_key, at AS timestamp, CAST(l_quantity AS BIGINT) AS quantity,
+    l_suppkey AS supplier_key, shipped AS timestamp, CAST(l_quantity AS BIGINT) AS quantity,
     CASE WHEN l_linestatus = 'F' THEN 'deterministic_verification' WHEN l_returnflag = 'R' THEN 'user_confirmation' ELSE 'none' END AS verification_status
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, at, price, l_quantity, l_linestatus, l_returnflag) AS rn
-        FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem))
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, shipped, price, l_quantity, l_linestatus, l_returnflag) AS rn
+        FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS shipped, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem))
   WHERE rn = 1)
 """
 

@@ -269,8 +269,10 @@ def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column
 def snippet(text: Column, terms: list[str], size: int = 8) -> Column:
     """A window of words around the first hit, hits in brackets."""
     words = F.split(X.collapse(text), " ")
-    hit = lambda w: F.size(F.array_intersect(X.tokens(w), F.array(*map(F.lit, terms)))) > 0
-    first = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: hit(F.element_at(words, i)))), F.lit(1))
+    wanted = F.array(*map(F.lit, terms))
+    hits = F.transform(words, lambda w: F.arrays_overlap(X.tokens(w), wanted))
+    first = F.greatest(F.array_position(hits, F.lit(True)), F.lit(1)).cast("int")
     start = F.greatest(F.lit(1), first - size // 2)
-    shown = F.transform(F.slice(words, start, F.lit(size)), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    mark = lambda w, h: F.when(h, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)
+    shown = F.zip_with(F.slice(words, start, F.lit(size)), F.slice(hits, start, F.lit(size)), mark)
     return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(start + size - 1 < F.size(words), "...").otherwise(""))

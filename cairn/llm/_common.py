@@ -37,7 +37,7 @@ def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> Da
     path = scratch(spark, what)
     out = df.write.mode("overwrite")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # given, as an empty table has no file to tell it
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -118,7 +118,7 @@ class OneVersusOne:
             check = held if held.any() else ~held
             scales.append(fit_scale(x[rows][check] @ w[:-1] + w[-1], y[check]))
             weights.append(w)
-        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), x.shape[1] + 1)
         self.scales = np.array(scales)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

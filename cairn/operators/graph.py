@@ -54,9 +54,8 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, allowed: DataFrame | None
 
 def bounded(nodes: DataFrame, limit: int = MAX_NODES) -> DataFrame:
     """The nearest nodes, and whether the bound cut any off."""
-    total = nodes.agg(F.count(F.lit(1)).alias("n"))  # one row
-    kept = nodes.orderBy("depth", "node").limit(limit)
-    return kept.join(F.broadcast(total)).withColumn("truncated", F.col("n") > limit).drop("n")
+    more = nodes.agg(F.count(F.lit(1)) > limit).scalar()
+    return nodes.orderBy("depth", "node").limit(limit).withColumn("truncated", more)
 
 
 def typed_edges(*sources: tuple[DataFrame, str, str, str]) -> DataFrame:

@@ -174,9 +174,8 @@ def with_fallback(p: DataFrame, text: str) -> DataFrame:
     loose = any_term(text)
     if loose is None:
         return strict
-    some = strict.agg(F.count(F.lit(1)).alias("n"))  # one row
-    relaxed = matching(p, loose).withColumn("match_mode", F.lit("any_term"))
-    relaxed = relaxed.join(F.broadcast(some), F.col("n") == 0, "left_semi")
+    none = strict.agg(F.count(F.lit(1)) == 0).scalar()
+    relaxed = matching(p, loose).withColumn("match_mode", F.lit("any_term")).where(none)
     return strict.unionByName(relaxed)
 
 
@@ -258,8 +257,7 @@ def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column
     words = corpus_words(query)
     terms = units.withColumn("terms", X.tokens(F.col("text")))
     found = terms.where(corpus_match(F.col("terms"), words, every=False)).withColumn("every", corpus_match(F.col("terms"), words))
-    whole = found.agg(F.max("every").alias("any_whole"))  # one row
-    kept = found.join(F.broadcast(whole), F.col("every") | ~F.col("any_whole"), "left_semi")
+    kept = found.where(F.col("every") | ~found.agg(F.max("every")).scalar())
     score = X.lexical_score(F.col("text"), words)
     total = F.round(score + semantic, 6) if semantic is not None else F.round(score, 6)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))

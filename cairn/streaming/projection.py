@@ -35,11 +35,13 @@ def start(spark: SparkSession, source: DataFrame, table: str, checkpoint: str):
 
 def freshness(canonical: DataFrame, derived: DataFrame) -> DataFrame:
     """Sequence watermarks of log and projection, the lag, and the state."""
-    a = canonical.agg(F.max("sequence").alias("canonical_sequence"), F.count(F.lit(1)).alias("canonical_rows"))
-    b = derived.agg(F.max("sequence").alias("derived_sequence"), F.count(F.lit(1)).alias("derived_rows"))
+    both = canonical.select("sequence", F.lit(True).alias("log")).unionByName(derived.select("sequence", F.lit(False).alias("log")))
+    last = lambda log: F.max(F.when(F.col("log") == log, F.col("sequence")))
+    size = lambda log: F.count(F.when(F.col("log") == log, 1))
+    seen = both.agg(last(True).alias("canonical_sequence"), size(True).alias("canonical_rows"), last(False).alias("derived_sequence"), size(False).alias("derived_rows"))
     lag = F.coalesce("canonical_sequence", F.lit(-1)) - F.coalesce("derived_sequence", F.lit(-1))
     state = F.when((F.col("lag") == 0) & (F.col("canonical_rows") == F.col("derived_rows")), "CURRENT").when(F.col("derived_rows") == 0, "UNAVAILABLE").otherwise("PENDING")
-    return a.join(F.broadcast(b)).withColumn("lag", lag).withColumn("state", state)  # one row each
+    return seen.withColumn("lag", lag).withColumn("state", state)
 
 
 def admit(state: str, mode: str) -> bool:

@@ -104,6 +104,25 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, regexp_matches(role || chr(10) || text, '\[/?INST\]|</?s>|<</?SYS>>') AS escaped FROM turns
+), sized AS (
+  SELECT *, length('[INST]=[/INST]</s>') + length(role) + length(text)
+    + CASE WHEN escaped THEN length(role || text) - length(replace(role || text, chr(92), '')) + len(regexp_extract_all(role || chr(10) || text, '\[/?INST\]|</?s>|<</?SYS>>')) ELSE 0 END AS chars
+  FROM marked
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_chat_format": OP7_SQL,
     "op6_line_dedup": OP6_SQL,
 }

@@ -138,7 +138,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store = LineStore(spark, min_docs)
     for batch in range(len(set(cuts)) + 1):  # from the largest ids down
         store.add(lines.where(F.col("batch") == batch))
-    heavy = store.totals().where(F.col("docs") >= min_docs)
+    # Written, so that the join below is between two plain shuffles and hot lines can be split.
+    heavy = materialise(store.totals().where(F.col("docs") >= min_docs), "heavy")
     lost = lines.join(heavy, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("largest")))
     return lost.groupBy("doc_id", "uid").agg(F.flatten(F.collect_set("places")).alias("drop"))
 

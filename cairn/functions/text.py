@@ -125,3 +125,9 @@ def link_list(c: Column) -> Column:
     """Ids of a JSON list or a comma list: trimmed, distinct, none empty."""
     items = F.coalesce(F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")), F.split(c, ","))
     return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def safe_reference(c: Column) -> Column:
+    """References that name no absolute path, climb out of a folder, or carry a secret."""
+    path = c.rlike(r"^([/\\~]|[A-Za-z]:)") | c.contains("..") | c.contains("\\")
+    return c.isNotNull() & (F.trim(c) != "") & ~path & secret_rule(c).isNull()

@@ -238,3 +238,21 @@ def owners(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (profile, project) owners of two tables."""
     pair = ["profile_id", "project_id"]
     return units.select(*pair).distinct().union(edges.select(*pair).distinct()).distinct()
+
+
+def authorize_writes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Write requests for one target each: by the base policy, by a grant, or denied.
+
+    ``requests`` has ``request_id, requester, target_type, target_id``; ``outcomes``
+    comes from ``write_grants``.
+    """
+    told = requests.join(outcomes.withColumnRenamed("subject_profile", "requester"), ["requester", "target_type", "target_id"], "left")
+    own = (F.col("target_type") == "profile") & (F.col("target_id") == F.col("requester"))
+    reason = (
+        F.when(F.col("requester").isNull(), "deny_unbound_protected_access")
+        .when(own, "allow_local_write")
+        .when(F.col("outcome") == "granted", "allow_explicit_write_grant")
+        .when(F.col("outcome") == "conflict", "deny_policy_conflict")
+        .otherwise("deny_cross_profile_write")
+    )
+    return told.select("request_id", reason.alias("reason"), reason.startswith("allow").alias("allow"))

@@ -109,3 +109,32 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
 def active_conflicts(records: DataFrame, key: list[str]) -> DataFrame:
     """Keys with more than one active record, which the model forbids."""
     return records.where(F.col("lifecycle_status") == "active").groupBy(*key).agg(F.count(F.lit(1)).alias("n_active")).where("n_active > 1")
+
+
+def charters(ops: DataFrame, order: list[str], ident: str) -> DataFrame:
+    """Every create or update is a new version; the last one of a project is active."""
+    chain = Window.partitionBy("project_id").orderBy(*order)
+    return ops.withColumns({
+        "version": F.row_number().over(chain).cast("long"),
+        "supersedes": F.lag(ident).over(chain),
+        "lifecycle_status": F.when(F.lead(ident).over(chain).isNull(), "active").otherwise("superseded"),
+    })
+
+
+def partial_updates(ops: DataFrame, key: str, position: str, fields: list[str], op: str = "op") -> DataFrame:
+    """Transitions that carry only some fields: each field's last value, up to a deletion.
+
+    Deletion is final: what comes after it changes nothing.  Two grouped passes
+    that pre-aggregate, no per-key log.
+    """
+    ends = ops.where(F.col(op) == "delete").groupBy(key).agg(F.min(position).alias("__end"))
+    live = ops.join(ends, key, "left").where(F.col("__end").isNull() | (F.col(position) <= F.col("__end")))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(c) for c in fields]
+    return live.groupBy(key).agg(*last, F.count(F.lit(1)).alias("n_ops"), F.max(F.col("__end").isNotNull()).alias("deleted"))
+
+
+def registered_artifacts(refs: DataFrame, registry: DataFrame, position: str) -> tuple[DataFrame, DataFrame]:
+    """The last reference of each artifact that the registry knows, and the unknown ones."""
+    known = refs.join(registry.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    unknown = refs.join(registry.select("artifact_id").distinct(), "artifact_id", "left_anti")
+    return first_by(known, ["artifact_id"], [F.desc(position)]), unknown.select("artifact_id").distinct()

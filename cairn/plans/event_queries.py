@@ -176,3 +176,19 @@ def graph_scope_triples(spark, sf):
 def space_owners(spark, sf):
     docs = V.table(spark, sf, "documents").select(F.col("source").alias("profile_id"), F.col("lang").alias("project_id"))
     return A.owners(V.events(spark, sf), docs)
+
+
+@query("""
+SELECT request_id, reason, reason LIKE 'allow%' AS allow FROM (
+  SELECT q.request_id, CASE WHEN q.requester IS NULL THEN 'deny_unbound_protected_access' WHEN q.target_type = 'profile' AND q.target_id = q.requester THEN 'allow_local_write'
+    WHEN n > 1 THEN 'deny_policy_conflict' WHEN n = 1 AND ref IN ('r0', 'r2', 'r4', 'r6', 'r8') THEN 'allow_explicit_write_grant' ELSE 'deny_cross_profile_write' END AS reason
+  FROM (SELECT request_id, requester, CASE WHEN request_id % 2 = 0 THEN 'profile' ELSE 'project' END AS target_type, CASE WHEN request_id % 2 = 0 THEN 'p' || (request_id % 16 // 2) ELSE 'j' || (request_id % 5) END AS target_id FROM v_requests) q
+  LEFT JOIN (SELECT subject_profile, target_type, target_id, count(*) AS n, min(verification_ref) AS ref FROM v_active WHERE operation = 'WRITE' GROUP BY ALL) g
+    ON g.subject_profile = q.requester AND g.target_type = q.target_type AND g.target_id = q.target_id)
+""", V.GRANTS, ACTIVE, V.REQUESTS)
+def write_authorization(spark, sf):
+    r = F.col("request_id")
+    asks = V.requests(spark, sf).select("request_id", "requester", F.when(r % 2 == 0, "profile").otherwise("project").alias("target_type"), F.when(r % 2 == 0, F.concat(F.lit("p"), F.floor(r % 16 / 2).cast("string"))).otherwise(F.concat(F.lit("j"), (r % 5).cast("string"))).alias("target_id"))
+    k = F.col("s_suppkey") % 10
+    checks = V.table(spark, sf, "supplier").select(F.concat(F.lit("r"), k.cast("string")).alias("verification_id"), F.when(k % 2 == 0, "verified").otherwise("none").alias("verification_status")).distinct()
+    return A.authorize_writes(asks, A.write_grants(V.grants(spark, sf), checks))

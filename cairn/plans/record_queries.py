@@ -289,3 +289,45 @@ def asof_valid(spark, sf):
 @query("SELECT resource_type, resource_id FROM v_temporal WHERE coalesce(effective_at, valid_from) >= '1996-01-01' AND coalesce(effective_at, valid_from) < '1996-02-01'", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
 def temporal_window(spark, sf):
     return _temporal(spark, sf).where(T.within("valid", "1996-01-01", "1996-02-01")).select("resource_type", "resource_id")
+
+
+# ------------------------------------------------- charters, requirements, artifacts
+
+
+@query("SELECT project_id, decision_id, row_number() OVER w AS version, lag(decision_id) OVER w AS supersedes, CASE WHEN lead(decision_id) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS lifecycle_status FROM v_decisions WHERE decision_key % 50 = 0 WINDOW w AS (PARTITION BY project_id ORDER BY effective_at, decision_id)", V.DECISIONS)
+def charter_versions(spark, sf):
+    """One customer in fifty speaks for its nation's charter."""
+    ops = V.decisions(spark, sf).where("decision_key % 50 = 0")
+    return R.charters(ops, ["effective_at", "decision_id"], "decision_id").select("project_id", "decision_id", "version", "supersedes", "lifecycle_status")
+
+
+@query("""SELECT subject_id, arg_max(state, pos) FILTER (WHERE state IS NOT NULL) AS state, arg_max(statement, pos) FILTER (WHERE statement IS NOT NULL) AS statement, count(*) AS n_ops, bool_or(gone IS NOT NULL) AS deleted
+  FROM (SELECT v.*, min(CASE WHEN quantity = 50 THEN pos END) OVER (PARTITION BY subject_id) AS gone FROM (
+    SELECT subject_id, quantity, timestamp || verification_id AS pos, CASE WHEN quantity % 3 <> 0 THEN verification_status END AS state, CASE WHEN quantity % 4 = 0 THEN 'q' || quantity END AS statement FROM v_verifications) v)
+  WHERE gone IS NULL OR pos <= gone GROUP BY subject_id""", V.VERIFICATIONS)
+def requirements_current(spark, sf):
+    q = F.col("quantity")
+    ops = V.verifications(spark, sf).select("subject_id", F.concat("timestamp", "verification_id").alias("pos"), F.when(q == 50, "delete").otherwise("transition").alias("op"), F.when(q % 3 != 0, F.col("verification_status")).alias("state"), F.when(q % 4 == 0, F.concat(F.lit("q"), q.cast("string"))).alias("statement"))
+    return R.partial_updates(ops, "subject_id", "pos", ["state", "statement"])
+
+
+@query("SELECT artifact_id, arg_max(verification_id, verification_id) AS verification_id FROM (SELECT supplier_key AS artifact_id, verification_id FROM v_verifications) WHERE artifact_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0) GROUP BY artifact_id", V.VERIFICATIONS)
+def artifacts_registered(spark, sf):
+    refs = V.verifications(spark, sf).select(F.col("supplier_key").alias("artifact_id"), "verification_id")
+    registry = V.table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("artifact_id"))
+    return R.registered_artifacts(refs, registry, "verification_id")[0]
+
+
+@query("SELECT artifact_ref, n FROM (SELECT CASE p_size % 6 WHEN 0 THEN '/etc/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN 'C:x' WHEN 3 THEN 'password=x' WHEN 4 THEN 'docs/' || p_brand ELSE '' END AS artifact_ref, count(*) AS n FROM part GROUP BY 1) WHERE artifact_ref LIKE 'docs/%'")
+def safe_artifact_refs(spark, sf):
+    from cairn.functions.text import safe_reference
+
+    s = F.col("p_size") % 6
+    ref = F.when(s == 0, "/etc/x").when(s == 1, "a/../b").when(s == 2, "C:x").when(s == 3, "password=x").when(s == 4, F.concat(F.lit("docs/"), "p_brand")).otherwise("")
+    return V.table(spark, sf, "part").select(ref.alias("artifact_ref")).where(safe_reference(F.col("artifact_ref"))).groupBy("artifact_ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT e.resource_type, e.resource_id, t.valid_until, coalesce(t.valid_from <= '1996-06-30T00:00:00.000000Z', true) AND coalesce(t.valid_until > '1996-06-30T00:00:00.000000Z', true) AND NOT (t.valid_from IS NULL AND t.valid_until IS NULL) AS holds FROM (SELECT 'verification' AS resource_type, verification_id AS resource_id FROM v_verifications WHERE quantity = 7) e LEFT JOIN v_temporal t ON t.resource_type = e.resource_type AND t.resource_id = e.resource_id", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
+def temporal_annotation(spark, sf):
+    items = V.verifications(spark, sf).where("quantity = 7").select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
+    return T.annotate(items, _temporal(spark, sf), "1996-06-30T00:00:00.000000Z").select("resource_type", "resource_id", "valid_until", "holds")

@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_root = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = points.join(linked.join(by_root, "component").select("fp", "component_id", "component"), "fp", "left")
     labels = labels.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "uid", "root")
+    # Written, so that the join is between two plain shuffles and a hot fingerprint can be split.
+    return prints.join(materialise(labels, "labels"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "uid", "root")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -35,7 +35,7 @@ CLOSING_ID = 1
 #: Pieces that are packed together; bounds a task's memory.
 SHARD = 131_072
 #: Entries kept by a worker's table of chunks.
-TABLE_LIMIT = 600_000
+TABLE_LIMIT = 500_000
 
 
 class CapacityTree:
@@ -100,8 +100,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 class IdBytes:
     """A text's ids as little-endian unsigned 32-bit numbers, chunk by chunk.
 
-    The vocabulary's own model encodes each distinct word once; tables of chunks
-    and of words keep the bytes.
+    The vocabulary's own model encodes each distinct word; a table keeps the bytes.
     """
 
     def __init__(self, path: str, table_limit: int = TABLE_LIMIT):
@@ -111,21 +110,14 @@ class IdBytes:
         self.model = tokenizer.model
         self.special = {x: struct.pack("<I", tokenizer.token_to_id(x)) for x in words.SPECIAL}
         self.letters = dict(enumerate(words.byte_letters()))
-        self.by_word = words.Bounded(self._word, table_limit)
-        self.by_chunk = words.Bounded(self._chunk, table_limit)
+        self.table = words.ChunkTable(self._word, b"".join, self.special, table_limit)
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def _chunk(self, chunk: str) -> bytes:
-        parts = []
-        for at, part in enumerate(words.special_parts(chunk)):
-            parts += [self.special[part]] if at % 2 else map(self.by_word.__getitem__, words.pieces(part))
-        return b"".join(parts)
-
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.by_chunk.__getitem__, words.chunks(text))) if text else b""
+        return b"".join(map(self.table.__getitem__, words.chunks(text))) if text else b""
 
 
 _encoders: dict[str, IdBytes] = {}

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from cairn.llm import words
 
 WINDOW = 2048
-#: Entries kept by a worker's tables of chunks and of words.
-TABLE_LIMIT = 700_000
+#: Entries kept by a worker's table of chunks.
+TABLE_LIMIT = 500_000
 
 
 class MergeCounter:
@@ -31,17 +31,10 @@ class MergeCounter:
     def __init__(self, path: str, table_limit: int = TABLE_LIMIT):
         self.ranks = words.load_merges(path)
         self.letters = words.byte_letters()
-        self.by_word = words.Bounded(self._word, table_limit)
-        self.by_chunk = words.Bounded(self._chunk, table_limit)
+        self.table = words.ChunkTable(self._word, sum, dict.fromkeys(words.SPECIAL, 1), table_limit)
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.by_chunk.__getitem__, words.chunks(text))) if text else 0
-
-    def _chunk(self, chunk: str) -> int:
-        total = 0
-        for at, part in enumerate(words.special_parts(chunk)):
-            total += 1 if at % 2 else sum(map(self.by_word.__getitem__, words.pieces(part)))
-        return total
+        return sum(map(self.table.__getitem__, words.chunks(text))) if text else 0
 
     def _word(self, word: str) -> int:
         symbols = [self.letters[b] for b in word.encode("utf-8")]

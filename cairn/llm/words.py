@@ -50,19 +50,41 @@ def special_parts(chunk: str) -> list[str]:
     return _SPECIAL_SPLIT.split(chunk) if "<|" in chunk else [chunk]
 
 
-class Bounded(dict):
-    """A table filled by ``fill(key)`` that empties itself beyond ``limit`` keys."""
+class ChunkTable(dict):
+    """What every chunk gives, filled as chunks come and emptied beyond ``limit``.
 
-    def __init__(self, fill, limit: int):
+    ``word`` gives a pre-token's value, ``total`` sums up a chunk's values, and
+    ``special`` holds those of the special strings.  A pre-token is a chunk of its
+    own, so words and chunks share one table.
+    """
+
+    def __init__(self, word, total, special: dict, limit: int):
         super().__init__()
-        self.fill, self.limit = fill, limit
+        self.word, self.total, self.special, self.limit = word, total, special, limit
 
-    def __missing__(self, key):
+    def __missing__(self, chunk: str):
         if len(self) >= self.limit:
             self.clear()
-        value = self[key] = self.fill(key)
+        if chunk.isalpha() and chunk.islower() and unicodedata.is_normalized("NFC", chunk):
+            value = self.word(chunk)
+        else:
+            value = self.total(self._parts(chunk))
+        self[chunk] = value
         return value
 
+    def _parts(self, chunk: str) -> list:
+        found = []
+        for at, part in enumerate(special_parts(chunk)):
+            if at % 2:
+                found.append(self.special[part])
+                continue
+            for piece in pieces(part):
+                value = self.get(piece)
+                if value is None:
+                    value = self[piece] = self.word(piece)
+                found.append(value)
+        return found
+
 
 def load_merges(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:

@@ -61,10 +61,9 @@ def keyword_enrichment(units: DataFrame, ident: str = "unit", body: str = "text"
 
     Units that hold a secret have none.
     """
-    safe = units.where(X.secret_rule(F.col(body)).isNull()).select(F.col(ident).alias("unit"), F.posexplode(X.keywords(F.col(body))).alias("pos", "term"))
-    follow = F.lead("term").over(Window.partitionBy("unit").orderBy("pos"))
-    pairs = safe.select("unit", F.concat_ws(" ", "term", follow).alias("term"), follow.alias("next")).where(F.col("next").isNotNull()).select("unit", "term")
-    counts = safe.select("unit", "term").unionByName(pairs).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
+    safe = units.where(X.secret_rule(F.col(body)).isNull()).select(F.col(ident).alias("unit"), X.keywords(F.col(body)).alias("kept"))
+    pairs = F.zip_with(F.slice("kept", F.lit(1), F.greatest(F.size("kept") - 1, F.lit(0))), F.slice("kept", F.lit(2), F.greatest(F.size("kept") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    counts = safe.select("unit", F.explode(F.concat("kept", pairs)).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("n"), "term"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
     return best.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("unit")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -255,13 +255,23 @@ def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column
     semantic adapter, if any, is added to the lexical one.
     """
     words = corpus_words(query)
-    terms = units.withColumn("terms", X.tokens(F.col("text")))
+    if not words:
+        return units.withColumn("score", F.lit(0.0)).limit(0)
+    low = F.lower(F.col("text"))
+    begins = [low.contains(runs[0].lower()) for w in words if (runs := _TOKEN.findall(w))]  # cheap, and true of every match
+    some = begins[0] if begins else F.lit(False)
+    for b in begins[1:]:
+        some = some | b
+    terms = units.where(some).withColumn("terms", X.tokens(F.col("text")))
     found = terms.where(corpus_match(F.col("terms"), words, every=False)).withColumn("every", corpus_match(F.col("terms"), words))
-    kept = found.where(F.col("every") | ~found.agg(F.max("every")).scalar())
     score = X.lexical_score(F.col("text"), words)
     total = F.round(score + semantic, 6) if semantic is not None else F.round(score, 6)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return kept.withColumn("score", total).orderBy(F.desc("score"), blank("profile_id"), blank("project_id"), blank("source_ref"), "location_id", "line_no").limit(limit)
+    order = [F.desc("score"), blank("profile_id"), blank("project_id"), blank("source_ref"), "location_id", "line_no"]
+    top = found.withColumn("score", total).orderBy(F.desc("every"), *order).limit(limit)
+    # Units that hold every word come first, so the page tells whether there are any.
+    best = top.withColumn("any_whole", F.max("every").over(Window.partitionBy(F.lit(1))))
+    return best.where(F.col("every") | ~F.col("any_whole")).orderBy(*order)
 
 
 def snippet(text: Column, terms: list[str], size: int = 8) -> Column:

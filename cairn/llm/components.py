@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise
+from cairn.llm._common import discard, scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.unionByName(own).where("u <> v").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, str]:
+    path = scratch(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
 def _digest(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -45,10 +51,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     null end is left out; no edges give no rows.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialise(now, "edges")
+    now, path = _written(now)
     seen = _digest(now)
     while True:
-        now = materialise(_small_star(_large_star(now)), "edges")
+        before = path
+        now, path = _written(_small_star(_large_star(now)))
+        discard(now.sparkSession, before)
         if (digest := _digest(now)) == seen:
             break
         seen = digest

@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Domains of the digests that make ids.
+EDGE_DOMAIN, ENTITY_DOMAIN = "zm8.graph_edge", "zm8.entity"
+
+
 def json_text(c: Column) -> Column:
     """A JSON string literal in ASCII; every other character is escaped."""
     def quote(s):
@@ -48,8 +52,8 @@ def unit_id(source_ref: Column, location_id: Column, ascii_only: bool = False) -
 
 
 def edge_id(edge: dict[str, Column], ascii_only: bool = False) -> Column:
-    return short_id("edg_", "zm8.graph_edge", canonical_object(edge, ascii_only))
+    return short_id("edg_", EDGE_DOMAIN, canonical_object(edge, ascii_only))
 
 
 def entity_id(kind: Column, key: Column, ascii_only: bool = False) -> Column:
-    return short_id("ent_", "zm8.entity", canonical_object({"entity_type": kind, "key": key}, ascii_only))
+    return short_id("ent_", ENTITY_DOMAIN, canonical_object({"entity_type": kind, "key": key}, ascii_only))

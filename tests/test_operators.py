@@ -243,3 +243,12 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     columns = ["eid", "content_hash", "lifecycle"]
     assert table_digest(out, columns).collect() == table_digest(P.project(ev), columns).collect()
     assert P.freshness(ev, out).first()["state"] == "CURRENT" and P.admit("PENDING", "allow_stale") and not P.admit("PENDING", "require_current")
+
+
+def test_scope_and_filters_reach_the_scan(spark, sf, tmp_path, capsys):
+    V.events(spark, sf).write.parquet(str(tmp_path / "events"))
+    ev = spark.read.parquet(str(tmp_path / "events"))
+    E.query(ev, 20, secured=A.Scope(profiles=("p3",)).predicate(), event_type="decision", created_from="2024-01-02").select("eid").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(event_type,decision)" in plan and "GreaterThanOrEqual(created_at,2024-01-02)" in plan and "profile_id" in plan
+    assert "content" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

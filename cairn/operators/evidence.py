@@ -182,3 +182,15 @@ def serialize(items: DataFrame) -> DataFrame:
     """One escaped text line for each selected item, in order."""
     line = F.concat(F.lit("["), F.col("role"), F.lit(":"), F.col("rank").cast("string"), F.lit("] "), X.escape_field(F.col("content")))
     return items.select("eid", "role", "rank", line.alias("line"))
+
+
+def fit_context(items: DataFrame, by: list[str], size: Column, budget: int) -> DataFrame:
+    """Chosen items that fit a text budget: supporting ones go first, then primary ones, from the tail.
+
+    A group keeps its first primary item whatever its size.
+    """
+    order = [F.when(F.col("role") == "primary", 0).otherwise(1), F.col("rank")]
+    seen = Window.partitionBy(*by).orderBy(*order)
+    sized = items.withColumn("size", size).withColumn("used", F.sum("size").over(seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = (F.row_number().over(seen) == 1) & (F.col("role") == "primary")
+    return sized.withColumn("first", first).where(F.col("first") | (F.col("used") <= budget)).drop("first")

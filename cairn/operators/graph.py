@@ -79,3 +79,10 @@ def named(edges: DataFrame) -> DataFrame:
 
 def distances(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.min("depth").alias("relation_distance"))
+
+
+def registry_row(df: DataFrame, name: str, columns: list[str], built: str = "published") -> DataFrame:
+    """One row that publishes a derived table: its name, size, digest and status."""
+    from cairn.operators.relational import table_digest
+
+    return table_digest(df, columns).select(F.lit(name).alias("index_name"), "n_rows", "digest", F.lit(built).alias("status"))

@@ -19,12 +19,17 @@ area = Area()
 query = area.query
 
 
-@query("""SELECT conv_id, turn, hook, event_type, source, CASE WHEN event_type IS NOT NULL THEN 'observed:' || hook || ':' || left(sha256(hook || chr(31) || conv_id || chr(31) || turn), 32) END AS event_id, CASE WHEN event_type IS NULL THEN 'unsupported_hook' END AS skip_reason
-  FROM (SELECT *, CASE hook WHEN 'user_message' THEN 'user_statement' WHEN 'assistant_message' THEN 'assistant_claim' END AS event_type, CASE hook WHEN 'user_message' THEN 'user' WHEN 'assistant_message' THEN 'assistant' END AS source
-    FROM (SELECT conv_id, turn, role || '_message' AS hook FROM conversations WHERE role IS NOT NULL))""")
+@query("""SELECT conv_id, turn, hook, CASE WHEN hook = 'unknown' THEN 'deferred' WHEN hook = 'pre_api_request' THEN 'conditional_fixture_required' ELSE 'mapped' END AS status,
+    CASE hook WHEN 'pre_llm_call' THEN 'user_statement' WHEN 'post_llm_call' THEN 'assistant_claim' WHEN 'on_session_start' THEN 'system_event' END AS event_type,
+    CASE WHEN hook IN ('pre_llm_call', 'post_llm_call') THEN 'llm_api_lifecycle' WHEN hook = 'on_session_start' THEN 'session_lifecycle' END AS event_class, 'host.' || hook AS event_source,
+    CASE WHEN hook IN ('pre_llm_call', 'post_llm_call') THEN 'observed:' || hook || ':' || left(sha256(hook || chr(0) || '{"session_id":"' || conv_id || '","turn_id":"' || turn || '"}'), 32)
+      WHEN hook = 'on_session_start' THEN 'observed:' || hook || ':' || left(sha256(hook || chr(0) || '{"session_id":"' || conv_id || '"}'), 32) END AS mapped_event_id
+  FROM (SELECT conv_id, turn, CASE WHEN turn % 8 = 7 THEN 'pre_api_request' WHEN turn % 8 = 6 THEN 'unknown' WHEN role = 'user' THEN 'pre_llm_call' WHEN role = 'assistant' THEN 'post_llm_call' ELSE 'on_session_start' END AS hook FROM conversations)""")
 def hook_mapping(spark, sf):
-    rows = V.table(spark, sf, "conversations").where("role IS NOT NULL").select("conv_id", "turn", F.concat("role", F.lit("_message")).alias("hook"))
-    return hooks.map_hooks(rows, "conv_id", "turn")
+    turn = F.col("turn") % 8
+    hook = F.when(turn == 7, "pre_api_request").when(turn == 6, "unknown").when(F.col("role") == "user", "pre_llm_call").when(F.col("role") == "assistant", "post_llm_call").otherwise("on_session_start")
+    rows = V.table(spark, sf, "conversations").select("conv_id", "turn", hook.alias("hook"), F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("string").alias("turn_id"))
+    return hooks.map_hooks(rows).drop("session_id", "turn_id")
 
 
 KEYS = ("password", "Api-Key", "my_oauth_token", "refresh_token", "Authorization", "ssh_private_key", "note", "client_secret")

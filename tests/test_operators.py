@@ -229,8 +229,11 @@ def test_files_and_hooks(spark, tmp_path):
     assert rows(files.inventory(spark, str(tmp_path)), "name", "kind") == [("a.txt", "txt"), ("b.txt", "txt"), ("c.pdf", "pdf")]
     assert [r["text"] for r in files.text_sources(spark, str(tmp_path)).collect()] == ["café\n"] * 2
     assert {r["status"] for r in files.pdf_units(spark, str(tmp_path)).collect()} <= {"parser_unavailable", "corrupt_source"}
-    mapped = hooks.map_hooks(spark.createDataFrame([("tool_result", "1"), ("gossip", "2")], "hook string, turn string"), "turn").collect()
-    assert mapped[0]["event_type"] == "tool_observation" and mapped[0]["event_id"].startswith("observed:tool_result:") and mapped[1]["skip_reason"] == "unsupported_hook"
+    calls = [("post_tool_call", "c1", None), ("gossip", "2", None), ("kanban_task_claimed", None, None), ("pre_llm_call", None, "own")]
+    mapped = hooks.map_hooks(spark.createDataFrame(calls, "hook string, tool_call_id string, event_id string")).collect()
+    assert mapped[0]["event_type"] == "tool_observation" and mapped[0]["mapped_event_id"].startswith("observed:post_tool_call:")
+    assert mapped[1]["status"] == "deferred" and mapped[1]["mapped_event_id"] is None
+    assert mapped[2]["mapped_event_id"].startswith("generated:kanban_task_claimed:") and mapped[3]["mapped_event_id"] == "own"
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

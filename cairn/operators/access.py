@@ -74,25 +74,25 @@ def decide(requests: DataFrame) -> DataFrame:
     own_only = c("profiles") == F.array(c("requester"))
     foreign = F.exists("profiles", lambda p: ~p.eqNullSafe(c("requester")))
     unbound = (
-        F.when(~nothing | write, "deny_unbound_protected_access")
-        .when(c("isolated") & c("include_global"), "deny_isolated_scope_escape")
-        .when(c("include_global") & ~c("isolated"), "allow_global_read")
-        .otherwise("deny_unbound_protected_access")
+        F.when(~nothing | write, "DENY_UNBOUND_PROTECTED")
+        .when(c("isolated") & c("include_global"), "DENY_ISOLATED_SCOPE_ESCAPE")
+        .when(c("include_global") & ~c("isolated"), "ALLOW_GLOBAL_READ")
+        .otherwise("DENY_UNBOUND_PROTECTED")
     )
     known = (
-        F.when(c("isolated") & nothing, "deny_isolated_scope_escape")
-        .when(c("isolated") & some("spaces") & ~some("profiles") & ~some("projects"), "deny_isolated_scope_escape")
-        .when(foreign & write, "deny_cross_profile_write")
-        .when(foreign, "deny_cross_profile_read")
-        .when(~own_only & some("projects"), "deny_cross_project")
-        .when(write & own_only, "allow_local_write")
-        .when(write, "deny_global_write")
-        .when(own_only, "allow_local_read")
-        .when(c("include_global") & ~c("isolated"), "allow_global_read")
-        .otherwise("allow_local_read")
+        F.when(c("isolated") & nothing, "DENY_ISOLATED_SCOPE_ESCAPE")
+        .when(c("isolated") & some("spaces") & ~some("profiles") & ~some("projects"), "DENY_ISOLATED_SCOPE_ESCAPE")
+        .when(foreign & write, "DENY_CROSS_PROFILE_WRITE")
+        .when(foreign, "DENY_CROSS_PROFILE_READ")
+        .when(~own_only & some("projects"), "DENY_CROSS_PROJECT")
+        .when(write & own_only, "ALLOW_LOCAL_WRITE")
+        .when(write, "DENY_GLOBAL_WRITE")
+        .when(own_only, "ALLOW_LOCAL_PROFILE_READ")
+        .when(c("include_global") & ~c("isolated"), "ALLOW_GLOBAL_READ")
+        .otherwise("ALLOW_LOCAL_PROFILE_READ")
     )
-    out = requests.withColumn("reason", F.when(~c("operation").isin(READ, WRITE), "deny_invalid_request").when(bound, known).otherwise(unbound))
-    return out.withColumn("allow", c("reason").startswith("allow"))
+    out = requests.withColumn("reason", F.when(~c("operation").isin(READ, WRITE), "DENY_INVALID_REQUEST").when(bound, known).otherwise(unbound))
+    return out.withColumn("allow", c("reason").startswith("ALLOW"))
 
 
 def evaluate(r: Request) -> tuple[bool, Scope]:
@@ -249,10 +249,10 @@ def authorize_writes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     told = requests.join(outcomes.withColumnRenamed("subject_profile", "requester"), ["requester", "target_type", "target_id"], "left")
     own = (F.col("target_type") == "profile") & (F.col("target_id") == F.col("requester"))
     reason = (
-        F.when(F.col("requester").isNull(), "deny_unbound_protected_access")
-        .when(own, "allow_local_write")
-        .when(F.col("outcome") == "granted", "allow_explicit_write_grant")
-        .when(F.col("outcome") == "conflict", "deny_policy_conflict")
-        .otherwise("deny_cross_profile_write")
+        F.when(F.col("requester").isNull(), "DENY_UNBOUND_PROTECTED")
+        .when(own, "ALLOW_LOCAL_WRITE")
+        .when(F.col("outcome") == "granted", "ALLOW_EXPLICIT_CROSS_PROFILE_WRITE")
+        .when(F.col("outcome") == "conflict", "DENY_POLICY_CONFLICT")
+        .otherwise("DENY_CROSS_PROFILE_WRITE")
     )
-    return told.select("request_id", reason.alias("reason"), reason.startswith("allow").alias("allow"))
+    return told.select("request_id", reason.alias("reason"), reason.startswith("ALLOW").alias("allow"))

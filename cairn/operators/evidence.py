@@ -28,7 +28,7 @@ def route(text: Column) -> tuple[Column, Column]:
     where, why = F.when(F.lit(False), ""), F.when(F.lit(False), "")
     for name, reason, pattern in V.ROUTES:
         where, why = where.when(t.rlike(pattern), name), why.when(t.rlike(pattern), reason)
-    return where.otherwise("no_memory"), why.otherwise("generic_standalone")
+    return where.otherwise("no_memory"), why.otherwise("GENERIC_STANDALONE")
 
 
 def scope_hints(text: Column, route_name: Column, project: Column, session: Column, profile: Column) -> Column:
@@ -38,23 +38,23 @@ def scope_hints(text: Column, route_name: Column, project: Column, session: Colu
     hint = lambda test, name: F.when(test, F.lit(name))
     hints = F.array(
         hint((route_name == "external_current") | says["external_current"], "freshness"),
-        hint((route_name == "global") | says["global"], "multi_scope"),
-        hint(route_name.isin("project", "external_current") | project.isNotNull(), "project"),
-        hint((route_name == "research") | says["research"], "research_source"),
-        hint((route_name == "session") | session.isNotNull() | says["session"], "session"),
-        hint((route_name == "user") | profile.isNotNull() | says["user"], "user_profile"),
+        hint((route_name == "global_memory") | says["global_memory"], "multi_scope"),
+        hint(route_name.isin("project_memory", "external_current") | project.isNotNull(), "project"),
+        hint((route_name == "research_memory") | says["research_memory"], "research_source"),
+        hint((route_name == "session_memory") | session.isNotNull() | says["session_memory"], "session"),
+        hint((route_name == "user_memory") | profile.isNotNull() | says["user_memory"], "user_profile"),
     )
     return F.when(route_name == "no_memory", F.array().cast("array<string>")).otherwise(F.array_compact(hints))
 
 
 def insufficient(route_name: Column, project: Column, session: Column, profile: Column, n_scopes: Column) -> Column:
-    return F.when(route_name == "project", project.isNull()).when(route_name == "user", profile.isNull()).when(route_name == "session", session.isNull()).when(route_name == "global", n_scopes < 2).otherwise(False)
+    return F.when(route_name == "project_memory", project.isNull()).when(route_name == "user_memory", profile.isNull()).when(route_name == "session_memory", session.isNull()).when(route_name == "global_memory", n_scopes < 2).otherwise(False)
 
 
 # ------------------------------------------------------------------ eligibility
 
 
-def eligibility(route_name: str = "user", ceiling: str = "private", keep_old: bool = True) -> dict[str, Column]:
+def eligibility(route_name: str = "user_memory", ceiling: str = "private", keep_old: bool = True) -> dict[str, Column]:
     """``reason`` and ``role`` (primary, supporting or null) of event candidates.
 
     Needs ``eid, resource_type, event_type, lifecycle, verification, sensitivity,
@@ -76,7 +76,7 @@ def eligibility(route_name: str = "user", ceiling: str = "private", keep_old: bo
     claim = c("event_type").isin("assistant_claim", "inference", "user_statement")
     primary = ((c("lifecycle") == "active") & verified) | c("event_type").isin("decision", "verified_state", "tool_observation") | (c("lifecycle") == "confirmed")
     primary = primary & ~old & ~c("lifecycle").isin("raw", "observed", "candidate") & ~claim
-    if route_name == "project":
+    if route_name == "project_memory":
         primary = primary | ((c("resource_type") == "state") & (c("lifecycle") == "active") & ~claim)
     role = F.when(reason == "eligible", F.when(primary, "primary").otherwise("supporting"))
     return {"reason": reason, "role": role}
@@ -113,11 +113,11 @@ def calibrate(items: DataFrame) -> DataFrame:
     c = F.col
     conflict = c("has_conflict") | (c("lifecycle") == "conflicted")
     excluded = (
-        F.when(c("scope_match") == "unauthorized", "unauthorized_scope")
-        .when(c("lifecycle") == "deleted", "lifecycle_ineligible")
-        .when(c("provenance_class") == "incomplete", "provenance_incomplete")
-        .when(c("temporal_validity") == "invalid", "temporal_invalid")
-        .when(c("relation_distance") > max(V.RELATION_VALUE), "relation_beyond_bounds")
+        F.when(c("scope_match") == "unauthorized", "excluded_unauthorized_scope")
+        .when(c("lifecycle") == "deleted", "excluded_lifecycle_ineligible")
+        .when(c("provenance_class") == "incomplete", "excluded_provenance_incomplete")
+        .when(c("temporal_validity") == "invalid", "excluded_temporal_invalid")
+        .when(c("relation_distance") > max(V.RELATION_VALUE), "excluded_relation_beyond_bounds")
     )
     strength = F.coalesce(_table(c("memory_type"), V.TYPE_STRENGTH), _table(F.coalesce(c("verification"), F.lit("none")), V.STATUS_STRENGTH))
     values = {

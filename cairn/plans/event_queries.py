@@ -102,19 +102,19 @@ def event_space_map(spark, sf):
 
 
 POLICY = """
-SELECT request_id, reason, reason LIKE 'allow%' AS allow FROM (
+SELECT request_id, reason, reason LIKE 'ALLOW%' AS allow FROM (
   SELECT *, CASE
     WHEN requester IS NULL THEN CASE
-      WHEN len(profiles) + len(projects) + len(spaces) > 0 OR operation = 'WRITE' THEN 'deny_unbound_protected_access'
-      WHEN isolated AND include_global THEN 'deny_isolated_scope_escape'
-      WHEN include_global AND NOT isolated THEN 'allow_global_read' ELSE 'deny_unbound_protected_access' END
-    WHEN isolated AND len(profiles) + len(projects) + len(spaces) = 0 THEN 'deny_isolated_scope_escape'
-    WHEN isolated AND len(spaces) > 0 AND len(profiles) + len(projects) = 0 THEN 'deny_isolated_scope_escape'
-    WHEN len(list_filter(profiles, lambda p: p <> requester)) > 0 THEN CASE operation WHEN 'WRITE' THEN 'deny_cross_profile_write' ELSE 'deny_cross_profile_read' END
-    WHEN NOT (len(profiles) = 1 AND profiles[1] = requester) AND len(projects) > 0 THEN 'deny_cross_project'
-    WHEN operation = 'WRITE' THEN CASE WHEN len(profiles) = 1 AND profiles[1] = requester THEN 'allow_local_write' ELSE 'deny_global_write' END
-    WHEN len(profiles) = 1 AND profiles[1] = requester THEN 'allow_local_read'
-    WHEN include_global AND NOT isolated THEN 'allow_global_read' ELSE 'allow_local_read' END AS reason
+      WHEN len(profiles) + len(projects) + len(spaces) > 0 OR operation = 'WRITE' THEN 'DENY_UNBOUND_PROTECTED'
+      WHEN isolated AND include_global THEN 'DENY_ISOLATED_SCOPE_ESCAPE'
+      WHEN include_global AND NOT isolated THEN 'ALLOW_GLOBAL_READ' ELSE 'DENY_UNBOUND_PROTECTED' END
+    WHEN isolated AND len(profiles) + len(projects) + len(spaces) = 0 THEN 'DENY_ISOLATED_SCOPE_ESCAPE'
+    WHEN isolated AND len(spaces) > 0 AND len(profiles) + len(projects) = 0 THEN 'DENY_ISOLATED_SCOPE_ESCAPE'
+    WHEN len(list_filter(profiles, lambda p: p <> requester)) > 0 THEN CASE operation WHEN 'WRITE' THEN 'DENY_CROSS_PROFILE_WRITE' ELSE 'DENY_CROSS_PROFILE_READ' END
+    WHEN NOT (len(profiles) = 1 AND profiles[1] = requester) AND len(projects) > 0 THEN 'DENY_CROSS_PROJECT'
+    WHEN operation = 'WRITE' THEN CASE WHEN len(profiles) = 1 AND profiles[1] = requester THEN 'ALLOW_LOCAL_WRITE' ELSE 'DENY_GLOBAL_WRITE' END
+    WHEN len(profiles) = 1 AND profiles[1] = requester THEN 'ALLOW_LOCAL_PROFILE_READ'
+    WHEN include_global AND NOT isolated THEN 'ALLOW_GLOBAL_READ' ELSE 'ALLOW_LOCAL_PROFILE_READ' END AS reason
   FROM v_requests)
 """
 
@@ -179,9 +179,9 @@ def space_owners(spark, sf):
 
 
 @query("""
-SELECT request_id, reason, reason LIKE 'allow%' AS allow FROM (
-  SELECT q.request_id, CASE WHEN q.requester IS NULL THEN 'deny_unbound_protected_access' WHEN q.target_type = 'profile' AND q.target_id = q.requester THEN 'allow_local_write'
-    WHEN n > 1 THEN 'deny_policy_conflict' WHEN n = 1 AND ref IN ('r0', 'r2', 'r4', 'r6', 'r8') THEN 'allow_explicit_write_grant' ELSE 'deny_cross_profile_write' END AS reason
+SELECT request_id, reason, reason LIKE 'ALLOW%' AS allow FROM (
+  SELECT q.request_id, CASE WHEN q.requester IS NULL THEN 'DENY_UNBOUND_PROTECTED' WHEN q.target_type = 'profile' AND q.target_id = q.requester THEN 'ALLOW_LOCAL_WRITE'
+    WHEN n > 1 THEN 'DENY_POLICY_CONFLICT' WHEN n = 1 AND ref IN ('r0', 'r2', 'r4', 'r6', 'r8') THEN 'ALLOW_EXPLICIT_CROSS_PROFILE_WRITE' ELSE 'DENY_CROSS_PROFILE_WRITE' END AS reason
   FROM (SELECT request_id, requester, CASE WHEN request_id % 2 = 0 THEN 'profile' ELSE 'project' END AS target_type, CASE WHEN request_id % 2 = 0 THEN 'p' || (request_id % 16 // 2) ELSE 'j' || (request_id % 5) END AS target_id FROM v_requests) q
   LEFT JOIN (SELECT subject_profile, target_type, target_id, count(*) AS n, min(verification_ref) AS ref FROM v_active WHERE operation = 'WRITE' GROUP BY ALL) g
     ON g.subject_profile = q.requester AND g.target_type = q.target_type AND g.target_id = q.target_id)

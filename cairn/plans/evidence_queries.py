@@ -30,7 +30,7 @@ def _like(name: str) -> str:
 
 
 ROUTE = "CASE " + " ".join(f"WHEN {_like(n)} THEN '{n}'" for n, _, _ in W.ROUTES) + " ELSE 'no_memory' END"
-ROUTED = f"v_routed AS (SELECT *, {ROUTE} AS route, CASE " + " ".join(f"WHEN {_like(n)} THEN '{r}'" for n, r, _ in W.ROUTES) + " ELSE 'generic_standalone' END AS reason FROM v_asks)"
+ROUTED = f"v_routed AS (SELECT *, {ROUTE} AS route, CASE " + " ".join(f"WHEN {_like(n)} THEN '{r}'" for n, r, _ in W.ROUTES) + " ELSE 'GENERIC_STANDALONE' END AS reason FROM v_asks)"
 
 
 def _asks(spark, sf):
@@ -49,10 +49,10 @@ def route_text(spark, sf):
 
 
 @query(f"""SELECT doc_id, CASE WHEN route = 'no_memory' THEN '' ELSE array_to_string(list_filter([
-    CASE WHEN route = 'external_current' OR {_like('external_current')} THEN 'freshness' END, CASE WHEN route = 'global' OR {_like('global')} THEN 'multi_scope' END,
-    CASE WHEN route IN ('project', 'external_current') OR project IS NOT NULL THEN 'project' END, CASE WHEN route = 'research' OR {_like('research')} THEN 'research_source' END,
-    CASE WHEN route = 'session' OR session IS NOT NULL OR {_like('session')} THEN 'session' END, CASE WHEN route = 'user' OR profile IS NOT NULL OR {_like('user')} THEN 'user_profile' END], lambda x: x IS NOT NULL), ',') END AS hints,
-  CASE route WHEN 'project' THEN project IS NULL WHEN 'user' THEN profile IS NULL WHEN 'session' THEN session IS NULL WHEN 'global' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED, ROUTED)
+    CASE WHEN route = 'external_current' OR {_like('external_current')} THEN 'freshness' END, CASE WHEN route = 'global_memory' OR {_like('global_memory')} THEN 'multi_scope' END,
+    CASE WHEN route IN ('project_memory', 'external_current') OR project IS NOT NULL THEN 'project' END, CASE WHEN route = 'research_memory' OR {_like('research_memory')} THEN 'research_source' END,
+    CASE WHEN route = 'session_memory' OR session IS NOT NULL OR {_like('session_memory')} THEN 'session' END, CASE WHEN route = 'user_memory' OR profile IS NOT NULL OR {_like('user_memory')} THEN 'user_profile' END], lambda x: x IS NOT NULL), ',') END AS hints,
+  CASE route WHEN 'project_memory' THEN project IS NULL WHEN 'user_memory' THEN profile IS NULL WHEN 'session_memory' THEN session IS NULL WHEN 'global_memory' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED, ROUTED)
 def scope_hints(spark, sf):
     c = F.col
     hints = D.scope_hints(c("ask"), c("route"), c("project"), c("session"), c("profile"))
@@ -75,7 +75,7 @@ def eligibility_roles(spark, sf):
     return _items(spark, sf).select("eid", "reason", "role")
 
 
-SCORED = """v_scored AS (SELECT *, CASE WHEN scope_match = 'unauthorized' THEN 'unauthorized_scope' WHEN lifecycle = 'deleted' THEN 'lifecycle_ineligible' WHEN sequence % 10 = 9 THEN 'relation_beyond_bounds' END AS excluded,
+SCORED = """v_scored AS (SELECT *, CASE WHEN scope_match = 'unauthorized' THEN 'excluded_unauthorized_scope' WHEN lifecycle = 'deleted' THEN 'excluded_lifecycle_ineligible' WHEN sequence % 10 = 9 THEN 'excluded_relation_beyond_bounds' END AS excluded,
     1.0::DOUBLE * CASE scope_match WHEN 'exact' THEN 1.0 WHEN 'composed' THEN 0.9 ELSE 0.8 END::DOUBLE * CASE event_type WHEN 'decision' THEN 0.9 WHEN 'tool_observation' THEN 0.9 WHEN 'user_statement' THEN 0.8
       ELSE CASE verification WHEN 'none' THEN 0.5 WHEN 'deterministic_verification' THEN 1.0 ELSE 0.9 END END::DOUBLE * CASE WHEN sequence % 2 = 0 THEN 1.0 ELSE 0.75 END::DOUBLE * CASE WHEN sequence % 5 = 0 THEN 1.0 ELSE 0.75 END::DOUBLE
       * 1.0::DOUBLE * CASE WHEN lifecycle = 'conflicted' THEN 0.5 ELSE 1.0 END::DOUBLE * CASE WHEN sequence % 10 = 1 THEN 0.9 WHEN sequence % 10 = 2 THEN 0.8 ELSE 1.0 END::DOUBLE AS product

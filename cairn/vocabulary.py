@@ -23,23 +23,23 @@ PROVENANCE_VALUE = {"complete": 1.0, "required_only": 0.75}
 TEMPORAL_VALUE = {"valid": 1.0, "unknown": 0.75}
 RELATION_VALUE = {0: 1.0, 1: 0.9, 2: 0.8}
 
-#: Words that never become keywords.
+# Words that never become keywords.
 STOPWORDS = (
     "the a an and or of to in on for with is are was were be by as at that this it its from into than then they them their we you he"
     " she his her but not no can will use used using which who what when where how all any"
 ).split()
 
-#: Routes in order of precedence, with the phrases that ask for them.
+# Routes in order of precedence, with the phrases that ask for them.
 ROUTES = (
-    ("external_current", "external_freshness_required", r"\b(latest|newest|up[ -]to[ -]date|current (version|price|status|market|state|external)|what is .* (now|right now)|as of now|live (status|state))\b"),
-    ("global", "explicit_multi_scope", r"\b(combine|across (profiles|projects|knowledge spaces)|multiple (profiles|knowledge spaces)|use (quant|engineering|both|all) .* (and|with) .* (knowledge|profile)|both profiles|all profiles|across all)\b"),
-    ("project", "explicit_project_context", r"\b(project|requirement|decision we made|for this project|the project|project state|what('| i)s (left|unfinished|remaining)|project plan)\b"),
-    ("session", "explicit_session_reference", r"\b(we just|we discussed|we decided earlier|the file we discussed|our last|our previous|previous (step|turn|message|conversation|session)|last (time|step|turn|session)|continue (from|where we left)|what (did|have) we (just )?(decide|discuss)|recent(ly)? (discussed|decided))\b"),
-    ("research", "explicit_research_source", r"\b(stored research|saved (document|corpus|source)|research (documents|corpus)|source material|use (the |our )?research|recall (the )?source|ingested (docs|knowledge)|my (notes|corpus)|saved knowledge)\b"),
-    ("user", "explicit_user_preference", r"\b(my (usual|preferred|typical)|my preference|preferred (style|format|workflow)|my (style|format|workflow|writing)|(usual|typical) (format|style)|how (do|would) i (usually|normally) like)\b"),
+    ("external_current", "EXTERNAL_FRESHNESS_REQUIRED", r"\b(latest|newest|up[ -]to[ -]date|current (version|price|status|market|state|external)|what is .* (now|right now)|as of now|live (status|state))\b"),
+    ("global_memory", "EXPLICIT_MULTI_SCOPE", r"\b(combine|across (profiles|projects|knowledge spaces)|multiple (profiles|knowledge spaces)|use (quant|engineering|both|all) .* (and|with) .* (knowledge|profile)|both profiles|all profiles|across all)\b"),
+    ("project_memory", "EXPLICIT_PROJECT_CONTEXT", r"\b(project|requirement|decision we made|for this project|the project|project state|what('| i)s (left|unfinished|remaining)|project plan)\b"),
+    ("session_memory", "EXPLICIT_SESSION_REFERENCE", r"\b(we just|we discussed|we decided earlier|the file we discussed|our last|our previous|previous (step|turn|message|conversation|session)|last (time|step|turn|session)|continue (from|where we left)|what (did|have) we (just )?(decide|discuss)|recent(ly)? (discussed|decided))\b"),
+    ("research_memory", "EXPLICIT_RESEARCH_SOURCE", r"\b(stored research|saved (document|corpus|source)|research (documents|corpus)|source material|use (the |our )?research|recall (the )?source|ingested (docs|knowledge)|my (notes|corpus)|saved knowledge)\b"),
+    ("user_memory", "EXPLICIT_USER_PREFERENCE", r"\b(my (usual|preferred|typical)|my preference|preferred (style|format|workflow)|my (style|format|workflow|writing)|(usual|typical) (format|style)|how (do|would) i (usually|normally) like)\b"),
 )
 
-#: Secrets: a rule's name and its pattern; the first two must span the whole text.
+# Secrets, a rule's name and its pattern; the first two must span the whole text.
 SECRET_RULES = (
     ("private_key_block", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     ("bearer_token", r"(?i)^\s*Bearer\s+\S+\s*$"),

@@ -216,7 +216,7 @@ def test_scores_multiply_in_order(spark):
     cases = [base, (*base[:5], "conflicted", False, 1, 0.5), ("unknown", "approval", *base[2:]), (*base[:2], "unauthorized", *base[3:]), (*base[:7], 3, None)]
     df = spark.createDataFrame(cases, "memory_type string, verification string, scope_match string, provenance_class string, temporal_validity string, lifecycle string, has_conflict boolean, relation_distance int, retrieval_relevance double")
     got = [(r["excluded"], r["score"] and round(r["score"], 6)) for r in D.calibrate(df).collect()]
-    assert got == [(None, 0.9), (None, 0.2025), (None, 1.0), ("unauthorized_scope", None), ("relation_beyond_bounds", None)]
+    assert got == [(None, 0.9), (None, 0.2025), (None, 1.0), ("excluded_unauthorized_scope", None), ("excluded_relation_beyond_bounds", None)]
 
 
 # ------------------------------------------------------------ sources and stream

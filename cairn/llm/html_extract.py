@@ -7,12 +7,13 @@ common subsequence, and shared lines are deleted as the site's furniture.
 
 Differencing alone cannot give right results: an article that stands at two
 addresses, or a passage that many articles quote, is shared but not furniture,
-and a menu that differs from page to page is furniture but not shared.  So the
-page's own marks come first: lines inside navigation, headers, footers, asides,
-forms, adverts, notices and reader comments are furniture whatever the partner
-holds, and lines inside an article or main element are text.  Only lines that no
-mark decides are deleted when shared; a partner that shares most of them is a
-copy of the page and decides nothing.
+and a menu that differs from page to page is furniture but not shared.  So every
+page is aligned, and the page's own marks confirm or veto what the alignment says:
+lines inside navigation, headers, footers, asides, forms, adverts, notices and
+reader comments are furniture whatever the partner holds, and lines inside an
+article or main element are text even if shared.  All other lines are deleted when
+shared and kept when not, on pages with an article too; a partner that shares most
+of the text and the undecided lines is a copy of the page and decides nothing.
 
 Hosts with many pages are dealt into buckets by hash, so no window holds more
 than about ``BUCKET`` pages.
@@ -192,20 +193,23 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
+def is_copy(kinds: list[int], sizes: list[int], shared: set[int]) -> bool:
+    """Whether the shared lines hold most of what the marks leave of a page."""
+    text = sum(n for kind, n in zip(kinds, sizes, strict=True) if kind != FURNITURE)
+    return sum(sizes[i] for i in shared if kinds[i] != FURNITURE) >= COPY_SHARE * text
+
+
 def main_text(lines: list[tuple[int, str]], hashes: list[int], partners: list[list[int] | None]) -> str:
-    if any(kind == MAIN for kind, _ in lines):
-        # The marks decide every line; what a partner shares of the others goes anyway.
-        return " ".join(line for kind, line in lines if kind == MAIN)
+    kinds, sizes = [kind for kind, _ in lines], [len(line) for _, line in lines]
     gone: set[int] = set()
-    undecided = sum(len(line) for kind, line in lines if kind == OPEN)
     for partner in partners:
         if partner is None:
             continue
         shared = shared_lines(hashes, partner)
-        if sum(len(lines[i][1]) for i in shared if lines[i][0] == OPEN) < COPY_SHARE * undecided:
+        if not is_copy(kinds, sizes, shared):
             gone = shared
             break
-    return " ".join(line for i, (kind, line) in enumerate(lines) if kind == OPEN and i not in gone)
+    return " ".join(line for i, (kind, line) in enumerate(lines) if kind == MAIN or (kind == OPEN and i not in gone))
 
 
 def _hash(line: str) -> int:

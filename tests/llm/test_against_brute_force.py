@@ -282,6 +282,13 @@ def test_html_deletes_what_neighbours_share(spark):
     assert {r["text"] for r in got} == {"Shop of the year one text Call us today"}
 
 
+def test_html_differencing_runs_beside_an_article(spark):
+    page = lambda i: f"<body><div>Shop of the year</div><div>Headline {i}</div><article><p>Quoted by all</p><p>Story {i} tells of things that no other one tells</p></article><div>Call us today</div></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Headline {i} Quoted by all Story {i} tells of things that no other one tells" for i in range(4)}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(10)
 

@@ -15,8 +15,12 @@ article or main element are text even if shared.  All other lines are deleted wh
 shared and kept when not, on pages with an article too; a partner that shares most
 of the text and the undecided lines is a copy of the page and decides nothing.
 
-Hosts with many pages are dealt into buckets by hash, so no window holds more
-than about ``BUCKET`` pages.
+Pages are dealt into ranges of host, path and id of about ``BUCKET`` pages, at most;
+bounds only decide where a page is worked on.  A first pass over the lines' hashes
+takes each range's edges (its outermost pages and, behind each, the next one that
+is no copy of it), and these are carried to the other ranges, so a page finds its
+nearest URLs on a host of any size.  Behind a copy the search goes on to the next
+page that is no copy of that one, on both sides, to the end of the host.
 
 Defined cases: a null or empty page has no text; a null URL pairs with other null
 URLs; repeated rows are pages of their own; an empty table gives an empty
@@ -27,16 +31,22 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import count
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET = 2_000
-#: Large hosts that are sent to every task at most; more are joined by a shuffle.
-MAX_BROADCAST = 100_000
+from cairn.llm._common import shuffle_width
+
+#: Pages of a range at most, and at least if there are enough tasks; both roughly.
+BUCKET, LEAST = 2_000, 256
+#: Keys that are sampled for each range bound.
+SAMPLE = 20
+#: Pages that are carried from an edge of a range, none a copy of the one before it.
+EDGE = 4
 #: A partner that shares this much of the undecided text is a copy.
 COPY_SHARE = 0.8
 
@@ -199,71 +209,144 @@ def is_copy(kinds: list[int], sizes: list[int], shared: set[int]) -> bool:
     return sum(sizes[i] for i in shared if kinds[i] != FURNITURE) >= COPY_SHARE * text
 
 
-def main_text(lines: list[tuple[int, str]], hashes: list[int], partners: list[list[int] | None]) -> str:
-    kinds, sizes = [kind for kind, _ in lines], [len(line) for _, line in lines]
-    gone: set[int] = set()
-    for partner in partners:
-        if partner is None:
-            continue
-        shared = shared_lines(hashes, partner)
-        if not is_copy(kinds, sizes, shared):
-            gone = shared
-            break
+def main_text(lines: list[tuple[int, str]], gone: set[int]) -> str:
     return " ".join(line for i, (kind, line) in enumerate(lines) if kind == MAIN or (kind == OPEN and i not in gone))
 
 
+def beyond_copies(pages: list[tuple], own: range, step: int) -> dict[int, tuple[int, set[int]]]:
+    """For each of ``own``, the nearest page of its host on one side that is no copy of it, and the lines shared with it.
+
+    ``pages`` are ``host, path, kinds, sizes, hashes`` in order; those outside
+    ``own`` are edges of other ranges.  Behind a copy the search goes on where
+    the copy's own search ended.
+    """
+    found: dict[int, tuple[int, set[int]]] = {}
+    ended: dict[int, int] = {}
+    for i in own if step < 0 else reversed(own):
+        host, _, kinds, sizes, hashes = pages[i]
+        j = i + step
+        while 0 <= j < len(pages) and pages[j][0] == host:
+            shared = shared_lines(hashes, pages[j][4])
+            if not is_copy(kinds, sizes, shared):
+                found[i] = j, shared
+                break
+            j = ended[j] if j in ended else j + step
+        ended[i] = j
+    return found
+
+
 def _hash(line: str) -> int:
     x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
     return x - (1 << 64) if x >> 63 else x
 
 
+def _id_key(v):
+    return (v is not None, 0 if v is None else v)
+
+
+def _common(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
+def _ordered(table: pa.Table) -> tuple[list[int], list[tuple]]:
+    """Row numbers in order of host, path and id, and the pages in that order."""
+    c = {name: table.column(name).to_pylist() for name in ("host", "path", "page_id", "kinds", "sizes", "hashes")}
+    order = sorted(range(table.num_rows), key=lambda i: (c["host"][i], c["path"][i], _id_key(c["page_id"][i])))
+    return order, [tuple(c[name][i] for name in ("host", "path", "kinds", "sizes", "hashes")) for i in order]
+
+
+def _edge(pages: list[tuple], step: int) -> list[tuple]:
+    """The page at one end, and behind each page the next that is no copy of it."""
+    at = len(pages) - 1 if step < 0 else 0
+    host, out = pages[at][0], []
+    while 0 <= at < len(pages) and pages[at][0] == host and len(out) < EDGE:
+        out.append(pages[at])
+        _, _, kinds, sizes, hashes = pages[at]
+        at += step
+        while 0 <= at < len(pages) and pages[at][0] == host and is_copy(kinds, sizes, shared_lines(hashes, pages[at][4])):
+            at += step
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bucket: int = BUCKET) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    spark = pages.sparkSession
+    text = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    host, path = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"), path.alias("path"))
     id_type = rows.schema["page_id"].dataType.simpleString()
 
-    def cut(batches):
-        for batch in batches:
-            kinds, lines, hashes = [], [], []
-            for page in batch.column(2):
-                found = blocks(page.as_py())
-                kinds.append([k for k, _ in found])
-                lines.append([x for _, x in found])
-                hashes.append([_hash(x) for _, x in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "kinds", "lines", "hashes"],
-            )
-
-    parsed = rows.mapInArrow(cut, f"page_id {id_type}, url string, kinds array<int>, lines array<string>, hashes array<long>")
-    url = F.coalesce("url", F.lit(""))
-    host, path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
-    placed = parsed.withColumns({"host": host, "path": path})
-    sizes = rows.select(host.alias("host")).groupBy("host").count().where(F.col("count") > bucket)
-    buckets = sizes.select(F.col("host").alias("h"), F.ceil(F.col("count") / bucket).cast("long").alias("buckets"))
-    few = buckets.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    placed = placed.join(F.broadcast(buckets) if few else buckets, F.col("host") == F.col("h"), "left")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("path", "page_id"), F.coalesce("buckets", F.lit(1))))
-    if not few:  # the join dealt the pages by host alone
-        placed = placed.repartition("host", "bucket")
-    order = Window.partitionBy("host", "bucket").orderBy("path", "page_id")
-    near = placed.select("page_id", "url", "path", "kinds", "lines", "hashes", *[f(c).over(order).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "hashes")])
-
-    def common(a: str, b: str | None) -> int:
-        if b is None:
-            return -1
-        n = min(len(a), len(b))
-        return next((i for i in range(n) if a[i] != b[i]), n)
-
-    def difference(batches):
-        for batch in batches:
-            c = {name: batch.column(name).to_pylist() for name in ("path", "kinds", "lines", "hashes", "before_path", "before_hashes", "after_path", "after_hashes")}
-            texts = []
-            for i in range(batch.num_rows):
-                partners = [c["before_hashes"][i], c["after_hashes"][i]]
-                if common(c["path"][i], c["after_path"][i]) > common(c["path"][i], c["before_path"][i]):
-                    partners.reverse()
-                texts.append(main_text(list(zip(c["kinds"][i], c["lines"][i], strict=True)), c["hashes"][i], partners))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return near.mapInArrow(difference, f"page_id {id_type}, url string, text string, n_chars long")
+    n = rows.count()
+    parts = max(1, -(-n // bucket), min(2 * shuffle_width(spark), n // min(LEAST, bucket)))
+    keys = rows.select("host", "path", "page_id")
+    if parts > 1 and n > SAMPLE * parts * 2:
+        keys = keys.sample(SAMPLE * parts / n, seed=1)
+    ranked = sorted((r["host"], r["path"], _id_key(r["page_id"])) for r in keys.collect()) if parts > 1 else []
+    bounds = [ranked[len(ranked) * k // parts] for k in range(1, parts)] if ranked else []
+
+    def cut(with_lines):
+        def run(batches):
+            turn = count()
+            for batch in batches:
+                c = {name: batch.column(name).to_pylist() for name in ("page_id", "html", "host", "path")}
+                part, kinds, lines, sizes, hashes = [], [], [], [], []
+                for i in range(batch.num_rows):
+                    key = (c["host"][i], c["path"][i], _id_key(c["page_id"][i]))
+                    low, high = bisect_left(bounds, key), bisect_right(bounds, key)
+                    part.append(low + next(turn) % (high - low + 1) if high > low else low)  # equal keys may fill several ranges
+                    found = blocks(c["html"][i])
+                    kinds.append([k for k, _ in found])
+                    lines.append([x for _, x in found])
+                    sizes.append([len(x) for _, x in found])
+                    hashes.append([_hash(x) for _, x in found])
+                columns = {"part": pa.array(part, pa.int32()), **{name: batch.column(name) for name in ("page_id", "host", "path")}, "kinds": pa.array(kinds, pa.list_(pa.int8())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "hashes": pa.array(hashes, pa.list_(pa.int64()))}
+                if with_lines:
+                    columns |= {"url": batch.column("url"), "lines": pa.array(lines, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        return run
+
+    light = f"part int, page_id {id_type}, host string, path string, kinds array<tinyint>, sizes array<int>, hashes array<long>"
+    page = "array<struct<host: string, path: string, kinds: array<tinyint>, sizes: array<int>, hashes: array<long>>>"
+    names = ("host", "path", "kinds", "sizes", "hashes")
+
+    def edges(table: pa.Table) -> pa.Table:
+        _, found = _ordered(table)
+        kind = pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("kinds", pa.list_(pa.int8())), ("sizes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
+        ends = [pa.array([[dict(zip(names, p, strict=True)) for p in _edge(found, step)]], kind) for step in (1, -1)]
+        return pa.table([table.column("part").slice(0, 1), *ends], names=["part", "first", "last"])
+
+    heads, tails = {}, {}
+    if bounds:
+        for r in rows.mapInArrow(cut(False), light).groupBy("part").applyInArrow(edges, f"part int, first {page}, last {page}").collect():
+            heads[r["part"]], tails[r["part"]] = ([tuple(p[name] for name in names) for p in r[end]] for end in ("first", "last"))
+
+    def carried(part: int, host: str, step: int) -> list[tuple]:
+        """The edges of the other ranges on one side that reach into ``host``, nearest first."""
+        out, ends, at = [], tails if step < 0 else heads, part + step
+        while 0 <= at < parts:
+            if at in ends:
+                if ends[at][0][0] != host:
+                    break
+                out += ends[at]
+            at += step
+        return out
+
+    def difference(table: pa.Table) -> pa.Table:
+        order, inside = _ordered(table)
+        part = table.column("part")[0].as_py()
+        before, after = carried(part, inside[0][0], -1), carried(part, inside[-1][0], 1)
+        around = [*reversed(before), *inside, *after]
+        own = range(len(before), len(before) + len(inside))
+        back, ahead = beyond_copies(around, own, -1), beyond_copies(around, own, 1)
+        lines, texts = table.column("lines"), []
+        for i, row in zip(own, order, strict=True):
+            sides = [side[i] for side in (back, ahead) if i in side]
+            nearest = max(sides, key=lambda s: _common(around[i][1], around[s[0]][1]), default=(None, set()))
+            texts.append(main_text(list(zip(around[i][2], lines[row].as_py(), strict=True)), nearest[1]))
+        chosen = table.take(pa.array(order, pa.int64()))
+        return pa.table([chosen.column("page_id"), chosen.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    parsed = rows.mapInArrow(cut(True), f"{light}, url string, lines array<string>")
+    return parsed.groupBy("part").applyInArrow(difference, f"page_id {id_type}, url string, text string, n_chars long")

@@ -289,6 +289,25 @@ def test_html_differencing_runs_beside_an_article(spark):
     assert got == {i: f"Headline {i} Quoted by all Story {i} tells of things that no other one tells" for i in range(4)}
 
 
+def test_html_nearest_pages_on_a_large_host(spark):
+    # Sections of two pages, each with its own unmarked menu, on one host of many ranges.
+    page = lambda menu, own: f"<body><div>{menu}</div><div>{own}</div></body>"
+    own = lambda i: f"Story {i} tells of things that no other page of this host tells"
+    rows = [(i, f"http://h/{i // 2:03d}/{i % 2}", page(f"Menu of section {i // 2}", own(i))) for i in range(120)]
+    for bucket in (7, 2_000):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bucket=bucket).collect()}
+        assert got == {i: own(i) for i in range(120)}
+
+
+def test_html_search_goes_on_behind_copies(spark):
+    page = lambda own: f"<body><div>Shop of the year</div><div>{own}</div></body>"
+    copy, other = "A long story that stands at many addresses of the host word for word", "Another long story of quite different things"
+    rows = [(i, f"http://h/a/{i:03d}", page(copy)) for i in range(60)] + [(99, "http://h/b", page(other))] + [(100 + i, None, page(copy)) for i in range(30)]
+    for bucket in (7, 2_000):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bucket=bucket).collect()}
+        assert got == {i: copy for i in range(60)} | {99: other} | {100 + i: "Shop of the year " + copy for i in range(30)}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(10)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.relational import first_by
+from cairn.scratch import written
 
 
 def supersede_chain(ops: DataFrame, key: list[str], order: list[str], ident: str, status: str) -> DataFrame:
@@ -112,13 +113,80 @@ def active_conflicts(records: DataFrame, key: list[str]) -> DataFrame:
 
 
 def charters(ops: DataFrame, order: list[str], ident: str) -> DataFrame:
-    """Every create or update is a new version; the last one of a project is active."""
-    chain = Window.partitionBy("project_id").orderBy(*order)
-    return ops.withColumns({
-        "version": F.row_number().over(chain).cast("long"),
-        "supersedes": F.lag(ident).over(chain),
-        "lifecycle_status": F.when(F.lead(ident).over(chain).isNull(), "active").otherwise("superseded"),
-    })
+    """Every create or update is a new version; the last one of a project is active.
+
+    A project's log is cut into ordered ranges; each range's count and outermost
+    rows are carried to its neighbours, so no task holds a whole project.
+    ``order`` tells every two operations of a project apart.
+    """
+    width = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(ops.repartitionByRange(width, "project_id", *order).withColumn("__range", F.spark_partition_id()), "charters")
+    chain = Window.partitionBy("project_id", "__range").orderBy(*order)
+    ends = ranged.groupBy("project_id", "__range").agg(F.count(F.lit(1)).alias("__n"), F.min_by(ident, F.struct(*order)).alias("__first"), F.max_by(ident, F.struct(*order)).alias("__last"))
+    along = Window.partitionBy("project_id").orderBy("__range")
+    carried = ends.select(
+        F.col("project_id").alias("__project"), F.col("__range").alias("__at"), F.lag("__last").over(along).alias("__before"), F.lead("__first").over(along).alias("__after"),
+        F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+    )
+    local = ranged.withColumns({"__row": F.row_number().over(chain), "__lag": F.lag(ident).over(chain), "__lead": F.lead(ident).over(chain)})
+    known = local.join(carried, (F.col("__range") == F.col("__at")) & F.col("project_id").eqNullSafe(F.col("__project")))
+    return known.select(
+        *ops.columns, (F.col("__offset") + F.col("__row")).cast("long").alias("version"), F.coalesce("__lag", "__before").alias("supersedes"),
+        F.when(F.coalesce("__lead", "__after").isNull(), "active").otherwise("superseded").alias("lifecycle_status"),
+    )
+
+
+CHARTER = "project_id string, charter_id string, position long, outcome string, version long, lifecycle_status string, state string, content string"
+
+
+def replay_charters(ops: DataFrame) -> DataFrame:
+    """The charter grammar in log order: each operation's outcome and its charter after it.
+
+    ``ops`` has ``project_id, position, op, charter_id, supersedes, version,
+    lifecycle_status, state, content``.  Outcomes are created, versioned,
+    transitioned, deleted, noop, conflict (a second active charter) and rejected.
+    A project's log passes in sorted batches; only its charters are kept.
+    """
+    columns = [c.split()[0] for c in CHARTER.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        project, now, active = object(), {}, set()
+        for batch in batches:
+            out = []
+            for r in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                if r["project_id"] != project:
+                    project, now, active = r["project_id"], {}, set()
+                ident, status = r["charter_id"], r["lifecycle_status"]
+                have, prior = now.get(ident), now.get(r["supersedes"])
+                clash = lambda *own: status == "active" and bool(active - set(own))  # noqa: E731, B023
+                new, outcome = {"version": 1 if r["version"] is None else int(r["version"]), "lifecycle_status": status, "state": r["state"], "content": r["content"]}, "rejected"
+                same = have is not None and all(have[f] == new[f] for f in ("lifecycle_status", "state", "content"))
+                if r["op"] == "create":
+                    outcome = ("noop" if same else "rejected") if have else "conflict" if clash() else "created"
+                elif r["op"] == "supersede" and prior:
+                    outcome = "noop" if have else "conflict" if clash(r["supersedes"]) else "versioned"
+                    if outcome == "versioned":
+                        prior["lifecycle_status"] = "superseded"
+                        active.discard(r["supersedes"])
+                elif r["op"] == "update" and have:
+                    outcome = "noop" if same else "conflict" if clash(ident) else "versioned"
+                    new["version"] = have["version"] + 1
+                elif r["op"] in ("transition", "delete") and have and (have["lifecycle_status"] != "deleted" or status == "deleted"):
+                    outcome = "conflict" if clash(ident) else "deleted" if r["op"] == "delete" else "transitioned"
+                    new = have | {"lifecycle_status": status, "state": r["state"]}
+                if outcome in ("created", "versioned", "transitioned", "deleted"):
+                    now[ident] = new
+                    (active.add if status == "active" else active.discard)(ident)
+                after = now.get(ident) or dict.fromkeys(("version", "lifecycle_status", "state", "content"))
+                out.append((project, ident, r["position"], outcome, *(after[f] for f in ("version", "lifecycle_status", "state", "content"))))
+            frame = pd.DataFrame(out, columns=columns)
+            frame["version"] = frame["version"].astype("Int64")
+            yield frame
+
+    log = ops.select("project_id", "position", "op", "charter_id", "supersedes", "version", "lifecycle_status", "state", "content")
+    return log.repartition("project_id").sortWithinPartitions("project_id", "position").mapInPandas(run, CHARTER)
 
 
 def partial_updates(ops: DataFrame, key: str, position: str, fields: list[str], op: str = "op") -> DataFrame:

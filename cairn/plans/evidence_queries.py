@@ -128,6 +128,11 @@ def conflict_groups(spark, sf):
     return D.conflict_groups(V.events(spark, sf).where("profile_id = 'p2'"), F.coalesce("trace_id", "eid"))
 
 
+@query("SELECT coalesce(trace_id, eid) AS conflict_key, count(*) AS n_items, count(DISTINCT lifecycle) AS n_lifecycles, bool_or(lifecycle = 'conflicted') AS any_conflicted, min(eid) AS first_item FROM v_events GROUP BY ALL HAVING count(*) > 1 AND (count(DISTINCT lifecycle) > 1 OR bool_or(lifecycle = 'conflicted'))", V.EVENTS)
+def conflict_groups_all(spark, sf):
+    return D.conflict_groups(V.events(spark, sf), F.coalesce("trace_id", "eid"))
+
+
 @query("SELECT eid, '[' || role || ':' || rank || '] ' || content AS line FROM (SELECT *, row_number() OVER (PARTITION BY session_id, role ORDER BY created_at, eid) AS rank FROM v_items WHERE role IS NOT NULL) WHERE rank <= CASE role WHEN 'primary' THEN 5 ELSE 3 END", V.EVENTS, ELIGIBLE)
 def evidence_lines(spark, sf):
     chosen = D.select_evidence(_items(spark, sf), ["session_id"], ["created_at", "eid"], F.lit(1).cast("long"))

@@ -301,6 +301,23 @@ def charter_versions(spark, sf):
     return R.charters(ops, ["effective_at", "decision_id"], "decision_id").select("project_id", "decision_id", "version", "supersedes", "lifecycle_status")
 
 
+@query("SELECT project_id, decision_id, row_number() OVER w AS version, lag(decision_id) OVER w AS supersedes, CASE WHEN lead(decision_id) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS lifecycle_status FROM v_decisions WINDOW w AS (PARTITION BY project_id ORDER BY effective_at, decision_id)", V.DECISIONS)
+def charter_versions_all(spark, sf):
+    """Every decision of a nation's customers is a version of its charter."""
+    return R.charters(V.decisions(spark, sf), ["effective_at", "decision_id"], "decision_id").select("project_id", "decision_id", "version", "supersedes", "lifecycle_status")
+
+
+@query()
+def charters_replayed(spark, sf):
+    """The whole charter grammar over all decisions, in the order of their numbers."""
+    n = F.substring("decision_id", 2, 20).cast("long")
+    d = V.decisions(spark, sf).withColumn("n", n)
+    op = F.when(n % 7 == 0, "delete").when(n % 5 == 0, "transition").when(n % 3 == 0, "update").otherwise("create")
+    status = F.when(n % 7 == 0, "deleted").otherwise(F.col("status"))
+    ops = d.select("project_id", F.col("n").alias("position"), op.alias("op"), F.concat(F.lit("h"), F.col("decision_key").cast("string")).alias("charter_id"), F.lit(None).cast("string").alias("supersedes"), F.lit(None).cast("long").alias("version"), status.alias("lifecycle_status"), F.lit(None).cast("string").alias("state"), F.col("statement").alias("content"))
+    return R.replay_charters(ops)
+
+
 @query("""SELECT subject_id, arg_max(state, pos) FILTER (WHERE state IS NOT NULL) AS state, arg_max(statement, pos) FILTER (WHERE statement IS NOT NULL) AS statement, count(*) AS n_ops, bool_or(gone IS NOT NULL) AS deleted
   FROM (SELECT v.*, min(CASE WHEN quantity = 50 THEN pos END) OVER (PARTITION BY subject_id) AS gone FROM (
     SELECT subject_id, quantity, timestamp || verification_id AS pos, CASE WHEN quantity % 3 <> 0 THEN verification_status END AS state, CASE WHEN quantity % 4 = 0 THEN 'q' || quantity END AS statement FROM v_verifications) v)
@@ -331,3 +348,9 @@ def safe_artifact_refs(spark, sf):
 def temporal_annotation(spark, sf):
     items = V.verifications(spark, sf).where("quantity = 7").select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
     return T.annotate(items, _temporal(spark, sf), "1996-06-30T00:00:00.000000Z").select("resource_type", "resource_id", "valid_until", "holds")
+
+
+@query("SELECT e.resource_type, e.resource_id, t.valid_until, coalesce(t.valid_from <= '1996-06-30T00:00:00.000000Z', true) AND coalesce(t.valid_until > '1996-06-30T00:00:00.000000Z', true) AND NOT (t.valid_from IS NULL AND t.valid_until IS NULL) AS holds FROM (SELECT 'verification' AS resource_type, verification_id AS resource_id FROM v_verifications) e LEFT JOIN v_temporal t ON t.resource_type = e.resource_type AND t.resource_id = e.resource_id", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
+def temporal_annotation_all(spark, sf):
+    items = V.verifications(spark, sf).select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
+    return T.annotate(items, _temporal(spark, sf), "1996-06-30T00:00:00.000000Z").select("resource_type", "resource_id", "valid_until", "holds")

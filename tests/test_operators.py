@@ -255,3 +255,27 @@ def test_scope_and_filters_reach_the_scan(spark, sf, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "EqualTo(event_type,decision)" in plan and "GreaterThanOrEqual(created_at,2024-01-02)" in plan and "profile_id" in plan
     assert "content" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_charters_read_every_decision(spark, sf):
+    from cairn import catalogue
+
+    every = V.decisions(spark, sf)
+    got = catalogue.QUERIES["charter_versions_all"](spark, sf)
+    assert got.count() == every.count() and got.where("lifecycle_status = 'active'").count() == every.select("project_id").distinct().count()
+    assert catalogue.QUERIES["charters_replayed"](spark, sf).count() == every.count()
+
+
+def test_charter_grammar(spark):
+    ops = [
+        ("create", "a", None, "active", "x", "created"), ("create", "a", None, "active", "x", "noop"), ("create", "a", None, "active", "y", "rejected"), ("create", "b", None, "active", "x", "conflict"),
+        ("update", "a", None, "active", "y", "versioned"), ("update", "c", None, "active", "y", "rejected"), ("supersede", "b", "z", "active", "x", "rejected"), ("supersede", "b", "a", "active", "x", "versioned"),
+        ("supersede", "b", "a", "active", "x", "noop"), ("transition", "a", None, "active", None, "conflict"), ("delete", "b", None, "deleted", None, "deleted"), ("transition", "b", None, "active", None, "rejected"),
+        ("transition", "a", None, "active", None, "transitioned"), ("merge", "a", None, "active", None, "rejected"),
+    ]
+    log = [(p, i, op, c, old, None, status, None, content) for p in ("p", "q", None) for i, (op, c, old, status, content, _) in enumerate(ops)]
+    df = spark.createDataFrame(log, "project_id string, position long, op string, charter_id string, supersedes string, version long, lifecycle_status string, state string, content string")
+    for p in ("p", "q", None):
+        got = R.replay_charters(df).where(F.col("project_id").eqNullSafe(p)).orderBy("position").collect()
+        assert [r["outcome"] for r in got] == [o[-1] for o in ops]
+        assert (got[-1]["version"], got[-1]["lifecycle_status"], got[-1]["content"]) == (2, "active", "y")

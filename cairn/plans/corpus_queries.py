@@ -121,6 +121,12 @@ def unit_content_hash(spark, sf):
     return C.identify_units(_ascii_units(spark, sf), ascii_only=True).select("location_id", "unit_id", "content_hash")
 
 
+@query()
+def unit_content_hash_all(spark, sf):
+    """Ids of all units; SQL cannot escape what is not printable ASCII, so a test compares with ``json`` and ``hashlib``."""
+    return C.identify_units(V.units(spark, sf)).select("location_id", "unit_id", "content_hash")
+
+
 DEDUP = "u_dedup AS (SELECT *, CASE WHEN first_value(location_id) OVER w <> location_id THEN first_value(location_id) OVER w END AS duplicate_of FROM v_units WINDOW w AS (PARTITION BY text, source_ref ORDER BY line_no))"
 
 

@@ -279,3 +279,16 @@ def test_charter_grammar(spark):
         got = R.replay_charters(df).where(F.col("project_id").eqNullSafe(p)).orderBy("position").collect()
         assert [r["outcome"] for r in got] == [o[-1] for o in ops]
         assert (got[-1]["version"], got[-1]["lifecycle_status"], got[-1]["content"]) == (2, "active", "y")
+
+
+def test_unit_ids_of_all_units(spark, tmp_path):
+    import hashlib
+
+    from cairn import catalogue
+
+    lines = ["plain words", 'quote " and \\ slash', "Éß 中文 🙂", "soft\u00adhyphen \u0007 bell", "last"]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["location_id"]: (r["unit_id"], r["content_hash"]) for r in catalogue.QUERIES["unit_content_hash_all"](spark, str(tmp_path)).collect()}
+    short = lambda prefix, fields: prefix + hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
+    at = [f"d1#L{i}" for i in range(1, len(lines) + 1)]
+    assert got == {a: (short("u_", {"source_ref": "d1", "location_id": a}), short("c_", {"text": t, "kind": "text"})) for a, t in zip(at, lines, strict=True)}

@@ -197,6 +197,20 @@ def redact_flat(spark, sf):
     return _spiced(spark, sf).select("doc_id", X.redact(F.col("body")).alias("body"))
 
 
+BODIES = "v_bodies AS (SELECT 'd' || doc_id AS item_id, text AS body FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)"
+
+
+@query(f"SELECT item_id, {RULE} AS rule, {RULE} IS NULL AS accepted FROM v_bodies", BODIES)
+def secret_gate_all(spark, sf):
+    """The whole text of every document and conversation turn."""
+    return C.secret_gate(V.bodies(spark, sf), "body").select("item_id", "rule", "accepted")
+
+
+@query(f"SELECT item_id, CASE WHEN {RULE} IS NOT NULL THEN '[REDACTED:' || {RULE} || ']' ELSE body END AS body FROM v_bodies", BODIES)
+def redact_flat_all(spark, sf):
+    return V.bodies(spark, sf).select("item_id", X.redact(F.col("body")).alias("body"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) < 500 THEN 'too_short' END AS reason FROM documents WHERE text IS NOT NULL")
 def extraction_quality(spark, sf):
     return C.quality_gate(V.table(spark, sf, "documents").where("text IS NOT NULL")).select("doc_id", "reason")

@@ -59,6 +59,33 @@ def scope_hints(spark, sf):
     return _asks(spark, sf).select("doc_id", F.array_join(hints, ",").alias("hints"), D.insufficient(c("route"), c("project"), c("session"), c("profile"), F.lit(0)).alias("insufficient"))
 
 
+ASKED_ALL = "v_asks AS (SELECT *, CASE WHEN number % 2 = 0 THEN 'j1' END AS project, CASE WHEN number % 3 = 0 THEN 's1' END AS session, CASE WHEN number % 5 = 0 THEN 'p1' END AS profile FROM (SELECT 'd' || doc_id AS item_id, doc_id AS number, text AS ask FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id, text FROM conversations))"
+
+
+def _asks_all(spark, sf):
+    n = F.col("number")
+    rows = V.bodies(spark, sf).select("item_id", F.col("body").alias("ask"), F.when(n % 2 == 0, "j1").alias("project"), F.when(n % 3 == 0, "s1").alias("session"), F.when(n % 5 == 0, "p1").alias("profile"))
+    name, why = D.route(F.col("ask"))
+    return rows.withColumns({"route": name, "reason": why})
+
+
+@query("SELECT item_id, route, reason FROM v_routed", ASKED_ALL, ROUTED)
+def route_text_all(spark, sf):
+    """The whole text of every document and conversation turn."""
+    return _asks_all(spark, sf).select("item_id", "route", "reason")
+
+
+@query(f"""SELECT item_id, CASE WHEN route = 'no_memory' THEN '' ELSE array_to_string(list_filter([
+    CASE WHEN route = 'external_current' OR {_like('external_current')} THEN 'freshness' END, CASE WHEN route = 'global_memory' OR {_like('global_memory')} THEN 'multi_scope' END,
+    CASE WHEN route IN ('project_memory', 'external_current') OR project IS NOT NULL THEN 'project' END, CASE WHEN route = 'research_memory' OR {_like('research_memory')} THEN 'research_source' END,
+    CASE WHEN route = 'session_memory' OR session IS NOT NULL OR {_like('session_memory')} THEN 'session' END, CASE WHEN route = 'user_memory' OR profile IS NOT NULL OR {_like('user_memory')} THEN 'user_profile' END], lambda x: x IS NOT NULL), ',') END AS hints,
+  CASE route WHEN 'project_memory' THEN project IS NULL WHEN 'user_memory' THEN profile IS NULL WHEN 'session_memory' THEN session IS NULL WHEN 'global_memory' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED_ALL, ROUTED)
+def scope_hints_all(spark, sf):
+    c = F.col
+    hints = D.scope_hints(c("ask"), c("route"), c("project"), c("session"), c("profile"))
+    return _asks_all(spark, sf).select("item_id", F.array_join(hints, ",").alias("hints"), D.insufficient(c("route"), c("project"), c("session"), c("profile"), F.lit(0)).alias("insufficient"))
+
+
 # ------------------------------------------------------- eligibility and scores
 
 ELIGIBLE = """v_items AS (SELECT *, CASE WHEN lifecycle = 'deleted' THEN 'lifecycle_excluded:deleted' WHEN sensitivity = 'secret' THEN 'sensitivity_ceiling_exceeded' ELSE 'eligible' END AS reason,

@@ -77,6 +77,14 @@ v_units AS (
 """
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document and conversation turn, with the number of either."""
+    text = lambda prefix, *c: F.concat(F.lit(prefix), *c).alias("item_id")
+    docs = table(spark, sf_dir, "documents").select(text("d", F.col("doc_id").cast("string")), F.col("doc_id").cast("long").alias("number"), F.col("text").alias("body"))
+    turns = table(spark, sf_dir, "conversations").select(text("c", F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), F.col("conv_id").cast("long").alias("number"), F.col("text").alias("body"))
+    return docs.unionByName(turns)
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision operations: a customer's first order creates, later ones supersede."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

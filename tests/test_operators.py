@@ -292,3 +292,17 @@ def test_unit_ids_of_all_units(spark, tmp_path):
     short = lambda prefix, fields: prefix + hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
     at = [f"d1#L{i}" for i in range(1, len(lines) + 1)]
     assert got == {a: (short("u_", {"source_ref": "d1", "location_id": a}), short("c_", {"text": t, "kind": "text"})) for a, t in zip(at, lines, strict=True)}
+
+
+def test_secrets_and_routes_of_whole_texts(spark, tmp_path):
+    from cairn import catalogue
+
+    far = "many words stand before it " * 20
+    spark.createDataFrame([(0, far + "api_key = abc"), (1, far), (2, far + "combine across projects"), (3, "Bearer tok"), (4, "https://u:p@host/x"), (5, far + "-----BEGIN RSA PRIVATE KEY----- x"), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, far + "password: x"), (1, 1, far + "in my usual format")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    rules = {"d0": "api_key_assignment", "d1": None, "d2": None, "d3": "bearer_token", "d4": "credential_url_userinfo", "d5": "private_key_block", "d6": None, "c1-0": "api_key_assignment", "c1-1": None}
+    assert {r["item_id"]: r["rule"] for r in run("secret_gate_all")} == rules
+    assert {r["item_id"]: r["body"] for r in run("redact_flat_all") if rules[r["item_id"]]} == {k: f"[REDACTED:{v}]" for k, v in rules.items() if v}
+    assert {r["item_id"]: r["route"] for r in run("route_text_all")} == dict.fromkeys(rules, "no_memory") | {"d2": "global_memory", "c1-1": "user_memory"}
+    assert {r["item_id"]: r["hints"] for r in run("scope_hints_all") if r["hints"]} == {"d2": "multi_scope,project", "c1-1": "user_profile"}

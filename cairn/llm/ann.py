@@ -4,7 +4,9 @@ A pseudo-rotation is three rounds of random signs and a fast Hadamard transform.
 It sends a unit vector to the nearest of the 2d signed axes, its bucket.  Each of
 ``TABLES`` tables has its own rotation; a query probes, in each table, the
 ``PROBES`` signed axes that it is nearest to.  Whatever lies in a probed bucket
-is a candidate and is ranked exactly, by cosine in double precision.
+is a candidate and is ranked exactly, by cosine in double precision.  A query that
+finds fewer than k this way is compared with all vectors of its length, so a list
+is short only where there are fewer than k others.
 
 Equal vectors form a class that is hashed once.  As a query can only return its
 k nearest, a class keeps its k + 1 least ids: the others could not appear.  Large
@@ -132,17 +134,10 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
     classes = materialise(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "v"), "classes")
     asked = rows.where(queries)
 
-    index, probed = _hashed(classes, tables, None), _hashed(asked, tables, probes)
     bucket = ["dim", "tab", "code"]
-    held = index.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    wanted = probed.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("shares"))
-    # A row for each bucket: at most twice the padded dimension for each table.
-    grid = F.broadcast(materialise(held.join(wanted, bucket), "grid"))
+    cell = [*bucket, "i", "j"]
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(grid, bucket).withColumn("i", own("v", "parts")).withColumn("j", every("shares")).select(*bucket, "i", "j", "ids", "v")
-    right = probed.join(grid, bucket).withColumn("j", own("id", "shares")).withColumn("i", every("parts")).select(*bucket, "i", "j", "id", "v")
-    cell = [*bucket, "i", "j"]
 
     def search(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -168,7 +163,26 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
                         out[2].append(-float(score))
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def searched(index: DataFrame, probed: DataFrame) -> DataFrame:
+        held = index.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+        wanted = probed.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("shares"))
+        # A row for each bucket: at most twice the padded dimension for each table.
+        grid = F.broadcast(materialise(held.join(wanted, bucket), "grid"))
+        left = index.join(grid, bucket).withColumn("i", own("v", "parts")).withColumn("j", every("shares")).select(*bucket, "i", "j", "ids", "v")
+        right = probed.join(grid, bucket).withColumn("j", own("id", "shares")).withColumn("i", every("parts")).select(*bucket, "i", "j", "id", "v")
+        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, vec_id long, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = materialise(ranked(searched(_hashed(classes, tables, None), _hashed(asked, tables, probes))), "found")
+    full = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = materialise(asked.join(full, "id", "left_anti").select("id", "v"), "short")
+    if short.isEmpty():
+        return first
+    # All buckets of a table together hold every class of the dimension once.
+    whole = {"dim": F.size("v"), "tab": F.lit(-1), "code": F.lit(0)}
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(searched(classes.withColumns(whole), short.withColumns(whole))))

@@ -260,6 +260,25 @@ def test_chat_round_trip(spark, sf):
     assert (own["n_turns"], own["loss_chars"], own["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_ann_fills_short_lists(spark):
+    rng = np.random.default_rng(5)
+    few, rare = rng.normal(size=(5, 64)), rng.normal(size=(6, 33))
+    main = rng.normal(size=64) + 0.01 * rng.normal(size=(300, 64))
+    vectors = [*few, *rare, *main, -main[0] + 0.01 * rng.normal(size=64)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    for own in (rows[:5], rows):
+        df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+        asked = [i for i, _ in own if i < 11 or i == len(rows) - 1]
+        got = {}
+        for r in ann.nearest(df, F.col("id").isin(asked)).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+        others = {q: [i for i, v in own if i != q and len(v) == len(vectors[q])] for q in asked}
+        assert {q: len(v) for q, v in got.items()} == {q: min(5, len(others[q])) for q in asked}
+        exact = asked if len(own) == 5 else [*range(5, 11), len(rows) - 1]  # fewer than five in the probed buckets
+        assert all(got[q] == sorted(others[q], key=lambda i: -cosine(vectors[q], vectors[i]))[:5] for q in exact)
+
+
 def test_html_main_text(spark, sf):
     import html
 

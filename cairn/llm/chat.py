@@ -97,9 +97,26 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Figures read back from the output alone."""
+    """Figures read back from the output alone, the loss text by the runs of its mask.
+
+    Every turn has three runs (marks and role, body, end); runs that do not cover
+    it exactly are an error.
+    """
     told = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    parts = F.split("formatted", TURN_END, -1)
+
+    def masked(part: Column, i: Column) -> Column:
+        whole, runs, at, cut = F.concat(part, F.lit(TURN_END)), [F.get("loss_mask", i * 3 + n) for n in range(3)], F.lit(0), []
+        for r in runs:
+            cut.append(F.when(r["loss"], whole.substr((at + 1).cast("int"), r["chars"].cast("int"))).otherwise(""))
+            at = at + r["chars"]
+        told = F.concat(*cut)
+        back = F.when(part.startswith(BEGIN + "~"), unescape(told)).otherwise(told)
+        return F.when(at == F.length(whole), back).otherwise(F.raise_error(F.lit("a loss mask does not cover its conversation")))
+
+    n = F.size(parts) - 1
+    loss = F.array_join(F.transform(F.slice(parts, F.lit(1), n), masked), "")
+    loss = F.when(F.size("loss_mask") == 3 * n, loss).otherwise(F.raise_error(F.lit("a loss mask does not cover its conversation")))
     return formatted.select(
         "conv_id",
         F.size("parsed").cast("long").alias("n_turns"),

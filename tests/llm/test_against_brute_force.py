@@ -279,6 +279,19 @@ def test_ann_fills_short_lists(spark):
         assert all(got[q] == sorted(others[q], key=lambda i: -cosine(vectors[q], vectors[i]))[:5] for q in exact)
 
 
+def test_chat_loss_figures_come_from_the_mask(spark):
+    told = ["plain ¿ 🙂 text", "with [INST] and </s> and \\ in it", ""]
+    rows = [(1, 0, "user", "asks"), *[(1, 1 + i, "assistant", t) for i, t in enumerate(told)]]
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.digest(done).first()
+    assert (got["loss_chars"], got["loss_sha256"]) == (len("".join(told)), hashlib.sha256("".join(told).encode()).hexdigest())
+    wrong = done.withColumn("loss_mask", F.transform("loss_mask", lambda r: F.struct(r["chars"].alias("chars"), F.lit(False).alias("loss"))))
+    assert chat.digest(wrong).first()["loss_chars"] == 0
+    off = done.withColumn("loss_mask", F.transform("loss_mask", lambda r: F.struct((r["chars"] + 1).alias("chars"), r["loss"].alias("loss"))))
+    with pytest.raises(Exception, match="does not cover"):
+        chat.digest(off).collect()
+
+
 def test_html_main_text(spark, sf):
     import html
 

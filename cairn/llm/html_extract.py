@@ -1,26 +1,30 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines, one for each block.  Pages are paired by URL path
-within their host: in path order, a page's partner is the neighbour whose path
-shares the longest beginning.  The lines of both are aligned by their longest
-common subsequence, and shared lines are deleted as the site's furniture.
-
-Differencing alone cannot give right results: an article that stands at two
-addresses, or a passage that many articles quote, is shared but not furniture,
-and a menu that differs from page to page is furniture but not shared.  So every
-page is aligned, and the page's own marks confirm or veto what the alignment says:
-lines inside navigation, headers, footers, asides, forms, adverts, notices and
-reader comments are furniture whatever the partner holds, and lines inside an
-article or main element are text even if shared.  All other lines are deleted when
-shared and kept when not, on pages with an article too; a partner that shares most
-of the text and the undecided lines is a copy of the page and decides nothing.
+A page is cut into lines, one for each block.  A line's slot is the path of its
+elements with their class and id; its key is slot and text.  Pages are ordered by
+URL path within their host, and every page is compared with the ``SIDE`` nearest
+pages before and behind it; those whose path shares the most leading segments are
+its partners.  Two alignments by longest common subsequence decide what is furniture:
+
+* by key: a line that at least half of the partners share;
+* by slot: a line that is mostly links, or the only text of a bare container
+  (no paragraph, heading, list item or cell), and stands in the same slot on all
+  neighbours, so a menu whose words differ from page to page goes too.
+
+Differencing alone cannot give right results: passages that several articles quote
+are shared but are text, and a page may have no neighbour.  So the page's own marks
+have the rest: lines inside an article or main element stay even if shared, and
+lines that no alignment decides go if they lie in navigation, headers, footers,
+asides, forms, adverts, notices or reader comments.
+
+Versions of one story (equal title and first heading; without both, equal lines)
+are no neighbours of each other and count once as neighbours of others, so an
+article at many addresses is not its own furniture.
 
 Pages are dealt into ranges of host, path and id of about ``BUCKET`` pages, at most;
-bounds only decide where a page is worked on.  A first pass over the lines' hashes
-takes each range's edges (its outermost pages and, behind each, the next one that
-is no copy of it), and these are carried to the other ranges, so a page finds its
-nearest URLs on a host of any size.  Behind a copy the search goes on to the next
-page that is no copy of that one, on both sides, to the end of the host.
+bounds only decide where a page is worked on.  A first pass takes each range's
+outermost stories, and these are joined to the ranges beside it, so a page finds
+its nearest URLs on a host of any size and behind any run of versions.
 
 Defined cases: a null or empty page has no text; a null URL pairs with other null
 URLs; repeated rows are pages of their own; an empty table gives an empty
@@ -32,25 +36,26 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left, bisect_right
-from itertools import count
+from itertools import count, groupby, takewhile
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import shuffle_width
+from cairn.llm._common import materialise, shuffle_width
 
 #: Pages of a range at most, and at least if there are enough tasks; both roughly.
 BUCKET, LEAST = 2_000, 256
 #: Keys that are sampled for each range bound.
 SAMPLE = 20
-#: Pages that are carried from an edge of a range, none a copy of the one before it.
-EDGE = 4
-#: A partner that shares this much of the undecided text is a copy.
-COPY_SHARE = 0.8
+#: Neighbours on each side, each of another story.
+SIDE = 2
+#: Rows of an alignment between two that are kept for its way back.
+KEPT_ROWS = 256
 
 FURNITURE, OPEN, MAIN = 0, 1, 2
+PROSE, BARE, LINKS = 0, 1, 2
 
 # Element and attribute names of HTML, and usual class names of furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,12 +69,14 @@ MARKS = frozenset(
     " commentlist disqus respond reply replies share sharing social related recommended login search skip pagination pager toolbar masthead".split()
 )
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended".split())
+PROSE_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption address".split())
 PAIRED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html article main section div nav header footer aside form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
 _WORD = re.compile(r"[^a-z0-9]+")
+_NUMBER = re.compile(r"[0-9]+")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -96,42 +103,76 @@ def _decide(name: str, raw: str, in_main: bool) -> tuple[bool, bool]:
     return False, main or role == "main" or a.get("itemprop", "").lower() == "articlebody"
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """The page's lines in order, each with how its marks decide it."""
-    out: list[tuple[int, str]] = []
+def _hash(line: str) -> int:
+    x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _slot(above: int, name: str, raw: str) -> int:
+    """The slot of an element below ``above``: names, classes and ids, numbers alike."""
+    own = name
+    if raw and not raw.isspace():
+        a = _attributes(raw)
+        own = f"{name}.{a.get('class', '')}#{_NUMBER.sub('0', a.get('id', ''))}"
+    return xxhash.xxh32_intdigest(f"{above}/{own}".encode("utf-8", "surrogatepass")) >> 1
+
+
+def blocks(page: str | None) -> tuple[int, list[tuple[int, int, int, str]]]:
+    """The page's story, and its lines in order: mark, form, slot and text."""
+    out: list[tuple[int, int, int, str]] = []
     if not page:
-        return out
-    stack: list[tuple[str, bool, bool]] = []
+        return 0, out
+    stack: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
-    drop = main = 0
+    drop = main = links = linked = 0
+    title = heading = ""
+
+    def place() -> tuple[str, int]:
+        """The innermost block and its slot."""
+        return next(((name, slot) for name, _, _, slot in reversed(stack) if name not in INLINE), ("", 0))
 
     def flush():
+        nonlocal linked, heading
         if text:
-            line = " ".join(html_lib.unescape("".join(text)).split())
+            raw = "".join(text)
+            line = " ".join(html_lib.unescape(raw).split())
             text.clear()
             if line:
-                out.append((FURNITURE if drop else MAIN if main else OPEN, line))
+                name, slot = place()
+                form = LINKS if 2 * linked > len(raw) else PROSE if name in PROSE_BLOCKS else BARE
+                mark = FURNITURE if drop else MAIN if main else OPEN
+                out.append((mark, form, slot, line))
+                if not heading and name == "h1":
+                    heading = line
+        linked = 0
+
+    def write(piece: str):
+        nonlocal linked
+        text.append(piece)
+        if links:
+            linked += len(piece)
 
     def leave(depth: int):
-        nonlocal drop, main
+        nonlocal drop, main, links
         while len(stack) > depth:
-            _, d, m = stack.pop()
+            name, d, m, _ = stack.pop()
             drop -= d
             main -= m
+            links -= name == "a"
 
     at, end = 0, len(page)
     while at < end:
         token = _TOKEN.search(page, at)
         if token is None:
-            text.append(page[at:])
+            write(page[at:])
             break
         if token.start() > at:
-            text.append(page[at : token.start()])
+            write(page[at : token.start()])
         at = token.end()
         name = (token[2] or token[5] or "").lower()
         if not name:
             if token[0].startswith("<![CDATA["):
-                text.append(html_lib.escape(token[0][9:-3]))
+                write(html_lib.escape(token[0][9:-3]))
             continue
         closing, raw = token[1] or token[4], token[3] or token[6] or ""
         if name not in INLINE:
@@ -150,6 +191,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             if raw.endswith("/") and name == "svg" and close is None:
                 continue
+            if name == "title" and not title:
+                title = page[at : close.start() if close else end]
             at = close.end() if close else end
             continue
         if name in VOID or (raw.endswith("/") and name in INLINE):
@@ -166,15 +209,22 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         d, m = _decide(name, raw, main > 0)
         if (d or m) and name in INLINE:
             flush()
-        stack.append((name, d, m))
+        stack.append((name, d, m, 0 if name in INLINE else _slot(place()[1], name, raw)))
         drop += d
         main += m
+        links += name == "a"
     flush()
-    return out
+    named = " ".join(title.split()) + "\n" + heading
+    return _hash(named if named != "\n" else "\n".join(line for _, _, _, line in out)), out
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Equal ends are cut off.  A column of the table is held as one bit for each
+    line of ``a`` (a zero where the length grows); only every ``KEPT_ROWS``-th is
+    kept, and those between are made again on the way back.
+    """
     start, ends = 0, (len(a), len(b))
     while start < min(ends) and a[start] == b[start]:
         start += 1
@@ -182,62 +232,104 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     while i > start and j > start and a[i - 1] == b[j - 1]:
         i, j = i - 1, j - 1
     found = {*range(start), *range(i, len(a))}
-    where: dict[int, list[int]] = {}
-    for y in range(j - 1, start - 1, -1):
-        where.setdefault(b[y], []).append(y)
-    tails: list[int] = []  # least end in b of a common subsequence of each length
-    links: list[tuple] = []
-    for x in range(start, i):
-        for y in where.get(a[x], ()):
-            k = bisect_left(tails, y)
-            node = (x, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(y)
-                links.append(node)
-            else:
-                tails[k], links[k] = y, node
-    node = links[-1] if links else None
-    while node:
-        found.add(node[0])
-        node = node[1]
-    return found
-
-
-def is_copy(kinds: list[int], sizes: list[int], shared: set[int]) -> bool:
-    """Whether the shared lines hold most of what the marks leave of a page."""
-    text = sum(n for kind, n in zip(kinds, sizes, strict=True) if kind != FURNITURE)
-    return sum(sizes[i] for i in shared if kinds[i] != FURNITURE) >= COPY_SHARE * text
-
-
-def main_text(lines: list[tuple[int, str]], gone: set[int]) -> str:
-    return " ".join(line for i, (kind, line) in enumerate(lines) if kind == MAIN or (kind == OPEN and i not in gone))
-
-
-def beyond_copies(pages: list[tuple], own: range, step: int) -> dict[int, tuple[int, set[int]]]:
-    """For each of ``own``, the nearest page of its host on one side that is no copy of it, and the lines shared with it.
+    n, other = i - start, b[start:j]
+    where: dict[int, int] = {}
+    for x in range(n):
+        where[a[start + x]] = where.get(a[start + x], 0) | 1 << x
+    other = [line for line in other if line in where]
+    if not other:
+        return found
+    full = (1 << n) - 1
+
+    def columns(v: int, lines: list[int]) -> list[int]:
+        out = [v]
+        for line in lines:
+            u = v & where[line]
+            v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
 
-    ``pages`` are ``host, path, kinds, sizes, hashes`` in order; those outside
-    ``own`` are edges of other ranges.  Behind a copy the search goes on where
-    the copy's own search ended.
-    """
-    found: dict[int, tuple[int, set[int]]] = {}
-    ended: dict[int, int] = {}
-    for i in own if step < 0 else reversed(own):
-        host, _, kinds, sizes, hashes = pages[i]
-        j = i + step
-        while 0 <= j < len(pages) and pages[j][0] == host:
-            shared = shared_lines(hashes, pages[j][4])
-            if not is_copy(kinds, sizes, shared):
-                found[i] = j, shared
-                break
-            j = ended[j] if j in ended else j + step
-        ended[i] = j
+    kept, v = [], full
+    for at in range(0, len(other), KEPT_ROWS):
+        kept.append(v)
+        v = columns(v, other[at : at + KEPT_ROWS])[-1]
+    x = n - 1
+    for at in reversed(range(0, len(other), KEPT_ROWS)):
+        block = columns(kept[at // KEPT_ROWS], other[at : at + KEPT_ROWS])
+        for y in range(len(block) - 1, 0, -1):
+            # The highest line up to x where the length grows ends the subsequence; the
+            # line of b took part if the length did not grow there one column before.
+            grown = ~block[y] & ((1 << (x + 1)) - 1)
+            if not grown:
+                return found
+            x = grown.bit_length() - 1
+            if block[y - 1] >> x & 1:
+                found.add(start + x)
+                x -= 1
     return found
 
 
-def _hash(line: str) -> int:
-    x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return x - (1 << 64) if x >> 63 else x
+class Page:
+    """What a comparison needs of a page."""
+
+    def __init__(self, host: str, path: str, story: int, marks: list[int], forms: list[int], slots: list[int], hashes: list[int]):
+        self.host, self.path, self.story, self.marks, self.forms, self.slots, self.hashes = host, path, story, marks, forms, slots, hashes
+        self._runs = None
+
+    @property
+    def keys(self) -> list[int]:
+        return [h ^ (s * 0x9E3779B1) for h, s in zip(self.hashes, self.slots, strict=True)]
+
+    @property
+    def runs(self) -> tuple[list[int], list[range], dict[int, int]]:
+        """Slots of neighbouring lines once, the lines of each, and how often a slot occurs."""
+        if self._runs is None:
+            slots, lines, at, often = [], [], 0, {}
+            for slot, group in groupby(self.slots):
+                n = sum(1 for _ in group)
+                slots.append(slot)
+                lines.append(range(at, at + n))
+                often[slot] = often.get(slot, 0) + n
+                at += n
+            self._runs = slots, lines, often
+        return self._runs
+
+
+def partners(page: Page, neighbours: list[Page]) -> list[Page]:
+    """The neighbours whose path shares the most leading segments."""
+    near = [_common(page.path, other.path) for other in neighbours]
+    return [other for other, n in zip(neighbours, near, strict=True) if n == max(near)]
+
+
+def furniture(page: Page, neighbours: list[Page]) -> set[int]:
+    """The lines that the alignments with the neighbours show to be furniture."""
+    if not neighbours or not page.slots:
+        return set()
+    keys, (slots, lines, often) = page.keys, page.runs
+    shared = [shared_lines(keys, other.keys) for other in partners(page, neighbours)]
+    gone = {i for i in range(len(keys)) if 2 * sum(i in s for s in shared) >= len(shared)}
+    aligned = set(range(len(slots)))
+    for other in neighbours:
+        aligned &= shared_lines(slots, other.runs[0])
+    single = {s for s in slots if often[s] == 1 and all(other.runs[2].get(s) == 1 for other in neighbours)}
+    for r in aligned:
+        gone |= {i for i in lines[r] if page.forms[i] == LINKS or (page.forms[i] == BARE and slots[r] in single)}
+    return {i for i in gone if page.marks[i] != MAIN}
+
+
+def main_text(marks: list[int], lines: list[str], gone: set[int]) -> str:
+    return " ".join(line for i, line in enumerate(lines) if marks[i] == MAIN or (marks[i] == OPEN and i not in gone))
+
+
+def nearest_stories(pages: list[Page], i: int, step: int, wanted: int = SIDE) -> list[Page]:
+    """The nearest pages of other stories on one side of a page's host."""
+    seen, out, j = {pages[i].story}, [], i + step
+    while 0 <= j < len(pages) and pages[j].host == pages[i].host and len(out) < wanted:
+        if pages[j].story not in seen:
+            seen.add(pages[j].story)
+            out.append(pages[j])
+        j += step
+    return out
 
 
 def _id_key(v):
@@ -245,32 +337,60 @@ def _id_key(v):
 
 
 def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+    """Leading path segments that two paths share."""
+    pairs = zip(a.split("/"), b.split("/"), strict=False)
+    return sum(1 for _ in takewhile(lambda p: p[0] == p[1], pairs))
+
+
+_FIELDS = ("host", "path", "story", "marks", "forms", "slots", "hashes")
+_PAGE = "host string, path string, story long, marks array<tinyint>, forms array<tinyint>, slots array<int>, hashes array<long>"
+_EDGE = "array<struct<" + _PAGE.replace("string", ": string").replace("long,", ": long,").replace("array", ": array") + ">>"
 
 
-def _ordered(table: pa.Table) -> tuple[list[int], list[tuple]]:
-    """Row numbers in order of host, path and id, and the pages in that order."""
-    c = {name: table.column(name).to_pylist() for name in ("host", "path", "page_id", "kinds", "sizes", "hashes")}
-    order = sorted(range(table.num_rows), key=lambda i: (c["host"][i], c["path"][i], _id_key(c["page_id"][i])))
-    return order, [tuple(c[name][i] for name in ("host", "path", "kinds", "sizes", "hashes")) for i in order]
+def _ordered(table: pa.Table) -> tuple[list[int], list[Page]]:
+    """Row numbers in order of host, path, id and story, and the pages in that order."""
+    c = {name: table.column(name).to_pylist() for name in ("page_id", *_FIELDS)}
+    order = sorted(range(table.num_rows), key=lambda i: (c["host"][i], c["path"][i], _id_key(c["page_id"][i]), c["story"][i]))
+    return order, [Page(*(c[name][i] for name in _FIELDS)) for i in order]
 
 
-def _edge(pages: list[tuple], step: int) -> list[tuple]:
-    """The page at one end, and behind each page the next that is no copy of it."""
+def _edge(pages: list[Page], step: int) -> list[dict]:
+    """The outermost stories of the host at one end, nearest to the end first."""
     at = len(pages) - 1 if step < 0 else 0
-    host, out = pages[at][0], []
-    while 0 <= at < len(pages) and pages[at][0] == host and len(out) < EDGE:
-        out.append(pages[at])
-        _, _, kinds, sizes, hashes = pages[at]
-        at += step
-        while 0 <= at < len(pages) and pages[at][0] == host and is_copy(kinds, sizes, shared_lines(hashes, pages[at][4])):
-            at += step
+    out = [pages[at], *nearest_stories(pages, at, step)]
+    return [{name: getattr(p, name) for name in _FIELDS} for p in out]
+
+
+def _needs(ends: dict[int, tuple]) -> list[tuple[int, int, int]]:
+    """``part, source, step``: whose edges each range needs, up to enough stories or the host's end.
+
+    ``ends`` has, for each range, the host and the stories at its first and at its last page.
+    """
+    out, known = [], sorted(ends)
+    place = {part: i for i, part in enumerate(known)}
+    for part in known:
+        for step in (-1, 1):
+            host = ends[part][0 if step < 0 else 2]
+            i, seen = place[part] + step, set()
+            while 0 <= i < len(known) and len(seen) <= SIDE:
+                first_host, first, last_host, last = ends[known[i]]
+                if host != (last_host if step < 0 else first_host):
+                    break
+                out.append((part, known[i], step))
+                seen |= set(last if step < 0 else first)
+                if first_host != last_host:  # the host ends inside this range
+                    break
+                i += step
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bucket: int = BUCKET) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bucket: int = BUCKET, decided: bool = False) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page.
+
+    ``decided`` adds how lines were told: ``n_lines, n_differenced`` (deleted by an
+    alignment), ``n_marked`` (deleted by marks alone) and ``n_vetoed`` (shared with
+    a partner, kept as article text).
+    """
     spark = pages.sparkSession
     text = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host, path = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
@@ -290,63 +410,74 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             turn = count()
             for batch in batches:
                 c = {name: batch.column(name).to_pylist() for name in ("page_id", "html", "host", "path")}
-                part, kinds, lines, sizes, hashes = [], [], [], [], []
+                out = {name: [] for name in ("part", "story", "marks", "forms", "slots", "hashes", "lines")}
                 for i in range(batch.num_rows):
                     key = (c["host"][i], c["path"][i], _id_key(c["page_id"][i]))
                     low, high = bisect_left(bounds, key), bisect_right(bounds, key)
-                    part.append(low + next(turn) % (high - low + 1) if high > low else low)  # equal keys may fill several ranges
-                    found = blocks(c["html"][i])
-                    kinds.append([k for k, _ in found])
-                    lines.append([x for _, x in found])
-                    sizes.append([len(x) for _, x in found])
-                    hashes.append([_hash(x) for _, x in found])
-                columns = {"part": pa.array(part, pa.int32()), **{name: batch.column(name) for name in ("page_id", "host", "path")}, "kinds": pa.array(kinds, pa.list_(pa.int8())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "hashes": pa.array(hashes, pa.list_(pa.int64()))}
+                    out["part"].append(low + next(turn) % (high - low + 1) if high > low else low)  # equal keys may fill several ranges
+                    story, found = blocks(c["html"][i])
+                    out["story"].append(story)
+                    for name, values in zip(("marks", "forms", "slots", "lines"), zip(*found, strict=True) if found else ([],) * 4, strict=True):
+                        out[name].append(list(values))
+                    out["hashes"].append([_hash(x) for x in out["lines"][-1]])
+                kinds = {"marks": pa.int8(), "forms": pa.int8(), "slots": pa.int32(), "hashes": pa.int64()}
+                columns = {"part": pa.array(out["part"], pa.int32()), **{name: batch.column(name) for name in ("page_id", "host", "path")}, "story": pa.array(out["story"], pa.int64())}
+                columns |= {name: pa.array(out[name], pa.list_(kind)) for name, kind in kinds.items()}
                 if with_lines:
-                    columns |= {"url": batch.column("url"), "lines": pa.array(lines, pa.list_(pa.string()))}
+                    columns |= {"url": batch.column("url"), "lines": pa.array(out["lines"], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         return run
 
-    light = f"part int, page_id {id_type}, host string, path string, kinds array<tinyint>, sizes array<int>, hashes array<long>"
-    page = "array<struct<host: string, path: string, kinds: array<tinyint>, sizes: array<int>, hashes: array<long>>>"
-    names = ("host", "path", "kinds", "sizes", "hashes")
+    light = f"part int, page_id {id_type}, {_PAGE}"
 
     def edges(table: pa.Table) -> pa.Table:
         _, found = _ordered(table)
-        kind = pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("kinds", pa.list_(pa.int8())), ("sizes", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
-        ends = [pa.array([[dict(zip(names, p, strict=True)) for p in _edge(found, step)]], kind) for step in (1, -1)]
+        kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("story", pa.int64()), ("marks", pa.list_(pa.int8())), ("forms", pa.list_(pa.int8())), ("slots", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+        ends = [pa.array([_edge(found, step)], pa.list_(kind)) for step in (1, -1)]
         return pa.table([table.column("part").slice(0, 1), *ends], names=["part", "first", "last"])
 
-    heads, tails = {}, {}
+    carried = spark.createDataFrame([], f"part int, source int, step int, edge {_EDGE}")
     if bounds:
-        for r in rows.mapInArrow(cut(False), light).groupBy("part").applyInArrow(edges, f"part int, first {page}, last {page}").collect():
-            heads[r["part"]], tails[r["part"]] = ([tuple(p[name] for name in names) for p in r[end]] for end in ("first", "last"))
-
-    def carried(part: int, host: str, step: int) -> list[tuple]:
-        """The edges of the other ranges on one side that reach into ``host``, nearest first."""
-        out, ends, at = [], tails if step < 0 else heads, part + step
-        while 0 <= at < parts:
-            if at in ends:
-                if ends[at][0][0] != host:
-                    break
-                out += ends[at]
-            at += step
-        return out
-
-    def difference(table: pa.Table) -> pa.Table:
+        held = materialise(rows.mapInArrow(cut(False), light).groupBy("part").applyInArrow(edges, f"part int, first {_EDGE}, last {_EDGE}"), "edges")
+        # Of each range only host names and story numbers come here.
+        told = held.select("part", F.col("first")[0]["host"].alias("fh"), F.col("first.story").alias("fs"), F.col("last")[0]["host"].alias("lh"), F.col("last.story").alias("ls"))
+        needs = _needs({r["part"]: (r["fh"], r["fs"], r["lh"], r["ls"]) for r in told.collect()})
+        if needs:
+            asked = spark.createDataFrame(needs, "part int, source int, step int")
+            edge = F.when(F.col("step") < 0, F.col("last")).otherwise(F.col("first"))
+            carried = asked.join(held.withColumnRenamed("part", "source"), "source").select("part", "source", "step", edge.alias("edge"))
+
+    def difference(table: pa.Table, beside: pa.Table) -> pa.Table:
         order, inside = _ordered(table)
-        part = table.column("part")[0].as_py()
-        before, after = carried(part, inside[0][0], -1), carried(part, inside[-1][0], 1)
-        around = [*reversed(before), *inside, *after]
-        own = range(len(before), len(before) + len(inside))
-        back, ahead = beyond_copies(around, own, -1), beyond_copies(around, own, 1)
-        lines, texts = table.column("lines"), []
-        for i, row in zip(own, order, strict=True):
-            sides = [side[i] for side in (back, ahead) if i in side]
-            nearest = max(sides, key=lambda s: _common(around[i][1], around[s[0]][1]), default=(None, set()))
-            texts.append(main_text(list(zip(around[i][2], lines[row].as_py(), strict=True)), nearest[1]))
-        chosen = table.take(pa.array(order, pa.int64()))
-        return pa.table([chosen.column("page_id"), chosen.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        sides: dict[int, list[Page]] = {-1: [], 1: []}
+        for r in sorted(beside.to_pylist(), key=lambda r: r["step"] * r["source"]):  # nearest first on both sides
+            sides[r["step"]] += [Page(*(p[name] for name in _FIELDS)) for p in r["edge"]]
+        around = [*reversed(sides[-1]), *inside, *sides[1]]
+        lines, ids, urls = table.column("lines"), table.column("page_id"), table.column("url")
+        texts, numbers = [], []
+        for i, row in enumerate(order, len(sides[-1])):
+            page, own = around[i], lines[row].as_py()
+            neighbours = nearest_stories(around, i, -1) + nearest_stories(around, i, 1)
+            gone = furniture(page, neighbours)
+            texts.append(main_text(page.marks, own, gone))
+            if decided:
+                keys = page.keys
+                vetoed = {k for p in partners(page, neighbours) for k in shared_lines(keys, p.keys) if page.marks[k] == MAIN}
+                numbers.append((len(own), len(gone), sum(m == FURNITURE and k not in gone for k, m in enumerate(page.marks)), len(vetoed)))
+        take = pa.array(order, pa.int64())
+        columns = [ids.take(take), urls.take(take), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        columns += [pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)]
+        return pa.table(columns, names=names)
+
+    names = ["page_id", "url", "text", "n_chars"] + (["n_lines", "n_differenced", "n_marked", "n_vetoed"] if decided else [])
+    schema = f"page_id {id_type}, url string, text string, n_chars long" + "".join(f", {name} long" for name in names[4:])
+
+    def worked(table: pa.Table, beside: pa.Table) -> pa.Table:
+        if not table.num_rows:  # edges for a range without pages: none is asked for
+            kinds = [table.schema.field("page_id").type, pa.string(), pa.string()] + [pa.int64()] * (len(names) - 3)
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        return difference(table, beside)
 
     parsed = rows.mapInArrow(cut(True), f"{light}, url string, lines array<string>")
-    return parsed.groupBy("part").applyInArrow(difference, f"page_id {id_type}, url string, text string, n_chars long")
+    return parsed.groupBy("part").cogroup(carried.groupBy("part")).applyInArrow(worked, schema)

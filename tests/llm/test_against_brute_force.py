@@ -355,3 +355,39 @@ def test_shared_lines_are_a_longest_common_subsequence():
     for _ in range(300):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
         assert len(html_extract.shared_lines(a, b)) == length(a, b)
+
+
+def test_html_alignment_decides_without_marks(spark, monkeypatch):
+    # Nothing is marked: a menu and a slogan whose words differ from page to page, and a shared footer line.
+    def page(i):
+        menu = "".join(f"<li><a href='/{i}{k}'>Entry {i} {k}</a></li>" for k in range(4))
+        return f"<title>Story {i}</title><body><ul>{menu}</ul><div class='x'>Slogan number {i}</div><div class='y'><h1>Story {i}</h1><p>Text {i} of its own.</p><p>More of {i}.</p></div><p>Call us today</p></body>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} Text {i} of its own. More of {i}." for i in range(6)}
+    got = {r["page_id"]: r for r in html_extract.extract(df, decided=True).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all((r["n_lines"], r["n_differenced"], r["n_marked"]) == (9, 6, 0) for r in got.values())
+    monkeypatch.setattr(html_extract, "shared_lines", lambda a, b: set())
+    lines = html_extract.blocks(page(0))[1]
+    p = html_extract.Page("h", "/0", 0, *(list(c) for c in list(zip(*lines, strict=True))[:3]), [html_extract._hash(x[3]) for x in lines])
+    assert not html_extract.furniture(p, [p])  # without the alignment everything would stay
+
+
+def test_html_same_texts_under_any_partitioning(spark):
+    # 400 pages of one host, two of a section with a menu of its own, long runs of one story between them.
+    body = lambda i: f"Story {i} tells of things" if i % 5 else "A story at many addresses"
+    page = lambda i: f"<title>{body(i)}</title><body><p>Menu of section {i // 2}</p><p>{body(i)}</p><p>Call us today</p></body>"
+    rows = [(i, f"http://h/{i // 2:03d}/{i % 2}", page(i)) for i in range(400)] + [(1000 + i, f"http://h/150/x{i:03d}", page(5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = [{r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(n), bucket=bucket).collect()} for n, bucket in ((1, 2_000), (7, 40), (3, 11))]
+    assert seen[0] == seen[1] == seen[2] and all("Call us" not in t for t in seen[0].values())
+
+
+def test_html_long_and_deep_pages(spark):
+    deep = "<div>" * 5_000 + "x" + "</div>" * 5_000
+    long = "".join(f"<p>line {i % 7}</p>" for i in range(20_000))
+    rows = [(1, "http://h/1", deep), (2, "http://h/2", long), (3, "http://h/3", long + "<p>end</p>"), (3, "http://h/3", long + "<p>end</p>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3, 3] and all(r["n_chars"] == len(r["text"]) for r in got)

@@ -6,10 +6,12 @@ left of it, and every shorter document, is one piece.  Pieces are placed by
 falling length into the open window with the least room that still takes them.
 A segment tree over the remaining capacities finds that window.
 
-A task packs the rows that its partition holds, in shards of ``SHARD`` pieces,
-so nothing is shuffled and no task keeps more than a shard's lengths and
-checksums.  A shard leaves a few half-filled windows, a share of padding that
-falls as the shard grows.
+The texts are cut in one narrow pass that writes a row of numbers for each piece.
+Only these rows are shuffled: they are counted and dealt by hash into shards of
+about ``SHARD`` pieces, and each shard is packed by a task of its own.  So the
+result does not depend on how the documents are partitioned, and no task keeps
+more than a shard's numbers.  A shard leaves a few half-filled windows, a share
+of padding that falls as the shard grows.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows and
 null ids are packed as rows of their own; an empty table gives an empty result;
@@ -24,11 +26,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import words
+from cairn.llm._common import materialise
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -36,6 +38,7 @@ CLOSING_ID = 1
 SHARD = 131_072
 #: Entries kept by a worker's table of chunks.
 TABLE_LIMIT = 500_000
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 class CapacityTree:
@@ -109,11 +112,10 @@ class IdBytes:
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
         self.special = {x: struct.pack("<I", tokenizer.token_to_id(x)) for x in words.SPECIAL}
-        self.letters = dict(enumerate(words.byte_letters()))
-        self.table = words.ChunkTable(self._word, b"".join, self.special, table_limit)
+        self.table = words.ChunkTable(path, self._word, b"".join, self.special, table_limit)
 
-    def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
+    def _word(self, letters: str) -> bytes:
+        tokens = self.model.tokenize(letters)
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def of(self, text: str | None) -> bytes:
@@ -130,40 +132,57 @@ def _encoder(path: str) -> IdBytes:
     return _encoders[path]
 
 
-class _Shard:
-    """Pieces waiting for their places."""
+def _cut(data: bytes, window: int) -> list[tuple[int, int, int, int]]:
+    """``start, length, crc32, tokens`` of the pieces of a document's ids."""
+    tokens, view = len(data) // 4, memoryview(data)
+    cuts = [(start, view[4 * start : 4 * min(tokens, start + window)]) for start in range(0, tokens, window)]
+    return [(start, len(part) // 4, zlib.crc32(part), tokens) for start, part in cuts]
 
-    COLUMNS = ("start", "length", "ids_crc32", "doc_tokens")
 
-    def __init__(self, window: int, with_ids: bool):
-        self.window, self.with_ids = window, with_ids
-        self.next_sequence = 0
-        self.clear()
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = words.VOCABULARY, window: int = WINDOW, closing_id: int = CLOSING_ID, with_ids: bool = False) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece and, with ``with_ids``, its ``ids``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    closing = struct.pack("<I", closing_id)
 
-    def clear(self):
-        self.doc_ids, self.numbers, self.ids, self.full = [], [], [], 0
+    def run(batches):
+        encoder = _encoder(words.vocabulary_path(vocabulary))
+        for batch in batches:
+            ids, numbers, lists = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = encoder.of(text.as_py()) + closing
+                cut = _cut(data, window)
+                ids += [doc_id] * len(cut)
+                numbers += cut
+                if with_ids:
+                    whole = np.frombuffer(data, "<u4").astype(np.int64)
+                    lists += [whole[a : a + n] for a, n, _, _ in cut]
+            arrays = [pa.array(ids, batch.column(0).type), *(pa.array(c, pa.int64()) for c in np.array(numbers, np.int64).reshape(-1, 4).T)]
+            if with_ids:
+                arrays.append(pa.array(lists, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, names=COLUMNS + ["ids"] * with_ids)
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
 
-    def add(self, doc_id, data: bytes) -> None:
-        tokens = len(data) // 4
-        view = memoryview(data)
-        for start in range(0, tokens, self.window):
-            part = view[4 * start : 4 * min(tokens, start + self.window)]
-            self.doc_ids.append(doc_id)
-            self.numbers.append((start, len(part) // 4, zlib.crc32(part), tokens))
-            if self.with_ids:
-                self.ids.append(np.frombuffer(part, "<u4").astype(np.int64))
 
-    def place(self, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        numbers = np.array(self.numbers, np.int64).reshape(-1, 4)
-        lengths = numbers[:, 1]
+def placed(parts: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+    """``parts`` with ``sequence_id, offset``; the shards are counted, and dealt by hash."""
+    shards = max(1, -(-parts.count() // shard))
+    number = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
+
+    def place(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending"), ("start", "ascending"), ("tie", "ascending")]
+        table = table.sort_by(order)
+        lengths = table.column("length").to_numpy()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        whole = lengths == self.window
-        sequence[whole] = np.arange(whole.sum())
-        at, off, used = best_fit_decreasing(lengths[~whole], self.window)
-        sequence[~whole], offset[~whole] = at + whole.sum(), off
-        base = first + self.next_sequence
-        self.next_sequence += int(whole.sum()) + used
-        return numbers, sequence + base, offset
+        full = int((lengths == window).sum())  # these come first
+        sequence[:full] = np.arange(full)
+        at, off, _ = best_fit_decreasing(lengths[full:], window)
+        sequence[full:], offset[full:] = at + full, off
+        sequence += table.column("shard")[0].as_py() << 40
+        return table.drop_columns(["shard", "tie"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    return parts.withColumns({"shard": number, "tie": F.xxhash64("doc_id")}).groupBy("shard").applyInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = words.VOCABULARY, window: int = WINDOW, closing_id: int = CLOSING_ID, with_ids: bool = False, shard: int = SHARD) -> DataFrame:
@@ -172,36 +191,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and,
     with ``with_ids``, the piece's ``ids``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    closing = struct.pack("<I", closing_id)
-
-    def run(batches):
-        encoder = _encoder(words.vocabulary_path(vocabulary))
-        first = TaskContext.get().partitionId() << 40
-        waiting = _Shard(window, with_ids)
-
-        def flush(kind):
-            numbers, sequence, offset = waiting.place(first)
-            for a in range(0, len(sequence), 10_000):
-                z = a + 10_000
-                arrays = [pa.array(waiting.doc_ids[a:z], kind), *(pa.array(numbers[a:z, i]) for i in range(4)), pa.array(sequence[a:z]), pa.array(offset[a:z])]
-                names = ["doc_id", *_Shard.COLUMNS, "sequence_id", "offset"]
-                if with_ids:
-                    arrays.append(pa.array(waiting.ids[a:z], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-            waiting.clear()
-
-        kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                waiting.add(doc_id, encoder.of(text.as_py()) + closing)
-                if len(waiting.numbers) >= shard:
-                    yield from flush(kind)
-        if waiting.numbers:
-            yield from flush(kind)
-
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    return rows.mapInArrow(run, schema)
+    found = placed(materialise(pieces(docs, id_col, text_col, vocabulary, window, closing_id, with_ids), "pieces"), window, shard)
+    return found.select(*COLUMNS, "sequence_id", "offset", *["ids"] * with_ids)

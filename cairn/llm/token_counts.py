@@ -30,14 +30,13 @@ class MergeCounter:
 
     def __init__(self, path: str, table_limit: int = TABLE_LIMIT):
         self.ranks = words.load_merges(path)
-        self.letters = words.byte_letters()
-        self.table = words.ChunkTable(self._word, sum, dict.fromkeys(words.SPECIAL, 1), table_limit)
+        self.table = words.ChunkTable(path, self._word, sum, dict.fromkeys(words.SPECIAL, 1), table_limit)
 
     def count(self, text: str | None) -> int:
         return sum(map(self.table.__getitem__, words.chunks(text))) if text else 0
 
-    def _word(self, word: str) -> int:
-        symbols = [self.letters[b] for b in word.encode("utf-8")]
+    def _word(self, letters: str) -> int:
+        symbols = list(letters)
         symbols[-1] += "</w>"
         n, ranks = len(symbols), self.ranks
         after = list(range(1, n + 1))

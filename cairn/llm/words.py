@@ -3,25 +3,28 @@
 White space never takes part in a token there, so a text's tokens are those of
 its white-space-delimited chunks, one after another.  Chunks repeat far more
 often than texts do; every worker keeps what a chunk gave in a bounded table.
+
+Words are handled in the vocabulary's byte letters.  A chunk of ASCII is cut by
+the fixed pattern below; any other goes through the vocabulary's own normaliser
+and pre-tokenizer, whose tables of characters are newer than Python's.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import public_tokenizers
-import regex
 
 VOCABULARY = "word_bpe_49k.json"
 
-# The vocabulary's special strings and pre-tokenizer pattern.
+# The vocabulary's special strings, white space and pre-tokenizer pattern.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
 
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+#: Byte letters of the ASCII characters that are not printable.
+_CONTROLS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), 0x7F])}
 _SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _SPACES = re.compile("[" + SPACE + "]+")
 #: str.split() also cuts at these, the vocabulary's white space does not hold them.
@@ -38,13 +41,6 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
-def pieces(chunk: str) -> list[str]:
-    """Pre-tokens of a chunk without special strings, normalised."""
-    if chunk.isascii():
-        return _ASCII_PIECE.findall(chunk.lower())
-    return PIECE.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
-
-
 def special_parts(chunk: str) -> list[str]:
     """The chunk cut around special strings, which stand at odd places."""
     return _SPECIAL_SPLIT.split(chunk) if "<|" in chunk else [chunk]
@@ -53,55 +49,55 @@ def special_parts(chunk: str) -> list[str]:
 class ChunkTable(dict):
     """What every chunk gives, filled as chunks come and emptied beyond ``limit``.
 
-    ``word`` gives a pre-token's value, ``total`` sums up a chunk's values, and
-    ``special`` holds those of the special strings.  A pre-token is a chunk of its
-    own, so words and chunks share one table.
+    ``word`` gives the value of a pre-token in byte letters, ``total`` sums up a
+    chunk's values, and ``special`` holds those of the special strings.  Words are
+    kept in a second table of their own.
     """
 
-    def __init__(self, word, total, special: dict, limit: int):
+    def __init__(self, path: str, word, total, special: dict, limit: int):
+        from tokenizers import Tokenizer
+
         super().__init__()
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.word, self.total, self.special, self.limit = word, total, special, limit
+        self.words: dict = {}
 
     def __missing__(self, chunk: str):
         if len(self) >= self.limit:
             self.clear()
-        if chunk.isalpha() and chunk.islower() and unicodedata.is_normalized("NFC", chunk):
-            value = self.word(chunk)
+        if chunk.isascii() and chunk.isalpha():
+            value = self._word(chunk.lower())
         else:
             value = self.total(self._parts(chunk))
         self[chunk] = value
         return value
 
+    def _word(self, letters: str):
+        value = self.words.get(letters)
+        if value is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            value = self.words[letters] = self.word(letters)
+        return value
+
     def _parts(self, chunk: str) -> list:
         found = []
         for at, part in enumerate(special_parts(chunk)):
             if at % 2:
                 found.append(self.special[part])
-                continue
-            for piece in pieces(part):
-                value = self.get(piece)
-                if value is None:
-                    value = self[piece] = self.word(piece)
-                found.append(value)
+            else:
+                found += map(self._word, self._pieces(part))
         return found
 
+    def _pieces(self, part: str) -> list[str]:
+        """Pre-tokens of a chunk without special strings, in byte letters."""
+        if part.isascii():
+            return _ASCII_PIECE.findall(part.lower().translate(_CONTROLS))
+        return [letters for letters, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
+
 
 def load_merges(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
         merges = json.load(f)["model"]["merges"]
     return {tuple(m.split(" ") if isinstance(m, str) else m): rank for rank, m in enumerate(merges)}
-
-
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies.
-
-    Printable Latin-1 bytes stand for themselves, the others follow from 256 on.
-    """
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, spare = [""] * 256, 256
-    for b in range(256):
-        if b in own:
-            out[b] = chr(b)
-        else:
-            out[b], spare = chr(spare), spare + 1
-    return out

@@ -391,3 +391,28 @@ def test_html_long_and_deep_pages(spark):
     rows = [(1, "http://h/1", deep), (2, "http://h/2", long), (3, "http://h/3", long + "<p>end</p>"), (3, "http://h/3", long + "<p>end</p>")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r["page_id"] for r in got) == [1, 2, 3, 3] and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_tokens_of_every_character_match_the_library(tokenizer):
+    import struct
+
+    counter, encoder = token_counts.MergeCounter(words.vocabulary_path()), packing.IdBytes(words.vocabulary_path())
+    points = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    held = ["a" + "b/".join(points[i : i + 16]) + " x" for i in range(0, len(points), 16)]
+    rng = random.Random(2)
+    held += ["".join(rng.choice(points) if rng.random() < 0.5 else rng.choice([*ODD, "'"]) for _ in range(rng.randint(1, 8))) for _ in range(5_000)]
+    for t, e in zip(held, tokenizer.encode_batch(held, add_special_tokens=False), strict=True):
+        assert counter.count(t) == len(e.ids) and encoder.of(t) == struct.pack(f"<{len(e.ids)}I", *e.ids), t
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = []
+    for n in (1, 8, 64, 211):
+        rows = packing.pack_documents(docs.repartition(n)).collect()
+        windows = {r["sequence_id"] for r in rows}
+        assert sum(r["length"] for r in rows) >= 0.98 * 2048 * len(windows)
+        seen.append(sorted((r["doc_id"], r["start"], r["sequence_id"], r["offset"]) for r in rows))
+    assert all(s == seen[0] for s in seen)
+    few = packing.pack_documents(docs, shard=100).collect()  # several shards
+    assert len(few) == len(seen[0]) and sum(r["length"] for r in few) >= 0.9 * 2048 * len({r["sequence_id"] for r in few})

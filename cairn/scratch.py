@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, set to a temporary folder where unset."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder takes its place on a local master only:
+    on a cluster every executor would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

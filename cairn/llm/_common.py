@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.scratch import folder
 from cairn.sources.tables import read
 
 
@@ -20,14 +18,9 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name for a written intermediate table.
 
     It lies under ``spark.checkpoint.dir``, which every executor of a cluster
-    shares.  Where that is unset (tests, one machine), a temporary folder takes
-    its place and is stored in the session so that later calls agree.
+    shares; see ``cairn.scratch``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return folder(spark, what)
 
 
 def materialise(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
@@ -56,3 +49,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"__{name}".lower() in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out

@@ -4,7 +4,9 @@ A large-star step points every larger neighbour of a node at the node's least
 neighbour, a small-star step does so for the smaller ones; both are a grouped
 minimum and a join, so no node's neighbours are ever gathered in one place.
 Rounds are written to the shared scratch folder and end when the edges, by then
-stars around each component's least node, no longer change.
+stars around each component's least node, no longer change.  The minima are written
+too, so that each join stands between two plain shuffles and adaptive execution can
+split a node with many edges.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import discard, scratch
+from cairn.llm._common import discard, materialise, scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -3,12 +3,19 @@
 Text is lower-cased and cut into words of letters and digits.  A test item of n
 words tolerates k = floor((1 - similarity) * n) word edits.  It is cut into
 k + 1 pieces: by the pigeonhole principle, an occurrence with at most k edits
-holds one piece unchanged.  Pieces are looked up in every whole text with one
-automaton pass; around each hit, Myers' bit-parallel algorithm finds the least
-edit distance of the item to any part of the text.
+holds one piece unchanged.
 
-Items are taken in blocks of bounded size, one pass over the documents for each
-block; a block's automaton is all that a worker keeps.
+1. The items become a table of pieces, each with a 64-bit hash of its first words
+   (at most ``LOOKUP``).  All hashes set bits in a filter of at most
+   ``2 ** MAX_BITS`` bits, whatever the number of items; it is all that reaches
+   the driver and the workers.
+2. One pass over the documents hashes every run of that many words in whole texts
+   and writes the texts with runs that pass the filter, with their places.
+3. The places are joined with the pieces by hash, and every distinct text and item
+   that meet are verified once: around each hit, Myers' bit-parallel algorithm
+   finds the least edit distance of the item to any part of the text.
+
+Hash collisions and false passes of the filter only cost a verification.
 
 Defined cases: a null or empty text or item matches nothing, and so does an
 item without words; an item so short that k is 0 must occur unchanged; equal
@@ -22,13 +29,21 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm._common import fresh, materialise
+
 SIMILARITY = 0.8
-#: Bytes of item text in a block, at most (a longer item is a block of its own).
-BLOCK_BYTES = 4_000_000
+#: Words of a piece that are looked up at most.
+LOOKUP = 8
+#: Bits of the filter: 2 to this power at most, about 16 for each piece below that.
+MAX_BITS = 27
+#: Entries kept by a worker's table of word hashes.
+TABLE_LIMIT = 1_000_000
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -73,61 +88,40 @@ class Myers:
         return best, end
 
 
-class Index:
-    """The pieces of a block of items."""
-
-    def __init__(self, items: list[tuple[object, str | None]], similarity: float):
-        import ahocorasick
-
-        self.items = []  # id, words, budget
-        owners: dict[str, list[tuple[int, int, int]]] = defaultdict(list)  # piece text -> item, first word, words
-        for item_id, text in items:
-            if not (w := words_of(text)):
-                continue
-            k = int(round((1 - similarity) * len(w), 9))
-            cuts = [len(w) * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                owners[f" {' '.join(w[a:b])} "].append((len(self.items), a, b - a))
-            self.items.append((item_id, w, k, Myers(w)))
-        self.automaton = ahocorasick.Automaton()
-        for piece, own in owners.items():
-            self.automaton.add_word(piece, (len(piece), own))
-        if owners:
-            self.automaton.make_automaton()
-
-    def matches(self, text: str | None) -> list[tuple[object, int, int]]:
-        """``item id, least distance, words in the item`` of the items that ``text`` holds."""
-        if not text or not self.items:
-            return []
-        line = f" {' '.join(words_of(text))} "
-        hits: dict[int, set[int]] = defaultdict(set)  # item -> where its first word would stand
-        begun: list[int] | None = None
-        for end, (length, own) in self.automaton.iter(line):
-            if begun is None:
-                begun, at = [], -1
-                while (at := line.find(" ", at + 1)) >= 0:
-                    begun.append(at)
-            at = _index(begun, end - length + 1)
-            for item, first, _ in own:
-                hits[item].add(at - first)
-        if not hits:
-            return []
-        w = line.split()
-        found = []
-        for item, starts in hits.items():
-            item_id, pattern, k, myers = self.items[item]
-            best = k + 1
-            for a, z in _windows(sorted(starts), len(pattern), k):
-                best = min(best, myers.best(w[max(0, a) : z])[0])
-            if best <= k:
-                found.append((item_id, best, len(pattern)))
-        return found
-
-
-def _index(begun: list[int], at: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(begun, at)
+class WordHashes(dict):
+    """64-bit hashes of words, filled as words come and emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= TABLE_LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` words."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, length, np.uint64)
+    for i in range(length):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def budget(words: int, similarity: float) -> int:
+    return int(round((1 - similarity) * words, 9))
+
+
+def pieces(words: list[str], similarity: float) -> list[tuple[int, int]]:
+    """First word and number of looked-up words of each piece."""
+    k = budget(len(words), similarity)
+    cuts = [len(words) * i // (k + 1) for i in range(k + 2)]
+    return [(a, min(LOOKUP, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _windows(starts: list[int], length: int, k: int) -> list[tuple[int, int]]:
@@ -142,67 +136,120 @@ def _windows(starts: list[int], length: int, k: int) -> list[tuple[int, int]]:
     return [(a, max(0, z)) for a, z in out]
 
 
-def _blocks(items: DataFrame, block_bytes: int):
-    """Yield lists of items, each of bounded size."""
-    sized = items.select("item_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
-    blocks = max(1, -(-total // max(1, block_bytes // 2)))  # half full on average, for uneven hashing
-    for b in range(blocks):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text")
-        if rows := [(r.item_id, r.text) for r in part.toLocalIterator()]:
-            yield sorted(rows, key=lambda r: (str(r[0]), r[1] or ""))
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def distance(text: list[str], item: list[str], starts: list[int], k: int, myers: Myers | None = None) -> int:
+    """The least distance of the item to a part of the text near ``starts``, or more than k."""
+    myers, best = myers or Myers(item), k + 1
+    for a, z in _windows(sorted(starts), len(item), k):
+        best = min(best, myers.best(text[max(0, a) : z])[0])
+    return best
+
+
+def _item_pieces(tests: DataFrame, similarity: float) -> DataFrame:
+    """``piece, size, first, i1, i2`` of every distinct item text."""
+
+    def run(batches):
+        table = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            for text, i1, i2 in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if w := words_of(text):
+                    h = table.of(w)
+                    out += [(int(run_hashes(h[a : a + n], n)[0].astype(np.int64)), n, a, i1, i2) for a, n in pieces(w, similarity)]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["piece", "size", "first", "i1", "i2"])
+
+    return tests.select("item_text", "i1", "i2").mapInArrow(run, "piece long, size int, first int, i1 long, i2 long")
+
+
+def _filter(found: DataFrame, max_bits: int) -> tuple[np.ndarray, int, list[int]]:
+    """The filter's words of 64 bits, the power of two of its size, and the lengths of the runs."""
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # at most LOOKUP sizes
+    bits = min(max_bits, max(6, (16 * told["n"]).bit_length()))
+    slot = F.shiftrightunsigned("piece", 64 - bits)
+    set_bits = found.select(F.shiftrightunsigned(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    words = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out, bits, told["sizes"]
+
+
+def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, similarity: float, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified ``k1, k2, i1, i2, distance, item_words``, the documents' and the items' keys."""
+    spark = docs.sparkSession
+    key = lambda c: (F.xxhash64(c), F.xxhash64(c, F.lit(1)))
+    tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text"))
+    tests = tests.where(F.col("item_text").isNotNull()).select("item_id", "item_text", *(k.alias(n) for k, n in zip(key("item_text"), ("i1", "i2"), strict=True)))
+    distinct = tests.select("item_text", "i1", "i2").dropDuplicates(["i1", "i2"])
+    found = materialise(_item_pieces(distinct, similarity), "pieces")
+    bitmap, bits, sizes = _filter(found, max_bits)
+    shared = spark.sparkContext.broadcast(bitmap)  # of bounded size
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = rows.select("doc_id", "text", *(k.alias(n) for k, n in zip(key("text"), ("k1", "k2"), strict=True)))
+
+    def passing(batches):
+        table, bitmap = WordHashes(), shared.value
+        for batch in batches:
+            keep, lists, places = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                h, hits, at = table.of(words_of(text.as_py())), [], []
+                for size in sizes:
+                    runs = run_hashes(h, size)
+                    slot = runs >> np.uint64(64 - bits)
+                    on = np.flatnonzero((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    if len(on):
+                        hits.append(runs[on].view(np.int64))
+                        at.append(on.astype(np.int32))
+                if hits:
+                    keep.append(i)
+                    lists.append(np.concatenate(hits))
+                    places.append(np.concatenate(at))
+            chosen = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "text", "k1", "k2", "runs", "places"])
+
+    held = materialise(rows.mapInArrow(passing, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, k1 long, k2 long, runs array<long>, places array<int>"), "held")
+    once = held.select("k1", "k2", "runs", "places").dropDuplicates(["k1", "k2"])
+    hits = once.select("k1", "k2", F.inline(F.arrays_zip("runs", "places"))).withColumnsRenamed({"runs": "piece", "places": "place"})
+    meet = hits.join(found, "piece").groupBy("k1", "k2", "i1", "i2").agg(F.collect_set(F.col("place") - F.col("first")).alias("starts"))
+    pairs = materialise(meet, "meet").join(distinct, ["i1", "i2"]).join(held.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), ["k1", "k2"])
+
+    def verify(batches):
+        last, w, patterns = None, [], {}
+        for batch in batches:
+            names = {n: batch.column(i) for i, n in enumerate(("k1", "k2", "i1", "i2", "item_text", "text", "starts"))}
+            out: list[tuple] = []
+            for i in range(batch.num_rows):
+                k1, k2, i1, i2 = (names[n][i].as_py() for n in ("k1", "k2", "i1", "i2"))
+                if (k1, k2) != last:
+                    last, w = (k1, k2), words_of(names["text"][i].as_py())
+                if (i1, i2) not in patterns:
+                    if len(patterns) >= 10_000:
+                        patterns.clear()
+                    item = words_of(names["item_text"][i].as_py())
+                    patterns[i1, i2] = item, Myers(item)
+                item, myers = patterns[i1, i2]
+                k = budget(len(item), similarity)
+                if (best := distance(w, item, names["starts"][i].as_py(), k, myers)) <= k:
+                    out.append((k1, k2, i1, i2, best, len(item)))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["k1", "k2", "i1", "i2", "distance", "item_words"])
+
+    verified = pairs.select("k1", "k2", "i1", "i2", "item_text", "text", "starts").mapInArrow(verify, "k1 long, k2 long, i1 long, i2 long, distance int, item_words int")
+    return materialise(verified, "verified"), held.select("doc_id", "k1", "k2"), tests.select("item_id", "i1", "i2")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, item_id, distance, item_words`` for each text that holds an item."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {tests.schema['item_id'].dataType.simpleString()}, distance int, item_words int"
-
-    def finder(block):
-        def run(batches):
-            index = Index(block, similarity)
-            for batch in batches:
-                out: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    out += [(doc_id, *m) for m in index.matches(text.as_py())]
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                kinds = (batch.column(0).type, None, pa.int32(), pa.int32())
-                arrays = [pa.array(list(c), k) if k else pa.array(list(c), item_kind) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "distance", "item_words"])
-
-        return run
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_kind = to_arrow_type(tests.schema["item_id"].dataType)
-    found = None
-    for block in _blocks(tests, block_bytes):
-        part = rows.mapInArrow(finder(block), schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns unchanged.
-
-    One narrow pass for each block of items; rows are judged by their own text.
-    """
-    tests = items.select("item_id", F.col("text").cast("string").alias("text"))
+    verified, held, tests = _meetings(docs, items, id_col, text_col, item_id_col, item_text_col, similarity, max_bits)
+    return held.join(verified, ["k1", "k2"]).join(tests, ["i1", "i2"]).select("doc_id", "item_id", "distance", "item_words")
 
-    def holds(block):
-        state: list[Index] = []
 
-        def judge(texts):
-            import pandas as pd
-
-            if not state:
-                state.append(Index(block, similarity))
-            return pd.Series([bool(state[0].matches(t)) for t in texts], dtype=bool)
-
-        return F.pandas_udf(judge, "boolean")
-
-    out = docs
-    for block in _blocks(tests, block_bytes):
-        out = out.where(~holds(block)(F.col(text_col)))
-    return out
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns unchanged; rows are judged by their own text."""
+    verified, _, _ = _meetings(docs, items, id_col, text_col, "item_id", "text", similarity, max_bits)
+    a, b = fresh(docs, "k1", "k2")
+    gone = materialise(verified.select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "gone")
+    text = docs[text_col].cast("string")
+    return docs.join(gone, (F.xxhash64(text) == gone[a]) & (F.xxhash64(text, F.lit(1)) == gone[b]), "left_anti")

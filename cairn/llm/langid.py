@@ -1,13 +1,16 @@
 """Language identification by hierarchical discrimination.
 
-A text is the square-rooted shares of its hashed letter trigrams.  One-versus-one
-linear support vector machines first tell language families apart, then, inside
-the winning family, its closely related languages.  Each machine's margin is
-calibrated on held-back training rows; the score of a prediction is the product
-of the winner's least pairwise confidence at both levels.
-
-Training takes at most about ``PER_LANGUAGE`` labelled rows of each language,
-chosen by hash; everything else covers all rows and whole texts.
+A text is the square-rooted shares of its hashed letter trigrams.  Families of
+related languages are learned: languages whose mean texts are alike are merged, by
+average linkage, into about as many families as a family has members.  One-versus-one
+linear support vector machines first tell families apart, then, inside the winning
+family, its closely related languages.  Each machine's margin is calibrated on
+held-back training rows; the score of a prediction is the product of the winner's
+least pairwise confidence at both levels.
+
+Training takes at most about ``PER_LANGUAGE`` labelled rows of each language and
+about ``MAX_ROWS`` in all (fewer of each where languages are many), chosen by hash;
+every language is learned, and everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 labels that are null teach nothing; without any usable label every text is
@@ -34,26 +37,14 @@ UNDETERMINED = "und"
 BITS = 12
 #: Labelled rows of each language that are fitted (expected number).
 PER_LANGUAGE = 500
-#: Languages at most; bounds what reaches the driver to PER_LANGUAGE rows each.
-MAX_LANGUAGES = 200
-
-# Families of closely related languages; any other is its own family.
-FAMILIES = {
-    "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "sv"),
-    "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
-    "slavic": ("be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
-}
+#: Labelled rows that are fitted in all (expected number); bounds what reaches the driver.
+MAX_ROWS = 20_000
 
 _LETTER = regex.compile(r"\p{L}")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _ASCII_ONLY_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
-def family_of(lang: str) -> str:
-    base = lang.lower().split("-")[0].split("_")[0]
-    return next((name for name, members in FAMILIES.items() if base in members), f"own:{base}")
-
-
 def trigram_shares(text: str | None) -> np.ndarray | None:
     """Square-rooted shares of hashed byte trigrams of the lower-cased letters."""
     if not text:
@@ -138,6 +129,31 @@ class OneVersusOne:
         return best, least[np.arange(n), best]
 
 
+def learned_families(means: np.ndarray) -> list[int]:
+    """The family of each language, named by its first member, from the languages' mean texts.
+
+    The two most alike families are merged while there are more than the square root
+    of the languages; none grows beyond twice that, which bounds its machines.
+    """
+    k = len(means)
+    wanted = int(np.ceil(np.sqrt(k)))
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    alike, size, family = unit @ unit.T, np.ones(k, int), np.arange(k)
+    np.fill_diagonal(alike, -np.inf)
+    for _ in range(k - wanted):
+        fits = np.where(size[:, None] + size[None, :] <= 2 * wanted, alike, -np.inf)
+        a, b = sorted(np.unravel_index(fits.argmax(), fits.shape))
+        if fits[a, b] == -np.inf:
+            break
+        row = (size[a] * alike[a] + size[b] * alike[b]) / (size[a] + size[b])
+        row[[a, b]] = -np.inf
+        alike[a], alike[:, a] = row, row
+        alike[b], alike[:, b] = -np.inf, -np.inf
+        size[a] += size[b]
+        family[family == b] = a
+    return family.tolist()
+
+
 class LanguageModel:
     """Families first, then the languages of each family."""
 
@@ -146,7 +162,10 @@ class LanguageModel:
         self.empty = not len(labels)
         if self.empty:
             return
-        families = np.array([family_of(v) for v in langs], dtype=object)
+        known = sorted(set(langs))
+        family = learned_families(np.stack([x[labels == lang].mean(axis=0) for lang in known]))
+        self.family = {lang: known[f] for lang, f in zip(known, family, strict=True)}
+        families = np.array([self.family[v] for v in langs], dtype=object)
         self.top = OneVersusOne(x, families)
         self.within = {f: OneVersusOne(x[families == f], labels[families == f]) for f in self.top.classes}
 
@@ -167,16 +186,17 @@ class LanguageModel:
         return langs, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Fit on labelled rows whose crc32(id as text) mod 3 is not 1."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id", 3) != 1))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return LanguageModel(np.zeros((0, 1 << BITS), np.float32), [])
+    per_language = min(per_language, max(1, max_rows // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    chosen = rows.where(F.col("lang").isin(list(counts)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     chosen = chosen.select("lang", "text")
 
     def featurise(batches):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import discard, materialise, scratch
+from cairn.llm._common import discard, fresh, materialise, scratch
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -161,14 +161,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``counts`` names two more columns: lines before dropping, lines dropped.
     """
-    lost = repeated_lines(docs, id_col, text_col, min_docs).select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("drop").alias("__drop"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__uid"))
+    i, u, d = fresh(docs, "id", "uid", "drop")
+    lost = repeated_lines(docs, id_col, text_col, min_docs).select(F.col("doc_id").alias(i), F.col("uid").alias(u), F.col("drop").alias(d))
+    same = docs[id_col].cast("long").eqNullSafe(lost[i]) & (F.xxhash64(docs[text_col]) == lost[u])
     joined = docs.join(lost, same, "left")
     text = docs[text_col]
-    changed = F.pandas_udf(_without, "string")(F.when(F.col("__drop").isNotNull(), text), F.col("__drop"))
-    new = F.when(F.col("__drop").isNotNull(), changed).otherwise(text)
+    changed = F.pandas_udf(_without, "string")(F.when(F.col(d).isNotNull(), text), F.col(d))
+    new = F.when(F.col(d).isNotNull(), changed).otherwise(text)
     out = [new.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
         n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-        out += [F.coalesce(n_lines, F.lit(1)).cast("long").alias(counts[0]), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(counts[1])]
+        out += [F.coalesce(n_lines, F.lit(1)).cast("long").alias(counts[0]), F.coalesce(F.size(d), F.lit(0)).cast("long").alias(counts[1])]
     return joined.select(*out)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import materialise
+from cairn.llm._common import fresh, materialise
 from cairn.llm.components import connected_components
 
 SHINGLE = 3
@@ -304,10 +304,11 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     least hash.
     """
     groups = materialise(near_duplicates(docs, id_col, text_col, shingle, radius).select("doc_id", "uid", "root"), "groups")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"))
-    chosen = groups.groupBy("root").agg(F.min(order).alias("c")).select("c.__id", "c.__uid")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__uid"))
+    i, u = fresh(docs, "id", "uid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias(i), F.col("uid").alias(u))
+    chosen = groups.groupBy("root").agg(F.min(order).alias("c")).select(f"c.{i}", f"c.{u}")
+    same = docs[id_col].eqNullSafe(chosen[i]) & (F.xxhash64(docs[text_col]) == chosen[u])
     kept = docs.join(chosen, same, "left_semi")
     if groups.groupBy("doc_id", "uid").count().where("count > 1").isEmpty():
         return kept
-    return kept.withColumn("__uid", F.xxhash64(text_col)).dropDuplicates([id_col, "__uid"]).drop("__uid")
+    return kept.withColumn(u, F.xxhash64(text_col)).dropDuplicates([id_col, u]).drop(u)

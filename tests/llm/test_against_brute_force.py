@@ -237,10 +237,10 @@ def test_decontamination_against_brute_force(spark):
         docs.append((d, ", ".join(t).upper()))
     want = {(d, i, _edit(p.split(), decontam.words_of(t)), len(p.split())) for d, t in docs for i, p in items if p and _edit(p.split(), decontam.words_of(t)) <= round(0.2 * len(p.split()), 9)}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (4_000_000, 100):  # in one block, and in many
-        got = {tuple(r) for r in decontam.find_leaks(d, b, block_bytes=size).collect()}
+    for size in (27, 6):  # a filter that tells nearly all runs, and one that tells few
+        got = {tuple(r) for r in decontam.find_leaks(d, b, max_bits=size).collect()}
         assert got == want
-        assert {r["doc_id"] for r in decontam.drop_contaminated(d, b, block_bytes=size).collect()} == {x for x, _ in docs} - {x[0] for x in want}
+        assert {r["doc_id"] for r in decontam.drop_contaminated(d, b, max_bits=size).collect()} == {x for x, _ in docs} - {x[0] for x in want}
 
 
 def test_chat_round_trip(spark, sf):
@@ -416,3 +416,106 @@ def test_packing_does_not_depend_on_partitions(spark):
     assert all(s == seen[0] for s in seen)
     few = packing.pack_documents(docs, shard=100).collect()  # several shards
     assert len(few) == len(seen[0]) and sum(r["length"] for r in few) >= 0.9 * 2048 * len({r["sequence_id"] for r in few})
+
+
+def test_language_model_against_a_plain_version():
+    from cairn.llm import langid
+
+    rng = np.random.default_rng(3)
+    related = {"aa": [3, 1, 0, 0, 0, 1], "ab": [2, 2, 0, 0, 0, 1], "ba": [0, 0, 3, 1, 0, 1], "bb": [0, 0, 1, 3, 1, 0], "ca": [0, 0, 0, 0, 4, 4]}
+    langs = [lang for lang in related for _ in range(30)]
+    x = np.stack([np.abs(np.array(related[v]) + 0.3 * rng.normal(size=6)) for v in langs]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.LanguageModel(x, langs)
+    assert model.family["aa"] == model.family["ab"] and model.family["ba"] == model.family["bb"] and len(set(model.family.values())) == 3
+
+    def plain(machine, row):  # votes of the pairs, a pair's loser keeps its confidence
+        if len(machine.classes) == 1:
+            return machine.classes[0], 1.0
+        won, sure = dict.fromkeys(machine.classes, 0.0), dict.fromkeys(machine.classes, 1.0)
+        for (a, b), w, scale in zip(machine.pairs, machine.weights, machine.scales, strict=True):
+            p = 1 / (1 + np.exp(-scale * (sum(float(u) * float(v) for u, v in zip(w[:-1], row, strict=True)) + w[-1])))
+            for c, q in ((a, p), (b, 1 - p)):
+                name = machine.classes[c]
+                won[name] += (q > 0.5) + 1e-6 * q
+                sure[name] = min(sure[name], q)
+        best = max(machine.classes, key=won.__getitem__)
+        return best, sure[best]
+
+    right = 0
+    for row, lang in zip(x, langs, strict=True):
+        family, a = plain(model.top, row)
+        told, b = plain(model.within[family], row)
+        got, confidence = model.within[model.top.classes[model.top.predict(row[None])[0][0]]].predict(row[None])
+        assert model.top.classes[model.top.predict(row[None])[0][0]] == family and model.within[family].classes[got[0]] == told
+        assert abs(model.top.predict(row[None])[1][0] * confidence[0] - a * b) < 1e-5
+        right += told == lang
+    assert right > 0.9 * len(langs)
+    y = np.where(np.array(langs) == "aa", 1.0, -1.0).astype(np.float32)[:60]
+    ones = np.hstack([x[:60], np.ones((60, 1), np.float32)]).astype(float)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    loss = lambda w: 0.5e-3 * w @ w + (weight * np.maximum(0, 1 - y * (ones @ w)) ** 2).sum()
+    w = np.zeros(7)
+    for _ in range(40_000):  # plain gradient descent, far longer
+        w -= 0.2 * (1e-3 * w - 2 * ones.T @ (weight * y * np.maximum(0, 1 - y * (ones @ w))))
+    assert loss(langid.fit_svm(x[:60], y, steps=2_000).astype(float)) <= 1.02 * loss(w)
+    assert loss(langid.fit_svm(x[:60], y).astype(float)) <= 1.5 * loss(w)
+    margin = x[:60] @ langid.fit_svm(x[:60], y)[:-1]
+    cost = lambda s: np.log1p(np.exp(-s * margin * y)).mean() + 0.5e-3 * s * s
+    assert cost(langid.fit_scale(margin, y)) <= min(cost(s) for s in np.linspace(0.1, 50, 2_000)) + 1e-4
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join(letters[k % 26] * 3 + letters[k // 26 % 26] * 2 for _ in range(4)), f"l{k:03d}") for i, k in enumerate(j % 240 for j in range(240 * 9))]
+    from cairn.llm import langid
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, max_rows=3_000)
+    assert len(model.family) == 240 and max(len(m.classes) for m in model.within.values()) <= 32
+    told = langid.identify(df, model).join(df, "doc_id")
+    assert told.where("lang = lang_pred").count() > 0.95 * len(rows)
+
+
+def test_trees_against_a_plain_split_finder():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 0] * x[:, 1] + 0.1 * rng.normal(size=120) > 0).astype(float)
+    model = quality.BoostedTrees(2).fit(x, y, rounds=3, bins=16)
+    edges = [sorted(set(np.quantile(x[:, f], [i / 16 for i in range(1, 16)]))) for f in range(3)]
+    raw = np.full(120, model.base)
+    assert model.base == pytest.approx(np.log(y.mean() / (1 - y.mean())))
+    for tree in range(3):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1.0)  # noqa: E731, B023
+
+        def gain(rows, f, t):
+            left, right = [i for i in rows if x[i, f] <= t], [i for i in rows if x[i, f] > t]  # noqa: B023
+            if not left or not right or h[left].sum() < 1 or h[right].sum() < 1:  # noqa: B023
+                return 0.0
+            return score(left) + score(right) - score(rows)  # noqa: B023
+
+        def grow(node, rows):
+            if node >= 3:
+                value = -0.1 * g[rows].sum() / (h[rows].sum() + 1.0)  # noqa: B023
+                assert model.value[tree, node - 3] == pytest.approx(value, abs=1e-9)  # noqa: B023
+                raw[rows] += value
+                return
+            best = max(gain(rows, f, t) for f in range(3) for t in edges[f])
+            f, t = model.feature[tree, node], model.threshold[tree, node]  # noqa: B023
+            assert (gain(rows, f, t) if np.isfinite(t) else 0.0) == pytest.approx(best, abs=1e-9)
+            grow(2 * node + 1, [i for i in rows if x[i, f] <= t])
+            grow(2 * node + 2, [i for i in rows if x[i, f] > t])
+
+        grow(0, list(range(120)))
+
+
+def test_decontamination_of_many_items_in_one_pass(spark):
+    rng = random.Random(12)
+    items = spark.range(100_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 12), i -> concat('w', pmod(xxhash64(id, i), 5000)))) AS text")
+    planted = items.where("item_id % 1000 = 7").collect()
+    docs = [(i, f"some words before {r['text']} and some behind") for i, r in enumerate(planted)] + [(1_000 + i, " ".join(f"w{rng.randrange(5_000)}" for _ in range(300))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, items).collect()}
+    assert got == {(i, r["item_id"]) for i, r in enumerate(planted)}

@@ -4,9 +4,10 @@ White space never takes part in a token there, so a text's tokens are those of
 its white-space-delimited chunks, one after another.  Chunks repeat far more
 often than texts do; every worker keeps what a chunk gave in a bounded table.
 
-Words are handled in the vocabulary's byte letters.  A chunk of ASCII is cut by
-the fixed pattern below; any other goes through the vocabulary's own normaliser
-and pre-tokenizer, whose tables of characters are newer than Python's.
+Words are handled in the vocabulary's byte letters.  A chunk of ASCII and the
+letters of Latin-1, where all tables of characters agree, is cut by the fixed pattern
+below; any other goes through the vocabulary's own normaliser and pre-tokenizer,
+whose tables are newer than Python's.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ VOCABULARY = "word_bpe_49k.json"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-#: Byte letters of the ASCII characters that are not printable.
-_CONTROLS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), 0x7F])}
+_PLAIN = re.compile("[\x00-\x7f\xc0-\xff]+")
+_PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Bytes whose letter is not their own character, in order; the letters follow from 256 on.
+_UNPRINTED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(_UNPRINTED)}
 _SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 _SPACES = re.compile("[" + SPACE + "]+")
 #: str.split() also cuts at these, the vocabulary's white space does not hold them.
@@ -50,8 +53,8 @@ class ChunkTable(dict):
     """What every chunk gives, filled as chunks come and emptied beyond ``limit``.
 
     ``word`` gives the value of a pre-token in byte letters, ``total`` sums up a
-    chunk's values, and ``special`` holds those of the special strings.  Words are
-    kept in a second table of their own.
+    chunk's values, and ``special`` holds those of the special strings.  Words
+    of other letters than a to z are kept in a second table.
     """
 
     def __init__(self, path: str, word, total, special: dict, limit: int):
@@ -66,14 +69,16 @@ class ChunkTable(dict):
     def __missing__(self, chunk: str):
         if len(self) >= self.limit:
             self.clear()
-        if chunk.isascii() and chunk.isalpha():
-            value = self._word(chunk.lower())
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            value = self.word(chunk)
         else:
             value = self.total(self._parts(chunk))
         self[chunk] = value
         return value
 
     def _word(self, letters: str):
+        if letters.isascii() and letters.isalpha():  # a chunk of its own
+            return self[letters]
         value = self.words.get(letters)
         if value is None:
             if len(self.words) >= self.limit:
@@ -92,8 +97,9 @@ class ChunkTable(dict):
 
     def _pieces(self, part: str) -> list[str]:
         """Pre-tokens of a chunk without special strings, in byte letters."""
-        if part.isascii():
-            return _ASCII_PIECE.findall(part.lower().translate(_CONTROLS))
+        if _PLAIN.fullmatch(part):
+            found = _PLAIN_PIECE.findall(part.lower())
+            return [p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(_LETTERS) for p in found]
         return [letters for letters, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
 

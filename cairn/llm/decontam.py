@@ -40,8 +40,12 @@ from cairn.llm._common import fresh, materialise
 SIMILARITY = 0.8
 #: Words of a piece that are looked up at most.
 LOOKUP = 8
-#: Bits of the filter: 2 to this power at most, about 16 for each piece below that.
+#: Bits of the filter: 2 to this power at most, about 64 for each piece below that.
 MAX_BITS = 27
+#: Bits that a piece sets, each by an odd multiplier of its own (fixed values).
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Words that are hashed together.
+TOGETHER = 262_144
 #: Entries kept by a worker's table of word hashes.
 TABLE_LIMIT = 1_000_000
 
@@ -162,18 +166,37 @@ def _item_pieces(tests: DataFrame, similarity: float) -> DataFrame:
     return tests.select("item_text", "i1", "i2").mapInArrow(run, "piece long, size int, first int, i1 long, i2 long")
 
 
+def _slots(hashes: np.ndarray, bits: int, multiplier: int) -> np.ndarray:
+    return (hashes * np.uint64(multiplier)) >> np.uint64(64 - bits)
+
+
 def _filter(found: DataFrame, max_bits: int) -> tuple[np.ndarray, int, list[int]]:
     """The filter's words of 64 bits, the power of two of its size, and the lengths of the runs."""
     told = found.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # at most LOOKUP sizes
-    bits = min(max_bits, max(6, (16 * told["n"]).bit_length()))
-    slot = F.shiftrightunsigned("piece", 64 - bits)
-    set_bits = found.select(F.shiftrightunsigned(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    words = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = min(max_bits, max(6, (64 * told["n"]).bit_length()))
+
+    def marks(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            slots = np.unique(np.concatenate([_slots(h, bits, m) for m in MULTIPLIERS]))
+            bit = np.uint64(1) << (slots & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bit"])
+
+    words = found.select("piece").mapInArrow(marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out, bits, told["sizes"]
 
 
+def _passing(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes whose bits are all set."""
+    at = np.arange(len(hashes))
+    for m in MULTIPLIERS:
+        slot = _slots(hashes[at], bits, m)
+        at = at[((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    return at
+
+
 def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, similarity: float, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified ``k1, k2, i1, i2, distance, item_words``, the documents' and the items' keys."""
     spark = docs.sparkSession
@@ -190,23 +213,34 @@ def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
 
     def passing(batches):
         table, bitmap = WordHashes(), shared.value
+
+        def flush(batch, first, hashes):
+            sizes_of = np.array([len(h) for h in hashes])
+            ends = np.cumsum(sizes_of)
+            every = np.concatenate(hashes)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # text, run, place
+            for size in sizes:
+                runs = run_hashes(every, size)
+                at = _passing(runs, bitmap, bits)
+                own = np.searchsorted(ends, at, "right")
+                whole = at + size <= ends[own]  # not across two texts
+                at, own = at[whole], own[whole]
+                found.append((own, runs[at].view(np.int64), at - (ends - sizes_of)[own]))
+            own, runs, places = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(own, kind="stable")
+            texts, begins = np.unique(own[order], return_index=True)
+            offsets = pa.array(np.append(begins, len(own)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order], k)) for c, k in ((runs, pa.int64()), (places, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(first + texts)).columns, *lists], names=["doc_id", "text", "k1", "k2", "runs", "places"])
+
         for batch in batches:
-            keep, lists, places = [], [], []
+            first, waiting, words = 0, [], 0
             for i, text in enumerate(batch.column(1)):
-                h, hits, at = table.of(words_of(text.as_py())), [], []
-                for size in sizes:
-                    runs = run_hashes(h, size)
-                    slot = runs >> np.uint64(64 - bits)
-                    on = np.flatnonzero((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                    if len(on):
-                        hits.append(runs[on].view(np.int64))
-                        at.append(on.astype(np.int32))
-                if hits:
-                    keep.append(i)
-                    lists.append(np.concatenate(hits))
-                    places.append(np.concatenate(at))
-            chosen = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "text", "k1", "k2", "runs", "places"])
+                waiting.append(table.of(words_of(text.as_py())))
+                words += len(waiting[-1])
+                if words >= TOGETHER or i + 1 == batch.num_rows:
+                    yield flush(batch, first, waiting)
+                    first, waiting, words = i + 1, [], 0
 
     held = materialise(rows.mapInArrow(passing, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, k1 long, k2 long, runs array<long>, places array<int>"), "held")
     once = held.select("k1", "k2", "runs", "places").dropDuplicates(["k1", "k2"])

@@ -40,7 +40,7 @@ class Engine:
 
     def search(self, request: A.Request, text: str, limit: int | None = None, **filters) -> DataFrame:
         rows = E.visible(self.events.where(E.condition(**filters)).where(A.any_of(self.scopes(request))), E.deleted_ids(self.events))
-        hits = S.with_fallback(S.postings(rows, "eid", "content"), text).withColumnRenamed("id", "eid")
+        hits = S.with_fallback(rows, "eid", ["content"], text).withColumnRenamed("id", "eid")
         return rows.join(hits, "eid").orderBy(*E.ORDER).limit(K.check_limit(limit))
 
     def get_event(self, request: A.Request, eid: str) -> DataFrame:

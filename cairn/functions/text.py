@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,20 +25,50 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), NOT_TOKEN), lambda t: t != "")
 
 
+def token_text(c: Column) -> Column:
+    """The tokens of a text with one space before, between and behind them."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), NOT_TOKEN, " ")), F.lit(" "))
+
+
+def _outside_ascii(c: Column, work) -> Column:
+    """A Python function of texts, which only rows that are not ASCII go through."""
+    plain = ~c.rlike("[^\x00-\x7f]")
+    return F.when(plain, c).otherwise(F.pandas_udf(work, "string")(F.when(~plain, c)))
+
+
 def nfc(c: Column) -> Column:
-    """Canonical composition; plain ASCII never leaves the JVM's rows changed."""
+    """Canonical composition; ASCII rows reach Python as nulls."""
     def compose(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return F.pandas_udf(compose, "string")(c)
+    return _outside_ascii(c, compose)
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their combining marks, as the full-text tokenizer folds them."""
+    """Letters without their combining marks, by full decomposition."""
     def strip(s):
         return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFD", x) if not unicodedata.combining(ch)))
 
-    return F.pandas_udf(strip, "string")(c)
+    return _outside_ascii(c, strip)
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, their letters, and last the marks themselves."""
+    letters, bare, marks = [], [], []
+    for code in range(0xC0, 0x2000):
+        parts = [x for x in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(x)]
+        if not parts:
+            marks.append(chr(code))
+        elif len(parts) == 1 and parts[0] != chr(code):
+            letters.append(chr(code))
+            bare.append(parts[0])
+    return "".join(letters + marks), "".join(bare)
+
+
+def fold_accents(c: Column) -> Column:
+    """Accented letters as their plain ones and marks dropped, inside the JVM."""
+    return F.translate(c, *_accents())
 
 
 def normalize_text(c: Column, composed: bool = False) -> Column:

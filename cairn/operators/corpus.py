@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import identity as I
 from cairn.functions import text as X
-from cairn.operators.relational import first_by
+from cairn.scratch import written
 
 
 def identify_units(units: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -19,10 +23,13 @@ def identify_units(units: DataFrame, ascii_only: bool = False) -> DataFrame:
 
 
 def dedup_units(units: DataFrame, content: str = "content_hash", ident: str = "location_id") -> DataFrame:
-    """``duplicate_of``: the first unit of the same source with the same content, if another."""
-    same = Window.partitionBy(content, "source_ref").orderBy("line_no")
-    first = F.first(ident).over(same)
-    return units.withColumn("duplicate_of", F.when(first != F.col(ident), first))
+    """``duplicate_of``: the first unit of the same source with the same content, if another.
+
+    ``content`` is a hash (pass texts as one: it is what gets shuffled).  Firsts are a
+    pre-aggregated minimum; a content that stands once goes through no window.
+    """
+    firsts = units.groupBy(content, "source_ref").agg(F.min_by(ident, "line_no").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    return units.join(firsts, [content, "source_ref"], "left").withColumn("duplicate_of", F.when(F.col("__first") != F.col(ident), F.col("__first"))).drop("__first")
 
 
 def shared_content(units: DataFrame, content: str = "content_hash") -> DataFrame:
@@ -34,20 +41,33 @@ def version_chain(records: DataFrame) -> DataFrame:
     """Versions of each source in order: what each supersedes, and the content before it.
 
     A version that repeats an id is the same version; unchanged content names no
-    predecessor.
+    predecessor.  Repeats are dropped by a pre-aggregated minimum; a source's chain is
+    cut into ordered ranges, and each range's last version is carried to the next, so
+    no task holds a whole source.
     """
-    once = first_by(records, ["version_id"], ["position"])
-    chain = Window.partitionBy("source_id").orderBy("position")
-    before = F.lag("content_hash").over(chain)
-    return once.withColumns({
-        "supersedes": F.lag("version_id").over(chain),
-        "predecessor_content_hash": F.when(before != F.col("content_hash"), before),
-    })
+    rest = [c for c in records.columns if c != "version_id"]
+    once = records.groupBy("version_id").agg(F.min_by(F.struct(*rest), "position").alias("r")).select("version_id", "r.*")
+    return carried_lag(once, "source_id", ["position", "version_id"], "version_id", "content_hash")
+
+
+def carried_lag(rows: DataFrame, key: str, order: list[str], ident: str, content: str) -> DataFrame:
+    """``supersedes`` and ``predecessor_content_hash`` of each row: the row of its key before it."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(width, key, *order).withColumn("__range", F.spark_partition_id()), "chain")
+    last = ranged.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__at")).agg(F.max_by(F.struct(F.col(ident).alias("i"), F.col(content).alias("h")), F.struct(*order)).alias("__last"))
+    along = Window.partitionBy("__key").orderBy("__at")
+    carried = last.select("__key", "__at", F.lag("__last").over(along).alias("__carried"))
+    chain = Window.partitionBy(key, "__range").orderBy(*order)
+    local = ranged.withColumn("__lag", F.lag(F.struct(F.col(ident).alias("i"), F.col(content).alias("h"))).over(chain))
+    known = local.join(carried, local[key].eqNullSafe(carried["__key"]) & (F.col("__range") == F.col("__at")))
+    before = F.coalesce("__lag", "__carried")
+    return known.select(*rows.columns, before["i"].alias("supersedes"), F.when(before["h"] != F.col(content), before["h"]).alias("predecessor_content_hash"))
 
 
 def latest_sources(records: DataFrame) -> DataFrame:
-    """The last record of each source."""
-    return first_by(records, ["source_id"], [F.desc("position")])
+    """The last record of each source: a pre-aggregated maximum."""
+    rest = [c for c in records.columns if c != "source_id"]
+    return records.groupBy("source_id").agg(F.max_by(F.struct(*rest), "position").alias("r")).select("source_id", "r.*")
 
 
 def secret_gate(units: DataFrame, body: str = "text") -> DataFrame:
@@ -59,14 +79,29 @@ def secret_gate(units: DataFrame, body: str = "text") -> DataFrame:
 def keyword_enrichment(units: DataFrame, ident: str = "unit", body: str = "text", top: int = 8) -> DataFrame:
     """Top words and word pairs of each unit with their share of the top's count.
 
-    Units that hold a secret have none.
+    Units that hold a secret have none.  A unit's terms are all in its row, so an
+    Arrow function counts them there, row by row; nothing is shuffled.
     """
     safe = units.where(X.secret_rule(F.col(body)).isNull()).select(F.col(ident).alias("unit"), X.keywords(F.col(body)).alias("kept"))
-    pairs = F.zip_with(F.slice("kept", F.lit(1), F.greatest(F.size("kept") - 1, F.lit(0))), F.slice("kept", F.lit(2), F.greatest(F.size("kept") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    counts = safe.select("unit", F.explode(F.concat("kept", pairs)).alias("term")).groupBy("unit", "term").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("n"), "term"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
-    return best.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("unit")))
+
+    def count(batches):
+        for batch in batches:
+            rows, terms, numbers, ranks, weights = [], [], [], [], []
+            for i, kept in enumerate(batch.column(1)):
+                words = kept.as_py() or []
+                counts = Counter(words)
+                counts.update(map(" ".join, zip(words, words[1:], strict=False)))
+                best = nsmallest(top, counts.items(), key=lambda x: (-x[1], x[0]))
+                total = sum(n for _, n in best)
+                rows += [i] * len(best)
+                terms += [t for t, _ in best]
+                numbers += [n for _, n in best]
+                ranks += range(1, len(best) + 1)
+                weights += [n / total for _, n in best]
+            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(numbers, pa.int64()), pa.array(ranks, pa.int32()), pa.array(weights, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["unit", "term", "n", "rank", "weight"])
+
+    return safe.mapInArrow(count, f"unit {safe.schema['unit'].dataType.simpleString()}, term string, n long, rank int, weight double")
 
 
 def quality_gate(docs: DataFrame, body: str = "text", least: int = 500, garbage: float = 0.3) -> DataFrame:

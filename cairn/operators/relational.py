@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order.
+
+    A row number with a limit of one: each partition keeps its own first row of a
+    key before the shuffle, so a hot key sends one row a partition.
+    """
     by = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(by)).where("__rn = 1").drop("__rn")
 

@@ -1,196 +1,168 @@
-"""Full-text search over a postings table.
+"""Full-text search.
 
-A query text becomes a small boolean tree on the driver.  Each leaf is a set of
-documents out of the postings; AND is a semi-join, OR a union, NOT an anti-join,
-and a phrase is a positional self-join, so the plan stays declarative and every
-join is on the document id.
+Callers compose conditions with ``term``, ``prefix``, ``phrase``, ``near``,
+``all_of``, ``any_of`` and ``but_not``.  A condition is a test of a row's token text, so
+a search is one narrow scan however many words it has, and it sits beside scopes and
+filters in one ``where``.  For batches of queries there is a postings table, to be
+written once and joined by term.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 
+_TOKEN = re.compile(r"[^\W_]+")
+
+#: A test of the token texts of a row's columns.
+Condition = Callable[[dict[str, Column]], Column]
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, pos``: every token with its place; texts without tokens give none."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(X.tokens(F.col(text_col))).alias("pos", "term"))
 
+class QueryError(ValueError):
+    """A condition that is not well formed."""
 
-# ---------------------------------------------------------------- query language
 
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in _TOKEN.findall(text)]
 
-class QueryError(ValueError):
-    """A query that is not well formed."""
 
+def _each(test: Callable[[Column], Column], column: str | None) -> Condition:
+    """``test`` in one column, or in any of them."""
 
-@dataclass(frozen=True)
-class Node:
-    op: str  # term, prefix, phrase, near, and, or, not
-    terms: tuple[str, ...] = ()
-    parts: tuple[Node, ...] = ()
-    distance: int = 10
+    def run(tokens: dict[str, Column]) -> Column:
+        if column is not None and column not in tokens:
+            raise QueryError(f"no column {column!r}")
+        own = [tokens[column]] if column else list(tokens.values())
+        return reduce(lambda a, b: a | b, [F.coalesce(test(t), F.lit(False)) for t in own])
 
+    return run
+
+
+def _one_or_more(text: str) -> list[str]:
+    if not (found := words_of(text)):
+        raise QueryError(f"{text!r} has no word")
+    return found
+
+
+def _test(tokens: Column, words: list[str], prefix: bool = False, first: bool = False) -> Column:
+    """Adjacent tokens, the last one by its beginning if ``prefix``, from the start if ``first``."""
+    wanted = " " + " ".join(words) + ("" if prefix else " ")
+    return tokens.startswith(wanted) if first else tokens.contains(wanted)
+
+
+def term(text: str, column: str | None = None, first: bool = False) -> Condition:
+    """One word, or the run that a text with several makes; ``first``: at the start of the column."""
+    words = _one_or_more(text)
+    return _each(lambda t: _test(t, words, first=first), column)
+
+
+phrase = term
+
+
+def prefix(text: str, column: str | None = None, first: bool = False) -> Condition:
+    words = _one_or_more(text)
+    return _each(lambda t: _test(t, words, True, first), column)
+
+
+def near(parts: list[str], distance: int = 10, column: str | None = None) -> Condition:
+    """Words or phrases with at most ``distance`` other tokens between the first and the last of them."""
+    runs = [_one_or_more(p) for p in parts]
+    room = distance + sum(map(len, runs))
+    # From the first token of a window, each part lies wholly within it.
+    inside = "".join(f"(?=(?:[^ ]+ ){{0,{room - len(words)}}}{' '.join(words)} )" for words in runs)
+    every = [" " + " ".join(words) + " " for words in runs]
+
+    def test(tokens: Column) -> Column:
+        return reduce(lambda a, b: a & b, [tokens.contains(w) for w in every]) & tokens.rlike(" " + inside)
+
+    return _each(test, column)
+
+
+def all_of(*parts: Condition) -> Condition:
+    return lambda tokens: reduce(lambda a, b: a & b, [p(tokens) for p in parts])
+
+
+def any_of(*parts: Condition) -> Condition:
+    return lambda tokens: reduce(lambda a, b: a | b, [p(tokens) for p in parts])
 
-_LEX = re.compile(r'\s*(?:(\()|(\))|"([^"]*)"(\*)?|(NEAR)\(|([^\s()"]+))')
-_TOKEN = re.compile(r"[^\W_]+")
 
+def but_not(wanted: Condition, *parts: Condition) -> Condition:
+    return lambda tokens: reduce(lambda a, b: a & ~b, [p(tokens) for p in parts], wanted(tokens))
 
-def parse(text: str) -> Node:
-    """Implicit AND, ``OR``, ``NOT``, ``AND``, quotes, prefix ``*``, parentheses, NEAR.
 
-    A hyphen counts as a space, as it does for event queries.
+def tokens_of(columns: list[str], fold: bool = True) -> dict[str, Column]:
+    return {c: X.token_text(X.fold_accents(F.col(c)) if fold else F.col(c)) for c in columns}
+
+
+def matches(condition: Condition, columns: list[str], fold: bool = True) -> Column:
+    """A condition as one predicate over text columns; ``fold`` reads letters without accents."""
+    return condition(tokens_of(columns, fold))
+
+
+def find(docs: DataFrame, ident: str, columns: list[str], condition: Condition, fold: bool = True) -> DataFrame:
+    """Ids of the rows that a condition matches: one scan, no shuffle."""
+    return docs.where(matches(condition, columns, fold)).select(F.col(ident).alias("id"))
+
+
+def with_fallback(docs: DataFrame, ident: str, columns: list[str], text: str, fold: bool = True) -> DataFrame:
+    """``id, match_mode``: rows that hold every word, or any of them if none holds all.
+
+    A hyphen counts as a space.  One scan marks both; whether a row holds every word
+    is told by one aggregate beside it.
     """
-    source = " ".join(text.replace("-", " ").split())
-    if source.count('"') % 2:
-        raise QueryError("unbalanced quotes")
-    items: list[tuple[str, str]] = []
-    at = 0
-    while at < len(source):
-        m = _LEX.match(source, at)
-        if not m:
-            raise QueryError(f"unreadable near {source[at : at + 10]!r}")
-        at = m.end()
-        if m[1]:
-            items.append(("(", ""))
-        elif m[2]:
-            items.append((")", ""))
-        elif m[3] is not None:
-            items.append(("prefix" if m[4] else "phrase", m[3]))
-        elif m[5]:
-            close = source.find(")", at)
-            if close < 0:
-                raise QueryError("unbalanced parentheses")
-            items.append(("near", source[at:close]))
-            at = close + 1
-        elif m[6] in ("AND", "OR", "NOT"):
-            items.append((m[6], ""))
-        else:
-            items.append(("prefix" if m[6].endswith("*") else "phrase", m[6].rstrip("*")))
-    if not items:
+    words = words_of(text.replace("-", " "))
+    if not words:
         raise QueryError("empty query")
-    node, rest = _either(items, 0)
-    if rest != len(items):
-        raise QueryError("unbalanced parentheses")
-    return node
-
-
-def _either(items, at):
-    parts, at = _all(items, at)
-    found = [parts]
-    while at < len(items) and items[at][0] == "OR":
-        more, at = _all(items, at + 1)
-        found.append(more)
-    return (found[0] if len(found) == 1 else Node("or", parts=tuple(found))), at
-
-
-def _all(items, at):
-    parts, none = [], []
-    while at < len(items) and items[at][0] not in ("OR", ")"):
-        kind = items[at][0]
-        if kind == "AND":
-            at += 1
-            continue
-        if kind == "NOT":
-            node, at = _leaf(items, at + 1)
-            none.append(node)
-            continue
-        node, at = _leaf(items, at)
-        parts.append(node)
-    if not parts:
-        raise QueryError("an operator lacks its operand")
-    node = parts[0] if len(parts) == 1 else Node("and", parts=tuple(parts))
-    return (Node("not", parts=(node, *none)) if none else node), at
-
-
-def _leaf(items, at):
-    if at >= len(items):
-        raise QueryError("an operator lacks its operand")
-    kind, value = items[at]
-    if kind == "(":
-        node, at = _either(items, at + 1)
-        if at >= len(items) or items[at][0] != ")":
-            raise QueryError("unbalanced parentheses")
-        return node, at + 1
-    words = tuple(w.lower() for w in _TOKEN.findall(value))
-    if not words or kind in ("AND", "OR", "NOT", ")"):
-        raise QueryError("an operator lacks its operand")
-    if kind == "near":
-        distance = int(words[-1]) if "," in value and words[-1].isdigit() else 10
-        return Node("near", words[:-1] if "," in value else words, distance=distance), at + 1
-    if kind == "prefix":
-        return Node("prefix", words), at + 1
-    return Node("term" if len(words) == 1 else "phrase", words), at + 1
-
-
-def any_term(text: str) -> Node | None:
-    """The fallback: any of at least two terms of the text."""
-    words = [w.lower() for w in _TOKEN.findall(text.replace("-", " ")) if w not in ("AND", "OR", "NOT")]
-    return Node("or", parts=tuple(Node("term", (w,)) for w in words)) if len(words) >= 2 else None
-
-
-# --------------------------------------------------------------------- execution
-
-
-def matching(p: DataFrame, node: Node) -> DataFrame:
-    """Ids of the documents that a query tree matches, each once."""
-    if node.op == "term":
-        return p.where(F.col("term") == node.terms[0]).select("id").distinct()
-    if node.op in ("phrase", "prefix"):
-        last = len(node.terms) - 1
-        hits = None
-        for i, word in enumerate(node.terms):
-            test = F.col("term").startswith(word) if node.op == "prefix" and i == last else F.col("term") == word
-            here = p.where(test).select("id", (F.col("pos") - i).alias("at")).distinct()
-            hits = here if hits is None else hits.join(here, ["id", "at"], "left_semi")
-        return hits.select("id").distinct()
-    if node.op == "near":
-        hits = p.where(F.col("term") == node.terms[0]).select("id", F.col("pos").alias("low"), F.col("pos").alias("high"))
-        for word in node.terms[1:]:
-            here = p.where(F.col("term") == word).select("id", "pos")
-            hits = hits.join(here, "id").where(F.greatest("high", "pos") - F.least("low", "pos") <= node.distance + len(node.terms) - 1)
-            hits = hits.select("id", F.least("low", "pos").alias("low"), F.greatest("high", "pos").alias("high")).distinct()
-        return hits.select("id").distinct()
-    sets = [matching(p, part) for part in node.parts]
-    out = sets[0]
-    for other in sets[1:]:
-        if node.op == "and":
-            out = out.join(other, "id", "left_semi")
-        elif node.op == "or":
-            out = out.unionByName(other)
-        else:
-            out = out.join(other, "id", "left_anti")
-    return out.distinct() if node.op == "or" else out
-
-
-def with_fallback(p: DataFrame, text: str) -> DataFrame:
-    """``id, match_mode``: strict matches, or any-term matches if there are none."""
-    strict = matching(p, parse(text)).withColumn("match_mode", F.lit("strict"))
-    loose = any_term(text)
-    if loose is None:
-        return strict
-    none = strict.agg(F.count(F.lit(1)) == 0).scalar()
-    relaxed = matching(p, loose).withColumn("match_mode", F.lit("any_term")).where(none)
-    return strict.unionByName(relaxed)
-
-
-def search_batch(p: DataFrame, queries: DataFrame, need: str = "all") -> DataFrame:
+    n = len(set(words))
+    tokens = list(tokens_of(columns, fold).values())
+    held = [reduce(lambda a, b: a | b, [F.coalesce(_test(t, [w]), F.lit(False)) for t in tokens]) for w in sorted(set(words))]
+    seen = docs.select(F.col(ident).alias("id"), reduce(lambda a, b: a + b, [h.cast("int") for h in held]).alias("n")).where(F.col("n") > 0)
+    if n < 2:
+        return seen.select("id", F.lit("strict").alias("match_mode"))
+    strict = F.col("n") == n
+    none = seen.agg(F.coalesce(F.max("n"), F.lit(0)) < n).scalar()
+    return seen.where(strict | none).select("id", F.when(strict, "strict").otherwise("any_term").alias("match_mode"))
+
+
+# ---------------------------------------------------------------------- batches
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
+    """``id, term, pos``: every token with its place; texts without tokens give none."""
+    text = X.fold_accents(F.col(text_col)) if fold else F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(X.tokens(text)).alias("pos", "term"))
+
+
+def search_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, need: str = "all", fold: bool = False) -> DataFrame:
     """Many bag-of-words queries at once: ``query_id, id, matched``.
 
-    One shuffle join of query terms with postings by term, then a count of the
-    distinct terms; ``need`` is ``all`` terms or ``any``.
+    With ``need`` ``all``, a document meets a query through the query's rarest term
+    only, and the other terms are looked up in the document's own distinct terms: a
+    common word is never joined with all its documents.  With ``any``, terms meet
+    documents one by one.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    seen = p.select("id", "term").distinct()
-    hits = asked.join(seen, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("matched"))
-    out = hits.join(size, "query_id")
-    return (out.where(F.col("matched") == F.col("wanted")) if need == "all" else out).select("query_id", "id", "matched")
+    text = X.fold_accents(F.col(text_col)) if fold else F.col(text_col)
+    asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    rows = docs.select(F.col(id_col).alias("id"), F.array_distinct(X.tokens(text)).alias("held"))
+    each = asked.select("query_id", "terms", F.explode("terms").alias("term"))
+    if need == "any":
+        hits = each.select("query_id", "term").join(rows.select("id", F.explode("held").alias("term")), "term")
+        return hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("matched"))
+    wanted = each.select("term").distinct()
+    often = rows.select(F.explode("held").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)), F.col("term"))
+    rarest = each.join(often, "term", "left").groupBy("query_id").agg(F.min(rank).alias("r"), F.first("terms").alias("terms")).select("query_id", "terms", F.col("r.term").alias("term"))
+    # Only the documents' rarest-term entries are exploded, each with the terms to check.
+    starts = rarest.select("term").distinct()
+    held = rows.select("id", "held", F.explode("held").alias("term")).join(starts, "term", "left_semi")
+    met = held.join(rarest, "term").where(F.size(F.array_except("terms", "held")) == 0)
+    return met.select("query_id", "id", F.size("terms").cast("long").alias("matched"))
 
 
 # -------------------------------------------------------------- corpus retrieval
@@ -203,49 +175,14 @@ def corpus_words(text: str) -> list[str]:
     return [w for w in (t.translate(str.maketrans("", "", _DELETED)) for t in text.lower().split()) if w]
 
 
-def corpus_match(terms: Column, words: list[str], every: bool = True) -> Column:
-    """Units whose tokens begin with all (or any) of the words.
+def corpus_match(tokens: Column, words: list[str], every: bool = True) -> Column:
+    """Units whose token text has tokens that begin with all (or any) of the words.
 
     A word that splits into several tokens matches as a run of them, the last one
     by its beginning.
     """
-    tests = []
-    for word in words:
-        runs = [w.lower() for w in _TOKEN.findall(word)]
-        if not runs:
-            continue
-        if len(runs) == 1:
-            tests.append(_begins(terms, runs[0]))
-        else:
-            tests.append(_run(terms, runs))
-    if not tests:
-        return F.lit(False)
-    out = tests[0]
-    for t in tests[1:]:
-        out = (out & t) if every else (out | t)
-    return out
-
-
-def _begins(terms: Column, word: str) -> Column:
-    return F.exists(terms, lambda t: t.startswith(word))
-
-
-def _run(terms: Column, words: list[str]) -> Column:
-    """Adjacent tokens, the last one by its beginning."""
-    n = len(words)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(terms) - n, F.lit(0)))
-
-    def fits(i):
-        return _all_true([F.get(terms, i + k) == words[k] for k in range(n - 1)] + [F.get(terms, i + n - 1).startswith(words[-1])])
-
-    return F.exists(starts, fits)
-
-
-def _all_true(tests):
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return F.coalesce(out, F.lit(False))
+    tests = [_test(tokens, runs, prefix=True) for word in words if (runs := words_of(word))]
+    return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), tests, F.lit(every and bool(tests)))
 
 
 def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column | None = None) -> DataFrame:
@@ -262,8 +199,8 @@ def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column
     some = begins[0] if begins else F.lit(False)
     for b in begins[1:]:
         some = some | b
-    terms = units.where(some).withColumn("terms", X.tokens(F.col("text")))
-    found = terms.where(corpus_match(F.col("terms"), words, every=False)).withColumn("every", corpus_match(F.col("terms"), words))
+    tokens = X.token_text(F.col("text"))
+    found = units.where(some & corpus_match(tokens, words, every=False)).withColumn("every", corpus_match(tokens, words))
     score = X.lexical_score(F.col("text"), words)
     total = F.round(score + semantic, 6) if semantic is not None else F.round(score, 6)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))

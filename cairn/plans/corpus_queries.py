@@ -18,17 +18,17 @@ TERMS = "v_terms AS (SELECT eid AS id, list_filter(regexp_split_to_array(lower(c
 DOC_TERMS = "d_terms AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM documents WHERE text IS NOT NULL)"
 
 
-def _events(spark, sf):
-    return S.postings(V.events(spark, sf), "eid", "content")
+def _in_events(spark, sf, condition):
+    return S.find(V.events(spark, sf), "eid", ["content"], condition, fold=False)
 
 
-def _docs(spark, sf):
-    return S.postings(V.table(spark, sf, "documents"), "doc_id", "text")
+def _in_docs(spark, sf, condition):
+    return S.find(V.table(spark, sf, "documents"), "doc_id", ["text"], condition, fold=False)
 
 
 @query("SELECT id FROM v_terms WHERE list_contains(terms, 'view') AND list_contains(terms, '69')", V.EVENTS, TERMS)
 def fts_and(spark, sf):
-    return S.matching(_events(spark, sf), S.parse("view 69"))
+    return _in_events(spark, sf, S.all_of(S.term("view"), S.term("69")))
 
 
 @query("""SELECT id, match_mode FROM (
@@ -36,37 +36,51 @@ def fts_and(spark, sf):
   UNION ALL SELECT id, 'any_term' FROM v_terms WHERE (list_contains(terms, 'signup') OR list_contains(terms, 'zebra'))
     AND NOT EXISTS (SELECT 1 FROM v_terms WHERE list_contains(terms, 'signup') AND list_contains(terms, 'zebra')))""", V.EVENTS, TERMS)
 def fts_or_fallback(spark, sf):
-    return S.with_fallback(_events(spark, sf), "signup zebra")
+    return S.with_fallback(V.events(spark, sf), "eid", ["content"], "signup zebra", fold=False)
 
 
 @query("SELECT id FROM v_terms WHERE (list_contains(terms, 'click') OR list_contains(terms, 'error')) AND NOT list_contains(terms, '89')", V.EVENTS, TERMS)
 def fts_not(spark, sf):
-    return S.matching(_events(spark, sf), S.parse("(click OR error) NOT 89"))
+    return _in_events(spark, sf, S.but_not(S.any_of(S.term("click"), S.term("error")), S.term("89")))
 
 
 @query("SELECT DISTINCT id FROM (SELECT id, terms, unnest(range(1, len(terms))) AS i FROM d_terms) WHERE terms[i] = 'of' AND terms[i + 1] = 'the'", DOC_TERMS)
 def fts_phrase(spark, sf):
-    return S.matching(_docs(spark, sf), S.parse('"of the"'))
+    return _in_docs(spark, sf, S.phrase("of the"))
 
 
 @query("SELECT id FROM d_terms WHERE len(list_filter(terms, lambda t: starts_with(t, 'schach'))) > 0", DOC_TERMS)
 def fts_prefix(spark, sf):
-    return S.matching(_docs(spark, sf), S.parse("schach*"))
+    return _in_docs(spark, sf, S.prefix("schach"))
 
 
 @query("""SELECT DISTINCT a.id FROM (SELECT id, unnest(range(1, len(terms) + 1)) AS i, terms FROM d_terms) a
   JOIN (SELECT id, unnest(range(1, len(terms) + 1)) AS i, terms FROM d_terms) b ON a.id = b.id
   WHERE a.terms[a.i] = 'with' AND b.terms[b.i] = 'that' AND abs(a.i - b.i) <= 4""", DOC_TERMS)
 def fts_near(spark, sf):
-    return S.matching(_docs(spark, sf), S.parse("NEAR(with that, 3)"))
+    return _in_docs(spark, sf, S.near(["with", "that"], 3))
 
 
 @query("SELECT e.eid, e.created_at, e.verification FROM v_events e JOIN v_terms t ON e.eid = t.id WHERE list_contains(terms, 'purchase') AND e.verification = 'user_confirmation' AND e.project_id = 'j1' AND e.lifecycle <> 'deleted'", V.EVENTS, TERMS)
 def fts_filtered(spark, sf):
     ev = V.events(spark, sf)
-    rows = E.visible(ev.where(E.condition(verification="user_confirmation", project_id="j1")), E.deleted_ids(ev))
-    hits = S.matching(_events(spark, sf), S.parse("purchase")).withColumnRenamed("id", "eid")
-    return rows.join(hits, "eid", "left_semi").select("eid", "created_at", "verification")
+    found = S.matches(S.term("purchase"), ["content"], fold=False)
+    rows = E.visible(ev.where(E.condition(verification="user_confirmation", project_id="j1") & found), E.deleted_ids(ev))
+    return rows.select("eid", "created_at", "verification")
+
+
+@query("SELECT doc_id AS id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM documents) WHERE list_contains(terms, 'ete') OR len(list_filter(terms, lambda t: starts_with(t, 'uber'))) > 0")
+def fts_accents(spark, sf):
+    """Words are found whatever accents they carry."""
+    return S.find(V.table(spark, sf, "documents"), "doc_id", ["text"], S.any_of(S.term("ete"), S.prefix("uber")))
+
+
+@query("SELECT id FROM (SELECT conv_id || '-' || turn AS id, list_filter(regexp_split_to_array(lower(strip_accents(role)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS roles, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM conversations) WHERE list_contains(roles, 'user') AND (terms[1] = 'the' OR list_contains(terms, 'of'))")
+def fts_column(spark, sf):
+    """A word in one column, and another at the start of a second or anywhere in it."""
+    turns = V.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text")
+    wanted = S.all_of(S.term("user", "role"), S.any_of(S.term("the", "text", first=True), S.term("of", "text")))
+    return S.find(turns, "id", ["role", "text"], wanted)
 
 
 @query("""SELECT q.item_id AS query_id, d.id, count(*) AS matched FROM (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark) q
@@ -74,7 +88,7 @@ def fts_filtered(spark, sf):
   GROUP BY q.item_id, d.id HAVING count(*) = (SELECT count(DISTINCT t) FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM benchmark) z WHERE z.item_id = q.item_id)""", DOC_TERMS)
 def search_batch_all_terms(spark, sf):
     queries = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return S.search_batch(_docs(spark, sf), queries)
+    return S.search_batch(V.table(spark, sf, "documents"), "doc_id", "text", queries)
 
 
 @query("SELECT doc_id, len(terms) AS n_tokens, len(list_distinct(terms)) AS n_terms FROM d_terms JOIN documents ON id = doc_id", DOC_TERMS)
@@ -127,12 +141,16 @@ def unit_content_hash_all(spark, sf):
     return C.identify_units(V.units(spark, sf)).select("location_id", "unit_id", "content_hash")
 
 
+def _hashed_units(spark, sf):
+    return V.units(spark, sf).select("source_ref", "location_id", "line_no", F.sha2("text", 256).alias("content_hash"))
+
+
 DEDUP = "u_dedup AS (SELECT *, CASE WHEN first_value(location_id) OVER w <> location_id THEN first_value(location_id) OVER w END AS duplicate_of FROM v_units WINDOW w AS (PARTITION BY text, source_ref ORDER BY line_no))"
 
 
 @query("SELECT location_id, duplicate_of FROM u_dedup", V.UNITS, DEDUP)
 def unit_dedup(spark, sf):
-    return C.dedup_units(V.units(spark, sf), content="text").select("location_id", "duplicate_of")
+    return C.dedup_units(_hashed_units(spark, sf)).select("location_id", "duplicate_of")
 
 
 @query("SELECT sha256(text) AS content, count(DISTINCT source_ref) AS sources FROM v_units GROUP BY text HAVING count(DISTINCT source_ref) > 1", V.UNITS)
@@ -143,7 +161,7 @@ def cross_source_shared(spark, sf):
 
 @query("SELECT relation, count(*) AS n FROM (SELECT 'source_of' AS relation FROM u_dedup UNION ALL SELECT 'derived_from' FROM u_dedup WHERE duplicate_of IS NOT NULL) GROUP BY relation", V.UNITS, DEDUP)
 def corpus_edge_counts(spark, sf):
-    return C.corpus_edges(C.dedup_units(V.units(spark, sf), content="text")).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    return C.corpus_edges(C.dedup_units(_hashed_units(spark, sf))).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT version_id, source_id, lag(version_id) OVER w AS supersedes, CASE WHEN lag(h) OVER w <> h THEN lag(h) OVER w END AS predecessor_content_hash

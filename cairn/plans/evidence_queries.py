@@ -291,5 +291,5 @@ def freshness_watermark(spark, sf):
 
 @query()
 def snippets(spark, sf):
-    hits = S.matching(S.postings(V.table(spark, sf, "documents"), "doc_id", "text"), S.parse("schach*")).withColumnRenamed("id", "doc_id")
+    hits = S.find(V.table(spark, sf, "documents"), "doc_id", ["text"], S.prefix("schach"), fold=False).withColumnRenamed("id", "doc_id")
     return V.table(spark, sf, "documents").join(hits, "doc_id", "left_semi").select("doc_id", S.snippet(F.col("text"), ["schach"]).alias("snippet"))

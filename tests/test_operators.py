@@ -138,20 +138,41 @@ def test_limits_are_not_clamped(limit):
 # ------------------------------------------------------------- search and corpus
 
 
-@pytest.mark.parametrize("text", ["", '"open', "(a", "a )", "NOT", "a OR", "a NOT"])
-def test_malformed_queries(text):
-    with pytest.raises(S.QueryError):
-        S.parse(text)
+@pytest.mark.parametrize("text", ["", " - ", '"*()'])
+def test_conditions_need_a_word(text):
+    for make in (S.term, S.prefix, S.phrase, lambda t: S.near([t])):
+        with pytest.raises(S.QueryError):
+            make(text)
 
 
 def test_search_forms(spark):
-    docs = spark.createDataFrame([(1, "The quick-brown fox"), (2, "brown quick dogs"), (3, "foxes run"), (4, None), (5, "")], "id long, t string")
-    p = S.postings(docs, "id", "t")
-    hit = lambda q: [r["id"] for r in S.matching(p, S.parse(q)).orderBy("id").collect()]
-    assert hit("quick brown") == [1, 2] and hit('"quick brown"') == [1] and hit("quick-brown") == [1, 2] and hit("fox*") == [1, 3]
-    assert hit("fox OR dogs") == [1, 2] and hit("brown NOT fox") == [2] and hit("(fox OR run) AND the") == [1] and hit("NEAR(the fox, 2)") == [1] and hit("NEAR(the fox, 1)") == []
-    assert rows(S.with_fallback(p, "fox cat"), "id", "match_mode") == [(1, "any_term")]
-    assert rows(S.with_fallback(p, "quick brown"), "id", "match_mode") == [(1, "strict"), (2, "strict")]
+    docs = spark.createDataFrame([(1, "The quick-brown fox", "x"), (2, "brown quick dogs", "fox"), (3, "foxes run", None), (4, None, None), (5, "", ""), (6, "Café ÉTÉ", "")], "id long, t string, u string")
+    hit = lambda c, *columns: [r["id"] for r in S.find(docs, "id", list(columns or ("t",)), c).orderBy("id").collect()]
+    t = S.term
+    assert hit(S.all_of(t("quick"), t("brown"))) == [1, 2] and hit(S.phrase("quick brown")) == hit(t("quick-brown")) == [1] and hit(S.prefix("fox")) == [1, 3]
+    assert hit(S.any_of(t("fox"), t("dogs"))) == [1, 2] and hit(S.but_not(t("brown"), t("fox"))) == [2] and hit(S.all_of(S.any_of(t("fox"), t("run")), t("the"))) == [1]
+    assert hit(S.near(["the", "fox"], 2)) == [1] and hit(S.near(["the", "fox"], 1)) == [] and hit(S.near(["fox", "the quick"], 1)) == [1]
+    assert hit(t("fox"), "t", "u") == [1, 2] and hit(t("fox", "u"), "t", "u") == [2] and hit(t("brown", first=True)) == [2] and hit(S.prefix("qui bro")) == []
+    assert hit(S.all_of(t("cafe"), t("ete"))) == [6]
+    with pytest.raises(S.QueryError):
+        hit(t("fox", "nowhere"))
+    fallback = lambda text: rows(S.with_fallback(docs, "id", ["t"], text), "id", "match_mode")
+    assert fallback("fox cat") == [(1, "any_term")] and fallback("quick-brown") == [(1, "strict"), (2, "strict")] and fallback("run") == [(3, "strict")]
+
+
+def test_searches_are_one_scan(spark, sf, capsys):
+    from cairn.plans import corpus_queries as Q
+
+    Q.fts_and(spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Generate" not in plan
+
+
+def test_batches_of_queries(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "a a d"), (4, None)], "id long, t string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c a"), (3, "zz a"), (4, ""), (5, "a")], "query_id long, text string")
+    assert rows(S.search_batch(docs, "id", "t", asked), "query_id", "id", "matched") == [(1, 1, 2), (1, 2, 2), (2, 1, 2), (5, 1, 1), (5, 2, 1), (5, 3, 1)]
+    assert (3, 3, 1) in rows(S.search_batch(docs, "id", "t", asked, "any"), "query_id", "id", "matched")
 
 
 def test_corpus_query_words():

@@ -13,11 +13,15 @@ EDGE_DOMAIN, ENTITY_DOMAIN = "zm8.graph_edge", "zm8.entity"
 
 
 def json_text(c: Column) -> Column:
-    """A JSON string literal in ASCII; every other character is escaped."""
+    """A JSON string literal in ASCII; every other character is escaped.
+
+    Rows of printable ASCII reach Python as nulls.
+    """
     def quote(s):
-        return s.map(lambda x: "null" if x is None else json.dumps(x))
+        return s.map(lambda x: None if x is None else json.dumps(x))
 
-    return F.pandas_udf(quote, "string")(c)
+    plain = ~F.coalesce(c, F.lit("")).rlike("[^ -~]")
+    return F.when(plain, plain_json_text(c)).otherwise(F.pandas_udf(quote, "string")(F.when(~plain, c)))
 
 
 def plain_json_text(c: Column) -> Column:

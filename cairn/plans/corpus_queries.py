@@ -120,25 +120,20 @@ def unit_normalize(spark, sf):
     return V.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("text_sha256"))
 
 
-ASCII = "a_units AS (SELECT * FROM v_units WHERE NOT regexp_matches(text, '[^ -~]'))"
-JSON = "'\"' || replace(replace({}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
-CONTENT = "'c_' || left(sha256('{\"kind\":\"text\",\"text\":' || " + JSON.format("text") + " || '}'), 32)"
-UNIT = "'u_' || left(sha256('{\"location_id\":' || " + JSON.format("location_id") + " || ',\"source_ref\":' || " + JSON.format("source_ref") + " || '}'), 32)"
+# JSON in ASCII: quotes and backslashes escaped, all else outside printable ASCII as UTF-16 units.
+_UNIT16 = "'\\u' || lpad(lower(to_hex({})), 4, '0')"
+_CHAR = ("CASE WHEN c = chr(34) THEN '\\' || chr(34) WHEN c = chr(92) THEN '\\\\' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) = 8 THEN '\\b' WHEN unicode(c) < 65536 THEN "
+         + _UNIT16.format("unicode(c)") + " ELSE " + _UNIT16.format("55296 + (unicode(c) - 65536) // 1024") + " || " + _UNIT16.format("56320 + (unicode(c) - 65536) % 1024") + " END")
+ESCAPED = "j_units AS (SELECT location_id, source_ref, CASE WHEN regexp_matches(text, '[^ -~]') OR contains(text, chr(34)) OR contains(text, chr(92)) THEN (SELECT chr(34) || string_agg(" + _CHAR + ", '' ORDER BY i) || chr(34) FROM (SELECT i, substring(v_units.text, i, 1) AS c FROM range(1, length(v_units.text) + 1) r(i))) ELSE chr(34) || text || chr(34) END AS j FROM v_units)"
 
 
-def _ascii_units(spark, sf):
-    return V.units(spark, sf).where(~F.col("text").rlike("[^ -~]"))
-
-
-@query(f"SELECT location_id, {UNIT} AS unit_id, {CONTENT} AS content_hash FROM a_units", V.UNITS, ASCII)
+@query("SELECT location_id, 'u_' || left(sha256('{\"location_id\":\"' || location_id || '\",\"source_ref\":\"' || source_ref || '\"}'), 32) AS unit_id, 'c_' || left(sha256('{\"kind\":\"text\",\"text\":' || j || '}'), 32) AS content_hash FROM j_units", V.UNITS, ESCAPED)
 def unit_content_hash(spark, sf):
-    return C.identify_units(_ascii_units(spark, sf), ascii_only=True).select("location_id", "unit_id", "content_hash")
+    """Ids of all units, whatever characters they hold."""
+    return C.identify_units(V.units(spark, sf)).select("location_id", "unit_id", "content_hash")
 
 
-@query()
-def unit_content_hash_all(spark, sf):
-    """Ids of all units; SQL cannot escape what is not printable ASCII, so a test compares with ``json`` and ``hashlib``."""
-    return C.identify_units(V.units(spark, sf)).select("location_id", "unit_id", "content_hash")
+area.also("unit_content_hash_all", "unit_content_hash")
 
 
 def _hashed_units(spark, sf):
@@ -194,41 +189,27 @@ def keyword_enrichment_top8(spark, sf):
     return rows.select(F.col("unit").alias("doc_id"), "term", "n", F.col("rank").cast("long").alias("rank"), F.round("weight", 9).alias("weight"))
 
 
-SPICED = "v_spiced AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'api_key = abc' || doc_id WHEN 1 THEN 'Bearer tok' || doc_id WHEN 2 THEN 'https://u' || doc_id || ':p@host/x' WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY----- x' ELSE left(text, 40) END AS body FROM documents)"
 RULE = "CASE WHEN regexp_matches(body, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----') THEN 'private_key_block' WHEN regexp_matches(body, '(?i)^\\s*Bearer\\s+\\S+\\s*$') THEN 'bearer_token' WHEN regexp_matches(body, '(?i)^[a-z][a-z0-9+.-]*://[^/@:]+:[^/@]+@') THEN 'credential_url_userinfo' WHEN regexp_matches(body, '(?i)(api[_-]?key|api[_-]?secret|password|passwd|passphrase|client[_-]?secret|access[_-]?token|refresh[_-]?token)\\s*[:=]\\s*\\S+') THEN 'api_key_assignment' END"
 
 
-def _spiced(spark, sf):
-    d = F.col("doc_id")
-    text = lambda a, b="": F.concat(F.lit(a), d.cast("string"), F.lit(b))
-    body = F.when(d % 6 == 0, text("api_key = abc")).when(d % 6 == 1, text("Bearer tok")).when(d % 6 == 2, text("https://u", ":p@host/x")).when(d % 6 == 3, "-----BEGIN RSA PRIVATE KEY----- x").otherwise(F.left("text", F.lit(40)))
-    return V.table(spark, sf, "documents").select("doc_id", body.alias("body"))
-
-
-@query(f"SELECT doc_id, {RULE} AS rule, {RULE} IS NULL AS accepted FROM v_spiced", SPICED)
-def secret_gate(spark, sf):
-    return C.secret_gate(_spiced(spark, sf), "body").select("doc_id", "rule", "accepted")
-
-
-@query(f"SELECT doc_id, CASE WHEN {RULE} IS NOT NULL THEN '[REDACTED:' || {RULE} || ']' ELSE body END AS body FROM v_spiced", SPICED)
-def redact_flat(spark, sf):
-    return _spiced(spark, sf).select("doc_id", X.redact(F.col("body")).alias("body"))
-
-
 BODIES = "v_bodies AS (SELECT 'd' || doc_id AS item_id, text AS body FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)"
 
 
 @query(f"SELECT item_id, {RULE} AS rule, {RULE} IS NULL AS accepted FROM v_bodies", BODIES)
-def secret_gate_all(spark, sf):
+def secret_gate(spark, sf):
     """The whole text of every document and conversation turn."""
     return C.secret_gate(V.bodies(spark, sf), "body").select("item_id", "rule", "accepted")
 
 
 @query(f"SELECT item_id, CASE WHEN {RULE} IS NOT NULL THEN '[REDACTED:' || {RULE} || ']' ELSE body END AS body FROM v_bodies", BODIES)
-def redact_flat_all(spark, sf):
+def redact_flat(spark, sf):
     return V.bodies(spark, sf).select("item_id", X.redact(F.col("body")).alias("body"))
 
 
+for _name in ("secret_gate", "redact_flat"):
+    area.also(f"{_name}_all", _name)
+
+
 @query("SELECT doc_id, CASE WHEN length(text) < 500 THEN 'too_short' END AS reason FROM documents WHERE text IS NOT NULL")
 def extraction_quality(spark, sf):
     return C.quality_gate(V.table(spark, sf, "documents").where("text IS NOT NULL")).select("doc_id", "reason")

@@ -20,10 +20,6 @@ query = area.query
 
 # ---------------------------------------------------------------------- routing
 
-ASKS = ("what is the latest price", "combine across projects", "what is left for this project", "continue where we left", "use the stored research", "in my usual format", "hello there")
-ASKED = "v_asks AS (SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(ASKS)) + " ELSE left(text, 60) END AS ask, CASE WHEN doc_id % 2 = 0 THEN 'j1' END AS project, CASE WHEN doc_id % 3 = 0 THEN 's1' END AS session, CASE WHEN doc_id % 5 = 0 THEN 'p1' END AS profile FROM documents)"
-
-
 def _like(name: str) -> str:
     pattern = next(p for n, _, p in W.ROUTES if n == name).replace("'", "''")
     return f"regexp_matches(regexp_replace(lower(coalesce(ask, '')), '\\s+', ' ', 'g'), '{pattern}')"
@@ -33,57 +29,35 @@ ROUTE = "CASE " + " ".join(f"WHEN {_like(n)} THEN '{n}'" for n, _, _ in W.ROUTES
 ROUTED = f"v_routed AS (SELECT *, {ROUTE} AS route, CASE " + " ".join(f"WHEN {_like(n)} THEN '{r}'" for n, r, _ in W.ROUTES) + " ELSE 'GENERIC_STANDALONE' END AS reason FROM v_asks)"
 
 
-def _asks(spark, sf):
-    d = F.col("doc_id")
-    ask = F.when(F.lit(False), "")
-    for i, t in enumerate(ASKS):
-        ask = ask.when(d % 8 == i, t)
-    rows = V.table(spark, sf, "documents").select("doc_id", ask.otherwise(F.left("text", F.lit(60))).alias("ask"), F.when(d % 2 == 0, "j1").alias("project"), F.when(d % 3 == 0, "s1").alias("session"), F.when(d % 5 == 0, "p1").alias("profile"))
-    name, why = D.route(F.col("ask"))
-    return rows.withColumns({"route": name, "reason": why})
-
-
-@query("SELECT doc_id, route, reason FROM v_routed", ASKED, ROUTED)
-def route_text(spark, sf):
-    return _asks(spark, sf).select("doc_id", "route", "reason")
+ASKED = "v_asks AS (SELECT *, CASE WHEN number % 2 = 0 THEN 'j1' END AS project, CASE WHEN number % 3 = 0 THEN 's1' END AS session, CASE WHEN number % 5 = 0 THEN 'p1' END AS profile FROM (SELECT 'd' || doc_id AS item_id, doc_id AS number, text AS ask FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id, text FROM conversations))"
 
 
-@query(f"""SELECT doc_id, CASE WHEN route = 'no_memory' THEN '' ELSE array_to_string(list_filter([
-    CASE WHEN route = 'external_current' OR {_like('external_current')} THEN 'freshness' END, CASE WHEN route = 'global_memory' OR {_like('global_memory')} THEN 'multi_scope' END,
-    CASE WHEN route IN ('project_memory', 'external_current') OR project IS NOT NULL THEN 'project' END, CASE WHEN route = 'research_memory' OR {_like('research_memory')} THEN 'research_source' END,
-    CASE WHEN route = 'session_memory' OR session IS NOT NULL OR {_like('session_memory')} THEN 'session' END, CASE WHEN route = 'user_memory' OR profile IS NOT NULL OR {_like('user_memory')} THEN 'user_profile' END], lambda x: x IS NOT NULL), ',') END AS hints,
-  CASE route WHEN 'project_memory' THEN project IS NULL WHEN 'user_memory' THEN profile IS NULL WHEN 'session_memory' THEN session IS NULL WHEN 'global_memory' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED, ROUTED)
-def scope_hints(spark, sf):
-    c = F.col
-    hints = D.scope_hints(c("ask"), c("route"), c("project"), c("session"), c("profile"))
-    return _asks(spark, sf).select("doc_id", F.array_join(hints, ",").alias("hints"), D.insufficient(c("route"), c("project"), c("session"), c("profile"), F.lit(0)).alias("insufficient"))
-
-
-ASKED_ALL = "v_asks AS (SELECT *, CASE WHEN number % 2 = 0 THEN 'j1' END AS project, CASE WHEN number % 3 = 0 THEN 's1' END AS session, CASE WHEN number % 5 = 0 THEN 'p1' END AS profile FROM (SELECT 'd' || doc_id AS item_id, doc_id AS number, text AS ask FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, conv_id, text FROM conversations))"
-
-
-def _asks_all(spark, sf):
+def _asks(spark, sf):
     n = F.col("number")
     rows = V.bodies(spark, sf).select("item_id", F.col("body").alias("ask"), F.when(n % 2 == 0, "j1").alias("project"), F.when(n % 3 == 0, "s1").alias("session"), F.when(n % 5 == 0, "p1").alias("profile"))
     name, why = D.route(F.col("ask"))
     return rows.withColumns({"route": name, "reason": why})
 
 
-@query("SELECT item_id, route, reason FROM v_routed", ASKED_ALL, ROUTED)
-def route_text_all(spark, sf):
+@query("SELECT item_id, route, reason FROM v_routed", ASKED, ROUTED)
+def route_text(spark, sf):
     """The whole text of every document and conversation turn."""
-    return _asks_all(spark, sf).select("item_id", "route", "reason")
+    return _asks(spark, sf).select("item_id", "route", "reason")
 
 
 @query(f"""SELECT item_id, CASE WHEN route = 'no_memory' THEN '' ELSE array_to_string(list_filter([
     CASE WHEN route = 'external_current' OR {_like('external_current')} THEN 'freshness' END, CASE WHEN route = 'global_memory' OR {_like('global_memory')} THEN 'multi_scope' END,
     CASE WHEN route IN ('project_memory', 'external_current') OR project IS NOT NULL THEN 'project' END, CASE WHEN route = 'research_memory' OR {_like('research_memory')} THEN 'research_source' END,
     CASE WHEN route = 'session_memory' OR session IS NOT NULL OR {_like('session_memory')} THEN 'session' END, CASE WHEN route = 'user_memory' OR profile IS NOT NULL OR {_like('user_memory')} THEN 'user_profile' END], lambda x: x IS NOT NULL), ',') END AS hints,
-  CASE route WHEN 'project_memory' THEN project IS NULL WHEN 'user_memory' THEN profile IS NULL WHEN 'session_memory' THEN session IS NULL WHEN 'global_memory' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED_ALL, ROUTED)
-def scope_hints_all(spark, sf):
+  CASE route WHEN 'project_memory' THEN project IS NULL WHEN 'user_memory' THEN profile IS NULL WHEN 'session_memory' THEN session IS NULL WHEN 'global_memory' THEN true ELSE false END AS insufficient FROM v_routed""", ASKED, ROUTED)
+def scope_hints(spark, sf):
     c = F.col
     hints = D.scope_hints(c("ask"), c("route"), c("project"), c("session"), c("profile"))
-    return _asks_all(spark, sf).select("item_id", F.array_join(hints, ",").alias("hints"), D.insufficient(c("route"), c("project"), c("session"), c("profile"), F.lit(0)).alias("insufficient"))
+    return _asks(spark, sf).select("item_id", F.array_join(hints, ",").alias("hints"), D.insufficient(c("route"), c("project"), c("session"), c("profile"), F.lit(0)).alias("insufficient"))
+
+
+for _name in ("route_text", "scope_hints"):
+    area.also(f"{_name}_all", _name)
 
 
 # ------------------------------------------------------- eligibility and scores
@@ -150,14 +124,12 @@ def evidence_topk_budget(spark, sf):
     return D.select_evidence(_items(spark, sf), ["session_id"], order, X.estimate_tokens(F.col("content")), budget=30).select("session_id", "eid", "role", "rank", "cost")
 
 
-@query("SELECT trace_id AS conflict_key, count(*) AS n_items, count(DISTINCT lifecycle) AS n_lifecycles, bool_or(lifecycle = 'conflicted') AS any_conflicted, min(eid) AS first_item FROM v_events WHERE profile_id = 'p2' GROUP BY trace_id HAVING count(*) > 1 AND (count(DISTINCT lifecycle) > 1 OR bool_or(lifecycle = 'conflicted'))", V.EVENTS)
+@query("SELECT coalesce(trace_id, eid) AS conflict_key, count(*) AS n_items, count(DISTINCT lifecycle) AS n_lifecycles, bool_or(lifecycle = 'conflicted') AS any_conflicted, min(eid) AS first_item FROM v_events GROUP BY ALL HAVING count(*) > 1 AND (count(DISTINCT lifecycle) > 1 OR bool_or(lifecycle = 'conflicted'))", V.EVENTS)
 def conflict_groups(spark, sf):
-    return D.conflict_groups(V.events(spark, sf).where("profile_id = 'p2'"), F.coalesce("trace_id", "eid"))
+    return D.conflict_groups(V.events(spark, sf), F.coalesce("trace_id", "eid"))
 
 
-@query("SELECT coalesce(trace_id, eid) AS conflict_key, count(*) AS n_items, count(DISTINCT lifecycle) AS n_lifecycles, bool_or(lifecycle = 'conflicted') AS any_conflicted, min(eid) AS first_item FROM v_events GROUP BY ALL HAVING count(*) > 1 AND (count(DISTINCT lifecycle) > 1 OR bool_or(lifecycle = 'conflicted'))", V.EVENTS)
-def conflict_groups_all(spark, sf):
-    return D.conflict_groups(V.events(spark, sf), F.coalesce("trace_id", "eid"))
+area.also("conflict_groups_all", "conflict_groups")
 
 
 @query("SELECT eid, '[' || role || ':' || rank || '] ' || content AS line FROM (SELECT *, row_number() OVER (PARTITION BY session_id, role ORDER BY created_at, eid) AS rank FROM v_items WHERE role IS NOT NULL) WHERE rank <= CASE role WHEN 'primary' THEN 5 ELSE 3 END", V.EVENTS, ELIGIBLE)

@@ -294,19 +294,15 @@ def temporal_window(spark, sf):
 # ------------------------------------------------- charters, requirements, artifacts
 
 
-@query("SELECT project_id, decision_id, row_number() OVER w AS version, lag(decision_id) OVER w AS supersedes, CASE WHEN lead(decision_id) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS lifecycle_status FROM v_decisions WHERE decision_key % 50 = 0 WINDOW w AS (PARTITION BY project_id ORDER BY effective_at, decision_id)", V.DECISIONS)
-def charter_versions(spark, sf):
-    """One customer in fifty speaks for its nation's charter."""
-    ops = V.decisions(spark, sf).where("decision_key % 50 = 0")
-    return R.charters(ops, ["effective_at", "decision_id"], "decision_id").select("project_id", "decision_id", "version", "supersedes", "lifecycle_status")
-
-
 @query("SELECT project_id, decision_id, row_number() OVER w AS version, lag(decision_id) OVER w AS supersedes, CASE WHEN lead(decision_id) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS lifecycle_status FROM v_decisions WINDOW w AS (PARTITION BY project_id ORDER BY effective_at, decision_id)", V.DECISIONS)
-def charter_versions_all(spark, sf):
+def charter_versions(spark, sf):
     """Every decision of a nation's customers is a version of its charter."""
     return R.charters(V.decisions(spark, sf), ["effective_at", "decision_id"], "decision_id").select("project_id", "decision_id", "version", "supersedes", "lifecycle_status")
 
 
+area.also("charter_versions_all", "charter_versions")
+
+
 @query()
 def charters_replayed(spark, sf):
     """The whole charter grammar over all decisions, in the order of their numbers."""
@@ -344,13 +340,10 @@ def safe_artifact_refs(spark, sf):
     return V.table(spark, sf, "part").select(ref.alias("artifact_ref")).where(safe_reference(F.col("artifact_ref"))).groupBy("artifact_ref").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT e.resource_type, e.resource_id, t.valid_until, coalesce(t.valid_from <= '1996-06-30T00:00:00.000000Z', true) AND coalesce(t.valid_until > '1996-06-30T00:00:00.000000Z', true) AND NOT (t.valid_from IS NULL AND t.valid_until IS NULL) AS holds FROM (SELECT 'verification' AS resource_type, verification_id AS resource_id FROM v_verifications WHERE quantity = 7) e LEFT JOIN v_temporal t ON t.resource_type = e.resource_type AND t.resource_id = e.resource_id", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
+@query("SELECT e.resource_type, e.resource_id, t.valid_until, coalesce(t.valid_from <= '1996-06-30T00:00:00.000000Z', true) AND coalesce(t.valid_until > '1996-06-30T00:00:00.000000Z', true) AND NOT (t.valid_from IS NULL AND t.valid_until IS NULL) AS holds FROM (SELECT 'verification' AS resource_type, verification_id AS resource_id FROM v_verifications) e LEFT JOIN v_temporal t ON t.resource_type = e.resource_type AND t.resource_id = e.resource_id", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
 def temporal_annotation(spark, sf):
-    items = V.verifications(spark, sf).where("quantity = 7").select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
+    items = V.verifications(spark, sf).select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
     return T.annotate(items, _temporal(spark, sf), "1996-06-30T00:00:00.000000Z").select("resource_type", "resource_id", "valid_until", "holds")
 
 
-@query("SELECT e.resource_type, e.resource_id, t.valid_until, coalesce(t.valid_from <= '1996-06-30T00:00:00.000000Z', true) AND coalesce(t.valid_until > '1996-06-30T00:00:00.000000Z', true) AND NOT (t.valid_from IS NULL AND t.valid_until IS NULL) AS holds FROM (SELECT 'verification' AS resource_type, verification_id AS resource_id FROM v_verifications) e LEFT JOIN v_temporal t ON t.resource_type = e.resource_type AND t.resource_id = e.resource_id", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
-def temporal_annotation_all(spark, sf):
-    items = V.verifications(spark, sf).select(F.lit("verification").alias("resource_type"), F.col("verification_id").alias("resource_id"))
-    return T.annotate(items, _temporal(spark, sf), "1996-06-30T00:00:00.000000Z").select("resource_type", "resource_id", "valid_until", "holds")
+area.also("temporal_annotation_all", "temporal_annotation")

@@ -20,3 +20,9 @@ class Area:
             return f
 
         return add
+
+    def also(self, name: str, of: str) -> None:
+        """A second name of a query."""
+        self.queries[name] = self.queries[of]
+        if of in self.oracles:
+            self.oracles[name] = self.oracles[of]

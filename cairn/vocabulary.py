@@ -39,7 +39,7 @@ ROUTES = (
     ("user_memory", "EXPLICIT_USER_PREFERENCE", r"\b(my (usual|preferred|typical)|my preference|preferred (style|format|workflow)|my (style|format|workflow|writing)|(usual|typical) (format|style)|how (do|would) i (usually|normally) like)\b"),
 )
 
-# Secrets, a rule's name and its pattern; the first two must span the whole text.
+# Secrets, a rule's name and its pattern; a bearer token must be the whole text, a URL stands at its start.
 SECRET_RULES = (
     ("private_key_block", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     ("bearer_token", r"(?i)^\s*Bearer\s+\S+\s*$"),

@@ -9,6 +9,7 @@ from cairn import cursor as K
 from cairn.operators import access as A
 from cairn.operators import events as E
 from cairn.operators import search as S
+from cairn.operators import temporal as T
 
 
 class Denied(PermissionError):
@@ -51,6 +52,35 @@ class Engine:
         rows = E.visible(self.events.where(F.col("trace_id") == trace_id), E.deleted_ids(self.events))
         return A.whole_or_nothing(rows, "trace_id", self.scopes(request)).orderBy(*E.ORDER)
 
+    def related(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
+        """Relations of an event, both ends in scope; nothing if the event itself is hidden."""
+        ends = A.secured(E.visible(self.events, E.deleted_ids(self.events)), self.scopes(request)).select("eid")
+        own = relations.where((F.col("from_id") == eid) | (F.col("to_id") == eid))
+        return own.join(ends.withColumnRenamed("eid", "from_id"), "from_id", "left_semi").join(ends.withColumnRenamed("eid", "to_id"), "to_id", "left_semi").select(*relations.columns)
+
+    def parent(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
+        return self.related(request, relations.where("relation = 'child_of'"), eid).where(F.col("from_id") == eid)
+
+    def children(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
+        return self.related(request, relations.where("relation = 'child_of'"), eid).where(F.col("to_id") == eid)
+
+    def records(self, request: A.Request, records: DataFrame, order: list[str], limit: int | None = None, **filters) -> DataFrame:
+        """Records of any kind in a total order: scope, filters, then the page, checked once more."""
+        scopes = self.scopes(request)
+        rows = A.secured_records(records, scopes)
+        for name, value in filters.items():
+            if name not in records.columns:
+                raise ValueError(f"no field {name!r}")
+            rows = rows.where(F.col(name) == value)
+        return A.validated(rows.orderBy(*order).limit(K.check_limit(limit)), scopes)
+
+    def facts(self, request: A.Request, facts: DataFrame, owners: DataFrame, dimension: str, when: str) -> DataFrame:
+        """Times of resources in scope, known at or holding at an instant."""
+        return A.secured_facts(facts, owners, self.scopes(request)).where(T.as_of(dimension, when))
+
+    def corpus(self, request: A.Request, units: DataFrame, text: str = "", metadata: dict | None = None, limit: int = 100) -> DataFrame:
+        return S.retrieve_corpus(units, A.scope_triples(self.scopes(request)), text, metadata, limit)
+
     @staticmethod
     def _print(request: A.Request, filters: dict) -> str:
         return K.fingerprint(filters, request=[request.operation, request.requester, list(request.profiles), list(request.projects), list(request.spaces), request.include_global, request.isolated])

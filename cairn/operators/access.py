@@ -256,3 +256,48 @@ def authorize_writes(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
         .otherwise("DENY_CROSS_PROFILE_WRITE")
     )
     return told.select("request_id", reason.alias("reason"), reason.startswith("ALLOW").alias("allow"))
+
+
+def scope_triples(scopes: list[Scope]) -> list[tuple]:
+    """The (profile, project, space) triples that scopes spell out; a blank where a scope names none.
+
+    A scope for global reads adds the triple of rows without any owner.
+    """
+    out: set[tuple] = set()
+    for s in scopes:
+        own = s.profiles or ((s.requester,) if s.requester and not s.is_grant else ())
+        out |= {(a, b, c) for a in own or (None,) for b in s.projects or (None,) for c in s.spaces or (None,) if a or b or c}
+        if s.global_read:
+            out.add((None, None, None))
+    return sorted(out, key=lambda t: tuple(x or "" for x in t))
+
+
+def with_owner_columns(df: DataFrame) -> DataFrame:
+    """Records that lack an owner's column have none there."""
+    kinds = {"profile_id": "string", "project_id": "string", "spaces": "array<string>"}
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in df.columns})
+
+
+def secured_records(df: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """Records of any kind that a scope admits, columns unchanged."""
+    return with_owner_columns(df).where(any_of(scopes)).select(*df.columns)
+
+
+def secured_facts(facts: DataFrame, owners: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """Times of the resources that a scope admits; ``owners`` has ``resource_type, resource_id`` and owners' columns."""
+    admitted = secured_records(owners, scopes).select("resource_type", "resource_id").distinct()
+    return facts.join(admitted, ["resource_type", "resource_id"], "left_semi")
+
+
+def linked_recheck(rows: DataFrame, link: str, targets: DataFrame, target_id: str, scopes: list[Scope]) -> DataFrame:
+    """Links to targets out of scope become null, so that no id of a hidden row leaves."""
+    seen = secured_records(targets, scopes).select(F.col(target_id).alias("__target")).distinct()
+    out = rows.join(seen, rows[link] == seen["__target"], "left")
+    return out.withColumn(link, F.when(F.col("__target").isNotNull(), F.col(link))).drop("__target")
+
+
+def validated(df: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """Rows as they leave; one outside every scope is an error, as a last check behind the filter."""
+    checked = with_owner_columns(df)
+    ok = F.when(any_of(scopes), True).otherwise(F.raise_error(F.lit("a row outside its scope was about to be returned")).cast("boolean"))
+    return checked.where(ok).select(*df.columns)

@@ -194,3 +194,70 @@ def fit_context(items: DataFrame, by: list[str], size: Column, budget: int) -> D
     sized = items.withColumn("size", size).withColumn("used", F.sum("size").over(seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     first = (F.row_number().over(seen) == 1) & (F.col("role") == "primary")
     return sized.withColumn("first", first).where(F.col("first") | (F.col("used") <= budget)).drop("first")
+
+
+# ------------------------------------------------------------------------- ends
+
+
+def classify_temporal(as_of: str | None = None) -> Column:
+    """valid, invalid or unknown from ``effective_at, valid_from, valid_until``.
+
+    Without any of them nothing is known; without a moment asked for, what is declared
+    stands.  The time of recording plays no part.
+    """
+    from cairn.operators import temporal as T
+
+    told = F.coalesce("effective_at", "valid_from", "valid_until").isNotNull()
+    if as_of is None:
+        return F.when(told, "valid").otherwise("unknown")
+    return F.when(~told, "unknown").when(F.coalesce(T.as_of("valid", as_of), F.lit(False)), "valid").otherwise("invalid")
+
+
+def pool_order(items: DataFrame, by: list[str]) -> DataFrame:
+    """``pool_rank`` within each role: by score, 0.5 for items without one, then type and id; none is dropped."""
+    score = F.coalesce("score", F.lit(0.5))
+    order = Window.partitionBy(*by, "role").orderBy(F.desc("pool_score"), "resource_type", "eid")
+    return items.withColumn("pool_score", score).withColumn("pool_rank", F.row_number().over(order).cast("long"))
+
+
+def selection_faults(chosen: DataFrame, by: list[str], primary: int = MAX_PRIMARY, supporting: int = MAX_SUPPORTING) -> DataFrame:
+    """Selections that break a bound: too many of a role or in all, or an item twice."""
+    of = lambda role: F.count(F.when(F.col("role") == role, 1))
+    told = chosen.groupBy(*by).agg(of("primary").alias("n_primary"), of("supporting").alias("n_supporting"), F.count(F.lit(1)).alias("n"), F.countDistinct("eid").alias("n_distinct"))
+    fault = (
+        F.when(F.col("n_primary") > primary, "too_many_primary")
+        .when(F.col("n_supporting") > supporting, "too_many_supporting")
+        .when(F.col("n") > primary + supporting, "too_many_items")
+        .when(F.col("n_distinct") < F.col("n"), "repeated_item")
+    )
+    return told.withColumn("fault", fault)
+
+
+def attach_enrichment(chosen: DataFrame, scores: DataFrame, conflicts: DataFrame, key: str, distances: DataFrame | None = None) -> DataFrame:
+    """Chosen items with what was observed of them; nothing changes who is chosen or how.
+
+    ``scores`` has ``eid, score, reason_codes, temporal_validity``; ``conflicts`` has
+    ``conflict_key``, matched with the item's ``key``.
+    """
+    out = chosen.join(scores.select("eid", "score", "reason_codes", "temporal_validity"), "eid", "left")
+    clash = conflicts.select(F.col("conflict_key").alias(key)).distinct().withColumn("__clash", F.lit(True))
+    out = out.join(clash, key, "left").withColumn("conflict_present", F.coalesce("__clash", F.lit(False))).drop("__clash")
+    return out.join(distances.select("eid", "relation_distance"), "eid", "left") if distances is not None else out.withColumn("relation_distance", F.lit(None).cast("int"))
+
+
+# Labels of an item's fields in the text block, in order.
+ENVELOPE_FIELDS = (("type", "event_type"), ("recorded", "created_at"), ("lifecycle", "lifecycle"), ("verification", "verification"), ("sensitivity", "sensitivity"), ("profile", "profile_id"), ("project", "project_id"), ("trace", "trace_id"))
+
+
+def envelope(items: DataFrame, by: list[str]) -> DataFrame:
+    """One text block for each group: its chosen items in order, labelled and escaped as data.
+
+    Needs ``eid, role, rank, resource_type, content`` and the labelled fields.  A block
+    holds a bounded selection (``select_evidence``), so it is made in one place.
+    """
+    head = F.concat(F.lit("  "), F.col("rank").cast("string"), F.lit(". ["), F.col("role"), F.lit("] "), X.escape_field(F.col("resource_type")), F.lit(": "), X.escape_field(F.col("eid")))
+    labelled = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"     {label}: "), X.escape_field(F.col(c)))) for label, c in ENVELOPE_FIELDS]
+    told = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.concat(F.lit("     summary: "), X.escape_field(X.summary(F.col("content")))))
+    text = F.concat_ws("\n", head, *labelled, told)
+    order = F.struct(F.when(F.col("role") == "primary", 0).otherwise(1).alias("r"), F.col("rank"), text.alias("text"))
+    return items.groupBy(*by).agg(F.concat_ws("\n", F.array_sort(F.collect_list(order)).getField("text")).alias("block"), F.count(F.lit(1)).alias("n_items"))

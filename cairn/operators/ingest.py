@@ -133,3 +133,48 @@ def deletion_audit(tombs: DataFrame) -> DataFrame:
     rows = tombs.select("deletion_id", "target_id", first.alias("detail"))
     late = tombs.where("status = 'applied_on_arrival'").select("deletion_id", "target_id", F.lit("").alias("detail"))
     return rows.unionByName(late)
+
+
+def dense_numbers(rows: DataFrame, order: list[str], name: str, start: Column | None = None) -> DataFrame:
+    """Rows numbered without gaps in a total order, from one behind ``start``.
+
+    Ordered ranges number their own rows; only the ranges' counts are added up.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(width, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    number = F.col("__before") + own + (start if start is not None else F.lit(0))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, number.cast("long")).drop("__range", "__before")
+
+
+def append_receipts(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """What an append does with each event of a batch: ``eid, outcome, basis, sequence``.
+
+    ``log`` has ``eid, content_hash, sequence``; ``batch`` has those columns with
+    ``position`` in place of the sequence, and ``sensitivity, retention,
+    redaction_audit``.  Events that may never be stored or lack an audit are rejected;
+    an id or else a content that the log or an accepted earlier event holds is a
+    duplicate and gets that one's sequence; the rest follow the log without gaps.
+    """
+    c = F.col
+    why = F.when((c("sensitivity") == "secret") | (c("retention") == "never_store"), "never_store_policy").when(c("redaction_audit").isNull(), "missing_redaction_audit")
+    told = written(batch.select("eid", "content_hash", "position", why.alias("why")), "batch")
+    sound = told.where("why IS NULL").drop("why")
+    by_id = log.groupBy("eid").agg(F.min("sequence").alias("seq_id"))
+    by_hash = log.groupBy("content_hash").agg(F.min("sequence").alias("seq_hash"))
+    known = sound.join(by_id, "eid", "left").join(by_hash, "content_hash", "left")
+    fresh = known.where("seq_id IS NULL AND seq_hash IS NULL").select("eid", "content_hash", "position")
+    first = outcomes(fresh, "eid", "content_hash", "position")
+    last = log.agg(F.coalesce(F.max("sequence"), F.lit(-1))).scalar()
+    new = written(dense_numbers(first.where("outcome = 'new_event'").select("eid", "content_hash", "position"), ["position"], "sequence", last), "appended")
+    again = known.join(new.select("position"), "position", "left_anti")
+    again = again.join(new.select("eid", F.col("sequence").alias("si"), F.col("position").alias("pi")), "eid", "left").join(new.select("content_hash", F.col("sequence").alias("sh")), "content_hash", "left")
+    by_event = F.coalesce(c("seq_id"), F.when(c("pi") < c("position"), c("si")))
+    receipt = lambda outcome, basis, sequence: ["eid", "position", F.lit(outcome).alias("outcome"), basis.cast("string").alias("basis"), sequence.cast("long").alias("sequence")]
+    return (
+        told.where("why IS NOT NULL").select(*receipt("rejected", c("why"), F.lit(None)))
+        .unionByName(again.select(*receipt("duplicate", F.when(by_event.isNotNull(), "event_id").otherwise("content_hash"), F.coalesce(by_event, "seq_hash", "sh"))))
+        .unionByName(new.select(*receipt("appended", F.lit(None), c("sequence"))))
+    )

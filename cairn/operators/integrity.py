@@ -39,3 +39,12 @@ def secret_scan(tables: dict[str, tuple[DataFrame, str, list[str]]], tokens: lis
 def digest_gate(df: DataFrame, columns: list[str], expected: str | None) -> bool:
     """Whether a table still has the digest that was recorded for it."""
     return expected is not None and table_digest(df, columns).first()["digest"] == expected
+
+
+def export_gate(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Whether each row may leave: the first of ``columns`` that holds a secret, and its rule."""
+    from cairn.functions import text as X
+
+    rule = F.coalesce(*[X.secret_rule(F.col(c)) for c in columns])
+    where = F.coalesce(*[F.when(X.secret_rule(F.col(c)).isNotNull(), F.lit(c)) for c in columns])
+    return rows.withColumns({"withheld_rule": rule, "withheld_column": where, "exportable": rule.isNull()})

@@ -206,3 +206,46 @@ def registered_artifacts(refs: DataFrame, registry: DataFrame, position: str) ->
     known = refs.join(registry.select("artifact_id").distinct(), "artifact_id", "left_semi")
     unknown = refs.join(registry.select("artifact_id").distinct(), "artifact_id", "left_anti")
     return first_by(known, ["artifact_id"], [F.desc(position)]), unknown.select("artifact_id").distinct()
+
+
+# Record domains and the field that holds each one's identity.
+IDENTITIES = {"charter": "charter_id", "requirement": "requirement_id", "decision": "decision_id", "state": "state_key", "verification": "verification_id", "artifact": "artifact_id"}
+BLOCK = (
+    "domain string, identity string, project_id string, op string, lifecycle_status string, state string, state_key string, content string, statement string,"
+    " version long, supersedes string, verification_status string, subject_id string, links array<string>"
+)
+
+
+def operations(events: DataFrame, block: str = "record") -> DataFrame:
+    """Operations out of events: their kind, domain fields, provenance and fault.
+
+    ``block`` is the event's JSON block of record fields.  Its declared domain tells
+    the kind and its identity becomes the domain's id; nothing is inferred from the
+    event's type or trace, which are carried as provenance.  Events without a block
+    are ``not_a_record``; a block of a known domain without identity, project or
+    operation is ``invalid_record``, which a strict replay refuses.
+    """
+    r = lambda name: F.col(f"r.{name}")
+    known = r("domain").isin(*IDENTITIES)
+    ident = F.when(r("domain") == "state", F.coalesce(r("state_key"), r("identity"))).otherwise(r("identity"))
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    broken = blank(ident) | blank(r("project_id")) | blank(r("op"))
+    kind = F.when(~F.coalesce(known, F.lit(False)), "not_a_record").when(broken, "invalid_record").otherwise(r("domain"))
+    rows = events.withColumn("r", F.from_json(block, BLOCK))
+    return rows.select(
+        kind.alias("kind"), F.when(kind.isin(*IDENTITIES), ident).alias("identity"), *[r(n).alias(n) for n in ("project_id", "op", "lifecycle_status", "state", "content", "statement", "version", "supersedes", "verification_status", "subject_id", "links")],
+        F.col("eid").alias("source_event_id"), "trace_id", "session_id", "profile_id", "created_at", "sequence", F.col("event_type").alias("derived_from_event_type"),
+    )
+
+
+def strict_operations(ops: DataFrame) -> DataFrame:
+    """The operations of records; an invalid one is an error that stops the replay before it writes."""
+    bad = ops.where("kind = 'invalid_record'").agg(F.min("source_event_id").alias("e")).first()["e"]
+    if bad is not None:
+        raise ValueError(f"invalid_record in {bad}")
+    return ops.where("kind <> 'not_a_record'")
+
+
+def replay_summary(ops: DataFrame) -> DataFrame:
+    """Operations projected and skipped by kind."""
+    return ops.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("identity").alias("identities"))

@@ -211,6 +211,35 @@ def rank_corpus(units: DataFrame, query: str, limit: int = 10, semantic: Column
     return best.where(F.col("every") | ~F.col("any_whole")).orderBy(*order)
 
 
+# The fields that a corpus plan may filter by.
+METADATA = ("profile_id", "project_id", "space_id", "source_ref", "kind", "lifecycle_status")
+
+
+def retrieve_corpus(units: DataFrame, triples: list[tuple], text: str = "", metadata: dict | None = None, limit: int = 100, semantic: Column | None = None) -> DataFrame:
+    """Scope, then closed filters, then match, score and rank: nothing outside the scope has a part in it.
+
+    A field outside the closed set is an error; a limit outside 1 to 500 counts as
+    100.  Without words every unit left is a hit with score 0.  A semantic score that
+    is null for a unit leaves its lexical one.
+    """
+    from cairn.operators.access import corpus_scope
+
+    if unknown := sorted(set(metadata or {}) - set(METADATA)):
+        raise QueryError(f"unsupported_corpus_metadata_key: {unknown[0]!r}")
+    if not isinstance(limit, int) or not 1 <= limit <= 500:
+        limit = 100
+    rows = units.withColumns({c: F.lit(None).cast("string") for c in METADATA if c not in units.columns}).where(corpus_scope(triples))
+    for name, value in (metadata or {}).items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    extra = F.coalesce(semantic, F.lit(0.0)) if semantic is not None else None
+    if corpus_words(text):
+        return rank_corpus(rows, text, limit, extra)
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    scored = rows.withColumn("score", F.round(extra, 6) if extra is not None else F.lit(0.0))
+    return scored.orderBy(F.desc("score"), blank("profile_id"), blank("project_id"), blank("source_ref"), "location_id", "line_no").limit(limit)
+
+
 def snippet(text: Column, terms: list[str], size: int = 8) -> Column:
     """A window of words around the first hit, hits in brackets."""
     words = F.split(X.collapse(text), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import vocabulary as V
@@ -17,30 +17,58 @@ ENVELOPE = (
 )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line, complete`` of every line: numbers from the top of each file.
+
+    Lines of a block are consecutive within their task, so a line's number is its
+    distance from the block's first plus the lines of the blocks before it; only one
+    row for each block is moved.  The last line of a file is incomplete if the file
+    does not end with a line feed, which its size tells.
+    """
+    m = lambda name: F.col(f"_metadata.{name}").alias(name)
+    raw = spark.read.option("lineSep", "\n").text(path).select(m("file_path"), m("file_size"), m("file_block_start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    blocks = raw.groupBy("file_path", "file_block_start").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("held"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("file_size").alias("size"))
+    whole = Window.partitionBy("file_path")
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("file_path", "file_block_start", "first", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("above"), F.sum("held").over(whole).alias("lines"), (F.sum("bytes").over(whole) == F.col("size")).alias("ended"))
+    rows = raw.join(placed, ["file_path", "file_block_start"])
+    number = F.col("above") + F.col("n") - F.col("first") + 1
+    return rows.select(F.col("file_path").alias("file"), number.alias("line_no"), "line", (F.col("ended") | (number < F.col("lines"))).alias("complete"))
+
+
+def line_fault(line: Column, complete: Column) -> Column:
+    """What is wrong with a line before its envelope is looked at, or null."""
+    parsed = F.try_parse_json(line)
+    return (
+        F.when(~F.is_valid_utf8(line), "invalid_utf8")
+        .when(parsed.isNull() & ~complete, "truncated_line")
+        .when(parsed.isNull(), "malformed_json")
+        .when(~F.ltrim(line).startswith("{"), "invalid_top_level")
+    )
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``file, position, line, fault`` and the envelope of every line of a log.
+    """``file, line_no, line, fault`` and the envelope of every line of a log.
 
-    Files are split by Spark, so a line's position is its file's name and byte
-    order: ``position`` counts lines within a partition of a file from its start.
-    Blank lines are skipped.  A line that is not JSON, or breaks a rule of the
-    envelope, keeps its text and carries the code of its first fault.
+    Blank lines are skipped but counted.  A line that is not UTF-8, is cut off, is not
+    JSON or no object, or breaks a rule of the envelope, keeps its text and carries
+    the code of its first fault.
     """
     from cairn.operators.ingest import fault
 
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
-    rows = raw.where(F.trim("line") != "").withColumn("e", F.from_json("line", ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    flat = rows.select("file", F.struct("block", "n").alias("position"), "line", "e.*")
+    rows = numbered_lines(spark, path).where(F.trim("line") != "").withColumn("e", F.from_json("line", ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    flat = rows.select("file", "line_no", "line", "complete", "e.*")
     spaces = F.when(F.size("knowledge_space_ids") > 0, F.col("knowledge_space_ids")).when(F.col("knowledge_space_id").isNotNull(), F.array("knowledge_space_id")).otherwise(F.array().cast("array<string>"))
-    broken = F.when(F.col("_corrupt").isNotNull() | F.col("event_id").isNull() & F.col("trace_id").isNull(), "json_unparseable")
-    columns = [c for c in flat.columns if c not in ("knowledge_space_id", "_corrupt")]
+    broken = F.coalesce(line_fault(F.col("line"), F.col("complete")), F.when(F.col("_corrupt").isNotNull(), "envelope_invalid_value"))
+    columns = [c for c in flat.columns if c not in ("knowledge_space_id", "_corrupt", "complete")]
     return flat.withColumn("fault", F.coalesce(broken, fault(flat.columns))).withColumn("knowledge_space_ids", spaces).select(*columns, "fault")
 
 
 def strict(log: DataFrame) -> DataFrame:
     """The log if it has no fault; its first fault is an error otherwise."""
-    bad = log.where("fault IS NOT NULL").agg(F.min(F.struct("file", "position", "fault")).alias("b")).first()["b"]
+    bad = log.where("fault IS NOT NULL").agg(F.min(F.struct("file", "line_no", "fault")).alias("b")).first()["b"]
     if bad is not None:
-        raise ValueError(f"{bad['fault']} in {bad['file']}")
+        raise ValueError(f"{bad['fault']} in {bad['file']} line {bad['line_no']}")
     return log.drop("fault")
 
 

@@ -79,12 +79,97 @@ def test_log_lines_keep_their_faults(spark, tmp_path):
     bad = [{**good, "event_type": "assistant_claim"}, {**good, "created_at": "2024-01-01"}, {k: v for k, v in good.items() if k != "source"}, {**good, "knowledge_space_ids": ["a", "a"]}]
     (tmp_path / "log.jsonl").write_text("\n".join([json.dumps(good), "", "{broken", *map(json.dumps, bad)]) + "\n")
     log = jsonl.read_log(spark, str(tmp_path))
-    assert sorted(map(str, (r["fault"] for r in log.collect()))) == sorted(["None", "json_unparseable", "claim_active", "time:created_at", "missing_field:source", "knowledge_spaces"])
+    assert sorted(map(str, (r["fault"] for r in log.collect()))) == sorted(["None", "malformed_json", "claim_active", "time:created_at", "missing_field:source", "knowledge_spaces"])
     assert [r["spaces"] for r in jsonl.as_events(log).collect()] == [["k1"]]
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="malformed_json in .* line 3"):
         jsonl.strict(log)
 
 
+def test_log_faults_of_bytes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b'\n{"event_id": "\xff"}\n[1]\n{"event_id": "x"}\r\n{"event_id": ')
+    (tmp_path / "b.jsonl").write_bytes(b'{"event_id": "x"}\n{"event_id": ')
+    (tmp_path / "c.jsonl").write_bytes(b'{"event_id": \n{"event_id": "x"}')
+    got = {(r["file"][-7:], r["line_no"]): r["fault"] for r in jsonl.read_log(spark, str(tmp_path)).collect()}
+    missing = "missing_field:trace_id"
+    assert got == {("a.jsonl", 2): "invalid_utf8", ("a.jsonl", 3): "invalid_top_level", ("a.jsonl", 4): missing, ("a.jsonl", 5): "truncated_line", ("b.jsonl", 1): missing, ("b.jsonl", 2): "truncated_line", ("c.jsonl", 1): "malformed_json", ("c.jsonl", 2): missing}
+    (tmp_path / "d.jsonl").write_text("\n".join(f'{{"event_id": "{i}"}}' for i in range(3_000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4_096)
+    try:
+        rows_ = jsonl.numbered_lines(spark, str(tmp_path / "d.jsonl")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["line_no"], json.loads(r["line"])["event_id"]) for r in rows_) == [(i + 1, str(i)) for i in range(3_000)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_append_receipts_match_a_sequential_log(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    log = [(f"e{i}", f"h{i}", i) for i in range(5)]
+    batch = [(f"e{rng.randrange(12)}", f"h{rng.randrange(12)}", p, rng.choice(["public", "public", "public", "secret"]), "session", rng.choice(["{}", "{}", None])) for p in range(40)]
+    by_id, by_hash, following, want = {i: s for i, _, s in log}, {h: s for _, h, s in log}, 5, []
+    for i, h, p, sensitivity, _, audit in batch:
+        if sensitivity == "secret" or audit is None:
+            want.append((p, "rejected", "never_store_policy" if sensitivity == "secret" else "missing_redaction_audit", None))
+        elif i in by_id or h in by_hash:
+            want.append((p, "duplicate", "event_id" if i in by_id else "content_hash", by_id.get(i, by_hash.get(h))))
+        else:
+            by_id[i] = by_hash[h] = following
+            want.append((p, "appended", None, following))
+            following += 1
+    got = N.append_receipts(spark.createDataFrame(log, "eid string, content_hash string, sequence long"), spark.createDataFrame(batch, "eid string, content_hash string, position long, sensitivity string, retention string, redaction_audit string"))
+    assert sorted((r["position"], r["outcome"], r["basis"], r["sequence"]) for r in got.collect()) == want
+
+
+def test_structured_redaction(spark):
+    from cairn.functions.redaction import redact_json
+
+    payloads = [
+        ('{"a": "x", "Authorization": "Basic abc", "n": {"password": "p", "list": ["Bearer t", 3, null, "api_key = z"]}}', ["api_key_assignment", "authorization_header", "bearer_token", "password_assignment"], ["payload.Authorization", "payload.n.list[0]", "payload.n.list[3]", "payload.n.password"], None),
+        ('{"authorization": "Bearer t"}', ["bearer_authorization"], ["payload.authorization"], None),
+        ('"-----BEGIN RSA PRIVATE KEY----- x -----END RSA PRIVATE KEY-----"', ["private_key_block"], ["payload"], None),
+        ('{"k": "-----BEGIN RSA PRIVATE KEY----- x"}', [], [], "malformed_private_key"), ("{oops", [], [], "unsafe_input"), ("[1, true]", [], [], None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(payloads)], "i long, p string").select("i", redact_json(F.col("p")).alias("r")).orderBy("i")
+    got = [r["r"] for r in df.collect()]
+    assert [(g["rules"], g["paths"], g["rejected"]) for g in got] == [p[1:] for p in payloads]
+    assert json.loads(got[0]["content"])["n"]["list"] == ["[REDACTED:bearer_token]", 3, None, "[REDACTED:api_key_assignment]"] and got[5]["content"] == "[1,true]"
+
+
+def test_strict_operations(spark):
+    from cairn.operators import records as R
+
+    block = [("e1", '{"domain":"charter","identity":"c","project_id":"j","op":"create"}'), ("e2", None), ("e3", '{"domain":"other"}'), ("e4", '{"domain":"state","state_key":"k","project_id":"j","op":"create"}')]
+    extra = ("t", "s", "p", "2024", 1, "decision")
+    kind = "eid string, record string, trace_id string, session_id string, profile_id string, created_at string, sequence long, event_type string"
+    ops = R.operations(spark.createDataFrame([(*b, *extra) for b in block], kind))
+    assert [(r["kind"], r["identity"]) for r in R.strict_operations(ops).orderBy("source_event_id").collect()] == [("charter", "c"), ("state", "k")]
+    with pytest.raises(ValueError, match="invalid_record in e5"):
+        R.strict_operations(R.operations(spark.createDataFrame([("e5", '{"domain":"charter","op":"create"}', *extra)], kind)))
+
+
+def test_secured_reads_of_the_engine(spark, sf):
+    ev = V.events(spark, sf)
+    e = Engine(ev)
+    ask = A.Request("READ", "p3", ("p3",))
+    owners = ev.select(F.lit("event").alias("resource_type"), F.col("eid").alias("resource_id"), "profile_id", "project_id", "spaces")
+    facts = ev.select(F.lit("event").alias("resource_type"), F.col("eid").alias("resource_id"), "created_at", *[F.lit(None).cast("string").alias(c) for c in ("effective_at", "valid_from", "valid_until")])
+    mine = {r["eid"] for r in ev.where("profile_id = 'p3'").collect()}
+    assert {r["resource_id"] for r in e.facts(ask, facts, owners, "transaction", "2100").collect()} == mine
+    page = e.records(ask, ev, ["eid"], 10, project_id="j3").collect()
+    assert page and all(r["eid"] in mine and r["project_id"] == "j3" for r in page)
+    relations = N.derived_from(ev.withColumn("relation_ids", F.array(F.concat(F.lit("e"), F.lpad((F.col("sequence") + 1).cast("string"), 9, "0")))))
+    some = next(iter(sorted(mine)))
+    assert all(r["from_id"] in mine and r["to_id"] in mine for r in e.related(ask, relations, some).collect())
+    units = spark.createDataFrame([("p3", None, "s", "s#L1", 1, "word one"), ("p4", None, "s", "s#L2", 2, "word two"), (None, None, "s", "s#L3", 3, "word three")], "profile_id string, project_id string, source_ref string, location_id string, line_no int, text string")
+    assert [r["location_id"] for r in e.corpus(ask, units, "word").collect()] == ["s#L1"] and e.corpus(ask, units, limit=-1).count() == 1
+    with pytest.raises(S.QueryError):
+        e.corpus(ask, units, "word", {"colour": "red"})
+    with pytest.raises(Exception, match="outside its scope"):
+        A.validated(ev, e.scopes(ask)).collect()
+
+
 # ----------------------------------------------------------------------- access
 
 

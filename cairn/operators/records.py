@@ -62,11 +62,12 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
 
     def one(log):
         now: dict[str, dict] = {}
+        active: set[str] = set()
         out = []
         for r in log.sort_values("position").to_dict("records"):
             have, ident = now.get(r["decision_id"]), r["decision_id"]
             wants = r["lifecycle_status"] or "candidate"
-            active = [d for d, v in now.items() if v["lifecycle_status"] == "active"]
+            others = active - {ident, r["supersedes_id"] if r["op"] == "supersede" else ident} if wants == "active" and r["op"] != "create" else active
             if r["op"] == "create":
                 if have is not None:
                     same = have["statement"] == r["statement"] and have["lifecycle_status"] == wants
@@ -81,7 +82,7 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
                     outcome = "rejected"
                 elif have is not None:
                     outcome = "noop"
-                elif wants == "active" and [d for d in active if d != r["supersedes_id"]]:
+                elif wants == "active" and others:
                     outcome = "conflict"
                 else:
                     old["lifecycle_status"], old["replaced_by"] = "superseded", ident
@@ -91,7 +92,7 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
             elif r["op"] == "transition":
                 if have["lifecycle_status"] == "deleted" and wants != "deleted":
                     outcome = "rejected"
-                elif wants == "active" and [d for d in active if d != ident]:
+                elif wants == "active" and others:
                     outcome = "conflict"
                 else:
                     have["lifecycle_status"], outcome = wants, "transitioned"
@@ -100,6 +101,9 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
                 have["lifecycle_status"], outcome = "deleted", "deleted"
             else:
                 outcome = "rejected"
+            for d in (ident, r["supersedes_id"]):
+                if d in now:
+                    (active.add if now[d]["lifecycle_status"] == "active" else active.discard)(d)
             out.append((ident, outcome, r["position"]))
         rows = [{"key": log["key"].iloc[0], "decision_id": i, "outcome": o, "position": p, **(now.get(i) or {"lifecycle_status": None, "statement": None, "supersedes_id": None, "replaced_by": None})} for i, o, p in out]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLAY.split(", ")])

@@ -253,7 +253,7 @@ def token_savings(spark, sf):
     return M.savings(d.select(X.estimate_tokens(F.col("text")).alias("b"), X.estimate_tokens(X.summary(F.col("text"))).alias("a")), "b", "a")
 
 
-@query()
+@query("SELECT *, canonical_sequence - coalesce(derived_sequence, -1) AS lag, CASE WHEN canonical_sequence = derived_sequence AND canonical_rows = derived_rows THEN 'CURRENT' WHEN derived_rows = 0 THEN 'UNAVAILABLE' ELSE 'PENDING' END AS state FROM (SELECT max(sequence) AS canonical_sequence, count(*) AS canonical_rows, max(sequence) FILTER (WHERE sequence % 50 <> 49) AS derived_sequence, count(*) FILTER (WHERE sequence % 50 <> 49) AS derived_rows FROM v_events)", V.EVENTS)
 def freshness_watermark(spark, sf):
     from cairn.streaming.projection import freshness
 

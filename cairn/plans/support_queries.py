@@ -9,6 +9,7 @@ from cairn.operators import corpus as C
 from cairn.operators import evidence as D
 from cairn.operators import graph as G
 from cairn.plans import views as V
+from cairn.plans.evidence_queries import DIGEST_PARTS
 from cairn.plans.corpus_queries import DEDUP
 from cairn.plans.evidence_queries import ELIGIBLE, _items
 from cairn.plans.registry import Area
@@ -87,6 +88,6 @@ def corpus_neighbourhood(spark, sf):
     return G.distances(G.neighbourhood(edges, spark.createDataFrame([("d7",)], "node string"), allowed))
 
 
-@query()
+@query(f"SELECT 'events' AS index_name, count(*) AS n_rows, sha256(concat_ws('-', CAST(count(*) AS VARCHAR), {DIGEST_PARTS})) AS digest, 'published' AS status FROM (SELECT sha256(concat_ws(chr(31), '=' || eid, '=' || trace_id, '=' || lifecycle)) AS d FROM v_events)", V.EVENTS)
 def index_registry(spark, sf):
     return G.registry_row(V.events(spark, sf), "events", ["eid", "trace_id", "lifecycle"])

@@ -21,6 +21,11 @@ def check_limit(limit) -> int:
     return limit
 
 
+def corpus_limit(limit) -> int:
+    """The corpus reads' own rule: anything that is no positive whole number counts as 100."""
+    return 100 if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1 else limit
+
+
 def fingerprint(filters: dict, **binding) -> str:
     """A digest of everything that a page's meaning depends on."""
     text = json.dumps({"f": {k: v for k, v in filters.items() if v is not None}, **binding}, sort_keys=True, separators=(",", ":"))

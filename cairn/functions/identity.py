@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 # Domains of the digests that make ids.
-EDGE_DOMAIN, ENTITY_DOMAIN = "zm8.graph_edge", "zm8.entity"
+EDGE_DOMAIN, ENTITY_DOMAIN, CONTENT_DOMAIN = "zm8.graph_edge", "zm8.entity", "zm8.content"
+SOURCE_CONTENT, LOGICAL_SOURCE, NORMALIZATION = "zm10.corpus_source_content", "zm10.corpus_logical_source", "m10.3"
+SCOPE = ("profile_id", "project_id", "knowledge_space_id")
 
 
 def json_text(c: Column) -> Column:
@@ -61,3 +63,22 @@ def edge_id(edge: dict[str, Column], ascii_only: bool = False) -> Column:
 
 def entity_id(kind: Column, key: Column, ascii_only: bool = False) -> Column:
     return short_id("ent_", ENTITY_DOMAIN, canonical_object({"entity_type": kind, "key": key}, ascii_only))
+
+
+def source_id(ascii_only: bool = False) -> Column:
+    """The id of a logical source: where it lies, its kind and its scope, never its content."""
+    place = canonical_object({c: F.col(c) for c in ("external_ref", "kind", *SCOPE)}, ascii_only)
+    return digest(CONTENT_DOMAIN, F.concat(F.lit('{"descriptor":'), place, F.lit(f',"domain":"{LOGICAL_SOURCE}"}}')))
+
+
+def source_content_hash(content: Column) -> Column:
+    """The id of a source's bytes alone."""
+    return digest(CONTENT_DOMAIN, F.concat(F.lit('{"bytes_sha256":"'), F.sha2(content, 256), F.lit(f'","domain":"{SOURCE_CONTENT}"}}')))
+
+
+def source_version_id(source: Column, content_hash: Column, ascii_only: bool = False) -> Column:
+    """The id of a version: source, content, scope and the rules of normalization."""
+    literal = plain_json_text if ascii_only else json_text
+    scope = [x for c in SCOPE for x in (F.lit(","), literal(F.col(c)))][1:]
+    body = F.concat(F.lit('{"content_hash":"'), content_hash, F.lit(f'","normalization_version":"{NORMALIZATION}","scope":['), *scope, F.lit('],"source_id":"'), source, F.lit('"}'))
+    return F.concat(F.lit("sv_"), F.left(digest(CONTENT_DOMAIN, body), F.lit(32)))

@@ -106,11 +106,55 @@ def summary(c: Column, cap: int = 280) -> Column:
     return F.left(c, F.lit(cap))
 
 
-def escape_field(c: Column, cap: int = 400) -> Column:
-    """One printable line: no controls, rules or ellipses that could frame a turn."""
-    flat = F.regexp_replace(F.regexp_replace(c, "[\x00\r]", ""), "[\n\t]", " ")
-    plain = F.regexp_replace(flat, r"(?i)\b(system|user|assistant)\s*:", "$1 -")
-    return F.left(F.replace(F.replace(plain, F.lit("---"), F.lit("—")), F.lit("..."), F.lit("…")), F.lit(cap))
+# Role marks that a field may not carry, and the gap that breaks them.
+ROLE_MARKS = ("role=system", "role=developer", "role=user", "role:system", "role:developer")
+GAP = "\u200b"
+
+
+def escape_field(c: Column, cap: int = 2000) -> Column:
+    """One line of data: no controls, role marks, rules or ellipses; nothing is an empty text."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\x00\r]", ""), "[\n\t]", " ")
+    for mark in ROLE_MARKS:
+        name, value = mark[:4], mark[5:]
+        out = F.replace(out, F.lit(mark), F.lit(f"{name}{GAP}{mark[4]}{GAP}{value} (data)"))
+    return F.left(F.replace(F.replace(out, F.lit("---"), F.lit("—")), F.lit("..."), F.lit("…")), F.lit(cap))
+
+
+def escape_summary(c: Column) -> Column:
+    """A field under the cap of summaries."""
+    return F.left(escape_field(c), F.lit(280))
+
+
+def escape_inline(c: Column, cap: int = 2000) -> Column:
+    """Text that no Markdown or HTML reader takes for more than text, on one line; nothing is ``(none)``."""
+    flat = collapse(F.regexp_replace(F.regexp_replace(c, "[\n\r\t]", " "), "[\x00-\x1f\x7f]", ""))
+    data = F.left(flat, F.lit(cap))
+    for mark, entity in (("\\", "\\\\"), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        data = F.replace(data, F.lit(mark), F.lit(entity))
+    data = F.regexp_replace(data, r"([\[\]|#`*_!$~^{}])", r"\\$1")
+    return F.when(F.coalesce(flat, F.lit("")) == "", "(none)").otherwise(F.when(F.length(flat) > cap, F.concat(data, F.lit("…[truncated]"))).otherwise(data))
+
+
+def yaml_scalar(c: Column, cap: int = 2000) -> Column:
+    """A text as a quoted YAML scalar; null is ``null``."""
+    out = F.left(c, F.lit(cap))
+    for mark, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    rare = out
+    for code in [*range(0x20), 0x7F]:
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    out = F.when(out.rlike("[\x00-\x1f\x7f]"), rare).otherwise(out)
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+
+
+def yaml_list(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: yaml_scalar(x)), ", "), F.lit("]")), F.lit("[]"))
+
+
+def safe_link_display(c: Column, fallback: Column, cap: int = 120) -> Column:
+    """A label of plain characters only, or else the fallback."""
+    safe = c.rlike(r"^[A-Za-z0-9._:/ -]+\z") & (c == F.trim(c)) & (F.length(c) <= cap) & ~c.contains("..")
+    return F.when(F.coalesce(safe, F.lit(False)), c).otherwise(fallback)
 
 
 def secret_rule(c: Column) -> Column:

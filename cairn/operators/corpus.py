@@ -64,6 +64,49 @@ def carried_lag(rows: DataFrame, key: str, order: list[str], ident: str, content
     return known.select(*rows.columns, before["i"].alias("supersedes"), F.when(before["h"] != F.col(content), before["h"]).alias("predecessor_content_hash"))
 
 
+def _versioned(rows: DataFrame, ascii_only: bool) -> DataFrame:
+    """Rows with the ids of source, content and version, each with the version before it."""
+    ids = rows.withColumn("content_hash", I.source_content_hash(F.col("content"))).drop("content").withColumn("source_id", I.source_id(ascii_only))
+    ids = ids.withColumn("version_id", I.source_version_id(F.col("source_id"), F.col("content_hash"), ascii_only))
+    return carried_lag(ids, "source_id", ["position"], "version_id", "content_hash")
+
+
+def register_sources(registry: DataFrame, batch: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """What a batch of registrations adds: ``position, source_id, version_id, outcome, ...``.
+
+    Both sides have ``external_ref, kind, profile_id, project_id, knowledge_space_id,
+    content`` and a ``position`` in one order, the registry's before the batch's.
+    Content equal to the latest of its source is that ``existing`` version; any other is
+    ``registered`` and names the version that it supersedes, even one that returns to an
+    older content.  Nulls in a scope are scopes of their own; a null content has no
+    bytes and counts as an empty one.
+    """
+    columns = ["external_ref", "kind", *I.SCOPE, "position"]
+    side = lambda df, new: df.select(*columns, F.coalesce("content", F.lit("")).alias("content"), F.lit(new).alias("new"))
+    chained = _versioned(side(registry, False).unionByName(side(batch, True)), ascii_only)
+    same = F.coalesce(F.col("supersedes") == F.col("version_id"), F.lit(False))
+    told = chained.where("new").withColumn("outcome", F.when(same, "existing").otherwise("registered"))
+    return told.withColumn("supersedes", F.when(~same, F.col("supersedes"))).drop("new")
+
+
+def rebind_version(registry: DataFrame, change: DataFrame) -> DataFrame:
+    """The registry with the rows of ``change`` in place of their versions; unknown versions are added."""
+    keys = ["source_id", "version_id"]
+    return registry.join(change.select(*keys), keys, "left_anti").unionByName(change)
+
+
+def rekey_legacy(records: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Records of an older registry under the ids of now, none left out.
+
+    The old ``source_id`` and ``content_hash`` stay as ``legacy_source_id`` and
+    ``legacy_content_hash``; each record names the version before it and its content.
+    """
+    old = records.withColumnsRenamed({"source_id": "legacy_source_id", "content_hash": "legacy_content_hash"})
+    chained = _versioned(old.withColumn("content", F.coalesce("content", F.lit(""))), ascii_only)
+    before = F.when(F.col("supersedes").isNotNull(), F.coalesce("predecessor_content_hash", "content_hash"))
+    return chained.withColumn("predecessor_content_hash", before)
+
+
 def latest_sources(records: DataFrame) -> DataFrame:
     """The last record of each source: a pre-aggregated maximum."""
     rest = [c for c in records.columns if c != "source_id"]

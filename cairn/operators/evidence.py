@@ -257,7 +257,7 @@ def envelope(items: DataFrame, by: list[str]) -> DataFrame:
     """
     head = F.concat(F.lit("  "), F.col("rank").cast("string"), F.lit(". ["), F.col("role"), F.lit("] "), X.escape_field(F.col("resource_type")), F.lit(": "), X.escape_field(F.col("eid")))
     labelled = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"     {label}: "), X.escape_field(F.col(c)))) for label, c in ENVELOPE_FIELDS]
-    told = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.concat(F.lit("     summary: "), X.escape_field(X.summary(F.col("content")))))
+    told = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.concat(F.lit("     summary: "), X.escape_summary(F.col("content"))))
     text = F.concat_ws("\n", head, *labelled, told)
     order = F.struct(F.when(F.col("role") == "primary", 0).otherwise(1).alias("r"), F.col("rank"), text.alias("text"))
     return items.groupBy(*by).agg(F.concat_ws("\n", F.array_sort(F.collect_list(order)).getField("text")).alias("block"), F.count(F.lit(1)).alias("n_items"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.scratch import written
+
 FAN_OUT, MAX_NODES, MAX_EDGES, MAX_DEPTH = 20, 40, 80, 2
 #: Relations of events that become typed edges; others are reported, never guessed.
 MAPPED = {"derived_from": "derived_from", "supersedes": "supersedes"}
@@ -52,10 +54,65 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, allowed: DataFrame | None
     return seen
 
 
-def bounded(nodes: DataFrame, limit: int = MAX_NODES) -> DataFrame:
-    """The nearest nodes, and whether the bound cut any off."""
-    more = nodes.agg(F.count(F.lit(1)) > limit).scalar()
-    return nodes.orderBy("depth", "node").limit(limit).withColumn("truncated", more)
+def _first_steps(edges: DataFrame, nodes: DataFrame, allowed: DataFrame, fan_out: int) -> DataFrame:
+    """Each node's first edges in either direction: ``node, way, edge_id, from_id, relation, to_id, next, over``.
+
+    ``over`` marks the one edge behind the cap, which only tells that there are more.
+    """
+    parts = []
+    for way, (here, there) in enumerate((("from_id", "to_id"), ("to_id", "from_id"))):
+        near = edges.join(nodes.select(F.col("node").alias(here)), here, "left_semi").join(allowed.select(F.col("node").alias(there)), there, "left_semi")
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(here).orderBy("relation", "edge_id"))).where(F.col("rank") <= fan_out + 1)
+        parts.append(ranked.select(F.col(here).alias("node"), F.lit(way).alias("way"), "edge_id", "from_id", "relation", "to_id", F.col(there).alias("next"), (F.col("rank") > fan_out).alias("over")))
+    return parts[0].unionByName(parts[1])
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, depth: int = MAX_DEPTH, fan_out: int = FAN_OUT, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
+    """One bounded neighbourhood for each seed: ``seed, authorized, nodes, edges, bound_codes``.
+
+    Breadth first, a node's outgoing edges before its incoming ones, each by relation
+    and edge id; the first ``max_nodes`` nodes and ``max_edges`` edges met are kept,
+    and codes tell which bounds stopped the walk.  What is not allowed is gone before
+    anything is counted; a hidden or unknown seed gives an empty result.  Bounds above
+    the fixed ceilings are refused.  A seed's walk is at most ``fan_out`` squared times
+    a few edges, so the windows over a seed are small whatever the degrees.
+    """
+    for name, value, top, least in (("depth", depth, MAX_DEPTH, 0), ("fan_out", fan_out, FAN_OUT, 1), ("max_nodes", max_nodes, MAX_NODES, 1), ("max_edges", max_edges, MAX_EDGES, 0)):
+        if isinstance(value, bool) or not isinstance(value, int) or not least <= value <= top:
+            raise ValueError(f"{name} must be a whole number from {least} to {top}")
+    asked = seeds.select(F.col("node").alias("seed")).distinct()
+    start = asked.join(allowed.select(F.col("node").alias("seed")), "seed", "left_semi")
+    met = F.struct(F.lit(0).alias("hop"), F.lit(0).alias("above"), F.lit(0).alias("way"), F.lit("").alias("relation"), F.lit("").alias("edge_id"))
+    found = start.select("seed", F.col("seed").alias("node"), met.alias("met"))
+    frontier = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("above"))
+    steps = None
+    for hop in range(1, depth + 1):
+        capped = _first_steps(edges, frontier.select("node").distinct(), allowed, fan_out)
+        order = F.struct(F.lit(hop).alias("hop"), "above", "way", "relation", "edge_id")
+        walked = written(frontier.join(capped, "node").select("seed", order.alias("met"), "edge_id", "from_id", "relation", "to_id", F.col("next").alias("node"), "over"), "steps")
+        steps = walked if steps is None else steps.unionByName(walked)
+        new = walked.where("NOT over").groupBy("seed", "node").agg(F.min("met").alias("met")).join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        found = found.unionByName(new)
+        frontier = new.select("seed", "node", F.row_number().over(Window.partitionBy("seed").orderBy("met")).alias("above"))
+    by_seed = Window.partitionBy("seed").orderBy("met")
+    numbered = found.withColumn("n", F.row_number().over(by_seed))
+    kept = F.when(F.col("n") <= max_nodes, F.struct("node", F.col("met.hop").cast("long").alias("depth")))
+    out = numbered.groupBy("seed").agg(F.array_sort(F.collect_list(kept)).alias("nodes"), (F.max("n") > max_nodes).alias("more_nodes"), (F.max("met.hop") >= depth).alias("deep"))
+    if steps is None:
+        lines = start.select("seed", F.array().cast("array<struct<relation:string,edge_id:string,from_id:string,to_id:string>>").alias("edges"), F.lit(False).alias("more_edges"), F.lit(False).alias("wide"))
+    else:
+        each = steps.where("NOT over").groupBy("seed", "edge_id", "from_id", "relation", "to_id").agg(F.min("met").alias("met")).withColumn("n", F.row_number().over(by_seed))
+        line = F.when(F.col("n") <= max_edges, F.struct("relation", "edge_id", "from_id", "to_id"))
+        lines = each.groupBy("seed").agg(F.array_sort(F.collect_list(line)).alias("edges"), (F.max("n") > max_edges).alias("more_edges"))
+        lines = lines.join(steps.groupBy("seed").agg(F.max("over").alias("wide")), "seed", "full_outer")
+    told = asked.join(out, "seed", "left").join(lines, "seed", "left")
+    code = lambda flag, name: F.when(F.coalesce(F.col(flag), F.lit(False)), F.lit(name))
+    codes = F.array_compact(F.array(code("deep", "bound_max_depth"), code("more_edges", "bound_max_edges"), code("wide", "bound_max_fan_out"), code("more_nodes", "bound_max_nodes")))
+    whole = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return told.select(
+        "seed", F.col("nodes").isNotNull().alias("authorized"), whole("nodes", "array<struct<node:string,depth:bigint>>"),
+        whole("edges", "array<struct<relation:string,edge_id:string,from_id:string,to_id:string>>"), codes.alias("bound_codes"),
+    )
 
 
 def typed_edges(*sources: tuple[DataFrame, str, str, str]) -> DataFrame:

@@ -72,11 +72,26 @@ def lifecycle_seed(accepted: DataFrame) -> DataFrame:
     return accepted.select("eid", F.col("lifecycle").alias("current_state"), F.lit("deterministic_check").alias("verifier"), F.col("trace_id").alias("evidence_ref"))
 
 
-def supersessions(events: DataFrame) -> DataFrame:
-    """Within a trace the newest active event supersedes the active one before it."""
+def supersessions(events: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """Within a trace the newest active event supersedes the active one before it.
+
+    With ``deletions`` (``target_id, sequence``) an event that was deleted before the
+    next one came is not superseded by it; one that arrives already awaited by a
+    deletion supersedes its predecessor and is deleted at once.
+    """
     chain = Window.partitionBy("trace_id").orderBy("sequence")
     active = events.where(F.col("lifecycle") == "active")
-    return active.select("trace_id", "eid", F.lag("eid").over(chain).alias("supersedes"), F.lead("eid").over(chain).alias("superseded_by"))
+    if deletions is None:
+        return active.select("trace_id", "eid", F.lag("eid").over(chain).alias("supersedes"), F.lead("eid").over(chain).alias("superseded_by"))
+    first = deletions.groupBy(F.col("target_id").alias("eid")).agg(F.min("sequence").alias("asked"))
+    dated = active.join(first, "eid", "left").withColumn("gone", F.when(F.col("asked").isNotNull(), F.greatest("asked", "sequence")))
+    own, before, behind = F.struct("eid", "gone", "sequence"), F.col("before"), F.col("behind")
+    near = dated.select("trace_id", "eid", "gone", "sequence", F.lag(own).over(chain).alias("before"), F.lead(own).over(chain).alias("behind"))
+    alive = lambda gone, at: gone.isNull() | (gone > at)
+    return near.select(
+        "trace_id", "eid", F.when(alive(before["gone"], F.col("sequence")), before["eid"]).alias("supersedes"), F.when(alive(F.col("gone"), behind["sequence"]), behind["eid"]).alias("superseded_by"),
+        F.when(F.col("gone").isNotNull(), "deleted").when(behind["eid"].isNotNull(), "superseded").otherwise("active").alias("current_state"),
+    )
 
 
 def child_of(events: DataFrame, parent: str = "parent_trace_id") -> DataFrame:
@@ -178,3 +193,40 @@ def append_receipts(log: DataFrame, batch: DataFrame) -> DataFrame:
         .unionByName(again.select(*receipt("duplicate", F.when(by_event.isNotNull(), "event_id").otherwise("content_hash"), F.coalesce(by_event, "seq_hash", "sh"))))
         .unionByName(new.select(*receipt("appended", F.lit(None), c("sequence"))))
     )
+
+
+def project_rows(log: DataFrame, origin: str) -> DataFrame:
+    """Sound envelopes as the 24 columns of the event table; absent identities stay null."""
+    plain = ["event_id", "trace_id", "event_type", "source", "schema_version", "created_at", "observed_at", "sequence", "session_id", "profile_id", "project_id", "task_id", "turn_id", "parent_trace_id", "lifecycle_status", "verification_status", "confidence", "sensitivity", "retention"]
+    audited = F.coalesce(F.trim("redaction_audit"), F.lit("")).isin("", "{}", "[]", "null", "false", "0")
+    return log.where("fault IS NULL").select(
+        *plain, F.col("sanitized_content_hash").alias("content_hash"), F.when(audited, 0).otherwise(1).alias("redaction_applied"),
+        F.current_timestamp().alias("ingested_at"), F.lit(origin).alias("origin_jsonl"), F.get("knowledge_space_ids", F.lit(0)).alias("knowledge_space_id"),
+    )
+
+
+def projections(events: DataFrame) -> dict[str, DataFrame]:
+    """Every table that is derived from the log, by name.
+
+    ``events`` has the columns of reads and ``parent_trace_id, relation_ids,
+    artifact_refs, tombstone_target``.
+    """
+    deletions = events.where("tombstone_target IS NOT NULL").select(F.col("eid").alias("deletion_id"), F.col("tombstone_target").alias("target_id"), "sequence")
+    tombs = tombstones(deletions, events)
+    chain = supersessions(events, deletions)
+    gone = tombs.where("status <> 'pending'").select(F.col("target_id").alias("eid"))
+    state = chain.select("eid", "superseded_by", F.col("current_state").alias("state"))
+    life = events.join(state, "eid", "left").join(gone.distinct().withColumn("gone", F.lit(True)), "eid", "left")
+    refs = events.select("eid", "sequence", F.explode("artifact_refs").alias("r")).select("eid", "sequence", F.col("r.artifact_id").alias("artifact_id"))
+    supersedes = chain.where("supersedes IS NOT NULL").select(F.col("eid").alias("from_id"), F.lit("supersedes").alias("relation"), F.col("supersedes").alias("to_id"))
+    return {
+        "artifacts": first_artifacts(refs.where("artifact_id IS NOT NULL")),
+        "deletion_audit": deletion_audit(tombs),
+        "lifecycle": life.select("eid", F.when(F.col("gone"), "deleted").otherwise(F.coalesce("state", "lifecycle")).alias("current_state"), "superseded_by"),
+        "meta": events.select("eid", "trace_id", "lifecycle", "verification"),
+        "postings": events.join(gone, "eid", "left_anti").select("eid", "content"),
+        "provenance": events.select("eid", "verification", F.lit("deterministic_check").alias("verifier"), F.col("trace_id").alias("evidence_ref")),
+        "relations": child_of(events).unionByName(derived_from(events)).unionByName(supersedes),
+        "scopes": scopes(events),
+        "tombstones": tombs.select("deletion_id", "target_id", "status"),
+    }

@@ -208,14 +208,6 @@ def projection_digest(spark, sf):
     return L.table_digest(V.events(spark, sf), ["eid", "trace_id", "profile_id"])
 
 
-@query("SELECT 'lifecycle' AS projection, 0 AS only_left, 0 AS only_right, true AS equal UNION ALL SELECT 'scopes', (SELECT count(*) FROM (SELECT DISTINCT project_id FROM v_events)) - 1, 0, false", V.EVENTS)
-def rebuild_parity(spark, sf):
-    ev = V.events(spark, sf)
-    life = ev.select("eid", "lifecycle")
-    projects = ev.select("project_id").distinct()
-    return Y.parity({"lifecycle": life, "scopes": projects}, {"lifecycle": life.repartition(3), "scopes": projects.where("project_id = 'j1'")})
-
-
 @query("SELECT CASE WHEN sequence % 21 = 0 THEN 'missing' WHEN sequence % 22 = 0 THEN 'changed' ELSE 'equal' END AS state, count(*) AS n FROM v_events GROUP BY 1", V.EVENTS)
 def canonical_vs_derived(spark, sf):
     ev = V.events(spark, sf).select("eid", "sequence", F.sha2("content", 256).alias("h"))

@@ -43,9 +43,19 @@ def field_rules(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", key.alias("key"), X.field_rule(key).alias("rule"))
 
 
-@query("SELECT doc_id, sha256(left(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00\\r]', '', 'g'), '[\\n\\t]', ' ', 'g'), '(?i)\\b(system|user|assistant)\\s*:', '\\1 -', 'g'), '---', '—'), '...', '…'), 400)) AS line FROM documents WHERE text IS NOT NULL")
+def _marks_broken(x: str) -> str:
+    for mark in X.ROLE_MARKS:
+        x = f"replace({x}, '{mark}', '{mark[:4]}' || chr(8203) || '{mark[4]}' || chr(8203) || '{mark[5:]} (data)')"
+    return x
+
+
+ONE_LINE = r"regexp_replace(regexp_replace(coalesce(text, ''), '[\x00\r]', '', 'g'), '[\n\t]', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, sha256(line) AS line, sha256(left(line, 280)) AS summary FROM (SELECT doc_id, left(replace(replace({_marks_broken(ONE_LINE)}, '---', '—'), '...', '…'), 2000) AS line FROM documents)")
 def escaped_fields(spark, sf):
-    return V.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(X.escape_field(F.col("text")), 256).alias("line"))
+    return V.table(spark, sf, "documents").select("doc_id", F.sha2(X.escape_field(F.col("text")), 256).alias("line"), F.sha2(X.escape_summary(F.col("text")), 256).alias("summary"))
+
 
 
 @query("SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents WHERE text IS NOT NULL")

@@ -23,6 +23,12 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, on whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet and read back: a short lineage on lasting files."""
     path = folder(df.sparkSession, what)

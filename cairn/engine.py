@@ -29,10 +29,17 @@ class Engine:
             raise Denied("denied")
         return scopes
 
-    def query_events(self, request: A.Request, limit: int | None = None, cursor: str | None = None, **filters) -> DataFrame:
+    def query_events(self, request: A.Request, limit: int | None = None, cursor: str | None = None, look_ahead: bool = False, **filters) -> DataFrame:
+        """A page of events; with ``look_ahead`` one row more, which tells whether another page follows."""
         limit = K.check_limit(limit)
         after = K.decode(cursor, E.ORDER, limit, self._print(request, filters)) if cursor else None
-        return E.query(self.events, limit, after, A.any_of(self.scopes(request)), **filters)
+        return E.query(self.events, limit, after, A.any_of(self.scopes(request)), look_ahead, **filters)
+
+    def page_of_events(self, request: A.Request, limit: int | None = None, cursor: str | None = None, **filters) -> tuple[list, str | None]:
+        """A collected page, of at most 500 rows, and the cursor behind it if more rows follow."""
+        size = K.check_limit(limit)
+        seen = self.query_events(request, limit, cursor, look_ahead=True, **filters).collect()
+        return seen[:size], self.next_cursor(request, seen[:size], limit, **filters) if len(seen) > size else None
 
     def next_cursor(self, request: A.Request, page: list, limit: int | None = None, **filters) -> str | None:
         """The cursor behind a collected page, or None behind the last one."""

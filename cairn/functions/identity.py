@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 # Domains of the digests that make ids.
-EDGE_DOMAIN, ENTITY_DOMAIN, CONTENT_DOMAIN = "zm8.graph_edge", "zm8.entity", "zm8.content"
+EDGE_DOMAIN, ENTITY_DOMAIN, MENTION_DOMAIN, CONTENT_DOMAIN = "zm8.graph_edge", "zm8.entity", "zm8.entity_mention", "zm8.content"
 SOURCE_CONTENT, LOGICAL_SOURCE, NORMALIZATION = "zm10.corpus_source_content", "zm10.corpus_logical_source", "m10.3"
 SCOPE = ("profile_id", "project_id", "knowledge_space_id")
 
@@ -32,6 +32,18 @@ def plain_json_text(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), quoted, F.lit('"')), F.lit("null"))
 
 
+def utf8_json_text(c: Column) -> Column:
+    """A JSON string literal that keeps its letters; marks and controls are escaped, inside the JVM."""
+    out = c
+    for mark, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    rare = out
+    for code in range(0x20):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    out = F.when(out.rlike("[\x00-\x1f]"), rare).otherwise(out)
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+
+
 def canonical_object(fields: dict[str, Column], ascii_only: bool = False) -> Column:
     """Canonical JSON of string fields: sorted keys, no spaces, nulls kept."""
     literal = plain_json_text if ascii_only else json_text
@@ -82,3 +94,16 @@ def source_version_id(source: Column, content_hash: Column, ascii_only: bool = F
     scope = [x for c in SCOPE for x in (F.lit(","), literal(F.col(c)))][1:]
     body = F.concat(F.lit('{"content_hash":"'), content_hash, F.lit(f'","normalization_version":"{NORMALIZATION}","scope":['), *scope, F.lit('],"source_id":"'), source, F.lit('"}'))
     return F.concat(F.lit("sv_"), F.left(digest(CONTENT_DOMAIN, body), F.lit(32)))
+
+
+def mention_id(entity: Column, event: Column, start: Column, end: Column, ascii_only: bool = False) -> Column:
+    """The id of a mention: its entity, its event and its span; an unknown end stays unknown.
+
+    Null where the entity or event is blank or the span is negative or runs backwards.
+    """
+    literal = plain_json_text if ascii_only else json_text
+    place = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    body = F.concat(F.lit('{"entity_id":'), literal(entity), F.lit(',"source_event_id":'), literal(event), F.lit(',"span_end":'), place(end), F.lit(',"span_start":'), place(start), F.lit("}"))
+    named = F.coalesce((F.trim(entity) != "") & (F.trim(event) != ""), F.lit(False))
+    sound = F.coalesce(start >= 0, F.lit(True)) & F.coalesce(end >= 0, F.lit(True)) & F.coalesce(end >= start, F.lit(True))
+    return F.when(named & sound, short_id("men_", MENTION_DOMAIN, body))

@@ -119,6 +119,29 @@ def secret_gate(units: DataFrame, body: str = "text") -> DataFrame:
     return units.withColumn("rule", rule).withColumn("accepted", F.col("rule").isNull())
 
 
+def project_corpus(sources: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources to units, edges and a report: extract, normalize, identify, gate, drop repeats.
+
+    ``sources`` has ``source_ref, text`` and scope columns.  A unit that holds a secret
+    is left out before repeats are looked for, so nothing can stand for a hidden unit;
+    repeats stay as rows that name their first.  The report counts sources, sources
+    without any unit, units, rejected units, repeats and edges.
+    """
+    from cairn.sources.text_units import units_of_text
+
+    lines = units_of_text(sources).withColumn("text", X.normalize_text(F.col("text"), composed)).where("text <> ''")
+    gated = written(secret_gate(identify_units(lines)), "units")
+    units = written(dedup_units(gated.where("accepted").drop("rule", "accepted")), "kept")
+    edges = written(corpus_edges(units), "edges")
+    given, parts = sources.select("source_ref").distinct(), gated.select("source_ref").distinct()
+    counted = {"sources": given, "empty_sources": given.join(parts, "source_ref", "left_anti"), "units": units, "rejected": gated.where("NOT accepted"), "repeats": units.where("duplicate_of IS NOT NULL"), "edges": edges}
+    report = None
+    for name, rows in counted.items():
+        row = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        report = row if report is None else report.unionByName(row)
+    return units, edges, report
+
+
 def keyword_enrichment(units: DataFrame, ident: str = "unit", body: str = "text", top: int = 8) -> DataFrame:
     """Top words and word pairs of each unit with their share of the top's count.
 

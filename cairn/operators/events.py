@@ -48,12 +48,12 @@ def visible(events: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     return events.join(deleted if deleted is not None else deleted_ids(events), "eid", "left_anti")
 
 
-def query(events: DataFrame, limit: int = 50, cursor: dict | None = None, secured: Column | None = None, **wanted) -> DataFrame:
+def query(events: DataFrame, limit: int = 50, cursor: dict | None = None, secured: Column | None = None, look_ahead: bool = False, **wanted) -> DataFrame:
     """A page of visible events; the scope is applied before order and limit."""
     rows = events.where(condition(**wanted))
     if secured is not None:
         rows = rows.where(secured)
-    return page(visible(rows, deleted_ids(events)), ORDER, limit, cursor)
+    return page(visible(rows, deleted_ids(events)), ORDER, limit, cursor, look_ahead)
 
 
 def total(events: DataFrame, **wanted) -> DataFrame:

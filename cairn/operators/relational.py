@@ -32,11 +32,11 @@ def after(cursor: dict) -> Column:
     return out
 
 
-def page(df: DataFrame, order: list[str], limit: int = 50, cursor: dict | None = None) -> DataFrame:
-    """One page in a total order, behind a cursor if one is given."""
+def page(df: DataFrame, order: list[str], limit: int = 50, cursor: dict | None = None, look_ahead: bool = False) -> DataFrame:
+    """One page in a total order, behind a cursor if one is given; with ``look_ahead`` one row more."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must lie between 1 and 500")
-    return (df.where(after(cursor)) if cursor else df).orderBy(*order).limit(limit)
+    return (df.where(after(cursor)) if cursor else df).orderBy(*order).limit(limit + look_ahead)
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

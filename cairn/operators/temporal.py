@@ -53,3 +53,14 @@ def annotate(items: DataFrame, facts: DataFrame, when: str) -> DataFrame:
     """Selected items with their times and whether they hold at an instant."""
     keyed = facts.select("resource_type", "resource_id", "created_at", "effective_at", "valid_from", "valid_until").withColumn("holds", as_of("valid", when))
     return items.join(keyed, ["resource_type", "resource_id"], "left")
+
+
+def annotate_allowed(items: DataFrame, facts: DataFrame, allowed: DataFrame, when: str) -> tuple[DataFrame, DataFrame]:
+    """Annotated items that ``allowed(resource_type, resource_id)`` names, and how many were denied.
+
+    A denied item is counted but never shown, nor are its times.
+    """
+    keys = ["resource_type", "resource_id"]
+    told = items.join(allowed.select(*keys).distinct().withColumn("allowed", F.lit(True)), keys, "left")
+    denied = told.agg(F.count(F.when(F.col("allowed").isNull(), 1)).alias("denied"))
+    return annotate(told.where("allowed").drop("allowed"), facts, when), denied

@@ -86,6 +86,12 @@ def reconcile(desired: DataFrame, manifest: DataFrame, disk: DataFrame) -> DataF
     return rows.select("note_id", "ownership", action.alias("action"))
 
 
+def siblings(actions: DataFrame, desired: DataFrame) -> DataFrame:
+    """What an edit conflict writes: the wanted body in a new note beside the one a person changed."""
+    beside = F.concat(F.regexp_replace("note_path", r"\.md$", ""), F.lit(".new.md"))
+    return desired.join(actions.where("action = 'edit_conflict'").select("note_id"), "note_id", "left_semi").select("note_id", beside.alias("note_path"), "body")
+
+
 def conflict_notes(records: DataFrame, ident: str, key: Column) -> DataFrame:
     """Conflicted records by explicit key; a record without a key stands alone."""
     own = F.coalesce(key, F.concat(F.lit("alone|"), F.col(ident)))

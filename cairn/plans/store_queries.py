@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import identity as I
 from cairn.functions import text as X
 from cairn.operators import corpus as C
 from cairn.operators import graph as G
@@ -11,9 +12,11 @@ from cairn.operators import ingest as N
 from cairn.operators import integrity as Y
 from cairn.operators import notes as O
 from cairn.plans import views as V
+from cairn.plans.corpus_queries import DEDUP, RULE
 from cairn.plans.record_queries import EDGE_ID, EDGES, TOMBS, _children, _edges, _tombs
 from cairn.plans.registry import Area
 from cairn.scratch import written
+from cairn.sources import jsonl
 
 area = Area()
 query = area.query
@@ -87,9 +90,35 @@ def legacy_rekeyed(spark, sf):
     return C.rekey_legacy(old).select("position", "legacy_source_id", "legacy_content_hash", "source_id", "version_id", "supersedes", "predecessor_content_hash")
 
 
+ACCEPTED = "v_accepted AS (SELECT *, " + RULE.replace("body", "text") + " AS rule FROM v_units)"
+
+
+@query("""SELECT 'sources' AS what, (SELECT count(DISTINCT doc_id) FROM documents) AS n UNION ALL SELECT 'empty_sources', (SELECT count(DISTINCT doc_id) FROM documents WHERE 'd' || doc_id NOT IN (SELECT source_ref FROM v_units))
+  UNION ALL SELECT 'units', (SELECT count(*) FROM u_dedup) UNION ALL SELECT 'rejected', (SELECT count(*) FROM v_accepted WHERE rule IS NOT NULL) UNION ALL SELECT 'repeats', (SELECT count(duplicate_of) FROM u_dedup)
+  UNION ALL SELECT 'edges', (SELECT count(*) + count(duplicate_of) FROM u_dedup)""", V.UNITS, ACCEPTED, DEDUP.replace("FROM v_units", "FROM v_accepted WHERE rule IS NULL"))
+def corpus_projected(spark, sf):
+    """The report of the whole corpus projection."""
+    docs = V.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_ref"), "text")
+    return C.project_corpus(docs)[2]
+
+
 # ------------------------------------------------------------------ projections
 
 
+@query("""SELECT sequence, eid AS event_id, profile_id, array_to_string(list_distinct(spaces), ',') = '' AS unscoped, 'sha256:' || sha256('"' || replace(replace(content, '\\', '\\\\'), '"', '\\"') || '"') AS sanitized_content_hash FROM v_events""", V.EVENTS)
+def normalized_events(spark, sf):
+    payloads = V.events(spark, sf).select(F.col("eid").alias("event_id"), "trace_id", "sequence", "profile_id", F.col("spaces").alias("knowledge_space_ids"), F.col("content").alias("sanitized_content"))
+    out = jsonl.normalized_events(payloads, F.lit("system_event"), "tables")
+    return out.select("sequence", "event_id", "profile_id", (F.size("knowledge_space_ids") == 0).alias("unscoped"), "sanitized_content_hash")
+
+
+@query("""SELECT eid, CASE WHEN s IS NULL OR e IS NULL OR e >= s THEN 'men_' || left(sha256('zm8.entity_mention|v1|{"entity_id":"' || trace_id || '","source_event_id":"' || eid || '","span_end":' || coalesce(CAST(e AS VARCHAR), 'null') || ',"span_start":' || coalesce(CAST(s AS VARCHAR), 'null') || '}'), 32) END AS mention_id
+  FROM (SELECT *, CASE WHEN sequence % 5 <> 0 THEN sequence % 7 END AS s, CASE WHEN sequence % 3 <> 0 THEN sequence % 11 END AS e FROM v_events)""", V.EVENTS)
+def mention_ids(spark, sf):
+    s = F.col("sequence")
+    return V.events(spark, sf).select("eid", I.mention_id(F.col("trace_id"), F.col("eid"), F.when(s % 5 != 0, s % 7), F.when(s % 3 != 0, s % 11)).alias("mention_id"))
+
+
 @query("""SELECT trace_id, eid, CASE WHEN before.gone IS NULL OR before.gone > sequence THEN before.eid END AS supersedes, CASE WHEN gone IS NULL OR gone > behind.sequence THEN behind.eid END AS superseded_by,
   CASE WHEN gone IS NOT NULL THEN 'deleted' WHEN behind IS NOT NULL THEN 'superseded' ELSE 'active' END AS current_state
   FROM (SELECT *, lag({'eid': eid, 'gone': gone, 'sequence': sequence}) OVER w AS before, lead({'eid': eid, 'gone': gone, 'sequence': sequence}) OVER w AS behind FROM (

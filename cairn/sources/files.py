@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.scratch import exists, written
 from cairn.sources.text_units import format_kind
 
 
@@ -20,6 +21,37 @@ def blob_path(digest):
     return F.concat(F.left(digest, F.lit(2)), F.lit("/"), digest)
 
 
+def put_blobs(contents: DataFrame, root: str, batch: str, content: str = "content") -> DataFrame:
+    """Store bytes under their hash, those not there yet once each: ``digest`` and whether it is ``new``.
+
+    Blobs are rows of Parquet by the first two digits of their hash; a batch that runs
+    again writes the same part.
+    """
+    spark = contents.sparkSession
+    one = contents.select(F.sha2(content, 256).alias("digest"), F.col(content).cast("binary").alias("content")).where("content IS NOT NULL").dropDuplicates(["digest"])
+    shard = F.left("digest", F.lit(2))
+    one = written(one.withColumn("shard", shard), "blobs")
+    there = blobs(spark, root).where(F.col("batch") != batch).select("digest").withColumn("new", F.lit(False))
+    told = one.join(there, "digest", "left").withColumn("new", F.coalesce("new", F.lit(True)))
+    fresh = told.where("new").select("digest", "content", "shard")
+    fresh.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{root}/batch={batch}")
+    return told.select("digest", "new")
+
+
+def blobs(spark: SparkSession, root: str) -> DataFrame:
+    """``digest, content, batch, shard`` of all stored blobs; a filter on the shard prunes folders."""
+    schema = "digest string, content binary, batch string, shard string"
+    return spark.read.schema(schema).parquet(root) if exists(spark, root) else spark.createDataFrame([], schema)
+
+
+def get_blobs(spark: SparkSession, root: str, digests: DataFrame) -> DataFrame:
+    """``digest, content, state``: ``ok``, ``missing``, or ``corrupt`` where the bytes no longer have their hash."""
+    asked = digests.select("digest").distinct().withColumn("shard", F.left("digest", F.lit(2)))
+    found = asked.join(blobs(spark, root).select("digest", "shard", "content"), ["digest", "shard"], "left")
+    state = F.when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.col("digest"), "corrupt").otherwise("ok")
+    return found.select("digest", F.when(state == "ok", F.col("content")).alias("content"), state.alias("state"))
+
+
 def corrupt_blobs(spark: SparkSession, path: str) -> DataFrame:
     """Blobs whose bytes no longer have the hash that names them."""
     return inventory(spark, path).where(F.col("name") != F.col("content_hash"))

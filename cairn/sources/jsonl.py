@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import vocabulary as V
+from cairn.functions.identity import utf8_json_text
 
 ENVELOPE = (
     "event_id string, trace_id string, source string, event_type string, schema_version int, created_at string, observed_at string, sequence long,"
@@ -82,9 +83,34 @@ def as_events(log: DataFrame) -> DataFrame:
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
-    """The same log as a stream of appended files."""
-    raw = spark.readStream.text(path)
-    return raw.where(F.trim("value") != "").select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")
+    """The same log as a stream of appended files: ``file, line, fault`` and the envelope of every line.
+
+    Numbers and the completeness of last lines need the whole of a file and are left
+    to ``read_log``; here a cut line is malformed JSON.
+    """
+    from cairn.operators.ingest import fault
+
+    raw = spark.readStream.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    flat = rows.select("file", "line", "e.*")
+    broken = F.coalesce(line_fault(F.col("line"), F.lit(True)), F.when(F.col("_corrupt").isNotNull(), "envelope_invalid_value"))
+    return flat.withColumn("fault", F.coalesce(broken, fault(flat.columns))).drop("_corrupt")
+
+
+def normalized_events(payloads: DataFrame, event_type: Column, source: str, content: str = "sanitized_content") -> DataFrame:
+    """Envelopes of payloads: ids where none are given, one clock, the content's hash, spaces once each.
+
+    ``payloads`` has ``sequence``, the content as a text and any identity columns; what
+    it lacks is null.
+    """
+    have = lambda n, kind="string": F.col(n).cast(kind) if n in payloads.columns else F.lit(None).cast(kind)
+    now = F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    spaces = F.array_distinct(have("knowledge_space_ids", "array<string>"))
+    return payloads.select(
+        F.coalesce(have("event_id"), F.uuid()).alias("event_id"), F.coalesce(have("trace_id"), F.uuid()).alias("trace_id"), event_type.alias("event_type"), F.lit(source).alias("source"), F.lit(1).alias("schema_version"),
+        now.alias("created_at"), now.alias("observed_at"), F.col("sequence").cast("long").alias("sequence"), *[have(n).alias(n) for n in ("session_id", "profile_id", "project_id", "task_id", "turn_id", "parent_trace_id")],
+        spaces.alias("knowledge_space_ids"), F.col(content).alias("sanitized_content"), F.concat(F.lit("sha256:"), F.sha2(utf8_json_text(F.col(content)), 256)).alias("sanitized_content_hash"),
+    )
 
 
 def accept_append(log: DataFrame) -> DataFrame:

@@ -122,6 +122,16 @@ def admit(state: str, mode: str) -> bool:
     return state == "CURRENT" or (mode == "allow_stale" and state == "PENDING")
 
 
+def await_current(state, seconds: float = 10.0, pause: float = 0.5) -> bool:
+    """The bounded wait: ask ``state()`` until it is ``CURRENT``, no longer than ``seconds``."""
+    import time
+
+    end = time.monotonic() + seconds
+    while not (now := state() == "CURRENT") and time.monotonic() + pause <= end:
+        time.sleep(pause)
+    return now
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Extension: counts in event-time windows with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -14,8 +14,13 @@ from cairn.operators import builds as B
 from cairn.operators import corpus as C
 from cairn.operators import graph as G
 from cairn.operators import ingest as N
+from cairn.engine import Engine
+from cairn.operators import access as A
 from cairn.operators import notes as O
-from cairn.sources import jsonl
+from cairn.operators import temporal as T
+from cairn.operators import vault as U
+from cairn.plans import views as V
+from cairn.sources import files, jsonl
 from cairn.streaming import projection as P
 
 
@@ -228,9 +233,82 @@ def test_event_rows_have_their_columns(spark, tmp_path):
     assert rows(out, "event_id", "redaction_applied", "origin_jsonl", "knowledge_space_id", "profile_id") == [("e0", 0, "log-1", None, None), ("e1", 1, "log-1", "k1", None)]
 
 
+def test_blobs_are_stored_once(spark, tmp_path):
+    import hashlib
+
+    root = str(tmp_path / "blobs")
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    first = spark.createDataFrame([(b"a",), (b"a",), (b"",), (None,)], "content binary")
+    assert rows(files.put_blobs(first, root, "1"), "new") == [(True,), (True,)]
+    assert rows(files.put_blobs(first, root, "1"), "new") == [(True,), (True,)]
+    assert {r["digest"]: r["new"] for r in files.put_blobs(spark.createDataFrame([(b"a",), (b"b",)], "content binary"), root, "2").collect()} == {digest(b"a"): False, digest(b"b"): True}
+    spark.createDataFrame([(digest(b"c"), bytearray(b"other"))], "digest string, content binary").write.parquet(f"{root}/batch=3/shard={digest(b'c')[:2]}")
+    asked = spark.createDataFrame([(digest(x),) for x in (b"a", b"b", b"c", b"d")], "digest string")
+    got = {r["digest"]: (r["content"], r["state"]) for r in files.get_blobs(spark, root, asked).collect()}
+    assert got == {digest(b"a"): (b"a", "ok"), digest(b"b"): (b"b", "ok"), digest(b"c"): (None, "corrupt"), digest(b"d"): (None, "missing")}
+
+
+def test_streamed_lines_keep_their_faults(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes(_line(0).encode() + b"\n\n[1]\n{cut\n\xff\n" + _line(1, schema_version=2).encode() + b"\n")
+    stream = jsonl.stream_log(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream.select("line", "fault", "event_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(str(r["fault"]) for r in spark.read.parquet(out).collect()) == ["None", "invalid_top_level", "invalid_utf8", "malformed_json", "schema_version"]
+
+
+def test_payloads_become_envelopes(spark):
+    import hashlib
+
+    texts = ["plain", 'q"\\', "é\n\t\r\b\f", "\x00\x1f", None]
+    df = spark.createDataFrame([(i, t, None, ["k", "k", "l"]) for i, t in enumerate(texts)], "sequence long, sanitized_content string, event_id string, knowledge_space_ids array<string>")
+    got = jsonl.normalized_events(df, F.lit("system_event"), "s").orderBy("sequence").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r["sanitized_content_hash"] == "sha256:" + hashlib.sha256(json.dumps(t, ensure_ascii=False).encode()).hexdigest()
+        assert len(r["event_id"]) == 36 and r["knowledge_space_ids"] == ["k", "l"] and r["created_at"].endswith("Z") and r["session_id"] is None
+
+
+def test_corpus_projection_reports(spark):
+    sources = spark.createDataFrame([("a", "x\nx\npassword: hunter2hunter2\ny"), ("b", None), ("c", " \n"), ("d", "x")], "source_ref string, text string")
+    units, edges, report = C.project_corpus(sources)
+    assert dict(rows(report)) == {"sources": 4, "empty_sources": 2, "units": 4, "rejected": 1, "repeats": 1, "edges": 5}
+    assert edges.count() == 5 and units.where("text LIKE 'password%'").isEmpty()
+
+
+def test_denied_items_are_only_counted(spark):
+    items = spark.createDataFrame([("d", "1"), ("d", "2"), ("e", "1")], "resource_type string, resource_id string")
+    facts = spark.createDataFrame([("d", "1", None, None, "2020", None), ("d", "2", None, None, "2020", None)], "resource_type string, resource_id string, created_at string, effective_at string, valid_from string, valid_until string")
+    shown, denied = T.annotate_allowed(items, facts, items.where("resource_id = '1'"), "2021")
+    assert rows(shown, "resource_type", "resource_id", "holds") == [("d", "1", True), ("e", "1", None)] and denied.first()[0] == 1
+
+
+def test_pages_know_their_end(spark, sf):
+    e, ask = Engine(V.events(spark, sf)), A.Request("READ", "p3", ("p3",))
+    total = e.query_events(ask, 500).count()
+    assert 10 < total < 500
+    assert e.page_of_events(ask, total)[1] is None
+    page, token = e.page_of_events(ask, total - 1)
+    rest, end = e.page_of_events(ask, total - 1, token)
+    assert (len(page), len(rest), end) == (total - 1, 1, None)
+
+
+def test_bounded_waits_end():
+    states = iter(["PENDING", "PENDING", "CURRENT"])
+    assert P.await_current(lambda: next(states), 5, 0.01)
+    assert not P.await_current(lambda: "PENDING", 0.05, 0.02)
+
+
 # ------------------------------------------------------------------------ notes
 
 
+def test_edit_conflicts_get_a_sibling(spark):
+    desired = spark.createDataFrame([("n1", "A/x.md", "new", "f2"), ("n2", "A/y.md", "b", "f3")], "note_id string, note_path string, body string, fp string")
+    manifest = spark.createDataFrame([("n1", "f1"), ("n2", "f3")], "note_id string, recorded_fp string")
+    disk = spark.createDataFrame([("n1", "mine", True), ("n2", "f3", True)], "note_id string, disk_fp string, marker boolean")
+    actions = U.reconcile(desired.select("note_id", "fp"), manifest, disk)
+    assert rows(U.siblings(actions, desired)) == [("n1", "A/x.new.md", "new")]
+
+
 def test_texts_stay_data(spark):
     df = spark.createDataFrame([("a\n# [x](y) <b>\\ *_",), (None,), (" \t ",), ("x" * 2100,), ("\x01\x7f",)], "t string")
     got = [r[0] for r in df.select(X.escape_inline(F.col("t"))).collect()]

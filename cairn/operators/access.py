@@ -95,6 +95,12 @@ def decide(requests: DataFrame) -> DataFrame:
     return out.withColumn("allow", c("reason").startswith("ALLOW"))
 
 
+def policy_audit(decided: DataFrame) -> DataFrame:
+    """The decisions that are put on record: every denial, and what only a grant allowed."""
+    by_grant = F.col("reason").startswith("ALLOW_EXPLICIT_CROSS_PROFILE_READ") | F.col("reason").startswith("ALLOW_EXPLICIT_CROSS_PROFILE_WRITE")
+    return decided.where(~F.col("allow") | by_grant)
+
+
 def evaluate(r: Request) -> tuple[bool, Scope]:
     """The base policy for one request: whether it is allowed, and its scope."""
     nothing = not (r.profiles or r.projects or r.spaces)

@@ -148,6 +148,15 @@ def calibrate(items: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- selection
 
 
+def evidence_order(route_name: str | None = None) -> list[Column]:
+    """The order of evidence within a role: a project's active states first on its route, then verified, active, oldest."""
+    low = lambda name: F.lower(F.coalesce(F.col(name), F.lit("")))
+    active = low("lifecycle") == "active"
+    first = [F.when((F.col("resource_type") == "state") & active, 0).otherwise(1)] if route_name == "project_memory" else []
+    verified = low("verification").isin(*[v for v in V.VERIFICATIONS if v != "none"])
+    return [*first, F.when(verified, 0).otherwise(1), F.when(active, 0).otherwise(1), F.coalesce("created_at", F.lit("")), F.coalesce("eid", F.lit(""))]
+
+
 def select_evidence(items: DataFrame, by: list[str], order: list, cost: Column, primary: int = MAX_PRIMARY, supporting: int = MAX_SUPPORTING, budget: int = TOKEN_BUDGET) -> DataFrame:
     """The best items of each role per group, as a prefix that fits the budget.
 

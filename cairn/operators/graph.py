@@ -115,6 +115,13 @@ def subgraph(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, depth: int
     )
 
 
+def verification_edges(checks: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``verifies`` edges of checks to what they name, or the reason why one is left out."""
+    mapped = F.coalesce(*[F.when(F.col("subject_type") == a, F.lit(b)) for a, b in kinds.items()])
+    reason = F.when(F.coalesce(F.col("subject_id"), F.lit("")) == "", "missing_endpoint").when(mapped.isNull(), "unmapped_subject_type")
+    return checks.select(F.col("verification_id").alias("from_id"), F.lit("verifies").alias("relation"), mapped.alias("to_type"), F.col("subject_id").alias("to_id"), "verification_status", reason.alias("skip_reason"))
+
+
 def typed_edges(*sources: tuple[DataFrame, str, str, str]) -> DataFrame:
     """Edges of several tables: (rows with ``a`` and ``b``, from kind, relation, to kind)."""
     parts = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.relational import first_by
+from cairn.operators.relational import first_by, page
 from cairn.scratch import written
 
 
@@ -253,3 +253,40 @@ def strict_operations(ops: DataFrame) -> DataFrame:
 def replay_summary(ops: DataFrame) -> DataFrame:
     """Operations projected and skipped by kind."""
     return ops.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("identity").alias("identities"))
+
+
+#: The total order in which each kind of record is listed, and what it may be filtered by.
+SORTS = {
+    "requirement": (["requirement_id", "created_at"], ("state", "lifecycle_status")),
+    "decision": (["decision_id", "effective_at"], ("lifecycle_status", "scope", "decision_key")),
+    "verification": (["verification_id", "timestamp"], ("subject_type", "subject_id", "verification_status")),
+    "artifact": (["artifact_id", "created_at"], ("lifecycle_status",)),
+    "state": (["state_key", "effective_at"], ("lifecycle_status", "scope")),
+}
+
+
+def listed(records: DataFrame, kind: str, project: str, limit: int = 50, cursor: dict | None = None, **filters) -> DataFrame:
+    """A page of a project's records of one kind, in the kind's own order.
+
+    Deleted records are left out unless a lifecycle is asked for.  A scope is compared
+    with nulls as values, so ``scope=None`` asks for records without one.
+    """
+    if not isinstance(project, str) or not project.strip():
+        raise ValueError("project required")
+    order, known = SORTS[kind]
+    if unknown := sorted(set(filters) - set(known)):
+        raise ValueError(f"no filter {unknown[0]!r} for a {kind}")
+    rows = records.where(F.col("project_id") == project)
+    for name, value in filters.items():
+        if name == "scope":
+            rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+        elif value is not None:
+            rows = rows.where(F.col(name) == value)
+    if filters.get("lifecycle_status") is None and "lifecycle_status" in records.columns:
+        rows = rows.where(F.col("lifecycle_status") != "deleted")
+    return page(rows, order, limit, cursor)
+
+
+def with_artifacts(registered: DataFrame, registry: DataFrame) -> DataFrame:
+    """A project's artifacts with what the registry knows of them; unknown ones keep nulls."""
+    return registered.join(registry, "artifact_id", "left")

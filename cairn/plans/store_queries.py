@@ -6,17 +6,23 @@ from pyspark.sql import functions as F
 
 from cairn.functions import identity as I
 from cairn.functions import text as X
+from cairn.operators import access as A
 from cairn.operators import corpus as C
+from cairn.operators import evidence as D
 from cairn.operators import graph as G
 from cairn.operators import ingest as N
 from cairn.operators import integrity as Y
 from cairn.operators import notes as O
+from cairn.operators import records as R
 from cairn.plans import views as V
 from cairn.plans.corpus_queries import DEDUP, RULE
+from cairn.plans.event_queries import POLICY
+from cairn.plans.evidence_queries import ELIGIBLE, _items
 from cairn.plans.record_queries import EDGE_ID, EDGES, TOMBS, _children, _edges, _tombs
 from cairn.plans.registry import Area
 from cairn.scratch import written
 from cairn.sources import jsonl
+from cairn.sources.text_units import normalized_extraction
 
 area = Area()
 query = area.query
@@ -227,3 +233,44 @@ BREAKS = "'[\\n\\r\\t]', ' ', 'g'"
   FROM (SELECT doc_id, source, nullif(trim(regexp_replace(regexp_replace(regexp_replace(text, {BREAKS}), '[\\x00-\\x1f\\x7f]', '', 'g'), '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g')), '') AS flat FROM documents)""")
 def escaped_inline(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.sha2(X.escape_inline(F.col("text")), 256).alias("inline"), X.safe_link_display(F.col("source"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("label"))
+
+
+# ---------------------------------------------------------------- lists, audits
+
+
+@query("SELECT verification_id, timestamp, verification_status FROM v_verifications WHERE supplier_key = 3 AND verification_status = 'user_confirmation' ORDER BY verification_id, timestamp LIMIT 50", V.VERIFICATIONS)
+def verifications_listed(spark, sf):
+    rows = V.verifications(spark, sf).withColumn("project_id", F.concat(F.lit("s"), F.col("supplier_key").cast("string")))
+    return R.listed(rows, "verification", "s3", verification_status="user_confirmation").select("verification_id", "timestamp", "verification_status")
+
+
+@query(f"SELECT request_id, reason FROM ({POLICY}) WHERE reason NOT LIKE 'ALLOW%'", V.REQUESTS)
+def policy_audited(spark, sf):
+    return A.policy_audit(A.decide(V.requests(spark, sf))).select("request_id", "reason")
+
+
+@query("""SELECT outcome, count(*) AS n, count(DISTINCT to_id) AS subjects FROM (SELECT CAST(subject_id AS VARCHAR) AS to_id, CASE WHEN subject_id % 9 = 0 THEN 'missing_endpoint' WHEN quantity % 4 = 0 THEN 'unmapped_subject_type' ELSE 'kept' END AS outcome FROM v_verifications) GROUP BY outcome""", V.VERIFICATIONS)
+def verification_edges(spark, sf):
+    s, q = F.col("subject_id"), F.col("quantity")
+    kind = F.when(q % 4 == 0, "mood").when(q % 4 == 1, "decision").otherwise("requirement")
+    rows = V.verifications(spark, sf).select("verification_id", kind.alias("subject_type"), s.cast("string").alias("whole"), F.when(s % 9 != 0, s.cast("string")).alias("subject_id"), "verification_status")
+    told = G.verification_edges(rows, {"decision": "decision", "requirement": "requirement"}).join(rows.select(F.col("verification_id").alias("from_id"), "whole"), "from_id")
+    return told.groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("whole").alias("subjects"))
+
+
+@query("""SELECT session_id, eid, role, rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id, role ORDER BY CASE WHEN event_type = 'system_event' AND lifecycle = 'active' THEN 0 ELSE 1 END, CASE WHEN verification <> 'none' THEN 0 ELSE 1 END,
+    CASE WHEN lifecycle = 'active' THEN 0 ELSE 1 END, created_at, eid) AS rank FROM v_items WHERE role IS NOT NULL) WHERE rank <= CASE role WHEN 'primary' THEN 5 ELSE 3 END""", V.EVENTS, ELIGIBLE)
+def evidence_project_order(spark, sf):
+    """Evidence of each session in the order of the project route; system events stand for states."""
+    items = _items(spark, sf).withColumn("resource_type", F.when(F.col("event_type") == "system_event", "state").otherwise("event"))
+    return D.select_evidence(items, ["session_id"], D.evidence_order("project_memory"), F.lit(1).cast("long")).select("session_id", "eid", "role", "rank")
+
+
+@query("""SELECT source_ref, CASE doc_id % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'failed' ELSE CASE WHEN n = 0 THEN 'empty' ELSE 'complete' END END AS status, CASE WHEN doc_id % 5 < 2 THEN 0 ELSE n END AS n_units,
+    CASE doc_id % 5 WHEN 0 THEN 'extraction_parser_unavailable' WHEN 1 THEN 'extraction_corrupt_source' END AS error_reason
+  FROM (SELECT DISTINCT 'd' || doc_id AS source_ref, doc_id, CASE WHEN trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\x1c-\\x1f\\x85]+', ' ', 'g')) <> '' THEN 1 ELSE 0 END AS n FROM documents)""")
+def extraction_status(spark, sf):
+    d = F.col("doc_id")
+    status = F.when(d % 5 == 0, "parser_unavailable").when(d % 5 == 1, "corrupt_source").otherwise("complete")
+    rows = V.table(spark, sf, "documents").select(F.concat(F.lit("d"), d.cast("string")).alias("source_ref"), status.alias("status"), "text")
+    return normalized_extraction(rows)[1]

@@ -17,10 +17,12 @@ from cairn.operators import ingest as N
 from cairn.engine import Engine
 from cairn.operators import access as A
 from cairn.operators import notes as O
+from cairn.operators import records as R
 from cairn.operators import temporal as T
 from cairn.operators import vault as U
 from cairn.plans import views as V
 from cairn.sources import files, jsonl
+from cairn.sources.text_units import normalized_extraction
 from cairn.streaming import projection as P
 
 
@@ -358,3 +360,23 @@ def test_manifests_round_trip(spark, tmp_path):
         spark.createDataFrame([(line,)], "value string").write.mode("overwrite").text(str(tmp_path / "bad"))
         with pytest.raises(ValueError):
             O.load_manifest(spark, str(tmp_path / "bad"))
+
+
+def test_lists_of_records(spark):
+    df = spark.createDataFrame([("d1", "1", "p", None, "active"), ("d2", "2", "p", "s", "active"), ("d3", "3", "p", None, "deleted"), ("d4", "4", "q", None, "active")], "decision_id string, effective_at string, project_id string, scope string, lifecycle_status string")
+    ids = lambda **f: [r["decision_id"] for r in R.listed(df, "decision", "p", **f).collect()]
+    assert ids() == ["d1", "d2"] and ids(scope=None) == ["d1"] and ids(scope="s") == ["d2"] and ids(lifecycle_status="deleted") == ["d3"]
+    assert ids(limit=1, cursor={"decision_id": "d1", "effective_at": "1"}) == ["d2"]
+    with pytest.raises(ValueError):
+        R.listed(df, "decision", " ")
+    with pytest.raises(ValueError):
+        R.listed(df, "decision", "p", mood="x")
+    known = spark.createDataFrame([("a1", "pdf")], "artifact_id string, kind string")
+    assert rows(R.with_artifacts(spark.createDataFrame([("a1",), ("a2",)], "artifact_id string"), known)) == [("a1", "pdf"), ("a2", None)]
+
+
+def test_extraction_statuses(spark):
+    df = spark.createDataFrame([("a", "partial", " x  y "), ("a", "partial", " "), ("b", "complete", None), ("c", "odd", "x"), ("d", None, None), ("e", "empty_source", None)], "source_ref string, status string, text string")
+    units, status = normalized_extraction(df)
+    assert rows(units) == [("a", "x y")]
+    assert {r["source_ref"]: (r["status"], r["error_reason"]) for r in status.collect()} == {"a": ("complete", None), "b": ("empty", None), "c": ("failed", "extraction_odd"), "d": ("failed", "extraction_unknown"), "e": ("empty", "extraction_empty_source")}

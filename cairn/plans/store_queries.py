@@ -56,9 +56,9 @@ WALK = (
 def subgraph_bounds(spark, sf):
     """The bounded neighbourhood of every supplier; nodes whose name ends in 7 are hidden."""
     edges = written(_edges(spark, sf).drop("from_type", "to_type"), "edges")
-    nodes = edges.select(F.col("from_id").alias("node")).unionByName(edges.select(F.col("to_id").alias("node"))).distinct()
+    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).where(~F.col("node").endswith("7")).distinct()
     seeds = V.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    out = G.subgraph(edges, seeds, nodes.where(~F.col("node").endswith("7")))
+    out = G.subgraph(edges, seeds, written(nodes, "nodes"))
     named = F.transform("nodes", lambda n: F.concat(n["node"], F.lit(":"), n["depth"].cast("string")))
     return out.select("seed", "authorized", F.array_join(named, " ").alias("nodes"), F.array_join("edges.edge_id", " ").alias("edges"), F.array_join("bound_codes", " ").alias("codes"))
 

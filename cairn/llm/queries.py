@@ -75,7 +75,14 @@ def op4_quality(spark, sf_dir):
     return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op12_cross_tokenizer(spark, sf_dir):
+    from cairn.llm.alignment import align
+
+    return align(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_cross_tokenizer": op12_cross_tokenizer,
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,
     "op7_chat_format": op7_chat_format,

@@ -81,7 +81,14 @@ def op12_cross_tokenizer(spark, sf_dir):
     return align(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    from cairn.llm.prefix_trie import ordered, prefix_trie, shared_heads
+
+    return prefix_trie(*shared_heads(ordered(read_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
+    "op13_prefix_trie": op13_prefix_trie,
     "op12_cross_tokenizer": op12_cross_tokenizer,
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,
@@ -129,7 +136,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), sums AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT s.conv_id, t.place, t.role, t.text FROM sums s JOIN turns t ON t.conv_id = s.base AND t.place <= s.h
+  UNION ALL SELECT s.conv_id, t.place, t.role, t.text FROM sums s JOIN turns t ON t.conv_id = s.conv_id AND t.place > s.h
+), paths AS (
+  SELECT s.conv_id, list({'role': r.role, 'text': r.text} ORDER BY r.place) FILTER (WHERE r.place IS NOT NULL) AS path
+  FROM sums s LEFT JOIN rebuilt r ON r.conv_id = s.conv_id GROUP BY s.conv_id
+), members AS (
+  SELECT conv_id, d AS depth, coalesce(len(path), 0) AS size, CASE WHEN d = 0 THEN '' ELSE sha256(CAST(path[1:d] AS JSON)) END AS node,
+    CASE WHEN d = 1 THEN '' WHEN d > 1 THEN sha256(CAST(path[1:d-1] AS JSON)) END AS up,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM (SELECT *, unnest(range(0, coalesce(len(path), 0) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, max(size) = depth AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), under AS (
+  SELECT m.node AS top, m.depth AS top_depth, sum(n.saved) AS saved, count(*) FILTER (WHERE n.leaf) AS leaves
+  FROM nodes n JOIN members o ON o.node = n.node AND o.depth = n.depth AND o.conv_id = n.conv_id JOIN members m ON m.conv_id = o.conv_id AND m.depth <= o.depth GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM nodes c WHERE c.up = n.node AND c.depth = n.depth + 1) AS n_children,
+  u.leaves AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN under u ON u.top = n.node AND u.top_depth = n.depth LEFT JOIN nodes p ON p.node = n.up AND p.depth = n.depth - 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_prefix_trie": OP13_SQL,
     "op7_chat_format": OP7_SQL,
     "op6_line_dedup": OP6_SQL,
 }

@@ -460,7 +460,8 @@ def scored(found: DataFrame) -> DataFrame:
     more = ["groups"] * ("groups" in found.columns)
     docs = found.where("number IS NOT NULL").select("block", "number", *DOC, *more)
     # Written, so that the join below stands between two plain shuffles and a hot pair can be split.
-    counts = materialise(pair_counts(found).select("a", "b", F.col("docs").alias("count"), "best"), "counts")
+    # Both sides grow with the corpus: neither is ever broadcast.
+    counts = materialise(pair_counts(found).select("a", "b", F.col("docs").alias("count"), "best"), "counts").hint("merge")
     maps = found.where("a IS NOT NULL").select("block", "a", "b", "planes").join(counts, ["a", "b"]).select(F.col("block").alias("of"), "planes", "count", "best")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 

@@ -75,6 +75,12 @@ def op4_quality(spark, sf_dir):
     return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_edit_embedding(spark, sf_dir):
+    from cairn.llm.edit_embedding import against_next
+
+    return against_next(read_table(spark, sf_dir, "documents"))
+
+
 def op12_cross_tokenizer(spark, sf_dir):
     from cairn.llm.alignment import align
 
@@ -89,6 +95,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 QUERIES = {
     "op13_prefix_trie": op13_prefix_trie,
+    "op11_edit_embedding": op11_edit_embedding,
     "op12_cross_tokenizer": op12_cross_tokenizer,
     "op4_quality": op4_quality,
     "op5_ann": op5_ann,

@@ -325,7 +325,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = (part == j) & (ids > ids[x] if i == j else ids != ids[x])
             near &= np.abs(n - n[x]) <= (1 - similarity) * np.maximum(n, n[x])
             y = np.flatnonzero(near)
-            agree = (raw[y] == raw[x]).reshape(len(y), walks, -1).mean(axis=2).max(axis=1, initial=0)
+            agree = (raw[y] == raw[x]).reshape(len(y), walks, raw.shape[1] // walks).mean(axis=2).max(axis=1, initial=0)
             agree = (agree - 1 / 16) / (1 - 1 / 16)
             y = y[agree >= least]
             y = y[~(found[y, :band] == found[x, :band]).any(axis=1)]  # a pair is told by its first band only

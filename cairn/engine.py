@@ -22,9 +22,10 @@ class Engine:
     def __init__(self, events: DataFrame, grants: DataFrame | None = None):
         self.events, self.grants = events, grants
 
-    def scopes(self, request: A.Request) -> list[A.Scope]:
-        grants = A.collect_grants(self.grants, request.requester) if self.grants is not None and request.requester else []
-        allowed, scopes = A.compose(request, grants)
+    def scopes(self, request: A.Request, kind: str | None) -> list[A.Scope]:
+        """What policy and the grants that cover ``kind`` admit; without a kind, scopes name their own."""
+        grants = A.collect_grants(self.grants, request.requester, kind) if self.grants is not None and request.requester else []
+        allowed, scopes = A.compose(request, grants, kind)
         if not allowed:
             raise Denied("denied")
         return scopes
@@ -33,7 +34,7 @@ class Engine:
         """A page of events; with ``look_ahead`` one row more, which tells whether another page follows."""
         limit = K.check_limit(limit)
         after = K.decode(cursor, E.ORDER, limit, self._print(request, filters)) if cursor else None
-        return E.query(self.events, limit, after, A.any_of(self.scopes(request)), look_ahead, **filters)
+        return E.query(self.events, limit, after, A.any_of(self.scopes(request, "event")), look_ahead, **filters)
 
     def page_of_events(self, request: A.Request, limit: int | None = None, cursor: str | None = None, **filters) -> tuple[list, str | None]:
         """A collected page, of at most 500 rows, and the cursor behind it if more rows follow."""
@@ -47,33 +48,33 @@ class Engine:
         return K.encode([page[-1][c] for c in E.ORDER], E.ORDER, limit, self._print(request, filters)) if len(page) >= limit else None
 
     def search(self, request: A.Request, text: str, limit: int | None = None, **filters) -> DataFrame:
-        rows = E.visible(self.events.where(E.condition(**filters)).where(A.any_of(self.scopes(request))), E.deleted_ids(self.events))
+        rows = E.visible(self.events.where(E.condition(**filters)).where(A.any_of(self.scopes(request, "event"))), E.deleted_ids(self.events))
         hits = S.with_fallback(rows, "eid", ["content"], text).withColumnRenamed("id", "eid")
         return rows.join(hits, "eid").orderBy(*E.ORDER).limit(K.check_limit(limit))
 
     def get_event(self, request: A.Request, eid: str) -> DataFrame:
-        return E.visible(self.events, E.deleted_ids(self.events)).where(F.col("eid") == eid).where(A.any_of(self.scopes(request)))
+        return E.visible(self.events, E.deleted_ids(self.events)).where(F.col("eid") == eid).where(A.any_of(self.scopes(request, "event")))
 
     def get_trace(self, request: A.Request, trace_id: str) -> DataFrame:
         """A trace in order, or nothing if any of it is hidden."""
         rows = E.visible(self.events.where(F.col("trace_id") == trace_id), E.deleted_ids(self.events))
-        return A.whole_or_nothing(rows, "trace_id", self.scopes(request)).orderBy(*E.ORDER)
+        return A.whole_or_nothing(rows, "trace_id", self.scopes(request, "trace")).orderBy(*E.ORDER)
 
     def related(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
-        """Relations of an event, both ends in scope; nothing if the event itself is hidden."""
-        ends = A.secured(E.visible(self.events, E.deleted_ids(self.events)), self.scopes(request)).select("eid")
+        """Relations of an event, or nothing if the event or any other end of them is hidden."""
+        visible = A.secured(E.visible(self.events, E.deleted_ids(self.events)), self.scopes(request, "relation")).select("eid")
         own = relations.where((F.col("from_id") == eid) | (F.col("to_id") == eid))
-        return own.join(ends.withColumnRenamed("eid", "from_id"), "from_id", "left_semi").join(ends.withColumnRenamed("eid", "to_id"), "to_id", "left_semi").select(*relations.columns)
+        return A.whole_relations(own, self.events.where(F.col("eid") == eid), visible).select(*relations.columns)
 
     def parent(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
-        return self.related(request, relations.where("relation = 'child_of'"), eid).where(F.col("from_id") == eid)
+        return self.related(request, relations.where("relation = 'child_of'").where(F.col("from_id") == eid), eid)
 
     def children(self, request: A.Request, relations: DataFrame, eid: str) -> DataFrame:
-        return self.related(request, relations.where("relation = 'child_of'"), eid).where(F.col("to_id") == eid)
+        return self.related(request, relations.where("relation = 'child_of'").where(F.col("to_id") == eid), eid)
 
-    def records(self, request: A.Request, records: DataFrame, order: list[str], limit: int | None = None, **filters) -> DataFrame:
-        """Records of any kind in a total order: scope, filters, then the page, checked once more."""
-        scopes = self.scopes(request)
+    def records(self, request: A.Request, records: DataFrame, kind: str, order: list[str], limit: int | None = None, **filters) -> DataFrame:
+        """Records of one resource type in a total order: scope, filters, then the page, checked once more."""
+        scopes = self.scopes(request, kind)
         rows = A.secured_records(records, scopes)
         for name, value in filters.items():
             if name not in records.columns:
@@ -83,10 +84,10 @@ class Engine:
 
     def facts(self, request: A.Request, facts: DataFrame, owners: DataFrame, dimension: str, when: str) -> DataFrame:
         """Times of resources in scope, known at or holding at an instant."""
-        return A.secured_facts(facts, owners, self.scopes(request)).where(T.as_of(dimension, when))
+        return A.secured_facts(facts, owners, self.scopes(request, None)).where(T.as_of(dimension, when))
 
     def corpus(self, request: A.Request, units: DataFrame, text: str = "", metadata: dict | None = None, limit: int = 100) -> DataFrame:
-        return S.retrieve_corpus(units, A.scope_triples(self.scopes(request)), text, metadata, limit)
+        return S.retrieve_corpus(units, A.scope_triples(self.scopes(request, "corpus_unit")), text, metadata, limit)
 
     @staticmethod
     def _print(request: A.Request, filters: dict) -> str:

@@ -17,7 +17,10 @@ READ, WRITE = "READ", "WRITE"
 
 @dataclass(frozen=True)
 class Scope:
-    """Profiles, projects and spaces that must all admit a row; empty means any."""
+    """Profiles, projects and spaces that must all admit a row; empty means any.
+
+    ``kinds`` are the resource types that it opens, for rows that tell their own; None opens all.
+    """
 
     profiles: tuple[str, ...] = ()
     projects: tuple[str, ...] = ()
@@ -25,9 +28,12 @@ class Scope:
     global_read: bool = False
     is_grant: bool = False
     requester: str | None = None
+    kinds: tuple[str, ...] | None = None
 
     def predicate(self) -> Column:
         parts = [self._profile()]
+        if self.kinds is not None:
+            parts.append(F.col("resource_type").isin(*self.kinds))
         if self.projects:
             parts.append(F.col("project_id").isin(*self.projects))
         if self.spaces:
@@ -164,20 +170,23 @@ def latest_grants(events: DataFrame) -> DataFrame:
     return out.select("grant_id", *fields, "state", F.when(F.col("superseded"), "superseded").otherwise("active").alias("lifecycle_status"))
 
 
-def compose(request: Request, grants: list[dict]) -> tuple[bool, list[Scope]]:
+def compose(request: Request, grants: list[dict], kind: str | None = None) -> tuple[bool, list[Scope]]:
     """Requested scopes that policy or a grant admits.
 
     Without grants the base policy stands.  With grants, one requested target that
     neither admits denies the whole request; each grant adds a scope of its own.
+    Grants that do not cover ``kind`` count for nothing; without a kind, a grant's scope is kept to the
+    resource types that it names, and one that names any opens no rows without an owner.
     """
     allowed, base = evaluate(request)
-    mine = [g for g in grants if g["operation"] == READ and g["subject_profile"] == request.requester]
+    types = lambda g: g.get("resource_types")
+    mine = [g for g in grants if g["operation"] == READ and g["subject_profile"] == request.requester and (kind is None or types(g) is None or kind in types(g))]
     by = {kind: {g["target_id"] for g in mine if g["target_type"] == kind} for kind in ("profile", "project", "knowledge_space", "global")}
     if request.operation != READ or not any(by.values()):
         return allowed, [base] if allowed else []
     if not (request.profiles or request.projects or request.spaces):
         return allowed, [base] if allowed else []
-    wide = bool(by["global"])
+    wide = bool({g["target_id"] for g in mine if g["target_type"] == "global" and (kind or types(g) is None)})
     admitted = {request.requester, *by["profile"]}
     denied = {p for p in request.profiles if not (p in admitted or (p == "*" and wide) or set(request.projects) & by["project"])}
     denied |= {p for p in request.projects if p not in base.projects and p not in by["project"]}
@@ -187,19 +196,21 @@ def compose(request: Request, grants: list[dict]) -> tuple[bool, list[Scope]]:
     own = Scope(tuple(sorted({request.requester} & set(request.profiles or [request.requester]))), request.projects, request.spaces, base.global_read or wide, False, request.requester)
     scopes = [own]
     for g in mine:
-        kind, target = g["target_type"], g["target_id"]
-        if kind == "profile" and target != "*":
-            scopes.append(Scope(profiles=(target,), is_grant=True))
-        elif kind == "project":
-            scopes.append(Scope(projects=(target,), is_grant=True))
-        elif kind == "knowledge_space":
-            scopes.append(Scope(spaces=(target,), is_grant=True))
+        target_type, target = g["target_type"], g["target_id"]
+        kinds = None if kind or types(g) is None else tuple(types(g))
+        if target_type == "profile" and target != "*":
+            scopes.append(Scope(profiles=(target,), is_grant=True, kinds=kinds))
+        elif target_type == "project":
+            scopes.append(Scope(projects=(target,), is_grant=True, kinds=kinds))
+        elif target_type == "knowledge_space":
+            scopes.append(Scope(spaces=(target,), is_grant=True, kinds=kinds))
     return True, scopes
 
 
-def collect_grants(grants: DataFrame, subject: str, limit: int = 1_000) -> list[dict]:
-    """The grants of one requester, a list that a person can hold; more is an error."""
-    rows = read_grants(grants, subject).select("grant_id", "subject_profile", "operation", "target_type", "target_id").orderBy("grant_id").limit(limit + 1).collect()
+def collect_grants(grants: DataFrame, subject: str, kind: str | None = None, limit: int = 1_000) -> list[dict]:
+    """The grants of one requester, of those that cover ``kind`` if one is given, a list that a person can hold; more is an error."""
+    types = F.from_json("resource_types", "array<string>").alias("resource_types")
+    rows = read_grants(grants, subject, kind).select("grant_id", "subject_profile", "operation", "target_type", "target_id", types).orderBy("grant_id").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError("too many grants for one requester")
     return [r.asDict() for r in rows]
@@ -218,6 +229,17 @@ def whole_or_nothing(df: DataFrame, key: str, scopes: list[Scope]) -> DataFrame:
     return df.join(hidden, key, "left_anti")
 
 
+def whole_relations(relations: DataFrame, seeds: DataFrame, visible: DataFrame) -> DataFrame:
+    """``seed`` and its relations, for seeds none of whose relations has a hidden end.
+
+    One hidden end withholds all of a seed's relations: what is left would tell of it.
+    """
+    touched = relations.withColumn("seed", F.explode(F.array_distinct(F.array("from_id", "to_id")))).join(seeds.select(F.col("eid").alias("seed")), "seed", "left_semi")
+    ends = touched.select("seed", F.explode(F.array("from_id", "to_id")).alias("eid"))
+    hidden = ends.join(visible.select("eid"), "eid", "left_anti").select("seed").distinct()
+    return touched.join(hidden, "seed", "left_anti")
+
+
 def corpus_scope(triples: list[tuple]) -> Column:
     """Units that a (profile, project, space) triple admits.
 

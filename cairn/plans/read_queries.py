@@ -10,9 +10,11 @@ from cairn.operators import evidence as D
 from cairn.operators import ingest as N
 from cairn.operators import integrity as Y
 from cairn.operators import records as R
+from cairn.operators import requests as Q
 from cairn.operators import search as S
 from cairn.plans import views as V
 from cairn.plans.corpus_queries import BODIES, RULE
+from cairn.plans.event_queries import ACTIVE, POLICY
 from cairn.plans.evidence_queries import ELIGIBLE, _items
 from cairn.plans.record_queries import TEMPORAL, _temporal
 from cairn.plans.registry import Area
@@ -124,6 +126,60 @@ def temporal_classes(spark, sf):
     return told.groupBy("resource_type", "temporal_validity").agg(F.count(F.lit(1)).alias("n"))
 
 
+HELD = """v_policy AS (""" + POLICY + """), v_asked AS (
+  SELECT r.*, p.allow, coalesce(bp, []) AS bp, coalesce(bj, []) AS bj, coalesce(bk, []) AS bk, coalesce(bg, []) AS bg FROM v_requests r JOIN v_policy p USING (request_id) LEFT JOIN (
+    SELECT subject_profile AS requester, list(target_id) FILTER (WHERE target_type = 'profile') AS bp, list(target_id) FILTER (WHERE target_type = 'project') AS bj,
+      list(target_id) FILTER (WHERE target_type = 'knowledge_space') AS bk, list(target_id) FILTER (WHERE target_type = 'global') AS bg
+    FROM v_active WHERE operation = 'READ' AND (resource_types IS NULL OR resource_types LIKE '%"{kind}"%') GROUP BY 1) USING (requester) WHERE operation = 'READ'
+), v_told AS (
+  SELECT *, requester IS NOT NULL AND len(profiles) + len(projects) + len(spaces) > 0 AND len(bp) + len(bj) + len(bk) + len(bg) > 0 AS granted,
+    len(list_filter(profiles, lambda p: NOT (p = requester OR list_contains(bp, p) OR len(list_intersect(projects, bj)) > 0))) > 0
+    OR len(list_filter(projects, lambda p: NOT (allow OR list_contains(bj, p)))) > 0 OR len(list_filter(spaces, lambda k: NOT (allow OR list_contains(bk, k)))) > 0 AS refused,
+    allow AND include_global AND NOT isolated AS ownerless FROM v_asked
+), v_scopes AS (
+  SELECT request_id, CASE WHEN requester IS NULL THEN CAST([] AS VARCHAR[]) ELSE [requester] END AS profiles, projects, spaces, ownerless OR (granted AND len(bg) > 0) AS ownerless
+    FROM v_told WHERE (granted AND NOT refused) OR (NOT granted AND allow)
+  UNION ALL SELECT request_id, [x], [], [], false FROM (SELECT request_id, unnest(bp) AS x FROM v_told WHERE granted AND NOT refused)
+  UNION ALL SELECT request_id, [], [x], [], false FROM (SELECT request_id, unnest(bj) AS x FROM v_told WHERE granted AND NOT refused)
+  UNION ALL SELECT request_id, [], [], [x], false FROM (SELECT request_id, unnest(bk) AS x FROM v_told WHERE granted AND NOT refused)
+), v_kinds AS (SELECT *, dense_rank() OVER (ORDER BY profiles, projects, spaces, ownerless) AS scope FROM v_scopes
+), v_open AS (
+  SELECT k.scope, e.eid, e.created_at FROM (SELECT DISTINCT scope, profiles, projects, spaces, ownerless FROM v_kinds) k JOIN v_events e ON
+    CASE WHEN k.ownerless THEN e.profile_id IS NULL OR list_contains(k.profiles, e.profile_id) WHEN len(k.profiles) > 0 THEN list_contains(k.profiles, e.profile_id) ELSE true END
+    AND (len(k.projects) = 0 OR list_contains(k.projects, e.project_id)) AND (len(k.spaces) = 0 OR list_has_any(k.spaces, e.spaces)))"""
+
+
+@query("SELECT request_id, eid, rank FROM (SELECT request_id, eid, row_number() OVER (PARTITION BY request_id ORDER BY created_at, eid) AS rank FROM (SELECT DISTINCT request_id, eid, created_at FROM v_kinds JOIN v_open USING (scope))) WHERE rank <= 3", V.EVENTS, V.REQUESTS, V.GRANTS, ACTIVE, HELD.replace("{kind}", "event"))
+def requests_first_events(spark, sf):
+    """The first events of each of a table of requests, by grants that cover events."""
+    scopes = Q.composed(V.requests(spark, sf), V.grants(spark, sf), "event")
+    pairs = Q.admitted(scopes, V.events(spark, sf).select("eid", "created_at", "profile_id", "project_id", "spaces"))
+    return Q.first_rows(pairs, ["created_at", "eid"], 3).select("request_id", "eid", "rank")
+
+
+@query("SELECT request_id, count(DISTINCT eid) AS n FROM v_kinds JOIN v_open USING (scope) GROUP BY 1", V.EVENTS, V.REQUESTS, V.GRANTS, ACTIVE, HELD.replace("{kind}", "decision"))
+def requests_open_decisions(spark, sf):
+    """The same by grants that cover decisions: a grant opens only the resource types that it names."""
+    scopes = Q.composed(V.requests(spark, sf), V.grants(spark, sf), "decision")
+    rows = V.events(spark, sf).select("eid", "profile_id", "project_id", "spaces")
+    return Q.admitted(scopes, rows).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT seed, from_id, to_id FROM v_both WHERE seed NOT IN (SELECT seed FROM (SELECT seed, from_id AS eid FROM v_both UNION ALL SELECT seed, to_id FROM v_both) WHERE eid NOT IN (SELECT eid FROM v_events WHERE profile_id IN ('p1', 'p3', 'p5')))""",
+  V.EVENTS, "v_rel AS (SELECT eid AS from_id, lead(eid) OVER (PARTITION BY trace_id ORDER BY sequence) AS to_id FROM v_events UNION ALL SELECT eid, 'e' || lpad(CAST(sequence + 8 AS VARCHAR), 9, '0') FROM v_events WHERE sequence % 3 = 0)",
+  "v_both AS (SELECT from_id AS seed, from_id, to_id FROM v_rel WHERE to_id IN (SELECT eid FROM v_events) UNION SELECT to_id, from_id, to_id FROM v_rel WHERE to_id IN (SELECT eid FROM v_events))")
+def relations_whole(spark, sf):
+    """Relations of every event; one hidden end withholds all of an event's relations."""
+    from pyspark.sql import Window
+
+    ev = V.events(spark, sf)
+    behind = ev.select(F.col("eid").alias("from_id"), F.lead("eid").over(Window.partitionBy("trace_id").orderBy("sequence")).alias("to_id"))
+    named = ev.where("sequence % 3 = 0").select(F.col("eid").alias("from_id"), F.concat(F.lit("e"), F.lpad((F.col("sequence") + 8).cast("string"), 9, "0")).alias("to_id"))
+    relations = behind.unionByName(named).join(ev.select(F.col("eid").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id").distinct()
+    visible = A.secured(ev, [A.Scope(profiles=("p1", "p3", "p5"))])
+    return A.whole_relations(relations, ev, visible).select("seed", "from_id", "to_id")
+
+
 # ---------------------------------------------------------------- the ends of evidence
 
 

@@ -157,7 +157,7 @@ def test_secured_reads_of_the_engine(spark, sf):
     facts = ev.select(F.lit("event").alias("resource_type"), F.col("eid").alias("resource_id"), "created_at", *[F.lit(None).cast("string").alias(c) for c in ("effective_at", "valid_from", "valid_until")])
     mine = {r["eid"] for r in ev.where("profile_id = 'p3'").collect()}
     assert {r["resource_id"] for r in e.facts(ask, facts, owners, "transaction", "2100").collect()} == mine
-    page = e.records(ask, ev, ["eid"], 10, project_id="j3").collect()
+    page = e.records(ask, ev, "event", ["eid"], 10, project_id="j3").collect()
     assert page and all(r["eid"] in mine and r["project_id"] == "j3" for r in page)
     relations = N.derived_from(ev.withColumn("relation_ids", F.array(F.concat(F.lit("e"), F.lpad((F.col("sequence") + 1).cast("string"), 9, "0")))))
     some = next(iter(sorted(mine)))
@@ -167,7 +167,7 @@ def test_secured_reads_of_the_engine(spark, sf):
     with pytest.raises(S.QueryError):
         e.corpus(ask, units, "word", {"colour": "red"})
     with pytest.raises(Exception, match="outside its scope"):
-        A.validated(ev, e.scopes(ask)).collect()
+        A.validated(ev, e.scopes(ask, "event")).collect()
 
 
 # ----------------------------------------------------------------------- access

@@ -171,14 +171,7 @@ def redact(c: Column) -> Column:
 def field_rule(key: Column) -> Column:
     """The rule that a field's name alone calls for."""
     k = F.replace(F.lower(key), F.lit("-"), F.lit("_"))
-    return (
-        F.when(k.isin("password", "passwd", "passphrase", "db_password"), "password_assignment")
-        .when(k.isin("api_key", "apikey", "api_secret", "secret_key", "private_token"), "api_key_assignment")
-        .when(k.contains("oauth") & (k.contains("secret") | k.contains("token")), "oauth_secret")
-        .when(k.isin("access_token", "refresh_token", "client_secret"), "oauth_secret")
-        .when(k.isin("authorization", "proxy_authorization"), "authorization_header")
-        .when(k.contains("private_key") | (k == "privatekey"), "private_key_block")
-    )
+    return F.coalesce(*[F.when(k.rlike(rf"(?s)\A({pattern})\z"), F.lit(rule)) for rule, pattern in V.FIELD_RULES])
 
 
 def garbage_share(c: Column) -> Column:

@@ -46,3 +46,28 @@ SECRET_RULES = (
     ("credential_url_userinfo", r"(?i)^[a-z][a-z0-9+.-]*://[^/@:]+:[^/@]+@"),
     ("api_key_assignment", r"(?i)(api[_-]?key|api[_-]?secret|password|passwd|passphrase|client[_-]?secret|access[_-]?token|refresh[_-]?token)\s*[:=]\s*\S+"),
 )
+
+# The rule that a field's name calls for, in order of precedence; the pattern is of the whole name in
+# lower case with underscores for hyphens.
+FIELD_RULES = (
+    ("password_assignment", r"password|passwd|passphrase|db_password"),
+    ("api_key_assignment", r"api_key|apikey|api_secret|secret_key|private_token"),
+    ("oauth_secret", r".*oauth.*(secret|token).*|.*(secret|token).*oauth.*|access_token|refresh_token|client_secret"),
+    ("authorization_header", r"authorization|proxy_authorization"),
+    ("private_key_block", r".*private_key.*|privatekey"),
+)
+
+# Fixed value: a private key with its end; a begin without one may not be kept in any form.
+WHOLE_PRIVATE_KEY = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END [A-Z0-9 ]*PRIVATE KEY-----"
+
+# What becomes of a text in a payload, in order of precedence: the secret rule that it breaks, the rule
+# that its field calls for (None: any of either, "*": some rule), and the rule that is recorded (None: the field's).
+LEAF_RULES = (
+    ("private_key_block", None, "private_key_block"),
+    ("bearer_token", "authorization_header", "bearer_authorization"),
+    ("bearer_token", None, "bearer_token"),
+    (None, "authorization_header", None),
+    ("credential_url_userinfo", None, "credential_url_userinfo"),
+    (None, "*", None),
+    ("api_key_assignment", None, "api_key_assignment"),
+)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import vocabulary as V
 from cairn.functions.timestamps import utc_instant
+from cairn.operators.components import components
 from cairn.scratch import written
 
 
@@ -36,26 +38,59 @@ def fault(columns: list[str]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for test, code in tests])
 
 
-def outcomes(lines: DataFrame, ident: str = "event_id", content: str = "content_hash", position: str = "position") -> DataFrame:
-    """First write wins, over ids and over contents at once.
+#: Lines of a component that one task replays; components beyond it are settled in rounds.
+TASK_LINES = 100_000
 
-    A line is accepted if it is the first of the remaining ones for its id and for
-    its content; whatever shares either with an accepted line drops out, and so
-    on until nothing remains.  Only then are the rejected lines told apart by the
-    accepted lines before them.  Clean logs need one round; rounds work on what
-    remains only.
+
+def _peeled(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that are the first both of their id and of their content, and what neither shares with them."""
+    first_i = rest.groupBy("i").agg(F.min("p").alias("pi"))
+    first_h = rest.groupBy("h").agg(F.min("p").alias("ph"))
+    now = written(rest.join(first_i, "i").join(first_h, "h").where("p = pi AND p = ph").select("i", "h", "p"), "accepted")
+    return now, written(rest.join(now.select("i"), "i", "left_anti").join(now.select("h"), "h", "left_anti").select("i", "h", "p"), "rest")
+
+
+def _replayed(table: pa.Table) -> pa.Table:
+    """The accepted lines of one component, in order."""
+    table = table.sort_by("p")
+    ids, contents, kept = set(), set(), []
+    for at, (i, h) in enumerate(zip(table.column("i").to_pylist(), table.column("h").to_pylist(), strict=True)):
+        if i not in ids and h not in contents:
+            ids.add(i)
+            contents.add(h)
+            kept.append(at)
+    return table.take(pa.array(kept, pa.int64())).select(["i", "h", "p"])
+
+
+def accepted_lines(rows: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
+    """The lines ``i, h, p`` that first-write-wins accepts, over ids and over contents at once.
+
+    One round accepts the lines that come first on both sides, which settles logs without crossing repeats and takes
+    hot ids and contents away.  What is left hangs together through ids and contents: its components are
+    replayed apart, each in its own task.  Only components that are too large for a task go on in rounds.
     """
-    rows = written(lines.select(F.col(ident).alias("i"), F.col(content).alias("h"), F.col(position).alias("p")), "lines")
-    rest, accepted = rows, None
-    while True:
-        first_i = rest.groupBy("i").agg(F.min("p").alias("pi"))
-        first_h = rest.groupBy("h").agg(F.min("p").alias("ph"))
-        now = rest.join(first_i, "i").join(first_h, "h").where("p = pi AND p = ph").select("i", "h", "p")
-        now = written(now, "accepted")
-        accepted = now if accepted is None else accepted.unionByName(now)
-        rest = written(rest.join(now.select("i"), "i", "left_anti").join(now.select("h"), "h", "left_anti").select("i", "h", "p"), "rest")
-        if rest.isEmpty():
-            break
+    accepted, rest = _peeled(rows)
+    if (left := rest.count()) == 0:
+        return accepted
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.select("i", "h", "p").schema)
+    if left <= task_lines:
+        return accepted.unionByName(rest.withColumn("component", F.lit(0)).groupBy("component").applyInArrow(_replayed, fields))
+    # Numbers that meet by chance join two components, which changes no result.
+    ends = rest.withColumns({"a": F.xxhash64(F.lit("i"), "i"), "b": F.xxhash64(F.lit("h"), "h")})
+    found = components(ends.select("a", "b"))
+    told = written(ends.join(found.withColumnRenamed("node", "a"), "a").select("i", "h", "p", "component"), "told")
+    sizes = told.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where(F.col("n") > task_lines).select("component"), "large")
+    accepted = accepted.unionByName(told.join(large, "component", "left_anti").groupBy("component").applyInArrow(_replayed, fields))
+    rest = written(told.join(large, "component", "left_semi").select("i", "h", "p"), "rest")
+    while not rest.isEmpty():
+        now, rest = _peeled(rest)
+        accepted = accepted.unionByName(now)
+    return accepted
+
+
+def classified(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``i, h, p, outcome`` of every line, given the accepted lines."""
     by_i = accepted.select("i", F.col("h").alias("ih"), F.col("p").alias("ip"))
     by_h = accepted.select("h", F.col("i").alias("hi"), F.col("p").alias("hp"))
     told = rows.join(by_i, "i", "left").join(by_h, "h", "left")
@@ -65,7 +100,18 @@ def outcomes(lines: DataFrame, ident: str = "event_id", content: str = "content_
         .when(F.col("ip") < F.col("p"), "event_id_content_conflict")
         .otherwise("duplicate_content_hash")
     )
-    return told.select(F.col("p").alias(position), F.col("i").alias(ident), F.col("h").alias(content), outcome.alias("outcome"))
+    return told.select("i", "h", "p", outcome.alias("outcome"))
+
+
+def outcomes(lines: DataFrame, ident: str = "event_id", content: str = "content_hash", position: str = "position", task_lines: int = TASK_LINES) -> DataFrame:
+    """What becomes of each line: first write wins, over ids and over contents at once.
+
+    A line is accepted if no accepted line before it has its id or its content; the others are told apart by the
+    accepted lines before them.
+    """
+    rows = written(lines.select(F.col(ident).alias("i"), F.col(content).alias("h"), F.col(position).alias("p")), "lines")
+    told = classified(rows, written(accepted_lines(rows, task_lines), "accepted"))
+    return told.select(F.col("p").alias(position), F.col("i").alias(ident), F.col("h").alias(content), "outcome")
 
 
 def lifecycle_seed(accepted: DataFrame) -> DataFrame:

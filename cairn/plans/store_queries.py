@@ -20,7 +20,7 @@ from cairn.plans.event_queries import POLICY
 from cairn.plans.evidence_queries import ELIGIBLE, _items
 from cairn.plans.record_queries import EDGE_ID, EDGES, TOMBS, _children, _edges, _tombs
 from cairn.plans.registry import Area
-from cairn.scratch import written
+from cairn.scratch import folder, written
 from cairn.sources import jsonl
 from cairn.sources.text_units import normalized_extraction
 
@@ -139,18 +139,44 @@ PROJECTED = "artifacts deletion_audit lifecycle meta postings provenance relatio
 @query("SELECT unnest([" + ", ".join(f"'{p}'" for p in PROJECTED) + "]) AS projection, 0 AS only_left, 0 AS only_right, true AS equal UNION ALL SELECT 'scopes', (SELECT count(DISTINCT project_id) FROM v_events) + (SELECT count(DISTINCT s) FROM (SELECT unnest(spaces) AS s FROM v_events)), 0, false", V.EVENTS)
 def rebuild_parity(spark, sf):
     """All nine projections against a rebuild from the log in another order, which lost scopes but those of profiles."""
+    log = _log(spark, sf)
+    kept, again = N.projections(written(log, "log")), N.projections(written(log.repartition(7, "content"), "log"))
+    again["scopes"] = again["scopes"].where("scope_type = 'profile'")
+    write = lambda tables: {k: written(v, k) for k, v in tables.items()}
+    return Y.parity(write(kept), write(again))
+
+
+def _log(spark, sf):
+    """The events with relations, artifacts and deletions."""
     s = F.col("sequence")
     name = lambda n: F.concat(F.lit("e"), F.lpad(n.cast("string"), 9, "0"))
     target = F.when(s % 3 == 0, F.floor(s / 2)).when(s % 3 == 1, s + 7).otherwise(s + 100_000_000)
-    log = _children(spark, sf).withColumns({
+    return _children(spark, sf).withColumns({
         "relation_ids": F.array(name(F.floor(s / 3)), F.concat(F.lit("t"), (s % 90).cast("string"))),
         "artifact_refs": F.array(F.struct(F.concat(F.lit("a"), (s % 50).cast("string")).alias("artifact_id"))),
         "tombstone_target": F.when(F.col("lifecycle") == "deleted", name(target)),
     })
-    kept, again = N.projections(written(log, "log")), N.projections(written(log.repartition(7, "content"), "log"))
-    again["scopes"] = again["scopes"].where("scope_type = 'profile'")
+
+
+@query("""SELECT unnest(['artifacts', 'deletion_audit', 'lifecycle', 'meta', 'postings', 'provenance', 'relations', 'scopes', 'tombstones']) AS projection, 0 AS only_left, 0 AS only_right, true AS equal
+  UNION ALL SELECT outcome, count(*), 0, false FROM (SELECT 'new_event' AS outcome FROM v_events UNION ALL SELECT CASE sequence % 3 WHEN 0 THEN 'duplicate_event_id' WHEN 1 THEN 'event_id_content_conflict' ELSE 'duplicate_content_hash' END FROM v_events WHERE sequence % 4 = 0) GROUP BY 1""", V.EVENTS)
+def stream_parity(spark, sf):
+    """The log and repeats of its ids and contents, taken in by batches: all nine projections against those of the
+    accepted lines at once, and what became of the lines."""
+    from cairn.streaming import maintained as M
+
+    s = F.col("sequence")
+    log = written(_log(spark, sf).withColumn("content_hash", F.sha2(F.concat_ws("-", "content", "eid"), 256)), "log")
+    n = log.agg(F.max("sequence")).scalar()
+    again = log.where(s % 4 == 0).withColumns({"eid": F.when(s % 3 == 2, F.concat(F.lit("x"), "eid")).otherwise(F.col("eid")), "content_hash": F.when(s % 3 == 1, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))})
+    lines = log.unionByName(again.withColumn("sequence", s + n + 1))
+    store, now = M.Store(spark, folder(spark, "maintained"), buckets=16), F.col("sequence")
+    for number, part in enumerate((now <= n / 2, (now > n / 2) & (now <= n * 9 / 8), now > n * 9 / 8)):
+        M.commit(store, lines.where(part), number)
     write = lambda tables: {k: written(v, k) for k, v in tables.items()}
-    return Y.parity(write(kept), write(again))
+    parity = Y.parity(write(N.projections(log)), write(M.projections(store)))
+    told = store.appended("outcomes").groupBy(F.col("outcome").alias("projection")).agg(F.count(F.lit(1)).alias("only_left"))
+    return parity.unionByName(told.select("projection", "only_left", F.lit(0).cast("long").alias("only_right"), F.lit(False).alias("equal")))
 
 
 # ------------------------------------------------------------------------ notes

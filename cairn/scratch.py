@@ -29,6 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, on whatever file system; one that is gone already is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet and read back: a short lineage on lasting files."""
     path = folder(df.sparkSession, what)

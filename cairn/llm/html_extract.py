@@ -21,7 +21,8 @@ Versions of one story (equal title and first heading; without both, equal lines)
 are no neighbours of each other and count once as neighbours of others, so an
 article at many addresses is not its own furniture.
 
-Pages are dealt into ranges of host, path and id of about ``BUCKET`` pages, at most;
+Pages are dealt into ranges of host, path and id of about ``BUCKET`` pages, at most ``RANGES``
+ranges, whose bounds come from a sample of keys of that size on the driver;
 bounds only decide where a page is worked on.  A first pass takes each range's
 outermost stories, and these are joined to the ranges beside it, so a page finds
 its nearest URLs on a host of any size and behind any run of versions.
@@ -47,8 +48,8 @@ from cairn.llm._common import materialise, shuffle_width
 
 #: Pages of a range at most, and at least if there are enough tasks; both roughly.
 BUCKET, LEAST = 2_000, 256
-#: Keys that are sampled for each range bound.
-SAMPLE = 20
+#: Keys that are sampled for each range bound, and ranges at most: bounds the keys that the driver sorts.
+SAMPLE, RANGES = 20, 20_000
 #: Neighbours on each side, each of another story.
 SIDE = 2
 #: Rows of an alignment between two that are kept for its way back.
@@ -73,7 +74,8 @@ PROSE_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th capt
 PAIRED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html article main section div nav header footer aside form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
 _WORD = re.compile(r"[^a-z0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
@@ -117,19 +119,95 @@ def _slot(above: int, name: str, raw: str) -> int:
     return xxhash.xxh32_intdigest(f"{above}/{own}".encode("utf-8", "surrogatepass")) >> 1
 
 
+class Scanner:
+    """The tokens of a page, each character being looked at a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes or, where a quote stays open, at the first ``>`` at all.  A
+    scan that ran into an open quote leaves the quotes it passed behind, so that no later one follows it again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open: set[int] = set()
+        self.absent: set[str] = set()
+        self.last = page.rfind(">")
+
+    def _find(self, what: str, at: int) -> int:
+        """As ``find``, but what is not there any more is not looked for again."""
+        if what in self.absent:
+            return -1
+        if (found := self.page.find(what, at)) < 0:
+            self.absent.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag whose attributes begin at ``at``."""
+        passed, begin = [], at
+        while (stop := _STOP.search(self.page, at)) is not None:
+            if stop[0] == ">":
+                return stop.start()
+            passed.append(stop.start())
+            if stop.start() in self.open or (close := self._find(stop[0], stop.end())) < 0:
+                break
+            at = close + 1
+        self.open.update(passed)
+        return self.page.find(">", begin)
+
+    def tokens(self):
+        """``start, end, closing, name, attributes``; comments and the like have no name, CDATA its text as attributes."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = self._find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                yield start, at, "", "", None
+            elif start >= self.last:
+                at = start + 1
+            elif page.startswith("<![CDATA[", start) and (end := self._find("]]>", start + 9)) >= 0:
+                at = end + 3
+                yield start, at, "", "", page[start + 9 : end]
+            elif page[start + 1] in "!?":
+                at = page.find(">", start) + 1
+                yield start, at, "", "", None
+            elif (tag := _TAG.match(page, start)) is not None and tag.end() <= self.last:
+                end = self._tag_end(tag.end())
+                at = end + 1
+                jump = yield start, at, tag[1], tag[2].lower(), page[tag.end() : end]
+                if jump is not None:
+                    at = jump
+                    yield
+            else:
+                at = start + 1
+
+    def behind(self, name: str, at: int) -> tuple[int, int] | None:
+        """Where the closing tag of a raw element begins and ends."""
+        if name in self.absent:
+            return None
+        close = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.page, at)
+        end = self.page.find(">", close.end()) if close is not None and close.end() <= self.last else -1
+        if end < 0:
+            self.absent.add(name)
+            return None
+        return close.start(), end + 1
+
+
 def blocks(page: str | None) -> tuple[int, list[tuple[int, int, int, str]]]:
     """The page's story, and its lines in order: mark, form, slot and text."""
     out: list[tuple[int, int, int, str]] = []
     if not page:
         return 0, out
     stack: list[tuple[str, bool, bool, int]] = []
+    # Where in the stack each name, and what is no inline element or ends the search for open paragraphs, stands.
+    depths: dict[str, list[int]] = {}
+    outer: list[int] = []
+    scopes: list[int] = []
     text: list[str] = []
     drop = main = links = linked = 0
     title = heading = ""
 
     def place() -> tuple[str, int]:
         """The innermost block and its slot."""
-        return next(((name, slot) for name, _, _, slot in reversed(stack) if name not in INLINE), ("", 0))
+        return (stack[outer[-1]][0], stack[outer[-1]][3]) if outer else ("", 0)
 
     def flush():
         nonlocal linked, heading
@@ -156,63 +234,65 @@ def blocks(page: str | None) -> tuple[int, list[tuple[int, int, int, str]]]:
         nonlocal drop, main, links
         while len(stack) > depth:
             name, d, m, _ = stack.pop()
+            for held in (depths[name], outer, scopes):
+                if held and held[-1] == len(stack):
+                    held.pop()
             drop -= d
             main -= m
             links -= name == "a"
 
-    at, end = 0, len(page)
-    while at < end:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            write(page[at:])
-            break
-        if token.start() > at:
-            write(page[at : token.start()])
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
+    scanner, at, end = Scanner(page), 0, len(page)
+    tokens = scanner.tokens()
+    for start, behind, closing, name, raw in tokens:
+        if start > at:
+            write(page[at:start])
+        at = behind
         if not name:
-            if token[0].startswith("<![CDATA["):
-                write(html_lib.escape(token[0][9:-3]))
+            if raw is not None:
+                write(html_lib.escape(raw))
             continue
-        closing, raw = token[1] or token[4], token[3] or token[6] or ""
         if name not in INLINE:
             flush()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if stack[depth][1] or stack[depth][2]:
-                        flush()
-                    leave(depth)
-                    break
-                if name in INLINE and stack[depth][0] not in INLINE:
-                    break
+            held = depths.get(name)
+            if held and (name not in INLINE or not outer or held[-1] > outer[-1]):
+                if stack[held[-1]][1] or stack[held[-1]][2]:
+                    flush()
+                leave(held[-1])
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            close = scanner.behind(name, at)
             if raw.endswith("/") and name == "svg" and close is None:
                 continue
             if name == "title" and not title:
-                title = page[at : close.start() if close else end]
-            at = close.end() if close else end
+                title = page[at : close[0] if close else end]
+            at = close[1] if close else end
+            tokens.send(at)
             continue
         if name in VOID or (raw.endswith("/") and name in INLINE):
             continue
         if name not in INLINE:  # an open paragraph or list item ends here
-            for depth in range(len(stack) - 1, -1, -1):
+            limit, ended = scopes[-1] if scopes else -1, ("p", *PAIRED.get(name, ()))
+            while (depth := max((depths[x][-1] for x in ended if depths.get(x)), default=-1)) > limit:
                 other = stack[depth][0]
-                if other == "p" or other in PAIRED.get(name, ()):
-                    leave(depth)
-                    if other != "p":
-                        break
-                elif other in SCOPES:
+                leave(depth)
+                if other != "p":
                     break
         d, m = _decide(name, raw, main > 0)
         if (d or m) and name in INLINE:
             flush()
-        stack.append((name, d, m, 0 if name in INLINE else _slot(place()[1], name, raw)))
+        slot = 0 if name in INLINE else _slot(place()[1], name, raw)
+        depths.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            outer.append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append((name, d, m, slot))
         drop += d
         main += m
         links += name == "a"
+    if at < end:
+        write(page[at:])
     flush()
     named = " ".join(title.split()) + "\n" + heading
     return _hash(named if named != "\n" else "\n".join(line for _, _, _, line in out)), out
@@ -398,7 +478,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     n = rows.count()
-    parts = max(1, -(-n // bucket), min(2 * shuffle_width(spark), n // min(LEAST, bucket)))
+    parts = max(1, min(RANGES, -(-n // bucket)), min(2 * shuffle_width(spark), n // min(LEAST, bucket)))
     keys = rows.select("host", "path", "page_id")
     if parts > 1 and n > SAMPLE * parts * 2:
         keys = keys.sample(SAMPLE * parts / n, seed=1)

@@ -46,8 +46,8 @@ MAX_BITS = 27
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Words that are hashed together.
 TOGETHER = 262_144
-#: Entries kept by a worker's table of word hashes.
-TABLE_LIMIT = 1_000_000
+#: Entries of a worker's table of word hashes, and characters of a word that is kept there.
+TABLE_LIMIT, KEEP = 1_000_000, 32
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -96,9 +96,11 @@ class WordHashes(dict):
     """64-bit hashes of words, filled as words come and emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= KEEP:
+            if len(self) >= TABLE_LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[str]) -> np.ndarray:

@@ -196,15 +196,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return LanguageModel(np.zeros((0, 1 << BITS), np.float32), [])
     per_language = min(per_language, max(1, max_rows // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    chosen = chosen.select("lang", "text")
+    place = F.xxhash64("doc_id", "text")
+    chosen = rows.where(F.pmod(place, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = chosen.select("lang", "text", place.alias("place")).dropDuplicates(["lang", "place"])
 
     def featurise(batches):
         for batch in batches:
-            pairs = [(lang, x) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (x := trigram_shares(t.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1].astype(np.float16).tobytes() for p in pairs], pa.binary())], names=["lang", "x"])
+            told = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True)
+            kept = [(lang, x.astype(np.float16).tobytes(), place) for lang, t, place in told if (x := trigram_shares(t.as_py())) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["lang", "x", "place"])
 
-    got = chosen.mapInArrow(featurise, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    # The least numbers, should chance exceed the bound: which rows train never depends on the order of tasks.
+    got = chosen.mapInArrow(featurise, "lang string, x binary, place long").orderBy("place", "lang").limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     order = np.random.default_rng(0).permutation(len(got))
     x = np.stack([np.frombuffer(got[i]["x"], np.float16).astype(np.float32) for i in order]) if got else np.zeros((0, 1 << BITS), np.float32)

@@ -36,8 +36,8 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Pieces that are packed together; bounds a task's memory.
 SHARD = 131_072
-#: Entries kept by a worker's table of chunks.
-TABLE_LIMIT = 500_000
+#: Bytes of a worker's table of chunks.
+TABLE_BYTES = 160 << 20
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
@@ -106,13 +106,13 @@ class IdBytes:
     The vocabulary's own model encodes each distinct word; a table keeps the bytes.
     """
 
-    def __init__(self, path: str, table_limit: int = TABLE_LIMIT):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
         self.special = {x: struct.pack("<I", tokenizer.token_to_id(x)) for x in words.SPECIAL}
-        self.table = words.ChunkTable(path, self._word, b"".join, self.special, table_limit)
+        self.table = words.ChunkTable(path, self._word, b"".join, self.special, table_bytes)
 
     def _word(self, letters: str) -> bytes:
         tokens = self.model.tokenize(letters)

@@ -165,14 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # About max_rows ids at most: small enough to send to every task.
-    chosen = texts.join(F.broadcast(marked), "doc_id").select("y", "text")
+    chosen = texts.join(F.broadcast(marked), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("place")).dropDuplicates(["y", "place"])
 
     def featurise(batches):
         for batch in batches:
             x = [statistics(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], names=["y", "x", "place"])
 
-    got = chosen.mapInArrow(featurise, "y int, x binary").limit(2 * max_rows).collect()
+    # The least numbers of repeated ids: which rows train never depends on the order of tasks.
+    got = chosen.mapInArrow(featurise, "y int, x binary, place long").orderBy("place", "y").limit(2 * max_rows).collect()
     model = BoostedTrees()
     if not got:
         return model

@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 from cairn.llm import words
 
 WINDOW = 2048
-#: Entries kept by a worker's table of chunks.
-TABLE_LIMIT = 500_000
+#: Bytes of a worker's table of chunks.
+TABLE_BYTES = 160 << 20
 
 
 class MergeCounter:
     """Counts the tokens of words for one vocabulary."""
 
-    def __init__(self, path: str, table_limit: int = TABLE_LIMIT):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         self.ranks = words.load_merges(path)
-        self.table = words.ChunkTable(path, self._word, sum, dict.fromkeys(words.SPECIAL, 1), table_limit)
+        self.table = words.ChunkTable(path, self._word, sum, dict.fromkeys(words.SPECIAL, 1), table_bytes)
 
     def count(self, text: str | None) -> int:
         return sum(map(self.table.__getitem__, words.chunks(text))) if text else 0

@@ -18,6 +18,8 @@ import re
 import public_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
+#: Characters of a chunk that a table keeps.
+KEEP = 64
 
 # The vocabulary's special strings, white space and pre-tokenizer pattern.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -50,9 +52,9 @@ def special_parts(chunk: str) -> list[str]:
 
 
 class ChunkTable(dict):
-    """What every chunk gives, filled as chunks come and emptied beyond ``limit``.
+    """What every chunk gives, filled as chunks come and emptied beyond ``limit`` bytes.
 
-    ``word`` gives the value of a pre-token in byte letters, ``total`` sums up a
+    Chunks and words of more than ``KEEP`` characters are not kept.  ``word`` gives the value of a pre-token in byte letters, ``total`` sums up a
     chunk's values, and ``special`` holds those of the special strings.  Words
     of other letters than a to z are kept in a second table.
     """
@@ -65,15 +67,26 @@ class ChunkTable(dict):
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.word, self.total, self.special, self.limit = word, total, special, limit
         self.words: dict = {}
+        self.held = 0
+
+    def _keep(self, table: dict, key: str, value) -> None:
+        """Keep a short one; strings take up to four bytes a character."""
+        if len(key) > KEEP:
+            return
+        size = 200 + 4 * len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held + size > self.limit:
+            self.clear()
+            self.words.clear()
+            self.held = 0
+        table[key] = value
+        self.held += size
 
     def __missing__(self, chunk: str):
-        if len(self) >= self.limit:
-            self.clear()
         if chunk.isascii() and chunk.isalpha() and chunk.islower():
             value = self.word(chunk)
         else:
             value = self.total(self._parts(chunk))
-        self[chunk] = value
+        self._keep(self, chunk, value)
         return value
 
     def _word(self, letters: str):
@@ -81,9 +94,8 @@ class ChunkTable(dict):
             return self[letters]
         value = self.words.get(letters)
         if value is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            value = self.words[letters] = self.word(letters)
+            value = self.word(letters)
+            self._keep(self.words, letters, value)
         return value
 
     def _parts(self, chunk: str) -> list:

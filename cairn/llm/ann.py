@@ -5,8 +5,9 @@ It sends a unit vector to the nearest of the 2d signed axes.  A table joins seve
 rotations to one code, the last one over fewer axes, so that the code has as many
 bits as ``code_bits`` gives: they grow half as fast as those of the number of vectors,
 so a query's share of the vectors falls as a table grows.  A query probes, in each of
-``TABLES`` tables, the ``PROBES`` joint codes that it is nearest to (least sum of
-squared gaps to its best axes).  Whatever lies there is a candidate and is ranked
+``TABLES`` tables, the joint codes that it is nearest to (least sum of squared gaps to
+its best axes); their number grows slowly with that of the vectors (``probe_count``), so
+that recall does not fall.  Whatever lies there is a candidate and is ranked
 exactly, by cosine in double precision.  A query that finds fewer than k this way is
 compared with all vectors of its length, so a list is short only where there are
 fewer than k others.
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from cairn.llm._common import materialise
 
 TABLES = 16
-PROBES = 80
 ROUNDS = 3
 SEED = 7
 NEIGHBOURS = 5
@@ -56,6 +56,11 @@ def code_bits(vectors: int) -> int:
     return max(2, round(log2(max(1, vectors)) / 2 + 6.4))
 
 
+def probe_count(vectors: int) -> int:
+    """Probes of a table for so many vectors: 80 up to 2,048 of them, twice as many for each 2,048-fold."""
+    return round(80 * 2 ** (max(0.0, log2(max(1, vectors)) - 11) / 11))
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The orthonormal fast Walsh-Hadamard transform of each row."""
     n, width = x.shape[1], 1
@@ -136,10 +141,10 @@ def _slice_of(codes: np.ndarray, slices: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(slices)).astype(np.int32)
 
 
-def _hashed(rows: DataFrame, tables: int, probes: int | None, counts: dict[int, int], chunk: int) -> DataFrame:
+def _hashed(rows: DataFrame, tables: int, asked: bool, probes: int | None, counts: dict[int, int], chunk: int) -> DataFrame:
     """``id..., dim, tab, slice, codes`` for the first columns of ``rows``, whose last column is the vector.
 
-    An index row (``probes`` is None) has one code for each table; a query has a row
+    An index row (not ``asked``) has one code for each table; a query has a row
     for each slice that it probes, with its codes there.  ``counts`` has the number
     of vectors of each length.
     """
@@ -157,7 +162,7 @@ def _hashed(rows: DataFrame, tables: int, probes: int | None, counts: dict[int,
                 slices = -(-n // chunk)
                 for t in range(tables):
                     for a in range(0, len(at), 128):
-                        codes = hashes[d].codes(x[a : a + 128], t)[:, None] if probes is None else hashes[d].probes(x[a : a + 128], t, probes)
+                        codes = hashes[d].probes(x[a : a + 128], t, probes or probe_count(n)) if asked else hashes[d].codes(x[a : a + 128], t)[:, None]
                         own = np.repeat(np.arange(len(codes)), codes.shape[1]) * slices + _slice_of(codes.ravel(), slices)
                         order = np.argsort(own, kind="stable")
                         cells, begins = np.unique(own[order], return_index=True)
@@ -186,7 +191,7 @@ def _candidates(codes: np.ndarray, wanted: list[np.ndarray]):
         a = z
 
 
-def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES, chunk: int = CHUNK) -> DataFrame:
+def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of each query.
 
     ``queries`` is a condition over ``id`` that tells which rows are queries.
@@ -252,7 +257,7 @@ def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = materialise(ranked(searched(_hashed(classes, tables, None, counts, chunk), _hashed(asked, tables, probes, counts, chunk))), "found")
+    first = materialise(ranked(searched(_hashed(classes, tables, False, None, counts, chunk), _hashed(asked, tables, True, probes, counts, chunk))), "found")
     full = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = materialise(asked.join(full, "id", "left_anti").select("id", "v"), "short")
     if short.isEmpty():

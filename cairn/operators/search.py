@@ -28,6 +28,12 @@ class QueryError(ValueError):
     """A condition that is not well formed."""
 
 
+def _planned(condition: Condition, *plan) -> Condition:
+    """A condition that also tells what it is made of, for evaluation on an index."""
+    condition.plan = plan
+    return condition
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)]
 
@@ -59,7 +65,7 @@ def _test(tokens: Column, words: list[str], prefix: bool = False, first: bool =
 def term(text: str, column: str | None = None, first: bool = False) -> Condition:
     """One word, or the run that a text with several makes; ``first``: at the start of the column."""
     words = _one_or_more(text)
-    return _each(lambda t: _test(t, words, first=first), column)
+    return _planned(_each(lambda t: _test(t, words, first=first), column), "run", words, False, first, column)
 
 
 phrase = term
@@ -67,7 +73,7 @@ phrase = term
 
 def prefix(text: str, column: str | None = None, first: bool = False) -> Condition:
     words = _one_or_more(text)
-    return _each(lambda t: _test(t, words, True, first), column)
+    return _planned(_each(lambda t: _test(t, words, True, first), column), "run", words, True, first, column)
 
 
 def near(parts: list[str], distance: int = 10, column: str | None = None) -> Condition:
@@ -81,19 +87,19 @@ def near(parts: list[str], distance: int = 10, column: str | None = None) -> Con
     def test(tokens: Column) -> Column:
         return reduce(lambda a, b: a & b, [tokens.contains(w) for w in every]) & tokens.rlike(" " + inside)
 
-    return _each(test, column)
+    return _planned(_each(test, column), "near", runs, room, column)
 
 
 def all_of(*parts: Condition) -> Condition:
-    return lambda tokens: reduce(lambda a, b: a & b, [p(tokens) for p in parts])
+    return _planned(lambda tokens: reduce(lambda a, b: a & b, [p(tokens) for p in parts]), "all", parts)
 
 
 def any_of(*parts: Condition) -> Condition:
-    return lambda tokens: reduce(lambda a, b: a | b, [p(tokens) for p in parts])
+    return _planned(lambda tokens: reduce(lambda a, b: a | b, [p(tokens) for p in parts]), "any", parts)
 
 
 def but_not(wanted: Condition, *parts: Condition) -> Condition:
-    return lambda tokens: reduce(lambda a, b: a & ~b, [p(tokens) for p in parts], wanted(tokens))
+    return _planned(lambda tokens: reduce(lambda a, b: a & ~b, [p(tokens) for p in parts], wanted(tokens)), "but_not", wanted, parts)
 
 
 def tokens_of(columns: list[str], fold: bool = True) -> dict[str, Column]:

@@ -83,6 +83,41 @@ def fts_column(spark, sf):
     return S.find(turns, "id", ["role", "text"], wanted)
 
 
+def _index(spark, sf, docs, ident, columns, fold, cut):
+    """An index over a table, written in two batches."""
+    from cairn.operators.inverted import Index
+    from cairn.scratch import folder
+
+    out = Index(spark, folder(spark, "index"), columns, fold, buckets=8)
+    for number, part in enumerate((cut, ~cut)):
+        out.add(docs.where(part), ident, number)
+    return out
+
+
+@query("""SELECT 'and' AS search, id FROM v_terms WHERE list_contains(terms, 'view') AND list_contains(terms, '69')
+  UNION ALL SELECT 'not', id FROM v_terms WHERE (list_contains(terms, 'click') OR list_contains(terms, 'error')) AND NOT list_contains(terms, '89')
+  UNION ALL SELECT 'any_term', id FROM v_terms WHERE list_contains(terms, 'signup') OR list_contains(terms, 'zebra')
+  UNION ALL SELECT DISTINCT 'phrase', CAST(id AS VARCHAR) FROM (SELECT id, terms, unnest(range(1, len(terms))) AS i FROM d_terms) WHERE terms[i] = 'of' AND terms[i + 1] = 'the'
+  UNION ALL SELECT 'prefix', CAST(id AS VARCHAR) FROM d_terms WHERE len(list_filter(terms, lambda t: starts_with(t, 'schach'))) > 0
+  UNION ALL SELECT DISTINCT 'near', CAST(a.id AS VARCHAR) FROM (SELECT id, unnest(range(1, len(terms) + 1)) AS i, terms FROM d_terms) a
+    JOIN (SELECT id, unnest(range(1, len(terms) + 1)) AS i, terms FROM d_terms) b ON a.id = b.id WHERE a.terms[a.i] = 'with' AND b.terms[b.i] = 'that' AND abs(a.i - b.i) <= 4""", V.EVENTS, TERMS, DOC_TERMS)
+def index_search(spark, sf):
+    """The searches of this catalogue on written indexes: each reads the buckets of its terms only."""
+    events = V.events(spark, sf).where("content IS NOT NULL")
+    docs = V.table(spark, sf, "documents").where("text IS NOT NULL")
+    own = _index(spark, sf, events, "eid", ["content"], False, F.col("sequence") % 2 == 0)
+    other = _index(spark, sf, docs, "doc_id", ["text"], False, F.col("doc_id") % 2 == 0)
+    found = [
+        ("and", own.find(S.all_of(S.term("view"), S.term("69")))), ("not", own.find(S.but_not(S.any_of(S.term("click"), S.term("error")), S.term("89")))), ("any_term", own.find_or(["signup", "zebra"]).select("id")),
+        ("phrase", other.find(S.phrase("of the"))), ("prefix", other.find(S.prefix("schach"))), ("near", other.find(S.near(["with", "that"], 3))),
+    ]
+    out = None
+    for name, hits in found:
+        one = hits.select(F.lit(name).alias("search"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""SELECT q.item_id AS query_id, d.id, count(*) AS matched FROM (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark) q
   JOIN (SELECT DISTINCT id, unnest(terms) AS term FROM d_terms) d ON q.term = d.term
   GROUP BY q.item_id, d.id HAVING count(*) = (SELECT count(DISTINCT t) FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM benchmark) z WHERE z.item_id = q.item_id)""", DOC_TERMS)

@@ -101,8 +101,8 @@ def _segments(turns: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
 
 def _sorted(segments: DataFrame, ranges: int) -> DataFrame:
-    """Segments in ranges by context, hashes and conversation; ``seq`` follows the order."""
-    keys = ["c1", "c2", F.arrays_zip("z1", "z2"), "conv_id"]
+    """Segments in ranges by context, hashes and conversation, those that go on behind those that end; ``seq`` follows the order."""
+    keys = ["c1", "c2", F.arrays_zip("z1", "z2"), ~F.col("last"), "conv_id"]
     rows = segments.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("seq", F.monotonically_increasing_id())
     return rows.withColumn("part", F.shiftright("seq", 33))
 

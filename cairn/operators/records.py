@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.components import components
 from cairn.operators.relational import first_by, page
 from cairn.scratch import written
 
 
+def _apart(key: list[str], ident: str) -> Column:
+    """Tells records with a null in their key from each other."""
+    return F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key]), F.col(ident))
+
+
 def supersede_chain(ops: DataFrame, key: list[str], order: list[str], ident: str, status: str) -> DataFrame:
     """Create-then-supersede logs: each record's links, and its state at the end.
 
     The newest record of a key keeps its own status; all before it are superseded.
+    Keys that are null in any part never meet: such a record is a chain of its own.
     """
-    chain = Window.partitionBy(*key).orderBy(*order)
+    chain = Window.partitionBy(*key, _apart(key, ident)).orderBy(*order)
     after = F.lead(ident).over(chain)
     return ops.withColumns({
         "supersedes_id": F.lag(ident).over(chain),
@@ -25,10 +35,14 @@ def supersede_chain(ops: DataFrame, key: list[str], order: list[str], ident: str
 
 
 def state_history(ops: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Retire-then-insert per key; an operation that repeats the active value does nothing."""
-    chain = Window.partitionBy(*key).orderBy(*order)
+    """Retire-then-insert per key; an operation that repeats the active value does nothing.
+
+    Keys that are null in any part never meet; ``order`` tells every two operations of a key apart.
+    """
+    apart = F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key]), F.xxhash64(*order))
+    chain = Window.partitionBy(*key, apart).orderBy(*order)
     changed = ops.withColumn("__before", F.lag(value).over(chain)).where(~F.col(value).eqNullSafe(F.col("__before")))
-    now = Window.partitionBy(*key).orderBy(*order)
+    now = Window.partitionBy(*key, apart).orderBy(*order)
     end = F.lead(order[0]).over(now)
     return changed.drop("__before").withColumns({"version": F.row_number().over(now).cast("long"), "valid_until": end, "lifecycle_status": F.when(end.isNull(), "active").otherwise("superseded")})
 
@@ -56,11 +70,12 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
     supersedes_id``.  Every operation yields a row with its outcome (created,
     transitioned, superseded, deleted, noop, conflict, rejected) and the record as
     it stands at the end of the log.  Records that supersede each other share a
-    key, so a key's log is the largest thing that a task holds.
+    key, so a key's log is the largest thing that a task holds.  Null keys never meet: each
+    record without a key is replayed with those that it supersedes only.
     """
     import pandas as pd
 
-    def one(log):
+    def one(log, unique=True):
         now: dict[str, dict] = {}
         active: set[str] = set()
         out = []
@@ -102,13 +117,132 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
             else:
                 outcome = "rejected"
             for d in (ident, r["supersedes_id"]):
-                if d in now:
+                if unique and d in now:
                     (active.add if now[d]["lifecycle_status"] == "active" else active.discard)(d)
             out.append((ident, outcome, r["position"]))
-        rows = [{"key": log["key"].iloc[0], "decision_id": i, "outcome": o, "position": p, **(now.get(i) or {"lifecycle_status": None, "statement": None, "supersedes_id": None, "replaced_by": None})} for i, o, p in out]
+        rows = [{"key": log["key"].iloc[0] if pd.notna(log["key"].iloc[0]) else None, "decision_id": i, "outcome": o, "position": p, **(now.get(i) or {"lifecycle_status": None, "statement": None, "supersedes_id": None, "replaced_by": None})} for i, o, p in out]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLAY.split(", ")])
 
-    return ops.select("key", "position", "op", "decision_id", "lifecycle_status", "statement", "supersedes_id").groupBy("key").applyInPandas(one, REPLAY)
+    log = ops.select("key", "position", "op", "decision_id", "lifecycle_status", "statement", "supersedes_id")
+    keyed = log.where("key IS NOT NULL").groupBy("key").applyInPandas(lambda log: one(log), REPLAY)
+    loose = _linked_groups(log.where("key IS NULL"), "decision_id", "supersedes_id")
+    # Without a key several may be active, so what is active never stands in the way.
+    return keyed.unionByName(loose.groupBy("group").applyInPandas(lambda log: one(log.drop(columns="group"), False), REPLAY))
+
+
+def _linked_groups(log: DataFrame, ident: str, link: str) -> DataFrame:
+    """A log with ``group``, one for all records that links hold together."""
+    node = lambda c: F.xxhash64(c)
+    log = written(log, "log")
+    found = components(log.where(F.col(link).isNotNull()).select(node(ident).alias("a"), node(link).alias("b")))
+    found = found.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    return log.join(found, node(ident) == F.col("__node"), "left").withColumn("group", F.coalesce("__component", node(ident))).drop("__node", "__component")
+
+
+REQUIREMENT_FIELDS = ("statement", "lifecycle_status", "state", "verification_status", "linked_decision_ids", "linked_artifact_ids", "linked_verification_ids")
+REQUIREMENT = "requirement_id string, position long, outcome string, " + ", ".join(f"{f} string" for f in REQUIREMENT_FIELDS) + ", supersedes string, replaced_by string"
+
+
+def replay_requirements(ops: DataFrame) -> DataFrame:
+    """The requirement grammar in log order: each operation's outcome and its requirement after it.
+
+    ``ops`` has ``position, op, requirement_id, supersedes, replaced_by`` and ``REQUIREMENT_FIELDS``.  Outcomes are
+    created, transitioned, superseded, deleted, noop and rejected.  A create of equal content and a repeated
+    supersession do nothing; a deleted requirement changes only by being superseded.  Requirements that links hold
+    together are replayed in order, by sorted batches; only their latest rows are kept.
+    """
+    held = [*REQUIREMENT_FIELDS, "supersedes", "replaced_by"]
+    columns = [c.split()[0] for c in REQUIREMENT.split(", ")]
+
+    def run(batches):
+        group, now = object(), {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["group"] != group:
+                    group, now = r["group"], {}
+                have, prior, op = now.get(r["requirement_id"]), now.get(r["supersedes"]), r["op"]
+                outcome = "rejected"
+                if op == "create":
+                    same = have is not None and all(have[f] == (r[f] or None) for f in REQUIREMENT_FIELDS[:4])
+                    outcome = "created" if have is None else "noop" if same else "rejected"
+                elif op == "supersede" and prior is not None:
+                    outcome = "superseded" if have is None else "noop"
+                elif op == "transition" and have is not None and (have["lifecycle_status"] != "deleted" or r["lifecycle_status"] == "deleted"):
+                    outcome = "transitioned"
+                elif op == "delete" and have is not None:
+                    outcome = "deleted"
+                if outcome in ("created", "superseded"):
+                    now[r["requirement_id"]] = {f: r[f] for f in held}
+                if outcome == "superseded":
+                    prior["lifecycle_status"], prior["replaced_by"] = "superseded", r["requirement_id"]
+                elif outcome == "transitioned":
+                    have |= {f: r[f] for f in REQUIREMENT_FIELDS[1:4]} | {f: r[f] for f in held if f not in REQUIREMENT_FIELDS[1:4] and r[f] is not None}
+                elif outcome == "deleted":
+                    have["lifecycle_status"] = "deleted"
+                after = now.get(r["requirement_id"]) or dict.fromkeys(held)
+                out.append((r["requirement_id"], r["position"], outcome, *(after[f] for f in held)))
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * (1 + len(held))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(columns), kinds, strict=True)], names=columns)
+
+    log = _linked_groups(ops.select("position", "op", "requirement_id", *held), "requirement_id", "supersedes")
+    return log.repartition("group").sortWithinPartitions("group", "position").mapInArrow(run, REQUIREMENT)
+
+
+STATE_FIELDS = ("state_value", "state_ref", "lifecycle_status", "verification_status", "effective_at")
+STATE = "project_id string, scope string, state_key string, position long, outcome string, row long, active long, state_value string, lifecycle_status string"
+
+
+def replay_states(ops: DataFrame) -> DataFrame:
+    """The grammar of current states in log order: each operation's outcome, the row it wrote, and the active row after it.
+
+    ``ops`` has ``position, op, project_id, scope, state_key`` and ``STATE_FIELDS``.  A row is named by the position
+    that inserted it.  A create on an active key with other content is a conflict and keeps the old row (unless it is
+    not active itself); an update or supersession retires the active row.  Null keys never meet: such creates and
+    updates always insert, the rest is rejected.
+    """
+    columns = [c.split()[0] for c in STATE.split(", ")]
+    key = ("project_id", "scope", "state_key")
+    same = STATE_FIELDS[:4]
+
+    def run(batches):
+        group, active = object(), None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                loose = r["state_key"] is None
+                if (own := tuple(r[c] for c in key)) != group or loose:
+                    group, active = own, None
+                op, outcome, row = r["op"], "rejected", None
+                equal = active is not None and all(active[f] == (r[f] or None) for f in same)
+                if op in ("create", "update") or (op == "supersede" and active is not None):
+                    if equal:
+                        outcome, row = "noop", active["row"]
+                    elif op == "create" and active is not None and r["lifecycle_status"] == "active":
+                        outcome = "conflict"
+                    else:
+                        outcome, row = "superseded" if op == "supersede" else "created", r["position"]
+                        if op != "create":
+                            active = None
+                        if r["lifecycle_status"] == "active":
+                            active = {f: r[f] for f in STATE_FIELDS} | {"row": row}
+                elif op == "transition" and active is not None:
+                    outcome, row = "transitioned", active["row"]
+                    active |= {f: r[f] for f in ("lifecycle_status", "verification_status")} | {f: r[f] for f in ("state_value", "state_ref", "effective_at") if r[f] is not None}
+                    active = active if active["lifecycle_status"] == "active" else None
+                elif op == "delete" and active is not None:
+                    outcome, row, active = "deleted", active["row"], None
+                now = active or {}
+                out.append((*own, r["position"], outcome, row, now.get("row"), now.get("state_value"), now.get("lifecycle_status")))
+                if loose:
+                    active = None
+            kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(columns), kinds, strict=True)], names=columns)
+
+    # Operations without a key need no order among themselves and are dealt by their position.
+    spread = F.when(F.col("state_key").isNull(), F.col("position"))
+    log = ops.select("position", "op", *key, *STATE_FIELDS)
+    return log.repartition(*key, spread).sortWithinPartitions(*key, "position").mapInArrow(run, STATE)
 
 
 def active_conflicts(records: DataFrame, key: list[str]) -> DataFrame:

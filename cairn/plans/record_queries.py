@@ -192,6 +192,50 @@ def decisions_replayed(spark, sf):
     return R.replay_decisions(base.unionByName(later))
 
 
+@query("""SELECT state_key, position, CASE WHEN state_key IS NULL THEN CASE WHEN op IN ('create', 'update') THEN 'created' ELSE 'rejected' END WHEN op = 'create' THEN CASE WHEN n = 1 THEN 'created' ELSE 'conflict' END
+    WHEN statement = before THEN 'noop' WHEN op = 'supersede' THEN 'superseded' ELSE 'created' END AS outcome
+  FROM (SELECT *, lag(statement) OVER (PARTITION BY state_key ORDER BY position) AS before, row_number() OVER (PARTITION BY state_key ORDER BY position) AS n FROM v_state_ops)""", V.DECISIONS,
+  """v_state_ops AS (SELECT CASE WHEN decision_key % 5 <> 0 THEN CAST(decision_key AS VARCHAR) END AS state_key, position, statement, CASE WHEN decision_key % 5 = 0 THEN CASE position % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'supersede' END
+    WHEN n = 1 THEN 'create' WHEN position % 2 = 0 THEN 'update' ELSE 'supersede' END AS op FROM (SELECT *, CAST(substr(decision_id, 2) AS BIGINT) AS position, row_number() OVER (PARTITION BY decision_key ORDER BY decision_id) AS n FROM v_decisions))""")
+def states_replayed(spark, sf):
+    """The state grammar over all decisions: a key's first creates, later ones update or supersede; a fifth has no key."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("decision_key").orderBy("decision_id"))
+    d = V.decisions(spark, sf).withColumns({"position": F.substring("decision_id", 2, 20).cast("long"), "n": n, "loose": F.col("decision_key") % 5 == 0})
+    third = F.col("position") % 3
+    op = F.when(F.col("loose"), F.when(third == 0, "create").when(third == 1, "update").otherwise("supersede")).when(F.col("n") == 1, "create").when(F.col("position") % 2 == 0, "update").otherwise("supersede")
+    none = F.lit(None).cast("string")
+    ops = d.select("position", op.alias("op"), none.alias("project_id"), none.alias("scope"), F.when(~F.col("loose"), F.col("decision_key").cast("string")).alias("state_key"), F.col("statement").alias("state_value"), none.alias("state_ref"), F.lit("active").alias("lifecycle_status"), none.alias("verification_status"), none.alias("effective_at"))
+    return R.replay_states(ops).select("state_key", "position", "outcome")
+
+
+@query("""SELECT requirement_id, op, count(*) AS n, CASE WHEN requirement_id = 'r0' THEN 'rejected' ELSE outcome END AS outcome FROM (
+  SELECT 'r' || p_partkey AS requirement_id, 'create' AS op, 'created' AS outcome FROM part WHERE p_partkey % 4 = 1
+  UNION ALL SELECT 'r' || p_partkey, 'supersede', 'superseded' FROM part WHERE p_partkey % 4 <> 1
+  UNION ALL SELECT 'r' || p_partkey, 'transition', 'transitioned' FROM part
+  UNION ALL SELECT 'r' || p_partkey, 'delete', 'deleted' FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'r' || p_partkey, 'transition', CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'transitioned' END FROM part) GROUP BY ALL""")
+def requirements_replayed(spark, sf):
+    """The requirement grammar: parts in fours, the first created, each later one superseding the one before it."""
+    p = F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("r"), n.cast("string"))
+    parts = V.table(spark, sf, "part").select("p_partkey", "p_brand")
+    last = parts.agg(F.max("p_partkey")).scalar()
+    none = F.lit(None).cast("string")
+
+    def rows(kept, at, op, status, supersedes=none):
+        fields = {f: none for f in R.REQUIREMENT_FIELDS} | {"statement": F.col("p_brand") if op in ("create", "supersede") else none, "lifecycle_status": F.lit(status)}
+        return kept.select(at.cast("long").alias("position"), F.lit(op).alias("op"), name(p).alias("requirement_id"), supersedes.alias("supersedes"), none.alias("replaced_by"), *[c.alias(f) for f, c in fields.items()])
+
+    first = p % 4 == 1
+    ops = rows(parts.where(first), p, "create", "active").unionByName(rows(parts.where(~first), p, "supersede", "active", name(p - 1)))
+    ops = ops.unionByName(rows(parts, p + last, "transition", "candidate"))
+    ops = ops.unionByName(rows(parts.where(p % 3 == 0), p + last * 2, "delete", "deleted")).unionByName(rows(parts, p + last * 3, "transition", "active"))
+    done = R.replay_requirements(ops).join(ops.select("position", "op", "requirement_id"), ["requirement_id", "position"])
+    return done.groupBy("requirement_id", "op", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------------ graph
 
 EDGES = """v_typed AS (

@@ -69,24 +69,24 @@ class ChunkTable(dict):
         self.words: dict = {}
         self.held = 0
 
-    def _keep(self, table: dict, key: str, value) -> None:
-        """Keep a short one; strings take up to four bytes a character."""
+    def _counted(self, key: str) -> bool:
+        """Whether to keep a chunk or word; the bytes count strings and values at their largest."""
         if len(key) > KEEP:
-            return
-        size = 200 + 4 * len(key) + (len(value) if isinstance(value, bytes) else 0)
-        if self.held + size > self.limit:
+            return False
+        self.held += 200 + 20 * len(key)
+        if self.held > self.limit:
             self.clear()
             self.words.clear()
             self.held = 0
-        table[key] = value
-        self.held += size
+        return True
 
     def __missing__(self, chunk: str):
         if chunk.isascii() and chunk.isalpha() and chunk.islower():
             value = self.word(chunk)
         else:
             value = self.total(self._parts(chunk))
-        self._keep(self, chunk, value)
+        if self._counted(chunk):
+            self[chunk] = value
         return value
 
     def _word(self, letters: str):
@@ -95,7 +95,8 @@ class ChunkTable(dict):
         value = self.words.get(letters)
         if value is None:
             value = self.word(letters)
-            self._keep(self.words, letters, value)
+            if self._counted(letters):
+                self.words[letters] = value
         return value
 
     def _parts(self, chunk: str) -> list:

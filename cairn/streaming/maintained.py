@@ -46,10 +46,14 @@ APPENDED = {
 
 
 class Store:
-    """Bucketed, versioned tables under ``root``; ``touched`` tells the buckets that the last batch read."""
+    """Bucketed, versioned tables under ``root``; ``touched`` tells the buckets that the last batch read.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    ``tables`` has each table's columns and ``keys`` the one whose hash tells a row's bucket.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, tables: dict[str, str] | None = None, keys: dict[str, str] | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.tables, self.key = tables or STATE, keys or KEY
         self.touched: dict[str, list[int]] = {}
 
     def bucket(self, column):
@@ -72,7 +76,7 @@ class Store:
         held = versions.get(table, {})
         wanted = [(b, v) for b, v in held.items() if buckets is None or int(b) in set(buckets)]
         paths = [f"{self.root}/{table}/version={v}/bucket={b}" for b, v in wanted]
-        return self.spark.read.schema(STATE[table]).parquet(*paths) if paths else self.spark.createDataFrame([], STATE[table])
+        return self.spark.read.schema(self.tables[table]).parquet(*paths) if paths else self.spark.createDataFrame([], self.tables[table])
 
     def keys(self, *columns: DataFrame) -> list[int]:
         """The buckets of the values of these one-column tables: at most ``buckets`` numbers."""
@@ -85,7 +89,7 @@ class Store:
     def write(self, table: str, rows: DataFrame, number: int, versions: dict) -> None:
         """A new version of every bucket that ``rows``, its whole content, falls in."""
         path = f"{self.root}/{table}/version={number}"
-        rows = written(rows.select(*[f.split()[0] for f in STATE[table].split(", ")]).withColumn("bucket", self.bucket(KEY[table])), table)
+        rows = written(rows.select(*[f.split()[0] for f in self.tables[table].split(", ")]).withColumn("bucket", self.bucket(self.key[table])), table)
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         versions.setdefault(table, {}).update({str(r["bucket"]): number for r in rows.select("bucket").distinct().collect()})
 

@@ -23,7 +23,7 @@ def project(events: DataFrame) -> DataFrame:
 def commit(batch: DataFrame, number: int, table: str, keys: tuple[str, ...] = ("eid",)) -> None:
     """Append the new rows of one micro-batch; first write wins, for good."""
     spark = batch.sparkSession
-    new = project(batch).dropDuplicates(list(keys))
+    new = first_by(project(batch), list(keys), ["sequence", "eid", "content_hash"])
     if exists(spark, table):
         done = spark.read.parquet(table).where(F.col("batch") != number)
         new = new.join(done.select(*keys), list(keys), "left_anti")

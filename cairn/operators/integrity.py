@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +27,42 @@ def diagnose(canonical: DataFrame, derived: DataFrame, ident: str = "eid", conte
 
 
 def secret_scan(tables: dict[str, tuple[DataFrame, str, list[str]]], tokens: list[str]) -> DataFrame:
-    """Rows of derived tables that hold one of a short list of tokens."""
+    """Rows of derived tables that hold one of a list of tokens."""
     out = None
     for name, (df, ident, columns) in tables.items():
-        blob = F.lower(F.concat_ws("\x1f", *columns))
-        hit = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(blob, F.lower(t)))
-        rows = df.select(F.lit(name).alias("table_name"), F.col(ident).cast("string").alias("row_id"), F.explode(hit).alias("token"))
+        rows = token_scan(df, ident, columns, tokens).select(F.lit(name).alias("table_name"), "row_id", "token")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def token_scan(df: DataFrame, ident: str, columns: list[str], tokens: list[str]) -> DataFrame:
+    """``row_id, token`` for every token that a row's columns hold, whatever their number.
+
+    One automaton of all tokens is walked once over each row's text, in Arrow batches; letters count in lower case.
+    The tokens are a bounded list: they travel with the task.
+    """
+    if not (wanted := {t.lower(): t for t in tokens if t}):
+        return df.select(F.col(ident).cast("string").alias("row_id"), F.lit("").alias("token")).limit(0)
+    rows = df.select(F.col(ident).cast("string").alias("row_id"), F.lower(F.concat_ws("\x1f", *columns)).alias("blob"))
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for low, t in wanted.items():
+            automaton.add_word(low, t)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for i, blob in enumerate(batch.column(1)):
+                held = sorted({t for _, t in automaton.iter(blob.as_py() or "")})
+                ids += [i] * len(held)
+                found += held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.string())], names=["row_id", "token"])
+
+    return rows.mapInArrow(run, "row_id string, token string")
+
+
 def digest_gate(df: DataFrame, columns: list[str], expected: str | None) -> bool:
     """Whether a table still has the digest that was recorded for it."""
     return expected is not None and table_digest(df, columns).first()["digest"] == expected

@@ -222,6 +222,13 @@ def derived_secret_scan(spark, sf):
     return hits.groupBy("table_name", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT token, count(*) AS n FROM documents, (SELECT lpad(CAST(i AS VARCHAR), 3, '0') AS token FROM (SELECT unnest(range(0, 1000)) AS i)) WHERE contains(text, token) GROUP BY token")
+def tokens_scanned(spark, sf):
+    """A thousand tokens over all documents in one pass."""
+    hits = Y.token_scan(V.table(spark, sf, "documents"), "doc_id", ["text"], [f"{i:03d}" for i in range(1_000)])
+    return hits.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall_at_k, round(avg(prec), 6) AS precision_at_k, round(avg(rr), 6) AS mrr FROM (
   SELECT query_id, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall, sum(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) / 10 AS prec, coalesce(1.0 / min(rank), 0.0) AS rr FROM (
     SELECT trace_id AS query_id, eid, row_number() OVER (PARTITION BY trace_id ORDER BY sha256(eid)) AS rank, lifecycle FROM v_events) WHERE lifecycle = 'active' GROUP BY query_id)""", V.EVENTS)

@@ -101,6 +101,16 @@ def corpus_search_secured(spark, sf):
     return S.retrieve_corpus(V.units(spark, sf), triples, "der", {"project_id": "de"}, 20).select("source_ref", "location_id", "score")
 
 
+@query("""SELECT source_ref, location_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, profile_id, project_id, source_ref, location_id, line_no) AS rn FROM (
+  SELECT *, round(CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w = 'the')) AS DOUBLE) + CASE WHEN line_no % 3 <> 0 THEN (line_no % 7) / 10.0 ELSE 0 END, 6) AS score FROM v_units
+  WHERE profile_id IN ('src1', 'src3') AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: starts_with(t, 'the'))) > 0)) WHERE rn <= 30""", V.UNITS)
+def corpus_fused(spark, sf):
+    """The score of a semantic adapter added to the lexical one; a unit that it does not score keeps its own."""
+    triples = A.scope_triples([A.Scope(profiles=("src1", "src3"), requester="src1")])
+    semantic = F.when(F.col("line_no") % 3 != 0, (F.col("line_no") % 7) / 10.0)
+    return S.retrieve_corpus(V.units(spark, sf), triples, "the", None, 30, semantic).select("source_ref", "location_id", "score")
+
+
 @query("SELECT decision_id, project_id, CASE WHEN before IN (SELECT decision_id FROM v_decisions WHERE project_id IN ('n3', 'n5')) THEN before END AS supersedes_id FROM (SELECT *, lag(decision_id) OVER (PARTITION BY decision_key ORDER BY effective_at, decision_id) AS before FROM v_decisions) WHERE project_id IN ('n3', 'n5')", V.DECISIONS)
 def records_secured(spark, sf):
     scopes = [A.Scope(projects=("n3", "n5"))]

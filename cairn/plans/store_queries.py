@@ -108,6 +108,23 @@ def corpus_projected(spark, sf):
     return C.project_corpus(docs)[2]
 
 
+@query("""SELECT 'new' AS what, count(*) AS n FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'changed', count(*) FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 = 0 UNION ALL SELECT 'removed', count(*) FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT 'unchanged', count(*) FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT 'units', (SELECT count(*) FROM u_dedup) UNION ALL SELECT 'edges', (SELECT count(*) + count(duplicate_of) FROM u_dedup)""", V.UNITS, ACCEPTED, DEDUP.replace("FROM v_units", "FROM v_accepted WHERE rule IS NULL"))
+def corpus_synced(spark, sf):
+    """A corpus of earlier documents brought to those of now: only what changed is extracted again."""
+    from cairn.operators import sync
+
+    held, i = sync.store(spark, folder(spark, "corpus"), buckets=16), F.col("doc_id")
+    name = lambda prefix: F.concat(F.lit(prefix), i.cast("string")).alias("source_ref")
+    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    before = docs.where(i % 10 != 0).select(name("d"), F.when(i % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    sync.sync(held, before.unionByName(docs.where(i % 13 == 0).select(name("gone"), "text")), 0)
+    counts = sync.sync(held, docs.select(name("d"), "text"), 1)
+    told = spark.createDataFrame(list(counts.items()), "what string, n long")
+    size = lambda what, rows: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return told.unionByName(size("units", sync.units(held))).unionByName(size("edges", sync.edges(held)))
+
+
 # ------------------------------------------------------------------ projections
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.relational import difference, table_digest
+from cairn.operators.relational import difference, row_digest, table_digest
+from cairn.scratch import exists
 
 
 def parity(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
@@ -75,3 +76,53 @@ def export_gate(rows: DataFrame, columns: list[str]) -> DataFrame:
     rule = F.coalesce(*[X.secret_rule(F.col(c)) for c in columns])
     where = F.coalesce(*[F.when(X.secret_rule(F.col(c)).isNotNull(), F.lit(c)) for c in columns])
     return rows.withColumns({"withheld_rule": rule, "withheld_column": where, "exportable": rule.isNull()})
+
+
+# ------------------------------------------------------------------- hash trees
+
+#: Children of a node; a tree has a root, this many nodes and the square of it as leaves.
+WIDTH = 32
+
+
+def write_tree(df: DataFrame, ident: str, columns: list[str], path: str, width: int = WIDTH) -> None:
+    """A table's rows by leaf, and the digests of its leaves, their parents and the root.
+
+    A row's leaf is told by its id.  A node's digest adds up those of its rows, so every level is a small
+    aggregate of the one below.
+    """
+    leaf = F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(width * width)).cast("int")
+    rows = df.select(F.col(ident).cast("string").alias("row_id"), row_digest(columns).alias("digest"), leaf.alias("leaf"))
+    rows.repartition("leaf").sortWithinPartitions("leaf", "row_id").write.partitionBy("leaf").parquet(f"{path}/rows")
+    kept = df.sparkSession.read.schema("row_id string, digest string, leaf int").parquet(f"{path}/rows")
+    number = lambda i: F.conv(F.substring("digest", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
+    leaves = kept.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[F.sum(number(i)).alias(f"d{i}") for i in range(5)])
+    for level, node in ((2, F.col("leaf")), (1, F.floor(F.col("leaf") / width).cast("int")), (0, F.lit(0))):
+        one = leaves.groupBy(node.alias("node")).agg(F.sum("n").alias("n"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(5)])
+        told = one.select("node", F.sha2(F.concat_ws("-", "n", *[F.col(f"d{i}").cast("string") for i in range(5)]), 256).alias("digest"))
+        told.coalesce(1).sortWithinPartitions("node").write.parquet(f"{path}/level{level}")
+
+
+def odd_leaves(spark: SparkSession, a: str, b: str, width: int = WIDTH) -> list[int]:
+    """The leaves in which two trees of one width differ, found from the root down: at most its square."""
+    under = None
+    for level in range(3):
+        side = lambda path, name, n=level: spark.read.schema("node int, digest string").parquet(f"{path}/level{n}").withColumnRenamed("digest", name)
+        both = side(a, "x").join(side(b, "y"), "node", "full_outer").where(~F.col("x").eqNullSafe(F.col("y")))
+        if under is not None:
+            both = both.where(F.floor(F.col("node") / width).isin(under) if level == 2 else F.lit(True))
+        if not (under := sorted(r["node"] for r in both.select("node").collect())):
+            return []
+    return under
+
+
+def tree_difference(spark: SparkSession, a: str, b: str, width: int = WIDTH) -> DataFrame:
+    """``row_id, state`` (missing, extra, changed) of the rows in which two written trees differ.
+
+    Only rows of leaves whose digests differ are read.
+    """
+    leaves = odd_leaves(spark, a, b, width)
+    paths = lambda path: [p for n in leaves if exists(spark, p := f"{path}/rows/leaf={n}")]
+    none = spark.createDataFrame([], "row_id string, digest string")
+    rows = lambda path, name: (spark.read.schema(none.schema).parquet(*found) if (found := paths(path)) else none).withColumnRenamed("digest", name)
+    both = rows(a, "want").join(rows(b, "have"), "row_id", "full_outer").where(~F.col("want").eqNullSafe(F.col("have")))
+    return both.select("row_id", F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").otherwise("changed").alias("state"))

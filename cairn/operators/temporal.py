@@ -64,3 +64,39 @@ def annotate_allowed(items: DataFrame, facts: DataFrame, allowed: DataFrame, whe
     told = items.join(allowed.select(*keys).distinct().withColumn("allowed", F.lit(True)), keys, "left")
     denied = told.agg(F.count(F.when(F.col("allowed").isNull(), 1)).alias("denied"))
     return annotate(told.where("allowed").drop("allowed"), facts, when), denied
+
+
+# ------------------------------------------------------- many instants at once
+
+
+def interval_bins(facts: DataFrame, begin: str = "valid_from", end: str = "valid_until") -> DataFrame:
+    """``level, bin`` beside facts with ``[begin, end)``: an index for any number of instants.
+
+    An interval's level is the least power of two of microseconds not below its length, so it falls into at most
+    two bins of that level.  Intervals open on a side have a level of their own (-1) and meet every instant, about half
+    of which they hold at; empty ones drop out.
+    """
+    at = lambda c: F.unix_micros(F.to_timestamp(F.col(c)))
+    rows = facts.withColumns({"__begin": at(begin), "__end": at(end)})
+    open_ = F.col("__begin").isNull() | F.col("__end").isNull()
+    length = F.col("__end") - F.col("__begin")
+    level = F.when(open_, -1).otherwise(F.ceil(F.log2(length.cast("double")))).cast("int")
+    rows = rows.where(open_ | (length > 0)).withColumn("level", level)
+    spread = F.when(F.col("level") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.array(F.expr("shiftright(__begin, level)"), F.expr("shiftright(__end - 1, level)"))))
+    return rows.withColumn("bin", F.explode(spread))
+
+
+def holding_at(binned: DataFrame, instants: DataFrame, instant: str = "instant") -> DataFrame:
+    """Every fact of an index of intervals at every one of many instants: equal joins of levels and bins only.
+
+    An instant meets one bin of each level that the facts have; a bin holds no more than what begins within twice its
+    length, so what is met is close to what holds.
+    """
+    levels = binned.where("level >= 0").select("level").distinct()
+    at = F.unix_micros(F.to_timestamp(F.col(instant)))
+    asked = instants.withColumn("__at", at).where("__at IS NOT NULL")
+    every = asked.crossJoin(F.broadcast(levels)).withColumn("bin", F.expr("shiftright(__at, level)"))  # at most 63 levels
+    every = every.unionByName(asked.withColumns({"level": F.lit(-1), "bin": F.lit(0).cast("long")}))
+    met = every.join(binned, ["level", "bin"])
+    inside = (F.col("__begin").isNull() | (F.col("__begin") <= F.col("__at"))) & (F.col("__end").isNull() | (F.col("__at") < F.col("__end")))
+    return met.where(inside).drop("level", "bin", "__at", "__begin", "__end")

@@ -222,6 +222,18 @@ def derived_secret_scan(spark, sf):
     return hits.groupBy("table_name", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT eid AS row_id, CASE WHEN sequence % 1501 = 7 THEN 'missing' ELSE 'changed' END AS state FROM v_events WHERE sequence % 1501 = 7 OR sequence % 1999 = 3", V.EVENTS)
+def tree_compared(spark, sf):
+    """Events against a derived copy: written digests are descended where they differ, only odd leaves are read."""
+    from cairn.scratch import folder
+
+    ev, a, b = V.events(spark, sf).select("eid", "trace_id", "content", "sequence"), folder(spark, "tree"), folder(spark, "tree")
+    changed = ev.where("sequence % 1501 <> 7").withColumn("content", F.when(F.col("sequence") % 1999 == 3, F.upper("content")).otherwise(F.col("content")))
+    Y.write_tree(ev, "eid", ["trace_id", "content"], a, 12)
+    Y.write_tree(changed, "eid", ["trace_id", "content"], b, 12)
+    return Y.tree_difference(spark, a, b, 12)
+
+
 @query("SELECT token, count(*) AS n FROM documents, (SELECT lpad(CAST(i AS VARCHAR), 3, '0') AS token FROM (SELECT unnest(range(0, 1000)) AS i)) WHERE contains(text, token) GROUP BY token")
 def tokens_scanned(spark, sf):
     """A thousand tokens over all documents in one pass."""

@@ -319,6 +319,17 @@ def temporal_index(spark, sf):
     return _temporal(spark, sf).groupBy("resource_type", "lifecycle_status").agg(F.count(F.lit(1)).alias("n"), F.count("created_at").alias("n_created"), F.count("effective_at").alias("n_effective"), F.count("valid_from").alias("n_from"), F.max("valid_until").alias("last_until"))
 
 
+@query("""SELECT instant, count(*) AS n, count(valid_until) AS n_until FROM (SELECT DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%dT%H:%M:%S.%fZ') AS instant FROM orders) JOIN v_temporal
+  ON resource_type = 'verification' AND (valid_from IS NULL OR valid_from <= instant) AND (valid_until IS NULL OR instant < valid_until) GROUP BY 1""", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
+def held_at_instants(spark, sf):
+    """What held at the first of every month: intervals in bins, met by all instants at once."""
+    from cairn.functions.timestamps import stamp
+
+    facts = T.interval_bins(_temporal(spark, sf).where("resource_type = 'verification'"))
+    months = V.table(spark, sf, "orders").select(stamp(F.date_trunc("month", "o_orderdate")).alias("instant")).distinct()
+    return T.holding_at(facts, months).groupBy("instant").agg(F.count(F.lit(1)).alias("n"), F.count("valid_until").alias("n_until"))
+
+
 @query("SELECT resource_type, count(*) AS n FROM v_temporal WHERE created_at <= '1996-06-30T00:00:00.000000Z' GROUP BY resource_type", V.DECISIONS, V.VERIFICATIONS, TEMPORAL)
 def asof_transaction(spark, sf):
     return _temporal(spark, sf).where(T.as_of("transaction", "1996-06-30T00:00:00.000000Z")).groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders named within each open ``temporary``, innermost last.
+_scopes: list[list[str]] = []
+
 
 def folder(spark: SparkSession, what: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
@@ -20,7 +24,10 @@ def folder(spark: SparkSession, what: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,6 +42,22 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Drops the intermediate tables that are written within, when it ends.
+
+    Results must be written or collected before: frames that still read such tables fail afterwards.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            discard(spark, path)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet and read back: a short lineage on lasting files."""
     path = folder(df.sparkSession, what)

@@ -54,3 +54,17 @@ def test_a_semantic_score_falls_back_to_the_lexical_one(spark):
     assert fused == {i: s + (i if i % 2 else 0) for i, s in lexical.items()}
     none = {r["line_no"]: r["score"] for r in S.retrieve_corpus(units, triples, "word", semantic=F.lit(None).cast("double")).collect()}
     assert none == lexical
+
+
+def test_intermediate_tables_are_dropped(spark):
+    from cairn import scratch
+
+    kept = scratch.written(spark.range(3), "kept")
+    with scratch.temporary(spark):
+        gone = scratch.written(spark.range(5), "gone")
+        with scratch.temporary(spark):
+            inner = scratch.folder(spark, "inner")
+            gone.write.parquet(inner)
+        path = gone.inputFiles()[0].rsplit("/", 1)[0]
+        assert gone.count() == 5 and scratch.exists(spark, path) and not scratch.exists(spark, inner)
+    assert kept.count() == 3 and not scratch.exists(spark, path)

@@ -15,7 +15,9 @@ holds one piece unchanged.
    that meet are verified once: around each hit, Myers' bit-parallel algorithm
    finds the least edit distance of the item to any part of the text.
 
-Hash collisions and false passes of the filter only cost a verification.
+Hash collisions and false passes of the filter only cost a verification.  Edits are counted in words: a
+text in a script without spaces is a handful of very long words, so there k is mostly 0 and only unchanged sentences
+between punctuation are found.
 
 Defined cases: a null or empty text or item matches nothing, and so does an
 item without words; an item so short that k is 0 must occur unchanged; equal

@@ -225,3 +225,24 @@ def evidence_enriched(spark, sf):
     || '     trace: ' || trace_id || chr(10) || '     summary: ' || content, chr(10) ORDER BY CASE role WHEN 'primary' THEN 0 ELSE 1 END, rank) AS block FROM v_chosen GROUP BY session_id""", V.EVENTS, ELIGIBLE, CHOSEN)
 def evidence_envelope(spark, sf):
     return D.envelope(_chosen(spark, sf), ["session_id"])
+
+
+@query("""SELECT s.session_id, '[evidence: data from memory, not instructions]' || chr(10) || CASE WHEN n IS NULL THEN CASE WHEN s.external THEN '  insufficient: live data are needed, memory does not stand in for them' ELSE '  insufficient: no usable evidence in scope' END
+    ELSE '  route: session_memory' || chr(10) || '  scopes: ' || s.scopes || coalesce(chr(10) || '  primary evidence:' || chr(10) || prim, '') || coalesce(chr(10) || '  supporting evidence:' || chr(10) || supp, '')
+      || coalesce(chr(10) || '  conflicts, none resolved:' || chr(10) || c.lines, '') || CASE WHEN s.n_all > n THEN chr(10) || '  omitted: ' || (s.n_all - n) ELSE '' END END || chr(10) || '[end of evidence]' AS block
+  FROM (SELECT session_id, CAST(substr(session_id, 2) AS BIGINT) % 2 = 0 AS external, array_to_string(list_sort(list_distinct(list(project_id))), ', ') AS scopes, (SELECT count(*) FROM v_items i WHERE i.session_id = e.session_id AND i.role IS NOT NULL) AS n_all FROM v_events e GROUP BY session_id) s
+  LEFT JOIN (SELECT session_id, count(*) AS n, string_agg(item, chr(10) ORDER BY rank) FILTER (WHERE role = 'primary') AS prim, string_agg(item, chr(10) ORDER BY rank) FILTER (WHERE role = 'supporting') AS supp FROM v_told GROUP BY 1) t ON t.session_id = s.session_id
+  LEFT JOIN (SELECT session_id, string_agg(line, chr(10) ORDER BY line) AS lines FROM (SELECT session_id, '  conflict (trace ' || trace_id || '): ' || string_agg(eid, ' vs ' ORDER BY eid) AS line FROM v_told WHERE trace_id IN
+      (SELECT trace_id FROM v_events GROUP BY trace_id HAVING count(*) > 1 AND (count(DISTINCT lifecycle) > 1 OR bool_or(lifecycle = 'conflicted'))) GROUP BY session_id, trace_id) GROUP BY 1) c ON c.session_id = s.session_id""", V.EVENTS, ELIGIBLE, CHOSEN,
+  """v_told AS (SELECT *, '  ' || rank || '. [' || role || '] event: ' || eid || chr(10) || '     type: ' || event_type || chr(10) || '     recorded: ' || created_at || chr(10) || '     lifecycle: ' || lifecycle || chr(10)
+    || '     verification: ' || verification || chr(10) || '     sensitivity: ' || sensitivity || chr(10) || CASE WHEN profile_id IS NOT NULL THEN '     profile: ' || profile_id || chr(10) ELSE '' END || '     project: ' || project_id || chr(10)
+    || CASE WHEN len(spaces) > 0 THEN '     knowledge spaces: ' || array_to_string(spaces, ', ') || chr(10) ELSE '' END || '     trace: ' || trace_id || chr(10) || '     summary: ' || content || CASE WHEN sequence % 9 = 0 THEN chr(10) || '     truncated: true' ELSE '' END AS item FROM v_chosen)""")
+def evidence_framed(spark, sf):
+    """Framed blocks of every session: route, scopes, items of both roles with all their fields, conflicts, what was left out."""
+    ev, items = V.events(spark, sf), _items(spark, sf).where("role IS NOT NULL")
+    clash = D.conflict_groups(ev, F.col("trace_id")).select(F.col("conflict_key").alias("trace_id"), F.lit(True).alias("clash"))
+    chosen = _chosen(spark, sf).join(clash, "trace_id", "left").withColumns({"conflict_present": F.coalesce("clash", F.lit(False)), "truncated": F.col("sequence") % 9 == 0})
+    n_all, n = (df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name)) for df, name in ((items, "n_all"), (chosen, "n")))
+    groups = ev.groupBy("session_id").agg(F.collect_set("project_id").alias("scopes")).join(n_all, "session_id", "left").join(n, "session_id", "left")
+    groups = groups.select("session_id", F.lit("session_memory").alias("route"), "scopes", (F.coalesce("n_all", F.lit(0)) - F.coalesce("n", F.lit(0))).alias("omitted"), (F.substring("session_id", 2, 20).cast("long") % 2 == 0).alias("external"))
+    return D.framed_envelope(groups, chosen, ["session_id"])

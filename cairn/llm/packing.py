@@ -37,7 +37,7 @@ CLOSING_ID = 1
 #: Pieces that are packed together; bounds a task's memory.
 SHARD = 131_072
 #: Bytes of a worker's table of chunks.
-TABLE_BYTES = 160 << 20
+TABLE_BYTES = 320 << 20
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 

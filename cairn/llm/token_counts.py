@@ -22,7 +22,7 @@ from cairn.llm import words
 
 WINDOW = 2048
 #: Bytes of a worker's table of chunks.
-TABLE_BYTES = 160 << 20
+TABLE_BYTES = 320 << 20
 
 
 class MergeCounter:

@@ -8,10 +8,11 @@ A row that several scopes of a request admit is kept once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import access as A
+from cairn.scratch import written
 
 SCOPE = ["request_id", "profiles", "projects", "spaces", "ownerless"]
 
@@ -75,6 +76,56 @@ def admitted(scopes: DataFrame, rows: DataFrame, ident: str = "eid") -> DataFram
     return out.dropDuplicates(["request_id", ident])
 
 
+CELL = ["profile_id", "project_id", "spaces"]
+
+
+def _kinds(scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``request_id, kind`` and the scopes of each kind once: requests of equal scopes are of one kind."""
+    lists = [F.array_sort(F.array_distinct(x)).alias(x) for x in ("profiles", "projects", "spaces")]
+    each = scopes.groupBy("request_id").agg(F.array_sort(F.collect_set(F.struct(*lists, "ownerless"))).alias("scopes"))
+    told = written(each.select("request_id", "scopes", F.sha2(F.to_json("scopes"), 256).alias("kind")), "kinds")
+    kinds = told.groupBy("kind").agg(F.first("scopes").alias("scopes"))
+    return told.select("request_id", "kind"), written(kinds.select(F.col("kind").alias("request_id"), F.inline("scopes")), "scopes")
+
+
+def _cell() -> Column:
+    """The name of a row's owner, project and spaces, which alone decide who reads it."""
+    return F.sha2(F.to_json(F.struct("profile_id", "project_id", F.array_sort(F.array_distinct("spaces")).alias("spaces"))), 256)
+
+
+def admitted_counts(scopes: DataFrame, rows: DataFrame, ident: str = "eid") -> DataFrame:
+    """``request_id, n``: how many ids each request is admitted to; requests that meet no row have none.
+
+    Pairs of requests and rows are never made: kinds of requests meet cells of rows.  An id in
+    rows of several cells counts once, by the set of its cells.
+    """
+    asks, kinds = _kinds(scopes)
+    told = rows.select(ident, *CELL, _cell().alias("cell"))
+    cells = written(told.groupBy("cell").agg(*(F.first(c).alias(c) for c in CELL)), "cells")
+    within = told.groupBy(ident).agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    sets = within.groupBy("cells").agg(F.count(ident).alias("n"))
+    met = admitted(kinds, cells, "cell").select(F.col("request_id").alias("kind"), "cell")
+    seen = met.join(sets.select("cells", "n", F.explode("cells").alias("cell")), "cell").select("kind", "cells", "n").distinct()
+    return asks.join(seen.groupBy("kind").agg(F.sum("n").alias("n")), "kind").select("request_id", "n")
+
+
+def first_admitted(scopes: DataFrame, rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """``request_id``, the columns of ``order`` and ``rank``: the first ``k`` rows of each request.
+
+    Each cell of rows keeps its own first ones, kinds of requests meet cells, and requests
+    get what their kind found.  Rows that agree in ``order`` are one.
+    """
+    asks, kinds = _kinds(scopes)
+    told = rows.select(*CELL, *(c for c in order if c not in CELL), _cell().alias("cell"))
+    by = lambda key: Window.partitionBy(key).orderBy(*(F.asc_nulls_last(c) for c in order))
+    top = lambda df, key: df.withColumn("rank", F.dense_rank().over(by(key))).where(F.col("rank") <= k)
+    own = top(told, "cell").select("cell", *order).distinct()
+    cells = written(told.groupBy("cell").agg(*(F.first(c).alias(c) for c in CELL)), "cells")
+    met = admitted(kinds, cells, "cell").select(F.col("request_id").alias("kind"), "cell")
+    found = top(met.join(own, "cell").select("kind", *order).distinct(), "kind")
+    return asks.join(found, "kind").select("request_id", *order, "rank")
+
+
 def first_rows(pairs: DataFrame, order: list[str], k: int) -> DataFrame:
     """The first ``k`` rows of each request; each task keeps its own first ones before the shuffle."""
     by = Window.partitionBy("request_id").orderBy(*order)

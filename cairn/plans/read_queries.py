@@ -163,8 +163,7 @@ HELD = """v_policy AS (""" + POLICY + """), v_asked AS (
 def requests_first_events(spark, sf):
     """The first events of each of a table of requests, by grants that cover events."""
     scopes = Q.composed(V.requests(spark, sf), V.grants(spark, sf), "event")
-    pairs = Q.admitted(scopes, V.events(spark, sf).select("eid", "created_at", "profile_id", "project_id", "spaces"))
-    return Q.first_rows(pairs, ["created_at", "eid"], 3).select("request_id", "eid", "rank")
+    return Q.first_admitted(scopes, V.events(spark, sf), ["created_at", "eid"], 3).select("request_id", "eid", "rank")
 
 
 @query("SELECT request_id, count(DISTINCT eid) AS n FROM v_kinds JOIN v_open USING (scope) GROUP BY 1", V.EVENTS, V.REQUESTS, V.GRANTS, ACTIVE, HELD.replace("{kind}", "decision"))

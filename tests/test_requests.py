@@ -73,3 +73,17 @@ def test_a_table_of_requests_reads_what_each_one_reads(spark, sf):
         assert got.get(r["request_id"], set()) == want, r
     plan = Q.admitted(Q.composed(table, grants, "event"), ev)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "NestedLoop" not in plan
+
+
+def test_kinds_of_requests_meet_cells_of_rows(spark):
+    scopes = spark.createDataFrame([(1, ["p1"], [], [], False), (1, [], ["j1"], [], False), (2, ["p1"], [], [], True), (3, [], [], ["k1"], False), (4, [], ["j1"], [], False), (4, ["p1"], [], [], False)], "request_id long, profiles array<string>, projects array<string>, spaces array<string>, ownerless boolean")
+    rows = [(f"e{i:03}", f"2020-{i % 7}", f"p{i % 3}" if i % 4 else None, f"j{i % 5}", [f"k{i % 2}"]) for i in range(60)]
+    rows += [("e001", "2020-1", "p2", "j1", ["k0"]), ("e002", "2020-2", "p1", "j3", [])]  # ids that stand in two cells
+    ev = spark.createDataFrame(rows, "eid string, created_at string, profile_id string, project_id string, spaces array<string>")
+    pairs = Q.admitted(scopes, ev)
+    wide = {(r[0], r[1]) for r in pairs.groupBy("request_id").count().collect()}
+    assert {tuple(r) for r in Q.admitted_counts(scopes, ev).collect()} == wide
+    first = {tuple(r) for r in Q.first_rows(pairs, ["created_at", "eid"], 3).select("request_id", "eid", "rank").collect()}
+    assert {tuple(r) for r in Q.first_admitted(scopes, ev, ["created_at", "eid"], 3).select("request_id", "eid", "rank").collect()} == first
+    kinds = Q._kinds(scopes)[0]
+    assert kinds.count() == 4 and kinds.select("kind").distinct().count() == 3

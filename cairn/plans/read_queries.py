@@ -170,8 +170,7 @@ def requests_first_events(spark, sf):
 def requests_open_decisions(spark, sf):
     """The same by grants that cover decisions: a grant opens only the resource types that it names."""
     scopes = Q.composed(V.requests(spark, sf), V.grants(spark, sf), "decision")
-    rows = V.events(spark, sf).select("eid", "profile_id", "project_id", "spaces")
-    return Q.admitted(scopes, rows).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    return Q.admitted_counts(scopes, V.events(spark, sf))
 
 
 @query("""SELECT seed, from_id, to_id FROM v_both WHERE seed NOT IN (SELECT seed FROM (SELECT seed, from_id AS eid FROM v_both UNION ALL SELECT seed, to_id FROM v_both) WHERE eid NOT IN (SELECT eid FROM v_events WHERE profile_id IN ('p1', 'p3', 'p5')))""",

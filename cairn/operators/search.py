@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
+from cairn.scratch import written
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -138,6 +139,9 @@ def with_fallback(docs: DataFrame, ident: str, columns: list[str], text: str, fo
 
 # ---------------------------------------------------------------------- batches
 
+#: Up to so many words of queries go to every task.
+SMALL = 100_000
+
 
 def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) -> DataFrame:
     """``id, term, pos``: every token with its place; texts without tokens give none."""
@@ -148,27 +152,30 @@ def postings(docs: DataFrame, id_col: str, text_col: str, fold: bool = False) ->
 def search_batch(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, need: str = "all", fold: bool = False) -> DataFrame:
     """Many bag-of-words queries at once: ``query_id, id, matched``.
 
-    With ``need`` ``all``, a document meets a query through the query's rarest term
-    only, and the other terms are looked up in the document's own distinct terms: a
-    common word is never joined with all its documents.  With ``any``, terms meet
-    documents one by one.
+    Only pairs of a document and a term that some query asks for are made, never one that
+    carries the document's other terms.  With ``need`` ``all``, a document meets a query
+    through the query's rarest term and the query's other terms are then looked up among
+    the pairs: a common word is never joined with all its documents.  With ``any``, terms
+    meet documents one by one.
     """
     text = X.fold_accents(F.col(text_col)) if fold else F.col(text_col)
-    asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
-    rows = docs.select(F.col(id_col).alias("id"), F.array_distinct(X.tokens(text)).alias("held"))
-    each = asked.select("query_id", "terms", F.explode("terms").alias("term"))
-    if need == "any":
-        hits = each.select("query_id", "term").join(rows.select("id", F.explode("held").alias("term")), "term")
-        return hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("matched"))
+    each = written(queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).distinct(), "asked")
     wanted = each.select("term").distinct()
-    often = rows.select(F.explode("held").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if each.count() <= SMALL:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(X.tokens(text))).alias("term")).join(wanted, "term", "left_semi")
+    if need == "any":
+        hits = each.join(rows, "term")
+        return hits.groupBy("query_id", "id").agg(F.count_distinct("term").alias("matched"))
+    pairs = written(rows, "pairs")
+    often = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct(F.coalesce("n", F.lit(0)), F.col("term"))
-    rarest = each.join(often, "term", "left").groupBy("query_id").agg(F.min(rank).alias("r"), F.first("terms").alias("terms")).select("query_id", "terms", F.col("r.term").alias("term"))
-    # Only the documents' rarest-term entries are exploded, each with the terms to check.
-    starts = rarest.select("term").distinct()
-    held = rows.select("id", "held", F.explode("held").alias("term")).join(starts, "term", "left_semi")
-    met = held.join(rarest, "term").where(F.size(F.array_except("terms", "held")) == 0)
-    return met.select("query_id", "id", F.size("terms").cast("long").alias("matched"))
+    rarest = each.join(often, "term", "left").groupBy("query_id").agg(F.min(rank).alias("r"), F.count(F.lit(1)).alias("matched")).select("query_id", "matched", F.col("r.term").alias("term"))
+    begun = rarest.join(pairs, "term").select("query_id", "id", "matched").distinct()
+    # The pairs of documents that a query begins to match, each with the queries' other terms.
+    sought = begun.join(each, "query_id")
+    held = sought.join(pairs.join(begun.select("id").distinct(), "id", "left_semi").distinct(), ["id", "term"]).groupBy("query_id", "id", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return held.where("n = matched").select("query_id", "id", "matched")
 
 
 # -------------------------------------------------------------- corpus retrieval

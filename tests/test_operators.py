@@ -412,3 +412,12 @@ def test_secrets_and_routes_of_whole_texts(spark, tmp_path):
     assert {r["item_id"]: r["body"] for r in run("redact_flat_all") if rules[r["item_id"]]} == {k: f"[REDACTED:{v}]" for k, v in rules.items() if v}
     assert {r["item_id"]: r["route"] for r in run("route_text_all")} == dict.fromkeys(rules, "no_memory") | {"d2": "global_memory", "c1-1": "user_memory"}
     assert {r["item_id"]: r["hints"] for r in run("scope_hints_all") if r["hints"]} == {"d2": "multi_scope,project", "c1-1": "user_profile"}
+
+
+def test_batches_never_carry_a_whole_document_with_each_word(spark):
+    """Words of long texts are paired with ids alone, and only words that are asked for."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 400)) + (" end" if i % 2 else "")) for i in range(40)] + [(3, "other")], "id long, t string")
+    asked = spark.createDataFrame([(1, "w39 w400 end"), (2, "other w3"), (3, "w0 w1 w0")], "query_id long, text string")
+    out = S.search_batch(docs, "id", "t", asked)
+    assert set(rows(out, "query_id", "id", "matched")) == {*((1, i, 3) for i in range(1, 40, 2)), (2, 3, 2), (3, 0, 2)} and out.count() == 22
+    assert "array_except" not in out._jdf.queryExecution().optimizedPlan().toString() and (1, 1, 3) in rows(S.search_batch(docs, "id", "t", asked, "any"), "query_id", "id", "matched")

@@ -15,15 +15,15 @@ SCOPE = ("profile_id", "project_id", "knowledge_space_id")
 
 
 def json_text(c: Column) -> Column:
-    """A JSON string literal in ASCII; every other character is escaped.
+    """A JSON string literal in ASCII; every other character is escaped, inside the JVM."""
+    plain = ~F.coalesce(c, F.lit("")).rlike("[^ -~]")
 
-    Rows of printable ASCII reach Python as nulls.
-    """
-    def quote(s):
-        return s.map(lambda x: None if x is None else json.dumps(x))
+    def unit(u):
+        short = [F.when(u == f"{ord(mark):04X}", F.lit(name)) for mark, name in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))]
+        return F.coalesce(*short, F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("long"))), F.concat(F.lit("\\u"), F.lower(u)))
 
-    plain = ~F.coalesce(c, F.lit("")).rlike("[^ -~]")
-    return F.when(plain, plain_json_text(c)).otherwise(F.pandas_udf(quote, "string")(F.when(~plain, c)))
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.when(plain, plain_json_text(c)).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"')))
 
 
 def plain_json_text(c: Column) -> Column:

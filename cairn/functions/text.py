@@ -126,17 +126,22 @@ def escape_summary(c: Column) -> Column:
 
 
 def escape_inline(c: Column, cap: int = 2000) -> Column:
-    """Text that no Markdown or HTML reader takes for more than text, on one line; nothing is ``(none)``."""
+    """Text that no Markdown or HTML reader takes for more than text, on one line; nothing is ``(none)``.
+
+    A text of letters, digits and harmless marks is left as it is after one test.
+    """
+    plain = c.rlike(r"\A[A-Za-z0-9.:,;/@%+=?()-]+\z") & (F.length(c) <= cap)
     flat = collapse(F.regexp_replace(F.regexp_replace(c, "[\n\r\t]", " "), "[\x00-\x1f\x7f]", ""))
     data = F.left(flat, F.lit(cap))
     for mark, entity in (("\\", "\\\\"), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         data = F.replace(data, F.lit(mark), F.lit(entity))
     data = F.regexp_replace(data, r"([\[\]|#`*_!$~^{}])", r"\\$1")
-    return F.when(F.coalesce(flat, F.lit("")) == "", "(none)").otherwise(F.when(F.length(flat) > cap, F.concat(data, F.lit("…[truncated]"))).otherwise(data))
+    return F.when(plain, c).when(F.coalesce(flat, F.lit("")) == "", "(none)").otherwise(F.when(F.length(flat) > cap, F.concat(data, F.lit("…[truncated]"))).otherwise(data))
 
 
 def yaml_scalar(c: Column, cap: int = 2000) -> Column:
     """A text as a quoted YAML scalar; null is ``null``."""
+    plain = c.rlike(r"\A[ !#-\[\]-~]*\z") & (F.length(c) <= cap)
     out = F.left(c, F.lit(cap))
     for mark, name in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(mark), F.lit(name))
@@ -144,6 +149,7 @@ def yaml_scalar(c: Column, cap: int = 2000) -> Column:
     for code in [*range(0x20), 0x7F]:
         rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
     out = F.when(out.rlike("[\x00-\x1f\x7f]"), rare).otherwise(out)
+    out = F.when(plain, c).otherwise(out)
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 

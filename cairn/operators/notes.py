@@ -34,19 +34,29 @@ def _column(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
-def _bullet(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"- **{name.replace('_', ' ').capitalize()}:** "), X.escape_inline(value))
+def _bullets(heading: str, fields: dict[str, Column]) -> Column:
+    """A section with a line for each field.
+
+    One expression escapes an array of the values: a copy for each field makes a method that the JVM never compiles.
+    """
+    labels = F.array(*[F.lit(f"- **{name.replace('_', ' ').capitalize()}:** ") for name in fields])
+    values = F.transform(F.array(*fields.values()), lambda x: X.escape_inline(x))
+    return F.concat(F.lit(f"## {heading}\n\n"), F.array_join(F.zip_with(labels, values, lambda a, b: F.concat(a, b)), "\n"))
 
 
 def _note(df: DataFrame, kind: str, ident: Column, title: Column, sections: list[Column], keep: list[str]) -> DataFrame:
     """``note_id, note_kind, resource_id, project_id, note_path, body, fp`` of each row."""
     project, profile, life = _column(df, "project_id"), _column(df, "profile_id"), _column(df, "lifecycle_status")
-    digest = F.sha2(I.canonical_object({"kind": F.lit(kind), "profile_id": profile, "project_id": project, "resource_id": ident}), 256)
+    # A column of its own: it is used several times, and is computed once.
+    df = df.withColumn("__digest", F.sha2(I.canonical_object({"kind": F.lit(kind), "profile_id": profile, "project_id": project, "resource_id": ident}), 256))
+    digest = F.col("__digest")
     note_id = F.concat(F.lit(f"note-{kind}-"), F.left(digest, F.lit(16)))
-    front = {"managed": F.lit("true"), "note_id": X.yaml_scalar(note_id), "kind": X.yaml_scalar(F.lit(kind)), "resource_id": X.yaml_scalar(ident), "project_id": X.yaml_scalar(project), "profile_id": X.yaml_scalar(profile), "lifecycle_status": X.yaml_scalar(life)}
-    head = F.concat(F.lit("---\n"), *[x for k, v in front.items() for x in (F.lit(f"{k}: "), v, F.lit("\n"))], F.lit("---"))
+    front = {"note_id": note_id, "kind": F.lit(kind), "resource_id": ident, "project_id": project, "profile_id": profile, "lifecycle_status": life}
+    scalars = F.transform(F.array(*front.values()), lambda x: X.yaml_scalar(x))
+    rows = F.zip_with(F.array(*[F.lit(f"{k}: ") for k in front]), scalars, lambda a, b: F.concat(a, b))
+    head = F.concat(F.lit("---\nmanaged: true\n"), F.array_join(rows, "\n"), F.lit("\n---"))
     banner = F.coalesce(*[F.when(life == state, F.lit(f"> {text}")) for state, text in BANNERS.items()])
-    source = F.concat_ws("\n", F.lit("## Provenance\n"), *[_bullet(c, ident if c == "resource_id" else _column(df, c)) for c in PROVENANCE])
+    source = _bullets("Provenance", {c: ident if c == "resource_id" else _column(df, c) for c in PROVENANCE})
     body = F.concat(F.concat_ws("\n\n", head, F.concat(F.lit("# "), X.escape_inline(title)), banner, *sections, source), F.lit("\n"))
     folder = lambda c, other: F.coalesce(F.nullif(X.slug(c), F.lit("")), F.lit(other))
     path = F.concat(F.lit(f"{DIRECTORIES[kind]}/"), folder(project, "unscoped"), F.lit("/"), folder(title, "note"), F.lit("-"), F.left(digest, F.lit(16)), F.lit(".md"))
@@ -57,7 +67,7 @@ def record_notes(records: DataFrame, kind: str) -> DataFrame:
     """One note for each decision, requirement, verification or project charter."""
     names = FIELDS[kind]
     ident = _column(records, names[0])
-    record = F.concat_ws("\n", F.lit("## Record\n"), *[_bullet(n, _column(records, n)) for n in names])
+    record = _bullets("Record", {n: _column(records, n) for n in names})
     return _note(records, kind, ident, F.coalesce(_column(records, TITLES[kind]), ident), [record], [])
 
 

@@ -46,7 +46,7 @@ def render(kind: str, ident: Column, title: Column, fields: dict[str, Column]) -
 
 
 def fingerprint(body: Column) -> Column:
-    return F.sha2(F.regexp_replace(body, "\r\n?", "\n"), 256)
+    return F.sha2(F.when(body.contains("\r"), F.regexp_replace(body, "\r\n?", "\n")).otherwise(body), 256)
 
 
 def ownership() -> Column:

@@ -247,21 +247,24 @@ EDGES = """v_typed AS (
 EDGE_ID = """v_edges AS (SELECT *, 'edg_' || left(sha256('zm8.graph_edge|v1|{"from_id":"' || from_id || '","from_type":"' || from_type || '","relation":"' || relation || '","to_id":"' || to_id || '","to_type":"' || to_type || '"}'), 32) AS edge_id FROM v_typed)"""
 
 
-def _edges(spark, sf):
+def _unnamed(spark, sf):
+    """The edges without their ids."""
     t = lambda n: V.table(spark, sf, n)
     k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     line = t("lineitem")
-    return G.named(
-        G.typed_edges(
-            (t("orders").select(k("o", "o_orderkey").alias("a"), k("c", "o_custkey").alias("b")), "decision", "decision_for", "customer"),
-            (t("customer").select(k("c", "c_custkey").alias("a"), k("n", "c_nationkey").alias("b")), "customer", "belongs_to_project", "nation"),
-            (t("supplier").select(k("s", "s_suppkey").alias("a"), k("n", "s_nationkey").alias("b")), "supplier", "belongs_to_project", "nation"),
-            (line.select(k("p", "l_partkey").alias("a"), k("o", "l_orderkey").alias("b")), "part", "artifact_of", "decision"),
-            (line.select(k("s", "l_suppkey").alias("a"), k("p", "l_partkey").alias("b")), "supplier", "source_of", "part"),
-        )
+    return G.typed_edges(
+        (t("orders").select(k("o", "o_orderkey").alias("a"), k("c", "o_custkey").alias("b")), "decision", "decision_for", "customer"),
+        (t("customer").select(k("c", "c_custkey").alias("a"), k("n", "c_nationkey").alias("b")), "customer", "belongs_to_project", "nation"),
+        (t("supplier").select(k("s", "s_suppkey").alias("a"), k("n", "s_nationkey").alias("b")), "supplier", "belongs_to_project", "nation"),
+        (line.select(k("p", "l_partkey").alias("a"), k("o", "l_orderkey").alias("b")), "part", "artifact_of", "decision"),
+        (line.select(k("s", "l_suppkey").alias("a"), k("p", "l_partkey").alias("b")), "supplier", "source_of", "part"),
     )
 
 
+def _edges(spark, sf):
+    return G.named(_unnamed(spark, sf))
+
+
 @query("SELECT relation, count(*) AS n, min(edge_id) AS least_id, max(edge_id) AS greatest_id FROM v_edges GROUP BY relation", EDGES, EDGE_ID)
 def edges_typed(spark, sf):
     return _edges(spark, sf).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("least_id"), F.max("edge_id").alias("greatest_id"))

@@ -18,7 +18,7 @@ from cairn.plans import views as V
 from cairn.plans.corpus_queries import DEDUP, RULE
 from cairn.plans.event_queries import POLICY
 from cairn.plans.evidence_queries import ELIGIBLE, _items
-from cairn.plans.record_queries import EDGE_ID, EDGES, TOMBS, _children, _edges, _tombs
+from cairn.plans.record_queries import EDGE_ID, EDGES, TOMBS, _children, _tombs, _unnamed
 from cairn.plans.registry import Area
 from cairn.scratch import folder, written
 from cairn.sources import jsonl
@@ -55,10 +55,9 @@ WALK = (
   CASE WHEN wide THEN 'bound_max_fan_out' END, CASE WHEN more_nodes THEN 'bound_max_nodes' END) AS codes FROM v_asked LEFT JOIN told_nodes USING (seed) LEFT JOIN told_lines USING (seed) LEFT JOIN told_wide USING (seed)""", *WALK)
 def subgraph_bounds(spark, sf):
     """The bounded neighbourhood of every supplier; nodes whose name ends in 7 are hidden."""
-    edges = written(_edges(spark, sf).drop("from_type", "to_type"), "edges")
-    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).where(~F.col("node").endswith("7")).distinct()
+    edges = written(_unnamed(spark, sf), "edges")
     seeds = V.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    out = G.subgraph(edges, seeds, written(nodes, "nodes"))
+    out = G.subgraph(edges, seeds, lambda node: ~node.endswith("7"))
     named = F.transform("nodes", lambda n: F.concat(n["node"], F.lit(":"), n["depth"].cast("string")))
     return out.select("seed", "authorized", F.array_join(named, " ").alias("nodes"), F.array_join("edges.edge_id", " ").alias("edges"), F.array_join("bound_codes", " ").alias("codes"))
 

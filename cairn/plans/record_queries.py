@@ -293,10 +293,9 @@ def _hop(n: int, before: str) -> str:
 @query("SELECT node, depth FROM seen2", EDGES, EDGE_ID, "seen0 AS (SELECT 'c11' AS node, CAST(0 AS BIGINT) AS depth)", _hop(1, "seen0"), "seen1 AS (SELECT * FROM seen0 UNION ALL SELECT DISTINCT next, CAST(1 AS BIGINT) FROM step1 WHERE next NOT IN (SELECT node FROM seen0))", "front1 AS (SELECT node FROM seen1 WHERE depth = 1)", _hop(2, "front1"), "seen2 AS (SELECT * FROM seen1 UNION ALL SELECT DISTINCT next, CAST(2 AS BIGINT) FROM step2 WHERE next NOT IN (SELECT node FROM seen1))")
 def subgraph_bounded_2hop(spark, sf):
     """Two hops from one customer; nodes whose name ends in 7 are hidden."""
-    edges = written(_edges(spark, sf).drop("from_type", "to_type"), "edges")
-    nodes = edges.select(F.col("from_id").alias("node")).unionByName(edges.select(F.col("to_id").alias("node"))).distinct()
+    edges = written(_unnamed(spark, sf), "edges")
     seeds = spark.createDataFrame([("c11",)], "node string")
-    return G.neighbourhood(edges, seeds, nodes.where(~F.col("node").endswith("7")))
+    return G.neighbourhood(edges, seeds, lambda node: ~node.endswith("7"))
 
 
 # ------------------------------------------------------------------------- time

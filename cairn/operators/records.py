@@ -71,15 +71,17 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
     transitioned, superseded, deleted, noop, conflict, rejected) and the record as
     it stands at the end of the log.  Records that supersede each other share a
     key, so a key's log is the largest thing that a task holds.  Null keys never meet: each
-    record without a key is replayed with those that it supersedes only.
+    record without a key is replayed with those that it supersedes only.  Keys pass in sorted
+    batches, however many there are.
     """
-    import pandas as pd
+    fields = ("lifecycle_status", "statement", "supersedes_id", "replaced_by")
+    names = [c.split()[0] for c in REPLAY.split(", ")]
 
-    def one(log, unique=True):
+    def one(log, unique):
         now: dict[str, dict] = {}
         active: set[str] = set()
         out = []
-        for r in log.sort_values("position").to_dict("records"):
+        for r in log:
             have, ident = now.get(r["decision_id"]), r["decision_id"]
             wants = r["lifecycle_status"] or "candidate"
             others = active - {ident, r["supersedes_id"] if r["op"] == "supersede" else ident} if wants == "active" and r["op"] != "create" else active
@@ -120,14 +122,37 @@ def replay_decisions(ops: DataFrame) -> DataFrame:
                 if unique and d in now:
                     (active.add if now[d]["lifecycle_status"] == "active" else active.discard)(d)
             out.append((ident, outcome, r["position"]))
-        rows = [{"key": log["key"].iloc[0] if pd.notna(log["key"].iloc[0]) else None, "decision_id": i, "outcome": o, "position": p, **(now.get(i) or {"lifecycle_status": None, "statement": None, "supersedes_id": None, "replaced_by": None})} for i, o, p in out]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLAY.split(", ")])
-
-    log = ops.select("key", "position", "op", "decision_id", "lifecycle_status", "statement", "supersedes_id")
-    keyed = log.where("key IS NOT NULL").groupBy("key").applyInPandas(lambda log: one(log), REPLAY)
-    loose = _linked_groups(log.where("key IS NULL"), "decision_id", "supersedes_id")
+        key, none = log[0]["key"], dict.fromkeys(fields)
+        for i, o, p in out:
+            end = now.get(i) or none
+            yield (key, i, end["lifecycle_status"], end["statement"], end["supersedes_id"], end["replaced_by"], o, p)
+
+    def run(unique):
+        def replay(batches):
+            def made(rows):
+                kinds = [pa.string()] * 7 + [pa.int64()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+
+            group, log = object(), []
+            for batch in batches:
+                rows = []
+                for r in batch.to_pylist():
+                    if r["group"] != group:
+                        rows += one(log, unique) if log else []
+                        group, log = r["group"], []
+                    log.append(r)
+                yield made(rows)
+            yield made(list(one(log, unique)) if log else [])
+
+        return replay
+
+    log = written(ops.select("key", "position", "op", "decision_id", "lifecycle_status", "statement", "supersedes_id"), "log")
+    replayed = lambda rows, unique: rows.repartition("group").sortWithinPartitions("group", "position").mapInArrow(run(unique), REPLAY)
+    keyed = replayed(log.where("key IS NOT NULL").withColumn("group", F.col("key")), True)
+    if (loose := log.where("key IS NULL")).isEmpty():
+        return keyed
     # Without a key several may be active, so what is active never stands in the way.
-    return keyed.unionByName(loose.groupBy("group").applyInPandas(lambda log: one(log.drop(columns="group"), False), REPLAY))
+    return keyed.unionByName(replayed(_linked_groups(loose, "decision_id", "supersedes_id"), False))
 
 
 def _linked_groups(log: DataFrame, ident: str, link: str) -> DataFrame:

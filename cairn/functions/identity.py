@@ -18,12 +18,15 @@ def json_text(c: Column) -> Column:
     """A JSON string literal in ASCII; every other character is escaped, inside the JVM."""
     plain = ~F.coalesce(c, F.lit("")).rlike("[^ -~]")
 
-    def unit(u):
-        short = [F.when(u == f"{ord(mark):04X}", F.lit(name)) for mark, name in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))]
-        return F.coalesce(*short, F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("long"))), F.concat(F.lit("\\u"), F.lower(u)))
-
-    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    return F.when(plain, plain_json_text(c)).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"')))
+    def piece(p):
+        short = [F.when(p == mark, F.lit(name)) for mark, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))]
+        quoted = F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        units = F.regexp_replace(F.lower(F.hex(F.encode(p, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when(F.ascii(p).between(0x20, 0x7E), quoted).otherwise(F.coalesce(*short, units))
+
+    # Runs of printable ASCII stay whole; only the characters between them are looked at one by one.
+    pieces = F.regexp_extract_all(c, F.lit("[ -~]+|[^ -~]"), F.lit(0))
+    return F.when(plain, plain_json_text(c)).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(pieces, piece), ""), F.lit('"')))
 
 
 def plain_json_text(c: Column) -> Column:

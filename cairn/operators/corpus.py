@@ -25,11 +25,13 @@ def identify_units(units: DataFrame, ascii_only: bool = False) -> DataFrame:
 def dedup_units(units: DataFrame, content: str = "content_hash", ident: str = "location_id") -> DataFrame:
     """``duplicate_of``: the first unit of the same source with the same content, if another.
 
-    ``content`` is a hash (pass texts as one: it is what gets shuffled).  Firsts are a
-    pre-aggregated minimum; a content that stands once goes through no window.
+    ``content`` is a hash (pass texts as one: it is what gets shuffled).  Units are made and shuffled once; the first
+    is carried along the lines, so a content that stands often is streamed.  Null contents and sources repeat nothing.
     """
-    firsts = units.groupBy(content, "source_ref").agg(F.min_by(ident, "line_no").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    return units.join(firsts, [content, "source_ref"], "left").withColumn("duplicate_of", F.when(F.col("__first") != F.col(ident), F.col("__first"))).drop("__first")
+    along = Window.partitionBy(content, "source_ref").orderBy("line_no")
+    first = F.first(ident).over(along)
+    known = F.col(content).isNotNull() & F.col("source_ref").isNotNull()
+    return units.withColumn("__first", first).withColumn("duplicate_of", F.when(known & (F.col("__first") != F.col(ident)), F.col("__first"))).drop("__first")
 
 
 def shared_content(units: DataFrame, content: str = "content_hash") -> DataFrame:
@@ -129,7 +131,9 @@ def project_corpus(sources: DataFrame, composed: bool = False) -> tuple[DataFram
     """
     from cairn.sources.text_units import units_of_text
 
-    lines = units_of_text(sources).withColumn("text", X.normalize_text(F.col("text"), composed)).where("text <> ''")
+    # Composition makes no white space and no text empty, so units of collapsed lines stay collapsed.
+    lines = units_of_text(sources)
+    lines = lines if composed else lines.withColumn("text", X.nfc(F.col("text")))
     gated = written(secret_gate(identify_units(lines)), "units")
     units = written(dedup_units(gated.where("accepted").drop("rule", "accepted")), "kept")
     edges = written(corpus_edges(units), "edges")

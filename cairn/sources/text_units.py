@@ -14,15 +14,14 @@ def units_of_text(sources: DataFrame, ref: str = "source_ref", body: str = "text
     Line numbers count from 1 and count blank lines too.
     """
     keep = [c for c in sources.columns if c != body]
-    cut = sources.select(*keep, F.posexplode(X.lines(F.col(body))).alias("at", "raw_text"))
-    out = cut.select(
+    cut = sources.select(*keep, F.posexplode(X.lines(F.col(body))).alias("at", "raw_text")).where(F.col("raw_text").rlike(X.NOT_BLANK))
+    return cut.select(
         *keep,
         (F.col("at") + 1).cast("int").alias("line_no"),
         F.concat(F.col(ref), F.lit("#L"), (F.col("at") + 1).cast("string")).alias("location_id"),
         "raw_text",
         X.collapse(F.col("raw_text")).alias("text"),
     )
-    return out.where("text <> ''")
 
 
 def format_kind(name):

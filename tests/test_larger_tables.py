@@ -20,3 +20,40 @@ def test_decisions_replayed_in_batches(spark):
     want = {d: (key, "superseded" if n else "created", "active" if n == 3 else "superseded", before, f"{d.split('-')[0]}-{n + 1}" if n < 3 else None) for key, n, _, d, _, _, before in rows}
     assert got == want
     assert "FlatMapGroups" not in plan(replayed)
+
+
+def test_texts_that_need_no_work_stay_in_the_jvm(spark):
+    """Composed and even texts go through no Python and no replacement, with the results of the plain way."""
+    import json
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from cairn.functions import identity as I
+    from cairn.functions import text as X
+
+    safe = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", X.COMPOSABLE))
+    second = {int(p[1], 16) for c in range(0x110000) if "<" not in (d := unicodedata.decomposition(chr(c))) and len(p := d.split()) == 2}
+    for c in range(0x110000):
+        if not safe.match(chr(c)):
+            assert not unicodedata.combining(chr(c)) and unicodedata.is_normalized("NFC", chr(c)) and c not in second, hex(c)
+    assert not safe.search("Größe à la française") and safe.search("u\u0308")
+    texts = ["Größe \"à\" \\ x", "e\u0301\u0323 u\u0308", "a\tb\nc\rd\be\x0cf\x01\x7f", "\U0001f600 ж中", " a  b\u00a0c ", "a\u2028", " ", "", "\u2000x\u2000\u2000y", "가\u11a8", None, "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.nfc(F.col("t")).alias("n"), X.collapse(F.col("t")).alias("c"), I.json_text(F.col("t")).alias("j")).collect()
+    blank = re.compile(r"[\s\u2028\u2029\u00a0\u2000-\u200a\u3000\x1c-\x1f\x85]+")
+    for r in got:
+        t = r["t"]
+        assert r["n"] == (t if t is None else unicodedata.normalize("NFC", t))
+        assert r["c"] == (t if t is None else re.sub("^ | $", "", blank.sub(" ", t)))
+        assert r["j"] == json.dumps(t)
+
+
+def test_units_are_made_once(spark):
+    from cairn.operators import corpus as C
+
+    rows = [("a", n, f"a#L{n}", "x" if n % 2 else f"y{n}") for n in range(1, 9)] + [("b", 1, "b#L1", "x"), (None, 1, "n1", "x"), (None, 2, "n2", "x"), ("c", 1, "c1", None), ("c", 2, "c2", None)]
+    out = C.dedup_units(spark.createDataFrame(rows, "source_ref string, line_no int, location_id string, content_hash string"))
+    assert {r["location_id"]: r["duplicate_of"] for r in out.collect() if r["duplicate_of"]} == {"a#L3": "a#L1", "a#L5": "a#L1", "a#L7": "a#L1"}
+    assert out.count() == 13 and "Join" not in plan(out)

@@ -13,8 +13,9 @@ def units_of_text(sources: DataFrame, ref: str = "source_ref", body: str = "text
 
     Line numbers count from 1 and count blank lines too.
     """
+    # An empty last line is blank like any other, so the lines are cut once and never measured.
     keep = [c for c in sources.columns if c != body]
-    cut = sources.select(*keep, F.posexplode(X.lines(F.col(body))).alias("at", "raw_text")).where(F.col("raw_text").rlike(X.NOT_BLANK))
+    cut = sources.select(*keep, F.posexplode(F.split(body, X.LINE_END)).alias("at", "raw_text")).where(F.col("raw_text").rlike(X.NOT_BLANK))
     return cut.select(
         *keep,
         (F.col("at") + 1).cast("int").alias("line_no"),

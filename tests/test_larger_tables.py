@@ -57,3 +57,11 @@ def test_units_are_made_once(spark):
     out = C.dedup_units(spark.createDataFrame(rows, "source_ref string, line_no int, location_id string, content_hash string"))
     assert {r["location_id"]: r["duplicate_of"] for r in out.collect() if r["duplicate_of"]} == {"a#L3": "a#L1", "a#L5": "a#L1", "a#L7": "a#L1"}
     assert out.count() == 13 and "Join" not in plan(out)
+
+
+def test_lines_are_cut_once(spark):
+    from cairn.sources.text_units import units_of_text
+
+    units = units_of_text(spark.createDataFrame([("a", "x\r\n\n  \n y z \n"), ("b", ""), ("c", None), ("d", "\n")], "source_ref string, text string"))
+    assert [(r["location_id"], r["text"]) for r in units.collect()] == [("a#L1", "x"), ("a#L4", "y z")]
+    assert "slice(" not in plan(units)

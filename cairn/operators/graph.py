@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,15 +170,22 @@ def verification_edges(checks: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return checks.select(F.col("verification_id").alias("from_id"), F.lit("verifies").alias("relation"), mapped.alias("to_type"), F.col("subject_id").alias("to_id"), "verification_status", reason.alias("skip_reason"))
 
 
-def typed_edges(*sources: tuple[DataFrame, str, str, str]) -> DataFrame:
-    """Edges of several tables: (rows with ``a`` and ``b``, from kind, relation, to kind)."""
-    parts = [
-        df.select(F.lit(kind).alias("from_type"), F.col("a").alias("from_id"), F.lit(relation).alias("relation"), F.lit(to).alias("to_type"), F.col("b").alias("to_id")) for df, kind, relation, to in sources
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+def typed_edges(*sources: tuple) -> DataFrame:
+    """Edges of several tables: (rows with ``a`` and ``b``, from kind, relation, to kind, and what their names begin with if not with themselves).
+
+    Repeats go while rows are pairs of bare keys; kinds and names are added behind that.
+    """
+    kinds: dict[tuple, list[DataFrame]] = {}
+    for df, kind, relation, to, *begin in sources:
+        pairs = df.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
+        name = lambda c, n: F.concat(F.lit(begin[n]), F.col(c).cast("string")) if begin else F.col(c)  # noqa: E731, B023
+        kinds.setdefault((kind, relation, to), []).append(pairs.select(name("a", 0).alias("from_id"), name("b", 1).alias("to_id")))
+    out = None
+    for (kind, relation, to), parts in kinds.items():
+        pairs = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()
+        part = pairs.select(F.lit(kind).alias("from_type"), "from_id", F.lit(relation).alias("relation"), F.lit(to).alias("to_type"), "to_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def named(edges: DataFrame) -> DataFrame:

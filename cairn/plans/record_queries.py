@@ -250,14 +250,13 @@ EDGE_ID = """v_edges AS (SELECT *, 'edg_' || left(sha256('zm8.graph_edge|v1|{"fr
 def _unnamed(spark, sf):
     """The edges without their ids."""
     t = lambda n: V.table(spark, sf, n)
-    k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    line = t("lineitem")
+    pairs = lambda table, a, b: t(table).select(F.col(a).alias("a"), F.col(b).alias("b"))
     return G.typed_edges(
-        (t("orders").select(k("o", "o_orderkey").alias("a"), k("c", "o_custkey").alias("b")), "decision", "decision_for", "customer"),
-        (t("customer").select(k("c", "c_custkey").alias("a"), k("n", "c_nationkey").alias("b")), "customer", "belongs_to_project", "nation"),
-        (t("supplier").select(k("s", "s_suppkey").alias("a"), k("n", "s_nationkey").alias("b")), "supplier", "belongs_to_project", "nation"),
-        (line.select(k("p", "l_partkey").alias("a"), k("o", "l_orderkey").alias("b")), "part", "artifact_of", "decision"),
-        (line.select(k("s", "l_suppkey").alias("a"), k("p", "l_partkey").alias("b")), "supplier", "source_of", "part"),
+        (pairs("orders", "o_orderkey", "o_custkey"), "decision", "decision_for", "customer", "o", "c"),
+        (pairs("customer", "c_custkey", "c_nationkey"), "customer", "belongs_to_project", "nation", "c", "n"),
+        (pairs("supplier", "s_suppkey", "s_nationkey"), "supplier", "belongs_to_project", "nation", "s", "n"),
+        (pairs("lineitem", "l_partkey", "l_orderkey"), "part", "artifact_of", "decision", "p", "o"),
+        (pairs("lineitem", "l_suppkey", "l_partkey"), "supplier", "source_of", "part", "s", "p"),
     )
 
 

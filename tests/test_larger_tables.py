@@ -59,6 +59,18 @@ def test_units_are_made_once(spark):
     assert out.count() == 13 and "Join" not in plan(out)
 
 
+def test_edges_are_told_apart_by_bare_keys(spark):
+    from cairn.operators import graph as G
+
+    a = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (2, None), (3, 4)], "a long, b long")
+    named = spark.createDataFrame([("o1", "c2"), ("o9", "c9"), ("o9", "c9")], "a string, b string")
+    edges = G.typed_edges((a, "decision", "decision_for", "customer", "o", "c"), (named, "decision", "decision_for", "customer"), (a, "part", "artifact_of", "decision", "p", "o"))
+    got = sorted(tuple(r) for r in edges.collect())
+    decision = [("decision", f, "decision_for", "customer", t) for f, t in (("o1", "c2"), ("o3", "c4"), ("o9", "c9"))]
+    assert edges.columns == ["from_type", "from_id", "relation", "to_type", "to_id"] and got == decision + [("part", "p1", "artifact_of", "decision", "o2"), ("part", "p3", "artifact_of", "decision", "o4")]
+    assert "hashpartitioning(from_type" not in plan(edges) and "hashpartitioning(decision" not in plan(edges)
+
+
 def test_lines_are_cut_once(spark):
     from cairn.sources.text_units import units_of_text
 

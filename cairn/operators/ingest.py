@@ -65,10 +65,24 @@ def _replayed(table: pa.Table) -> pa.Table:
 def accepted_lines(rows: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
     """The lines ``i, h, p`` that first-write-wins accepts, over ids and over contents at once.
 
-    One round accepts the lines that come first on both sides, which settles logs without crossing repeats and takes
+    Lines whose id and content come once are accepted at once; a log without repeats is grouped twice and never joined.
+    Of the others, one round accepts the lines that come first on both sides, which settles logs without crossing repeats and takes
     hot ids and contents away.  What is left hangs together through ids and contents: its components are
     replayed apart, each in its own task.  Only components that are too large for a task go on in rounds.
     """
+    many = lambda c: written(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c), "many")
+    many_i, many_h = many("i"), many("h")
+    void = F.col("i").isNull() | F.col("h").isNull()
+    same_i, same_h = rows.where(~void).join(many_i, "i", "left_semi"), rows.where(~void).join(many_i, "i", "left_anti").join(many_h, "h", "left_semi")
+    odd = written(same_i.unionByName(same_h).unionByName(rows.where(void)).select("i", "h", "p"), "odd")
+    if odd.isEmpty():
+        return rows
+    once = rows.where(~void).join(many_i, "i", "left_anti").join(many_h, "h", "left_anti").select("i", "h", "p")
+    return once.unionByName(_settled(odd, task_lines))
+
+
+def _settled(rows: DataFrame, task_lines: int) -> DataFrame:
+    """The accepted ones of lines that share ids or contents."""
     accepted, rest = _peeled(rows)
     if (left := rest.count()) == 0:
         return accepted
@@ -89,10 +103,10 @@ def accepted_lines(rows: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
     return accepted
 
 
-def classified(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``i, h, p, outcome`` of every line, given the accepted lines."""
+def classified(rows: DataFrame, accepted: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """``i, h, p, outcome`` of every line, given the accepted lines; ``contents`` tells contents if the others do not."""
     by_i = accepted.select("i", F.col("h").alias("ih"), F.col("p").alias("ip"))
-    by_h = accepted.select("h", F.col("i").alias("hi"), F.col("p").alias("hp"))
+    by_h = (accepted if contents is None else contents).select("h", F.col("i").alias("hi"), F.col("p").alias("hp"))
     told = rows.join(by_i, "i", "left").join(by_h, "h", "left")
     outcome = (
         F.when((F.col("p") == F.col("ip")) & (F.col("p") == F.col("hp")), "new_event")
@@ -130,12 +144,18 @@ def supersessions(events: DataFrame, deletions: DataFrame | None = None) -> Data
     if deletions is None:
         return active.select("trace_id", "eid", F.lag("eid").over(chain).alias("supersedes"), F.lead("eid").over(chain).alias("superseded_by"))
     first = deletions.groupBy(F.col("target_id").alias("eid")).agg(F.min("sequence").alias("asked"))
-    dated = active.join(first, "eid", "left").withColumn("gone", F.when(F.col("asked").isNotNull(), F.greatest("asked", "sequence")))
+    return chained(active.join(first, "eid", "left")).drop("sequence", "lifecycle", "asked")
+
+
+def chained(active: DataFrame) -> DataFrame:
+    """The chains of active events that know (``asked``) when they are first deleted; one shuffle, by trace."""
+    chain = Window.partitionBy("trace_id").orderBy("sequence")
+    dated = active.withColumn("gone", F.when(F.col("asked").isNotNull(), F.greatest("asked", "sequence")))
     own, before, behind = F.struct("eid", "gone", "sequence"), F.col("before"), F.col("behind")
-    near = dated.select("trace_id", "eid", "gone", "sequence", F.lag(own).over(chain).alias("before"), F.lead(own).over(chain).alias("behind"))
+    near = dated.select("trace_id", "eid", "gone", "sequence", "lifecycle", "asked", F.lag(own).over(chain).alias("before"), F.lead(own).over(chain).alias("behind"))
     alive = lambda gone, at: gone.isNull() | (gone > at)
     return near.select(
-        "trace_id", "eid", F.when(alive(before["gone"], F.col("sequence")), before["eid"]).alias("supersedes"), F.when(alive(F.col("gone"), behind["sequence"]), behind["eid"]).alias("superseded_by"),
+        "trace_id", "eid", "sequence", "lifecycle", "asked", F.when(alive(before["gone"], F.col("sequence")), before["eid"]).alias("supersedes"), F.when(alive(F.col("gone"), behind["sequence"]), behind["eid"]).alias("superseded_by"),
         F.when(F.col("gone").isNotNull(), "deleted").when(behind["eid"].isNotNull(), "superseded").otherwise("active").alias("current_state"),
     )
 
@@ -258,8 +278,9 @@ def projections(events: DataFrame) -> dict[str, DataFrame]:
     artifact_refs, tombstone_target``.
     """
     deletions = events.where("tombstone_target IS NOT NULL").select(F.col("eid").alias("deletion_id"), F.col("tombstone_target").alias("target_id"), "sequence")
-    tombs = tombstones(deletions, events)
-    chain = supersessions(events, deletions)
+    # Several tables are made of these two, with other columns each time, so no shuffle of theirs would be shared.
+    tombs = written(tombstones(deletions, events), "tombs")
+    chain = written(supersessions(events, deletions), "chain")
     gone = tombs.where("status <> 'pending'").select(F.col("target_id").alias("eid"))
     state = chain.select("eid", "superseded_by", F.col("current_state").alias("state"))
     life = events.join(state, "eid", "left").join(gone.distinct().withColumn("gone", F.lit(True)), "eid", "left")

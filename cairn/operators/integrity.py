@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.relational import difference, row_digest, table_digest
+from cairn.operators.relational import row_digest, surplus, table_digest
 from cairn.scratch import exists
 
 
@@ -14,8 +14,7 @@ def parity(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
     """For each projection: rows on either side only, and whether both agree."""
     out = None
     for name in sorted(a):
-        odd = difference(a[name], b[name]).groupBy().agg(F.count(F.when(F.col("side") == "left", 1)).alias("only_left"), F.count(F.when(F.col("side") == "right", 1)).alias("only_right"))
-        row = odd.select(F.lit(name).alias("projection"), "only_left", "only_right", ((F.col("only_left") + F.col("only_right")) == 0).alias("equal"))
+        row = surplus(a[name], b[name]).select(F.lit(name).alias("projection"), "only_left", "only_right", ((F.col("only_left") + F.col("only_right")) == 0).alias("equal"))
         out = row if out is None else out.unionByName(row)
     return out
 

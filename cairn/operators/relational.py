@@ -45,6 +45,14 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
 
 
+def surplus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``only_left, only_right``: how many rows only one side has, repeats counted, told by one shuffle of both sides."""
+    side = lambda df, n: df.select(*a.columns, F.lit(n).alias("__n"))
+    odd = side(a, 1).unionByName(side(b, -1)).groupBy(*a.columns).agg(F.sum("__n").alias("__sum"))
+    more = lambda n, name: F.coalesce(F.sum(F.greatest(n, F.lit(0).cast("long"))), F.lit(0).cast("long")).alias(name)
+    return odd.agg(more(F.col("__sum"), "only_left"), more(-F.col("__sum"), "only_right"))
+
+
 def row_digest(columns: list[str]) -> Column:
     """A digest of a row; nulls stand apart from empty text."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]

@@ -50,7 +50,7 @@ def sync(held: Store, sources: DataFrame, number: int) -> dict[str, int]:
     units, edges, _ = project_corpus(texts.select("source_ref", "text"))
     owner = F.when(F.col("relation") == "source_of", F.col("from_id")).otherwise(F.regexp_extract("from_id", r"(?s)\A(.*)#L[0-9]+\z", 1))
     new = {"sources": fresh, "units": units, "edges": edges.withColumn("source_ref", owner)}
-    buckets = held.keys(moved.select("source_ref"))
+    buckets = held.keys(moved, units=F.array("source_ref"))["units"]
     held.touched |= {"units": buckets, "edges": buckets}
     for table, rows in new.items():
         kept = held.read(table, versions, buckets).join(moved.select("source_ref"), "source_ref", "left_anti")

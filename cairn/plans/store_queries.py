@@ -158,8 +158,7 @@ def rebuild_parity(spark, sf):
     log = _log(spark, sf)
     kept, again = N.projections(written(log, "log")), N.projections(written(log.repartition(7, "content"), "log"))
     again["scopes"] = again["scopes"].where("scope_type = 'profile'")
-    write = lambda tables: {k: written(v, k) for k, v in tables.items()}
-    return Y.parity(write(kept), write(again))
+    return Y.parity(kept, again)
 
 
 def _log(spark, sf):
@@ -182,15 +181,14 @@ def stream_parity(spark, sf):
     from cairn.streaming import maintained as M
 
     s = F.col("sequence")
-    log = written(_log(spark, sf).withColumn("content_hash", F.sha2(F.concat_ws("-", "content", "eid"), 256)), "log")
+    log = written(_log(spark, sf).withColumn("content_hash", F.sha2(F.concat_ws("-", "content", "eid"), 256)).select(*M.LINE), "log")
     n = log.agg(F.max("sequence")).scalar()
     again = log.where(s % 4 == 0).withColumns({"eid": F.when(s % 3 == 2, F.concat(F.lit("x"), "eid")).otherwise(F.col("eid")), "content_hash": F.when(s % 3 == 1, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))})
     lines = log.unionByName(again.withColumn("sequence", s + n + 1))
     store, now = M.Store(spark, folder(spark, "maintained"), buckets=16), F.col("sequence")
     for number, part in enumerate((now <= n / 2, (now > n / 2) & (now <= n * 9 / 8), now > n * 9 / 8)):
         M.commit(store, lines.where(part), number)
-    write = lambda tables: {k: written(v, k) for k, v in tables.items()}
-    parity = Y.parity(write(N.projections(log)), write(M.projections(store)))
+    parity = Y.parity(N.projections(log), M.projections(store))
     told = store.appended("outcomes").groupBy(F.col("outcome").alias("projection")).agg(F.count(F.lit(1)).alias("only_left"))
     return parity.unionByName(told.select("projection", "only_left", F.lit(0).cast("long").alias("only_right"), F.lit(False).alias("equal")))
 

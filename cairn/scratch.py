@@ -36,6 +36,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of the files and folders in a folder, on whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, on whatever file system; one that is gone already is no error."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

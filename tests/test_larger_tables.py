@@ -77,3 +77,38 @@ def test_lines_are_cut_once(spark):
     units = units_of_text(spark.createDataFrame([("a", "x\r\n\n  \n y z \n"), ("b", ""), ("c", None), ("d", "\n")], "source_ref string, text string"))
     assert [(r["location_id"], r["text"]) for r in units.collect()] == [("a#L1", "x"), ("a#L4", "y z")]
     assert "slice(" not in plan(units)
+
+
+def test_parity_groups_both_sides_once(spark):
+    from cairn.operators import integrity as Y
+
+    a = spark.createDataFrame([("x", 1), ("x", 1), (None, 2), (None, None)], "k string, n long")
+    b = spark.createDataFrame([("x", 1), (None, 2), (None, None), ("y", 3), ("y", 3)], "k string, n long")
+    got = Y.parity({"t": a, "u": a, "none": a.where("false")}, {"t": b, "u": a, "none": a.where("false")})
+    assert {tuple(r) for r in got.collect()} == {("t", 1, 2, False), ("u", 0, 0, True), ("none", 0, 0, True)}
+    assert "replicaterows" not in plan(Y.parity({"t": a}, {"t": b}))
+
+
+def test_a_log_without_repeats_is_not_joined(spark):
+    from cairn.operators import ingest as N
+
+    rows = spark.createDataFrame([(f"i{p}", f"h{p}", p) for p in range(50)], "i string, h string, p long")
+    assert "Join" not in plan(N.accepted_lines(rows))
+    again = rows.unionByName(spark.createDataFrame([("i3", "new", 60), ("y", "h4", 61), ("y", "z", 62), (None, "h9", 63), (None, "w", 64), (None, "w2", 65)], "i string, h string, p long"))
+    assert {r["p"] for r in N.accepted_lines(again).collect()} == {*range(50), 62, 64}
+
+
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    from cairn.scratch import children
+    from cairn.streaming import maintained as M
+
+    store, versions = M.Store(spark, str(tmp_path / "s"), buckets=2), {}
+    rows = spark.range(4000).selectExpr("'hot' AS ref", "concat('e', id) AS from_id", "CAST(NULL AS string) AS by_id", "CAST(NULL AS string) AS by_trace")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store.write("refs", rows, 0, versions)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    (bucket,) = versions["refs"]
+    assert sum(n.endswith(".parquet") for n in children(spark, f"{store.root}/refs/version=0/bucket={bucket}")) > 1
+    assert store.read("refs", versions).count() == 4000

@@ -2,11 +2,12 @@
 
 A posting row holds a term of a column, a block of documents, their ids and the places of the term in each, the
 number of documents and the largest frequency in the block.  A document's block is told by its id, so the rows of
-several terms meet block by block and are intersected as arrays, beginning with the rarest term; no
-posting is ever exploded.  Rows lie in buckets by term, sorted, so a search reads the buckets of its terms and
+several terms meet block by block and are intersected as arrays, beginning with the rarest term; only phrases and
+nearness meet document by document, so that no document is looked for along its block.  Rows lie in buckets by term, sorted, so a search reads the buckets of its terms and
 a prefix the stretch of terms it covers.
 
-A batch writes one segment.  Whenever ``FANOUT`` segments of a level have gathered, they become one of the next level,
+A batch writes one segment.  Its documents are dealt by block, once, as they are; a block's words are gathered where it
+lies, so tokens are never shuffled and no key, however frequent its word, goes to one task.  Whenever ``FANOUT`` segments of a level have gathered, they become one of the next level,
 without the documents deleted by then; deletions after that are a list of ids that hits are held against.  A
 manifest for each batch tells the segments, so a batch that runs again writes the same.
 """
@@ -16,6 +17,9 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +27,8 @@ from cairn.functions import text as X
 from cairn.operators.search import Condition, QueryError
 from cairn.scratch import exists, written
 
-#: Buckets of terms, documents of a block (about), and segments of a level.
-BUCKETS, BLOCK, FANOUT = 32, 2_048, 4
+#: Buckets of terms, documents and characters of a block (about), and segments of a level.
+BUCKETS, BLOCK, BLOCK_CHARS, FANOUT = 32, 2_048, 1 << 24, 4
 ROW = "term string, block int, n int, most int, ids array<string>, places array<array<int>>"
 MARK = "\x1f"
 
@@ -33,14 +37,63 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _blocks(docs: int, chars: int) -> int:
+    return max(1, -(-docs // BLOCK), -(-chars // BLOCK_CHARS))
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int")
+
+
 def _blocked(each: DataFrame, blocks: int) -> DataFrame:
     """Rows from ``term, id, at``, one for each term of a document."""
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)).cast("int")
     entry = F.struct("id", "at")
-    rows = each.groupBy("term", block.alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max(F.size("at")).alias("most"))
+    rows = each.groupBy("term", _block(blocks).alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max(F.size("at")).alias("most"))
     return rows.select("term", "block", F.size("e").alias("n"), "most", F.col("e.id").alias("ids"), F.col("e.at").alias("places"))
 
 
+def _gathered(columns: list[str]):
+    """Rows from one block of documents: ``block, id`` and the words of each column."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks().dictionary_encode()
+        sort = pc.sort_indices(ids.dictionary).to_numpy()
+        rank = np.empty(len(sort), np.int64)
+        rank[sort] = np.arange(len(sort))
+        named, own = ids.dictionary.take(pa.array(sort)), rank[ids.indices.to_numpy()]
+        parts = []
+        for k, c in enumerate(columns):
+            lists = table.column(f"words{k}").combine_chunks()
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            word, doc = words.indices.to_numpy(), np.repeat(own, n)
+            at = (np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            order = np.lexsort((at, doc, word))
+            word, doc, at = word[order], doc[order], at[order]
+            entry = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
+            size = np.diff(np.r_[entry, len(at)])
+            term = np.flatnonzero(np.r_[True, word[entry][1:] != word[entry][:-1]])
+            upto = pa.array(np.r_[term, len(entry)].astype(np.int32))
+            places = pa.ListArray.from_arrays(pa.array(np.r_[entry, len(at)].astype(np.int32)), pa.array(at))
+            parts.append(pa.table({
+                "term": pc.binary_join_element_wise(c + MARK, words.dictionary.take(pa.array(word[entry[term]])), ""),
+                "block": pa.repeat(pa.scalar(table.column("block")[0].as_py(), pa.int32()), len(term)),
+                "n": pa.array(np.diff(np.r_[term, len(entry)]).astype(np.int32)),
+                "most": pa.array(np.maximum.reduceat(size, term).astype(np.int32)),
+                "ids": pa.ListArray.from_arrays(upto, named.take(pa.array(doc[entry]))),
+                "places": pa.ListArray.from_arrays(upto, places),
+            }))
+        return pa.concat_tables(parts) if parts else _NONE
+
+    return run
+
+
+_INTS = pa.list_(pa.int32())
+_NONE = pa.table({"term": pa.array([], pa.string()), "block": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "most": pa.array([], pa.int32()), "ids": pa.array([], pa.list_(pa.string())), "places": pa.array([], pa.list_(_INTS))})
+
+
 class Index:
     """An index under ``root`` over text columns; ``fold`` reads letters without accents."""
 
@@ -66,30 +119,30 @@ class Index:
         if deleted is not None:
             deleted.select(F.col("id").cast("string").alias("id")).write.mode("overwrite").parquet(f"{self.root}/deleted/batch={number}")
         text = lambda c: X.fold_accents(F.col(c)) if self.fold else F.col(c)
-        each = None
-        for c in self.columns:
-            one = docs.select(F.col(ident).cast("string").alias("id"), F.posexplode(X.tokens(text(c))).alias("at", "word"))
-            one = one.select("id", F.concat(F.lit(c + MARK), "word").alias("term"), "at")
-            each = one if each is None else each.unionByName(one)
-        each = each.where("id IS NOT NULL").groupBy("term", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-        n = docs.count()
-        segments.append(self._write(f"b{number}", 0, each, n))
+        size = reduce(lambda x, y: x + y, [F.coalesce(F.length(c), F.lit(0)) for c in self.columns])
+        n, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        given = docs.select(F.col(ident).cast("string").alias("id"), *[F.col(c).alias(f"text{k}") for k, c in enumerate(self.columns)]).where("id IS NOT NULL")
+        dealt = given.withColumn("block", _block(_blocks(n, chars))).repartition("block").sortWithinPartitions("block")
+        words = dealt.select("block", "id", *[X.tokens(text(f"text{k}")).alias(f"words{k}") for k in range(len(self.columns))])
+        segments.append(self._write(f"b{number}", 0, words.groupBy("block").applyInArrow(_gathered(self.columns), ROW), n, chars))
         level = 0
         while len(group := [s for s in segments if s["level"] == level]) >= FANOUT:
             segments = [s for s in segments if s["level"] != level]
             rows = self._rows(group).select("term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("places").alias("at"))))
             gone = self._deleted(number)
             rows = rows if gone is None else rows.join(gone, "id", "left_anti")
-            segments.append(self._write(f"m{number}-{level + 1}", level + 1, rows, sum(s["docs"] for s in group)))
+            n, chars = (sum(s.get(k, 0) for s in group) for k in ("docs", "chars"))
+            rows = _blocked(rows, _blocks(n, chars)).repartition("block")
+            segments.append(self._write(f"m{number}-{level + 1}", level + 1, rows, n, chars))
             level += 1
         row = self.spark.createDataFrame([(number, json.dumps(segments))], "number long, text string")
         row.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/batch={number}")
 
-    def _write(self, name: str, level: int, each: DataFrame, docs: int) -> dict:
-        blocks = max(1, -(-docs // BLOCK))
-        rows = _blocked(each, blocks).withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/{name}")
-        return {"name": name, "level": level, "docs": docs, "blocks": blocks}
+    def _write(self, name: str, level: int, rows: DataFrame, docs: int, chars: int) -> dict:
+        """Each task writes its blocks to all buckets: as many files in a bucket as tasks, each sorted."""
+        sorted_ = rows.withColumn("bucket", _bucket(F.col("term"), self.buckets)).sortWithinPartitions("bucket", "term", "block")
+        sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/{name}")
+        return {"name": name, "level": level, "docs": docs, "chars": chars, "blocks": _blocks(docs, chars)}
 
     # ------------------------------------------------------------------ reading
 
@@ -243,22 +296,23 @@ class _Search:
         return F.transform("e", lambda x: F.struct(x["id"].alias("id"), F.filter(F.transform(x["at"], lambda p: p - by), lambda p: p >= 0).alias("at")))
 
     @staticmethod
-    def _adjacent(a: DataFrame, b: DataFrame) -> DataFrame:
-        met = a.join(b.withColumnRenamed("e", "other"), ["segment", "block"])
-        held = F.map_from_arrays(F.col("other.id"), F.col("other.at"))
-        met = met.withColumn("held", held)
-        e = F.transform("e", lambda x: F.struct(x["id"].alias("id"), F.array_intersect(x["at"], F.coalesce(F.col("held")[x["id"]], F.array().cast("array<int>"))).alias("at")))
-        return met.select("segment", "block", F.filter(e, lambda x: F.size(x["at"]) > 0).alias("e")).where(F.size("e") > 0)
+    def _entries(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("segment", "block", F.inline("e")).select("segment", "block", "id", F.col("at").alias(name))
+
+    @staticmethod
+    def _regrouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("segment", "block").agg(F.collect_list(F.struct("id", "at")).alias("e"))
+
+    def _adjacent(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        met = self._entries(a, "at").join(self._entries(b, "other"), ["segment", "block", "id"])
+        return self._regrouped(met.withColumn("at", F.array_intersect("at", "other")).where(F.size("at") > 0))
 
     def _near(self, column: str, runs: list[list[str]], room: int) -> DataFrame:
-        """Documents in which all runs lie within ``room`` tokens."""
-        met = self._run(column, runs[0], False, False).withColumn("h0", F.map_from_arrays(F.col("e.id"), F.col("e.at")))
-        for n, run in enumerate(runs[1:], 1):
-            other = self._run(column, run, False, False).select("segment", "block", F.map_from_arrays(F.col("e.id"), F.col("e.at")).alias(f"h{n}"))
-            met = met.join(other, ["segment", "block"])
-        none = F.array().cast("array<int>")
-        places = lambda n, x: F.coalesce(F.col(f"h{n}")[x["id"]], none)
-        within = lambda n, x, p: F.exists(places(n, x), lambda q: (q >= p) & (q <= p + room - len(runs[n])))
-        window = lambda x, p: reduce(lambda a, b: a & b, [within(n, x, p) for n in range(len(runs))])
-        any_start = lambda x: reduce(lambda a, b: a | b, [F.exists(places(n, x), lambda p: window(x, p)) for n in range(len(runs))])
-        return met.select("segment", "block", F.filter("e", any_start).alias("e")).where(F.size("e") > 0)
+        """Documents in which all runs lie within ``room`` tokens: some window's start suits each of them."""
+        met = self._entries(self._run(column, runs[0], False, False), "at")
+        starts = lambda places, run: F.array_distinct(F.flatten(F.transform(places, lambda q: F.sequence(q - (room - len(run)), q))))
+        met = met.withColumn("starts", starts("at", runs[0]))
+        for run in runs[1:]:
+            met = met.join(self._entries(self._run(column, run, False, False), "other"), ["segment", "block", "id"])
+            met = met.withColumn("starts", F.array_intersect("starts", starts("other", run))).where(F.size("starts") > 0).drop("other")
+        return self._regrouped(met)

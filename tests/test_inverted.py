@@ -59,3 +59,23 @@ def test_fallback(index, docs):
     assert {r["match_mode"] for r in index.find_or(["a", "b"]).collect()} == {"strict"}
     got = index.find_or(["a", "zebra"]).collect()
     assert {r["match_mode"] for r in got} == {"any_term"} and len(got) > 0
+
+
+def test_tokens_are_never_shuffled(spark, docs, tmp_path, monkeypatch):
+    """Only whole texts are dealt; repeated ids, accents and empty texts give the postings that tokens one by one give."""
+    seen = []
+    write = I.Index._write
+    monkeypatch.setattr(I.Index, "_write", lambda self, name, level, rows, *rest: (seen.append(rows), write(self, name, level, rows, *rest))[1])
+    index = I.Index(spark, str(tmp_path / "i"), ["title", "body"], buckets=2)
+    index.add(docs.unionByName(docs.where("id = 'd7'")), "id", 0)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(term" not in plan and "posexplode" not in plan
+    want = {}
+    for r in docs.unionByName(docs.where("id = 'd7'")).select("id", *[S.X.tokens(S.X.fold_accents(F.col(c))).alias(c) for c in ("title", "body")]).collect():
+        for c in ("title", "body"):
+            for at, w in enumerate(r[c] or []):
+                want.setdefault((f"{c}\x1f{w}", r["id"]), []).append(at)
+    got = {(r["term"], i): list(at) for r in index._rows(index.segments()).collect() for i, at in zip(r["ids"], r["places"], strict=True)}
+    assert got == {k: sorted(v) for k, v in want.items()}
+    for r in index._rows(index.segments()).collect():
+        assert r["n"] == len(r["ids"]) and r["most"] == max(map(len, r["places"])) and list(r["ids"]) == sorted(r["ids"])

@@ -136,7 +136,7 @@ def project_corpus(sources: DataFrame, composed: bool = False) -> tuple[DataFram
     lines = lines if composed else lines.withColumn("text", X.nfc(F.col("text")))
     gated = written(secret_gate(identify_units(lines)), "units")
     units = written(dedup_units(gated.where("accepted").drop("rule", "accepted")), "kept")
-    edges = written(corpus_edges(units), "edges")
+    edges = corpus_edges(units)  # a plain projection of written units
     given, parts = sources.select("source_ref").distinct(), gated.select("source_ref").distinct()
     counted = {"sources": given, "empty_sources": given.join(parts, "source_ref", "left_anti"), "units": units, "rejected": gated.where("NOT accepted"), "repeats": units.where("duplicate_of IS NOT NULL"), "edges": edges}
     report = None

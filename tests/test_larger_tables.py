@@ -112,3 +112,11 @@ def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
     (bucket,) = versions["refs"]
     assert sum(n.endswith(".parquet") for n in children(spark, f"{store.root}/refs/version=0/bucket={bucket}")) > 1
     assert store.read("refs", versions).count() == 4000
+
+
+def test_edges_of_units_are_not_written_again(spark):
+    from cairn.operators import corpus as C
+
+    units, edges, _ = C.project_corpus(spark.createDataFrame([("a", "x\nx\ny"), ("b", "x")], "source_ref string, text string"))
+    assert {tuple(r) for r in edges.collect()} == {("a", "source_of", "a#L1"), ("a", "source_of", "a#L2"), ("a", "source_of", "a#L3"), ("b", "source_of", "b#L1"), ("a#L2", "derived_from", "a#L1")}
+    assert set(edges.inputFiles()) == set(units.inputFiles())

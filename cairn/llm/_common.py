@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,28 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What this worker process keeps from task to task: the tables of one operator.
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """``make()``, made once and kept in this worker until another operator's task comes.
+
+    Workers outlive tasks and serve every operator in turn, so tables that each left
+    behind would add up.
+    """
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drop what other operators' tasks left in this worker; called as a task begins."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import fresh, materialise
+from cairn.llm._common import fresh, let_go, materialise
 
 SIMILARITY = 0.8
 #: Words of a piece that are looked up at most.
@@ -216,6 +216,7 @@ def _meetings(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     rows = rows.select("doc_id", "text", *(k.alias(n) for k, n in zip(key("text"), ("k1", "k2"), strict=True)))
 
     def passing(batches):
+        let_go()
         table, bitmap = WordHashes(), shared.value
 
         def flush(batch, first, hashes):

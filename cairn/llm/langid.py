@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import crc_bucket
+from cairn.llm._common import crc_bucket, let_go
 
 UNDETERMINED = "und"
 BITS = 12
@@ -219,6 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (crc_bucket(id_col, 3) == 1).alias("held_out"))
 
     def run(batches):
+        let_go()
         for batch in batches:
             langs, scores = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -231,6 +232,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     import pandas as pd
 
     def told(texts):
+        let_go()
         langs, scores = model.predict(texts.tolist())
         return pd.Series([v != UNDETERMINED and s >= min_score for v, s in zip(langs, scores, strict=True)], dtype=bool)
 

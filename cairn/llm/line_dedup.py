@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._common import discard, fresh, materialise, scratch
+from cairn.llm._common import discard, fresh, let_go, materialise, scratch
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -106,6 +106,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, uid, h1, h2, places``: each distinct key of each row's text."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             ids, uids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import words
-from cairn.llm._common import materialise
+from cairn.llm._common import kept, materialise
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -122,14 +122,9 @@ class IdBytes:
         return b"".join(map(self.table.__getitem__, words.chunks(text))) if text else b""
 
 
-_encoders: dict[str, IdBytes] = {}
-
-
 def _encoder(path: str) -> IdBytes:
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = IdBytes(path)
-    return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept(("packing", path), lambda: IdBytes(path))
 
 
 def _cut(data: bytes, window: int) -> list[tuple[int, int, int, int]]:

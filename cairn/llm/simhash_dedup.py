@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm._common import fresh, materialise
+from cairn.llm._common import fresh, let_go, materialise
 from cairn.llm.components import connected_components
 
 SHINGLE = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
+        let_go()
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "uid", "fp"])
@@ -247,7 +248,7 @@ def near_links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, le
     large = {k: -(-c // block) for k, c in held.items() if c > block}
 
     def dealt(batches):
-        for batch in batches:
+        for batch in routed(batches):  # in one worker: Spark gives each Python step of a task a worker of its own
             leaf_no, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             parts = []
             for k in np.unique(leaf_no):
@@ -275,7 +276,7 @@ def near_links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, le
             u, v = _forest(u, v)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    units = rows.mapInArrow(dealt, "leaf long, i long, j long, first boolean, fp long, home boolean")
+    units = points.select("fp").mapInArrow(dealt, "leaf long, i long, j long, first boolean, fp long, home boolean")
     return units.groupBy("leaf", "i", "j").applyInArrow(search, "u long, v long")
 
 

@@ -1,13 +1,15 @@
 """The pipeline's stages against plain versions, on the smallest tables."""
 
+import gc
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from cairn.llm import words
+from cairn.llm import packing, simhash_dedup, words
 from cairn.llm._common import materialise
 
 
@@ -115,3 +117,25 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd):
         ids = {r["doc_id"] for r in docs.collect()}
         assert not ids & {20, 21} and (name == "none" or 0 in ids) and docs.where("doc_id = 0").count() <= 1
         assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == ids
+
+
+def test_workers_keep_no_tables_of_other_stages(spark, sf):
+    """Workers serve all stages in turn: what packing keeps in them goes as another stage's tasks come."""
+
+    def tables(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(isinstance(x, packing.IdBytes) for x in gc.get_objects())]})
+
+    held = lambda: [r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(tables, "n long").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(64)  # more tasks than workers, so each has one
+    packing.pieces(docs).collect()
+    assert max(held()) == 1
+    simhash_dedup.fingerprints(docs).collect()
+    assert max(held()) == 0
+
+
+def test_shards_are_dealt_by_one_worker_a_task(spark):
+    """Each Python step of a stage takes a worker of its own beside the others."""
+    points = spark.range(3_000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash_dedup.near_links(points)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bMapInArrow\b", plan)) == 1

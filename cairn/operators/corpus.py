@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from heapq import nsmallest
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +123,38 @@ def secret_gate(units: DataFrame, body: str = "text") -> DataFrame:
     return units.withColumn("rule", rule).withColumn("accepted", F.col("rule").isNull())
 
 
+def extracted(sources: DataFrame, composed: bool = False) -> DataFrame:
+    """Normalized units of ``source_ref, text`` and scope columns, with the secret rule that each breaks."""
+    from cairn.sources.text_units import units_of_text
+
+    # Composition makes no white space and no text empty, so units of collapsed lines stay collapsed.
+    lines = units_of_text(sources)
+    return secret_gate(lines if composed else lines.withColumn("text", X.nfc(F.col("text"))))
+
+
+def first_lines(units: DataFrame) -> DataFrame:
+    """The accepted of ``units`` with ``first``, the line of the first of them with the same source and text.
+
+    The units of a source must lie together and in order, as those of distinct sources do where they are extracted.
+    So nothing is shuffled, and a task holds the hashes of one source.  Units are left out by having no first, which
+    depends on the rows before: a filter by their rule would be moved before the texts and make them again for each rule.
+    """
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        source, seen = None, {}
+        for refs, numbers, hashes in parts:
+            out = []
+            for ref, n, h in zip(refs, numbers.tolist(), hashes, strict=True):
+                if ref != source:
+                    source, seen = ref, {}
+                out.append(None if h is None else seen.setdefault(h, n))
+            yield pd.Series(out, dtype="Int32")
+
+    told = F.when(F.col("accepted"), F.unhex(F.sha2("text", 256)))
+    first = F.pandas_udf(run, "int").asNondeterministic()
+    return units.withColumn("first", first("source_ref", "line_no", told)).where("first IS NOT NULL")
+
+
 def project_corpus(sources: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources to units, edges and a report: extract, normalize, identify, gate, drop repeats.
 
@@ -129,12 +163,7 @@ def project_corpus(sources: DataFrame, composed: bool = False) -> tuple[DataFram
     repeats stay as rows that name their first.  The report counts sources, sources
     without any unit, units, rejected units, repeats and edges.
     """
-    from cairn.sources.text_units import units_of_text
-
-    # Composition makes no white space and no text empty, so units of collapsed lines stay collapsed.
-    lines = units_of_text(sources)
-    lines = lines if composed else lines.withColumn("text", X.nfc(F.col("text")))
-    gated = written(secret_gate(identify_units(lines)), "units")
+    gated = written(identify_units(extracted(sources, composed)), "units")
     units = written(dedup_units(gated.where("accepted").drop("rule", "accepted")), "kept")
     edges = corpus_edges(units)  # a plain projection of written units
     given, parts = sources.select("source_ref").distinct(), gated.select("source_ref").distinct()
